@@ -8,13 +8,17 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import read
+
 #: Separator class of the word rule used by every operator here: ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one table; a table of fewer splits than cores (so a small one) is dealt over the cores."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = read(spark, sf_dir, name)
+    # Rows are whole texts of any length: few of them go to a Python worker at once.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
 

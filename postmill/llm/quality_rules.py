@@ -68,8 +68,11 @@ def repeated_words(words: Column) -> Column:
     return let(words, body)
 
 
-def rule_features(docs: DataFrame) -> DataFrame:
-    """Columns doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines; one row per document."""
+def rule_features(docs: DataFrame, keep_row: bool = False) -> DataFrame:
+    """Columns doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines; one row per document.
+
+    keep_row adds the whole input row as the struct `row`."""
+    row = [F.struct(*docs.columns).alias("row")] if keep_row else []
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
@@ -85,8 +88,9 @@ def rule_features(docs: DataFrame) -> DataFrame:
         let(words_of(text), counts).alias("w"),
         let(lines, line_counts).alias("l"),
         F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        *row,
     )
-    return found.select("doc_id", "stratum", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines")
+    return found.select("doc_id", "stratum", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", *(["row"] if keep_row else []))
 
 
 def base_failed(words: str = "n_words", repeats: str = "n_repeat_words") -> Column:
@@ -172,3 +176,11 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float
     features = cut(rule_features(docs), "rule-features")
     holdout = features.where(remainder("doc_id", 3) == 1)
     return apply_cutoffs(features, certified_cutoffs(holdout, labels, alpha, delta))
+
+
+def keep(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """The rows of docs that are kept. Features stay beside their row, so nothing is joined back to the texts:
+    the cutoffs come from a first pass over the labelled holdout, and a second pass applies them."""
+    truth = labels.where(remainder("doc_id", 3) == 1)
+    cutoffs = cut(certified_cutoffs(rule_features(docs.where(remainder("doc_id", 3) == 1)), truth, alpha, delta), "cutoffs")
+    return apply_cutoffs(rule_features(docs, keep_row=True), cutoffs).where("kept").select("row.*")

@@ -4,27 +4,58 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, quality_rules, secrets, sharding
+import public_tokenizers
+
+from . import ann, bpe, crf, ctw, packing, pii, quality_rules, secrets, sharding, simhash
 from .common import table
 
+#: The vocabulary file of the two tokenising queries.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
 
 def op2_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op5_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), sharding.balanced_tree(8), new_shard=8)
 
 
+def op6_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.quality_report(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_report(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+def op9_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op10_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judge(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum")
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_links, op5_hash_tree, op8_pii, op10_risk_rules)}
-
+QUERIES = {
+    f.__name__: f
+    for f in (op1_ivf_pq, op2_secret_links, op3_context_tree, op4_tree_bpe, op5_hash_tree, op6_crf_quality, op7_covering_simhash, op8_pii, op9_tiered_packing, op10_risk_rules)
+}
 ORACLE_SQL: dict[str, str] = {}
