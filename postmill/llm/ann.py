@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: an inverted file of coarse cells with product-quantised residuals.
 
 Coarse centroids and the codebooks of the residuals are fitted on a bounded sample (SAMPLE rows of smallest hash). Every
-row is indexed: its nearest cell, and one code per sub-vector of its residual. A query visits its nearest cells,
+row is indexed: its nearest cell, and one code per sub-vector of its residual. A query visits its nearest cells, as
+many as hold the share `recall` of the neighbours inside the sample (few where vectors cluster, most where they do not),
 ranks their rows by asymmetric distances (its own residual, table-looked-up against the codes), and the best
 CANDIDATES of each block, with all ties, are ranked again by exact distances on the original vectors.
 
@@ -70,6 +71,16 @@ class Index:
         self.cuts = np.array_split(np.arange(sample.shape[1]), min(PARTS, sample.shape[1]))
         self.books = [k_means(rest[:, c], CODES, rounds=8) for c in self.cuts]
 
+    def probes(self, sample: np.ndarray, k: int, recall: float, queries: int = 400) -> int:
+        """Cells to visit so that this share of the sample's own k nearest neighbours lies in them."""
+        asking = sample[: min(queries, len(sample))]
+        distance = _squared(asking, sample)
+        distance[np.arange(len(asking)), np.arange(len(asking))] = np.inf
+        near = np.argsort(distance, axis=1)[:, : min(k, len(sample) - 1)]
+        place = np.argsort(np.argsort(_squared(asking, self.centres), axis=1, kind="stable"), axis=1)
+        needed = np.sort(np.take_along_axis(place, self.cells(sample)[near], axis=1).ravel())
+        return int(needed[min(len(needed) - 1, int(recall * len(needed)))]) + 1 if len(needed) else 1
+
     def cells(self, x: np.ndarray) -> np.ndarray:
         return _squared(x, self.centres).argmin(1)
 
@@ -118,7 +129,7 @@ def search_block(index: Index, cell: int, ids: np.ndarray, codes: np.ndarray, ve
     return pd.DataFrame({"query_id": np.array(out_query, dtype=np.int64), "vec_id": np.array(out_id, dtype=np.int64), "score": np.array(out_score, dtype=np.float64)})
 
 
-def nearest(rows: DataFrame, every: int = 100, k: int = 10, probes: int = 16) -> DataFrame:
+def nearest(rows: DataFrame, every: int = 100, k: int = 10, recall: float = 0.98) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found rows of each row whose vec_id is divisible by `every`."""
     spark = rows.sparkSession
     result = "query_id long, rank int, vec_id long, score double"
@@ -130,7 +141,9 @@ def nearest(rows: DataFrame, every: int = 100, k: int = 10, probes: int = 16) ->
     dimension = int(sizes.mode().iloc[0])
     total = good.count()
     cells = int(min(4096, max(4, math.sqrt(total) / 2)))
-    index = Index(np.stack(sample["embedding"][sizes == dimension].to_list()).astype(np.float64), cells)
+    fitted = np.stack(sample["embedding"][sizes == dimension].to_list()).astype(np.float64)
+    index = Index(fitted, cells)
+    probes = index.probes(fitted, k, recall)
     shared = spark.sparkContext.broadcast(index)  # cells and codebooks: at most 4096 + 256 vectors
 
     def assign(batches):
@@ -163,8 +176,8 @@ def nearest(rows: DataFrame, every: int = 100, k: int = 10, probes: int = 16) ->
         return spark.createDataFrame([], result)
     blocks = F.broadcast(spark.createDataFrame(plan, "cell int, row_blocks int, query_blocks int"))  # a row per cell
     every_block = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = indexed.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("vec_id"), F.col("row_blocks")).alias("rb"), every_block("query_blocks").alias("qb"), "vec_id", "codes", "vector")
-    right = visits.join(blocks, "cell").select("cell", every_block("row_blocks").alias("rb"), F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).alias("qb"), "query_id", "query")
+    left = indexed.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("vec_id"), F.col("row_blocks")).cast("int").alias("rb"), every_block("query_blocks").alias("qb"), "vec_id", "codes", "vector")
+    right = visits.join(blocks, "cell").select("cell", every_block("row_blocks").alias("rb"), F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int").alias("qb"), "query_id", "query")
 
     def search(stored: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         if not len(stored) or not len(asking):
