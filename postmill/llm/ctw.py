@@ -136,7 +136,7 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
 
 def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Zeros and ones at the 255 binary decisions, from counts of bytes (contexts x 256)."""
-    levels = [h.reshape(len(h), 2**d, -1).sum(axis=2) for d in range(1, 9)]
+    levels = [h.reshape(len(h), 2**d, 256 >> d).sum(axis=2) for d in range(1, 9)]
     return np.concatenate([x[:, 0::2] for x in levels], axis=1), np.concatenate([x[:, 1::2] for x in levels], axis=1)
 
 
@@ -150,7 +150,7 @@ def _byte_logs(ones: np.ndarray) -> np.ndarray:
     for d in range(8):
         p = ones[:, at : at + 2**d]
         at += 2**d
-        out = np.stack([out + np.log10(1 - p), out + np.log10(p)], axis=2).reshape(len(ones), -1)
+        out = np.stack([out + np.log10(1 - p), out + np.log10(p)], axis=2).reshape(len(ones), 2 ** (d + 1))
     return out
 
 
