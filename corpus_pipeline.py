@@ -14,27 +14,32 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that the line field scores at least 0.5."""
+    docs = docs.select(COLUMNS)
     field = crf.fit_documents(docs, table(spark, sf_dir, "labels"))
     return crf.score_documents(docs, field).where(F.col("score") >= 0.5).select(COLUMNS)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that pass the base rule and the risk-controlled cutoffs."""
+    docs = docs.select(COLUMNS)
     return quality_rules.keep(docs, table(spark, sf_dir, "labels")).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of linked fingerprints."""
+    docs = docs.select(COLUMNS)
     return simhash.keep_one(docs).select(COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by tags; n_chars follows the text."""
+    docs = docs.select(COLUMNS)
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in context windows."""
+    docs = docs.select(COLUMNS)
     return packing.pack_documents(docs, VOCABULARY)
 
 
