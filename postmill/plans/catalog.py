@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import dedup, feed, liveness, rules, scoring, stats, tracker
+from ..sources import adapters
+from ..streaming import jobs as jobs_stream
 from .fixtures import AS_OF, load, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -659,3 +661,94 @@ def _(s, d):
 @register("ST04_liveness_state", CHECKS + ", g as (select *, sum(case when transient then 0 else 1 end) over (partition by job_id order by checked_at, fetch_id) as g from checks), l as (select job_id, g, count_if(transient) as failures, max(case when not transient then status end) as definite from g group by 1, 2) select job_id, case when failures >= 3 then 'unreachable' else definite end as status, failures from l qualify row_number() over (partition by job_id order by g desc) = 1", "fetches")
 def _(s, d):
     return liveness.liveness_state(checks(s, d)).select("job_id", "status", "failures")
+
+
+# --- sources: the canonical postings as each board's payload, through its adapter --------------------------------
+
+
+def _payload(df: DataFrame, name: str, *fields) -> DataFrame:
+    return df.select(F.col("id").alias("arrival_seq"), F.to_json(F.struct(F.array(F.struct(*fields)).alias(name))).alias("payload"))
+
+
+@register("S01_paged_api", "select 'paged_gb_' || cast(id as varchar) as external_id, title, company_name, location, 'GBP' as salary_currency, posted_at from jobs", "jobs")
+def _(s, d):
+    name = lambda c: F.struct(F.col(c).alias("display_name"))
+    p = _payload(jobs(s, d), "results", F.col("id").cast("string").alias("id"), F.concat(F.lit("<b>"), "title", F.lit("</b>")).alias("title"), name("company_name").alias("company"), name("location").alias("location"), F.date_format("posted_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created"))
+    return adapters.from_paged_api(p, "gb").select("external_id", "title", "company_name", "location", "salary_currency", "posted_at")
+
+
+@register("S02_feed_api", "select 'feed_' || external_id as external_id, title, is_remote, posted_at from jobs where contains(lower(title), 'procurement') or contains(lower(description), 'procurement')", "jobs")
+def _(s, d):
+    p = _payload(jobs(s, d), "data", F.col("external_id").alias("slug"), F.col("title"), F.col("description"), F.col("is_remote").alias("remote"), F.unix_seconds(F.col("posted_at").cast("timestamp")).alias("created_at"))
+    return adapters.from_feed_api(p, ["Head Procurement"]).select("external_id", "title", "is_remote", "posted_at")
+
+
+@register("S03_remote_api", "select 'remote_' || cast(id as varchar) as external_id, title, 'Remote' as country, true as is_remote from jobs where coalesce(location, '') = '' or contains(lower(location), 'de')", "jobs")
+def _(s, d):
+    p = _payload(jobs(s, d), "jobs", "id", "title", F.col("location").alias("candidate_required_location"))
+    return adapters.from_remote_api(p, ["DE"]).select("external_id", "title", "country", "is_remote")
+
+
+@register("S04_public_agency", "select 'agency_' || cast(id as varchar) as external_id, coalesce(location || ' ', '') || '10115' as location, case when is_remote then true end as is_remote, posted_at from jobs", "jobs")
+def _(s, d):
+    p = _payload(jobs(s, d), "offers", F.col("id").cast("string").alias("refnr"), F.col("title"), F.struct(F.col("location").alias("city"), F.lit("10115").alias("code")).alias("place"), F.lit("soon").alias("published"), F.date_format("posted_at", "yyyy-MM-dd'T'HH:mm:ss").alias("changed"), F.when(F.col("is_remote"), F.array(F.lit("HOME_OFFICE"))).alias("models"))
+    return adapters.from_public_agency(p).select("external_id", "location", "is_remote", "posted_at")
+
+
+@register("S05_snippet_api", "select 'snippet_' || cast(id as varchar) as external_id, title, 50000.0 as salary_min, 90000.0 as salary_max from jobs where id % 9 > 0", "jobs")
+def _(s, d):
+    p = _payload(jobs(s, d), "jobs", F.when(F.col("id") % 9 > 0, F.col("id").cast("string")).alias("id"), F.col("title"), F.lit("EUR 50,000 - 90.000").alias("salary"))
+    return adapters.from_snippet_api(p).select("external_id", "title", "salary_min", "salary_max")
+
+
+@register("S07_search_index", "select 'index_' || cast(id as varchar) as external_id, location, lower(country) as country, 'S' || chr(10) || '- m1' || chr(10) || '- m2' || chr(10) || 'P' as description, is_remote from jobs", "jobs")
+def _(s, d):
+    office = F.array(F.struct(F.col("location").alias("city"), F.col("country").alias("country_code"))).alias("offices")
+    p = _payload(jobs(s, d), "hits", F.col("id").cast("string").alias("id"), F.lit("S").alias("summary"), F.array(F.lit("m1"), F.lit("m2")).alias("missions"), F.lit("## P").alias("profile"), office, F.when(F.col("is_remote"), "full").when(~F.col("is_remote"), "no").otherwise("partial").alias("remote"))
+    return adapters.from_search_index(p).select("external_id", "location", "country", "description", "is_remote")
+
+
+@register("S08_company_feed", "select 'company_' || cast(id as varchar) as external_id, company_name, lower(country) as country from jobs where (country is null or lower(country) in ('de', 'at')) and (contains(lower(title), 'head of procurement') or contains('head of procurement', lower(title)) or ((contains(lower(title), 'head') or contains(lower(title), 'director') or contains(lower(title), 'chief')) and (contains(lower(title), 'procurement') or contains(lower(title), 'supply chain') or contains(lower(title), 'logistics'))))", "jobs")
+def _(s, d):
+    job = F.struct(F.col("id").cast("string").alias("id"), F.col("title").alias("name"), F.col("country").alias("country"), F.col("location").alias("city"))
+    p = _payload(jobs(s, d), "companies", F.col("company_name").alias("name"), F.array(job).alias("jobs"))
+    return adapters.from_company_feed(p, ["Head of Procurement"], ["de", "at"], cap=2**31 - 1).select("external_id", "company_name", "country")
+
+
+@register("S10_tabular", "select 'b' || cast(id % 3 as varchar) || '_' || cast(id as varchar) as external_id, case when company_name <> 'nan' then company_name end as company_name, case when id % 3 > 0 then 'de' end as country, case when id % 2 = 0 then 10.0 end as salary_min from jobs", "jobs")
+def _(s, d):
+    t = jobs(s, d).select(F.col("id").alias("arrival_seq"), F.concat(F.lit("b"), (F.col("id") % 3).cast("string")).alias("site"), F.col("id").cast("string").alias("id"), "title", F.col("company_name").alias("company"), "location", "description", F.when(F.col("id") % 2 == 0, 10.0).otherwise(float("nan")).alias("min_amount"), F.lit(float("nan")).alias("max_amount"), F.lit("EUR").alias("currency"), F.col("url").alias("job_url"), "is_remote", F.col("posted_at").alias("date_posted"))
+    return adapters.from_tabular(t, "de", ("b0",)).select("external_id", "company_name", "country", "salary_min")
+
+
+@register("S13_union_sources", "select source, count(*) as n from jobs where source <> 'src1' group by source", "jobs")
+def _(s, d):
+    j = jobs(s, d)
+    frames = {n: j.where(F.col("source") == n) for n in ("src0", "src1", "src2")} | {"rest": j.where(~F.col("source").isin("src0", "src1", "src2"))}
+    return adapters.union_sources(frames, ("SRC1",)).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@register("W03_scan_scope", "select item, min(user_id) as user_id from (select 'Head of Procurement' as item, user_id from profiles where user_id % 3 = 0 union all select 'COO', user_id from profiles where user_id % 3 = 0 union all select 'Director Supply Chain', user_id from profiles where user_id % 3 = 1) t group by item", "profiles")
+def _(s, d):
+    return adapters.scan_scope(load(s, d, "profiles")).select("item", "user_id")
+
+
+# --- stateful operators over a batch -----------------------------------------------------------------------------
+
+
+@register("ST03_event_rates", "select date_trunc('hour', created_at) as start, event_type, status, count(*) as n from ops_events group by 1, 2, 3", "ops_events")
+def _(s, d):
+    e = load(s, d, "ops_events").withColumn("ts", F.col("created_at").cast("timestamp"))
+    return jobs_stream.event_rate_windows(e).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@register("ST05_limit_audit")
+def _(s, d):
+    e = load(s, d, "ops_events").select(F.col("source").alias("subject"), F.col("event_type").alias("key"), F.col("created_at").alias("ts"), F.col("id").alias("event_id"))
+    return jobs_stream.limit_audit(e, 3, 3600.0)
+
+
+@register("ST06_breaker")
+def _(s, d):
+    e = load(s, d, "ops_events").select(F.col("source").alias("backend"), F.col("created_at").alias("ts"), (F.col("status") != "error").alias("ok"), F.col("id").alias("event_id"))
+    return jobs_stream.breaker_intervals(e)
