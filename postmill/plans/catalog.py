@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import language
 from ..functions import text as X
 from ..operators import dedup, feed, liveness, rules, scoring, stats, tracker
 from ..sources import adapters
@@ -752,3 +753,106 @@ def _(s, d):
 def _(s, d):
     e = load(s, d, "ops_events").select(F.col("source").alias("backend"), F.col("created_at").alias("ts"), (F.col("status") != "error").alias("ok"), F.col("id").alias("event_id"))
     return jobs_stream.breaker_intervals(e)
+
+
+# --- further functions, set operations and queues ----------------------------------------------------------------
+
+
+def _stop(words) -> str:
+    return f"len(list_filter(w, lambda x: x in ({', '.join(repr(x) for x in words)})))"
+
+
+@register(
+    "F10_language",
+    r", t as (select id, string_split(trim(regexp_replace(substr(replace(lower(regexp_replace(coalesce(description, ''), '<[^>]*>', ' ', 'g')), 'ß', 'ss'), 1, 12000), '[^\p{L}]+', ' ', 'g')), ' ') as w from jobs), h as (select id, len(w) as n, "
+    + ", ".join(f"{_stop(v)} as h{i}" for i, v in enumerate(language.STOP_WORDS.values()))
+    + " from t), r as (select id, n, list_reverse_sort([h0, h1, h2, h3]) as s, case greatest(h0, h1, h2, h3) when h0 then 'en' when h1 then 'de' when h2 then 'fr' else 'es' end as best from h) select id, case when n < 20 or s[1] < 6 or (s[1] < 1.5 * s[2] and s[1] - s[2] < 4) then 'unknown' else best end as language from r",
+    "jobs",
+)
+def _(s, d):
+    return jobs(s, d).select("id", language.detect_language(F.col("description")).alias("language"))
+
+
+@register("F09_expand_queries", "select user_id, case user_id % 3 when 0 then 'Head of Procurement|Leiter Einkauf|COO' when 1 then 'Director Supply Chain' else '' end as queries from profiles", "profiles")
+def _(s, d):
+    q = language.expand_queries(X.clean_list(F.col("target_titles")), {"head of procurement": ["Leiter Einkauf", "COO"]})
+    return load(s, d, "profiles").select("user_id", F.array_join(q, "|").alias("queries"))
+
+
+@register("F25_prefix_query", r"select id, array_to_string(list_slice(regexp_extract_all(lower(title), '[\p{L}\p{N}_]+'), 1, 8), ' ') as q from jobs", "jobs")
+def _(s, d):
+    return jobs(s, d).select("id", F.array_join(X.prefix_query(F.col("title")), " ").alias("q"))
+
+
+@register("F29_redact", "select id, '{\"sources\":[{\"name\":\"***\",\"api_requests\":' || cast(id % 7 as varchar) || '},{\"name\":\"***\",\"api_requests\":2}]}' as payload from ops_events", "ops_events")
+def _(s, d):
+    return load(s, d, "ops_events").select("id", language.redact_json(F.col("payload"), ("name", "token")).alias("payload"))
+
+
+@register("F30_prompts", f", {QUEUE}, b as (select user_id, id, (rn - 1) // 15 as batch, (rn - 1) % 15 as k from (select *, row_number() over (partition by user_id order by tier, place, id) as rn from queue where user_id <= 3) t) select user_id, batch, sha256(string_agg('[' || cast(k as varchar) || '] ' || title || chr(10) || 'Company: ' || coalesce(company_name, '-') || chr(10) || 'Remote: ' || case when is_remote then 'Yes' when not is_remote then 'No' else 'Unknown' end || chr(10) || substr(coalesce(description, ''), 1, 1200), chr(10) || chr(10) order by k)) as digest from b join jobs j on j.id = b.id group by 1, 2", "jobs", "profiles")
+def _(s, d):
+    queue = scoring.tiered_queue(verdicts(s, d).where("user_id <= 3"))
+    texts = jobs(s, d).select("id", "title", "company_name", "is_remote", "description")
+    return scoring.score_prompt(scoring.assign_batches(queue).join(texts, "id")).select("user_id", "batch", F.sha2("prompt", 256).alias("digest"))
+
+
+@register("F18_profile_hash")
+def _(s, d):
+    p = load(s, d, "profiles").withColumn("titles", X.clean_list(F.col("target_titles")))
+    return p.select("user_id", tracker.profile_hash(["work_mode", "english_only"], ["titles"]).alias("hash"))
+
+
+@register("P18_bands", "select case when score >= 70 then 'top' when score >= 40 then 'good' else 'low' end as band, count(*) as n from job_scores group by 1", "job_scores")
+def _(s, d):
+    return scores(s, d).groupBy(stats.score_band().alias("band")).agg(F.count("*").alias("n"))
+
+
+@register("T04_embedding_queue", "select id from jobs j left join vectors v on v.vec_id = j.id where v.vec_id is null order by scraped_at desc, id limit 70", "jobs", "vectors")
+def _(s, d):
+    v = load(s, d, "vectors").select(F.col("vec_id").alias("id"))
+    return jobs(s, d).join(v, "id", "left_anti").orderBy(F.desc("scraped_at"), "id").limit(70).select("id")
+
+
+@register("T09_merged_postings")
+def _(s, d):
+    return dedup.fuzzy_dedup(unique_jobs(s, d)).where(F.size("merged_sources") > 1).orderBy(F.desc("scraped_at"), "id").limit(50).select("id", F.size("merged_sources").alias("n_sources"))
+
+
+@register("U01_countries", "select user_id, case user_id % 3 when 0 then 'de' when 1 then 'de' else '' end as supported, case user_id % 3 when 0 then 'at' else '' end as skipped from profiles", "profiles")
+def _(s, d):
+    wanted, has = F.transform(X.clean_list(F.col("preferred_countries")), F.lower), F.array(F.lit("de"), F.lit("fr"))
+    return load(s, d, "profiles").select("user_id", F.array_join(F.array_intersect(wanted, has), ",").alias("supported"), F.array_join(F.array_except(wanted, has), ",").alias("skipped"))
+
+
+@register("U02_merge_exclusions", "select user_id, array_to_string(list_filter([case user_id % 5 when 0 then 'retail' when 1 then 'intern' end, case user_id % 6 when 0 then 'nordwerk' when 1 then 'VTX AG' end], lambda x: x is not null), '|') as merged from profiles", "profiles")
+def _(s, d):
+    both = F.concat(F.split("excluded_keywords", ","), F.split("excluded_companies", ","))
+    return load(s, d, "profiles").select("user_id", F.array_join(X.distinct_in_order(both), "|").alias("merged"))
+
+
+@register("U04_eligible", f"select id from jobs where id not in (select job_id from job_scores where user_id = 7) and id not in (select job_id from applications where user_id = 7) and ({COUNTRY} is null or {COUNTRY} <> 'at')", "jobs", "job_scores", "applications")
+def _(s, d):
+    seen = lambda df: df.where("user_id = 7").select(F.col("job_id").alias("id"))
+    left = jobs(s, d).join(seen(scores(s, d)), "id", "left_anti").join(seen(applications(s, d)), "id", "left_anti")
+    country = X.normalize_country(F.col("country"))
+    return left.where(country.isNull() | (country != "at")).select("id")
+
+
+@register("W05_crawl_plan", "select query, country, location from (select distinct title as query, dense_rank() over (order by title) as q from jobs) a, (select 'at' as country, 0 as c union all select 'de', 1) b, (select distinct location, dense_rank() over (order by location) as l from jobs where location is not null) x order by q, c, l limit 80", "jobs")
+def _(s, d):
+    j = jobs(s, d)
+    return adapters.crawl_plan(j.select(F.col("title").alias("query")).distinct().orderBy("query"), ["at", "de"], j.select("location").where("location is not null").distinct().orderBy("location"))
+
+
+@register("W08_semantic_priority", f", {VERDICTS}, s as (select j.id, j.user_id, rule = 12 as explicit, case when id % 5 > 0 then (id * 37 % 100) / 100.0 end as sim from judged j where passed), g as (select *, case when explicit then 0 when sim >= 0.25 then 1 when sim is null then 2 else 3 end as grp from s) select user_id, id, grp as \"group\", row_number() over (partition by user_id order by grp, coalesce(sim, 0) desc, id) as place from g", "jobs", "profiles")
+def _(s, d):
+    v = verdicts(s, d).where("passed").select("user_id", "id", (F.col("rule") == 12).alias("explicit"), F.when(F.col("id") % 5 > 0, (F.col("id") * 37 % 100) / 100.0).alias("similarity"), F.col("id").alias("seq"))
+    return scoring.semantic_priority(v).select("user_id", "id", "group", "place")
+
+
+@register("D09_apply_actions", "select user_id, job_id, max_by(status, struct_pack(a := changed_at, b := event_id)) as status, max(case when status = 'applied' then changed_at end) as applied_at from (select *, row_number() over (partition by user_id, job_id order by changed_at, event_id) as rn from application_events) t where rn = 1 or status <> 'saved' group by 1, 2", "application_events")
+def _(s, d):
+    e = load(s, d, "application_events")
+    actions = e.select("user_id", "job_id", F.col("status").alias("action"), F.col("changed_at").alias("at"), F.col("event_id").alias("seq"))
+    none = load(s, d, "applications").limit(0)
+    return tracker.apply_actions(none, actions).select("user_id", "job_id", "status", "applied_at")

@@ -151,3 +151,10 @@ def rotate(items: DataFrame, slot: int, n: int) -> DataFrame:
     """W04. n items (column place, from 0) from slot * n on, wrapping around. Items are a small list of queries."""
     size = F.count("*").over(Window.partitionBy())
     return items.withColumn("_at", F.pmod(F.col("place") - F.lit(slot * n), size)).where(F.col("_at") < n).orderBy("_at").drop("_at")
+
+
+def crawl_plan(queries: DataFrame, countries: list[str], locations: DataFrame, cap: int = 80) -> DataFrame:
+    """W05. Query-major plan: for each query all countries, for each all places; the first `cap` steps (the plan's size)."""
+    k = F.posexplode(F.array(*map(F.lit, countries))).alias("c", "country")
+    steps = queries.limit(cap).select("query", k)
+    return steps.join(F.broadcast(locations.limit(cap))).orderBy("query", "c", "location").limit(cap).select("query", "country", "location")
