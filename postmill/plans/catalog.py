@@ -508,7 +508,7 @@ def _(s, d):
     return stats.api_budget(load(s, d, "ops_events"), 5000)
 
 
-@register("A10_api_errors", f"select count_if(contains(message, '-> 401')) as unauthorized, count_if(contains(message, '-> 5')) as server_errors, count(*) as total from ops_events where status = 'error' and created_at >= {T} - INTERVAL 240 HOUR", "ops_events")
+@register("A10_api_errors", f"select count(*) filter (where contains(message, '-> 401')) as unauthorized, count(*) filter (where contains(message, '-> 5')) as server_errors, count(*) as total from ops_events where status = 'error' and created_at >= {T} - INTERVAL 240 HOUR", "ops_events")
 def _(s, d):
     return stats.api_error_counts(load(s, d, "ops_events"), AS_OF, 240)
 
