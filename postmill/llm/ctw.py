@@ -1,16 +1,19 @@
 """Language-model scores by context-tree weighting over bytes, beside a word-count score.
 
-Every byte is eight binary decisions. Each decision has a context tree over the classes of the last DEPTH bytes; each
-node of it a Krichevsky-Trofimov estimate from its zeros and ones. A node's weighted probability is the mean of its
-own estimate and the product of its children's (Willems, Shtarkov, Tjalkens, 1995), so all depths are mixed, with
-weights that the training data determine. The trees are learned from all training texts and then frozen; a text's score
-is the sum of log10 probabilities of its bytes.
-
-Counting is one pass over the training texts: each task returns its own counts of words and of (context, byte), which
-are summed by key. Contexts are of CLASSES ** DEPTH = 64,000 kinds, so the counts of bytes are at most
-64,000 x 256 numbers whatever the corpus, and the table of log-probabilities that is sent to the executors is at most
-65 MB. Words have no such bound: only those that make at least 1 / HOT of all tokens (at most HOT of them) are sent
-along; every other word of a text is joined with its count.
+Every byte is eight binary decisions. Each decision has a context tree over the last DEPTH bytes; each node of it a
+Krichevsky-Trofimov estimate from its zeros and ones. A node's weighted probability is the mean of its own estimate
+and the product of its children's (Willems, Shtarkov, Tjalkens, 1995), so all depths are mixed, with weights that the
+training data determine. The trees are learned from all training texts and then frozen; a text's score is the sum of
+log10 probabilities of its bytes.
+
+The trees are tables that grow with the corpus; no task and no driver holds them. Each task counts its own cells
+(context and byte), which are summed by key; every depth is then a grouped sum over the depth below it, and the mixing
+weights come back from the root by joins. Cells that only scored texts have are in the tables with count zero, so an
+unseen context is the estimate 1/2 at its own depth, without special cases.
+
+Most bytes of a text are looked up in memory: cells that make at least 1 / HOT_CELLS of all bytes are sent to the
+executors (at most HOT_CELLS of them, 12 bytes each: 96 MB whatever the corpus), words of at least 1 / HOT of all tokens
+likewise. Every other cell and word of a text is joined with its figure; none of those is a hot key.
 
 Nulls and edges: a null or empty text has one token (the end) and score 0; a null id has remainder 0 (training);
 repeated rows each return and each count; without training rows all counts are 0 and every bit costs one bit;
@@ -27,42 +30,31 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, remainder
 
-DEPTH, CLASSES = 3, 40
-CONTEXTS = CLASSES**DEPTH
+#: Bytes of context; context and byte fit a long up to 6.
+DEPTH = 5
 #: Words of at least 1/HOT of all tokens are looked up in memory; there are at most HOT of them.
 HOT = 1_000_000
-#: Distinct words that a task holds before it hands their counts on.
-HELD = 400_000
-#: Bytes that are turned into contexts at a time.
+#: Cells of at least 1/HOT_CELLS of all bytes are looked up in memory; there are at most HOT_CELLS of them.
+HOT_CELLS = 8_000_000
+#: Distinct words, and distinct cells, that a task holds before it hands their counts on.
+HELD, HELD_CELLS = 400_000, 2_000_000
+#: Bytes that are turned into cells at a time.
 SLICE = 1 << 22
 
 
-def _classes() -> np.ndarray:
-    """Class of each byte as context: letters by case-folded letter, one each for digits, space, line end, stops and
-    other ASCII, and eight for continuation bytes by their upper bits, one for lead bytes."""
-    c = np.full(256, 30, dtype=np.int64)
-    for b in range(26):
-        c[65 + b] = c[97 + b] = 1 + b
-    c[48:58], c[32], c[10] = 27, 28, 0
-    c[[33, 44, 46, 58, 59, 63]] = 29
-    c[128:192] = 31 + (np.arange(64) >> 3)
-    c[192:] = 39
-    return c
-
-
-_CLASS = _classes()
-
-
-def _codes(data: np.ndarray) -> np.ndarray:
-    """Context number before each byte after the first DEPTH ones, which serve as context only."""
-    c = _CLASS[data]
+def _cells(data: np.ndarray) -> np.ndarray:
+    """Context * 256 + byte of each byte after the first DEPTH ones, which serve as context only."""
     n = len(data) - DEPTH
-    return (c[:n] * CLASSES + c[1 : n + 1]) * CLASSES + c[2 : n + 2]
+    out = np.zeros(n, dtype=np.int64)
+    for k in range(DEPTH + 1):
+        out <<= 8
+        out |= data[k : k + n]
+    return out
 
 
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -93,143 +85,177 @@ def _is_text(starts: np.ndarray, n: int) -> np.ndarray:
     return keep
 
 
-def training_counts(docs: DataFrame) -> DataFrame:
-    """word, cell, n over all rows of docs: counts of words (empty: text ends) or of cells (context * 256 + byte)."""
+class _CellCounts:
+    """Counts of cells in training texts (n) and in all texts (seen), merged now and then."""
+
+    def __init__(self):
+        self.parts, self.size = [], 0
+
+    def add(self, texts: list[bytes], trains: bool) -> None:
+        data, starts = _joined(texts)
+        keep = _is_text(starts, len(data))
+        for at in range(0, len(data) - DEPTH, SLICE):
+            part = data[at : at + SLICE + DEPTH]
+            found, seen = np.unique(_cells(part)[keep[at + DEPTH : at + len(part)]], return_counts=True)
+            self.parts.append((found, seen if trains else np.zeros_like(seen), seen))
+            self.size += len(found)
+        if self.size > 2 * HELD_CELLS:
+            self.merge()
+
+    def merge(self) -> None:
+        if not self.parts:
+            return
+        cells, n, seen = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.argsort(cells, kind="stable")
+        cells = cells[order]
+        first = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]) if len(cells) else np.zeros(0, dtype=np.int64)
+        sums = (np.add.reduceat(x[order], first) if len(first) else x for x in (n, seen))
+        self.parts = [(cells[first], *sums)]
+        self.size = len(first)
+
+    def take(self) -> Iterator[pd.DataFrame]:
+        self.merge()
+        for cells, n, seen in self.parts:
+            for at in range(0, len(cells), 1 << 19):
+                to = slice(at, at + (1 << 19))
+                yield pd.DataFrame({"word": pd.Series([None] * len(cells[to]), dtype=object), "cell": pd.array(cells[to], dtype="Int64"), "n": n[to], "seen": seen[to]})
+        self.parts, self.size = [], 0
+
+
+def corpus_counts(rows: DataFrame) -> DataFrame:
+    """word, cell, n, seen from held_out and text: of each training word (empty: text ends) its count n; of each cell
+    its count n in training texts and its count seen in all texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: Counter = Counter()
-        cells = np.zeros(CONTEXTS * 256, dtype=np.uint32)
+        cells = _CellCounts()
 
         def counted() -> pd.DataFrame:
-            out = pd.DataFrame({"word": pd.Series(list(words), dtype=object), "cell": pd.array([None] * len(words), dtype="Int32"), "n": np.fromiter(words.values(), dtype=np.int64, count=len(words))})
+            n = np.fromiter(words.values(), dtype=np.int64, count=len(words))
+            out = pd.DataFrame({"word": pd.Series(list(words), dtype=object), "cell": pd.array([None] * len(words), dtype="Int64"), "n": n, "seen": n})
             words.clear()
             return out
 
         for b in batches:
-            for texts in _batches(b["text"]):
+            held = b["held_out"].to_numpy(dtype=bool)
+            for texts in _batches(b["text"][~held]):
                 for t in texts:
                     words.update(t.lower().split())
                 words[b""] += len(texts)
-                data, starts = _joined(texts)
-                keep = _is_text(starts, len(data))
-                for at in range(0, len(data) - DEPTH, SLICE):
-                    part = data[at : at + SLICE + DEPTH]
-                    found, n = np.unique((_codes(part) * 256 + part[DEPTH:])[keep[at + DEPTH : at + SLICE + DEPTH]].astype(np.int32), return_counts=True)
-                    cells[found] += n.astype(np.uint32)
+                cells.add(texts, True)
                 if len(words) >= HELD:
                     yield counted()
+            for texts in _batches(b["text"][held]):
+                cells.add(texts, False)
+            if cells.size > HELD_CELLS:
+                cells.merge()
+                if cells.size > HELD_CELLS:
+                    yield from cells.take()
         yield counted()
-        used = np.flatnonzero(cells)
-        yield pd.DataFrame({"word": pd.Series([None] * len(used), dtype=object), "cell": pd.array(used, dtype="Int32"), "n": cells[used].astype(np.int64)})
-
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "word binary, cell int, n long").groupBy("word", "cell").agg(F.sum("n").alias("n"))
-
-
-def _log_gamma(x: np.ndarray) -> np.ndarray:
-    z = x + 8.0
-    product = np.ones_like(z)
-    for k in range(8):
-        product *= x + k
-    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - np.log(product)
-
-
-def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at the 255 binary decisions, from counts of bytes (contexts x 256)."""
-    levels = [h.reshape(len(h), 2**d, 256 >> d).sum(axis=2) for d in range(1, 9)]
-    return np.concatenate([x[:, 0::2] for x in levels], axis=1), np.concatenate([x[:, 1::2] for x in levels], axis=1)
-
-
-def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1.0) - math.log(math.pi)
-
-
-def _byte_logs(ones: np.ndarray) -> np.ndarray:
-    """log10 probability of each byte from the probability of a one at each decision."""
-    out, at = np.zeros((len(ones), 1)), 0
-    for d in range(8):
-        p = ones[:, at : at + 2**d]
-        at += 2**d
-        out = np.stack([out + np.log10(1 - p), out + np.log10(p)], axis=2).reshape(len(ones), 2 ** (d + 1))
-    return out
-
-
-class Model:
-    """table[rows[context], byte] is the log10 probability of a byte."""
-
-    def __init__(self, cells: np.ndarray, counts: np.ndarray):
-        """cells: context * 256 + byte, with their counts."""
+        yield from cells.take()
+
+    found = rows.select("held_out", "text").mapInPandas(run, "word binary, cell long, n long, seen long")
+    return found.groupBy("word", "cell").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
+
+
+def _log_gamma(x: Column) -> Column:
+    """Stirling's series eight places up, for x > 0."""
+    product = x
+    for k in range(1, 8):
+        product = product * (x + F.lit(float(k)))
+    z = x + F.lit(8.0)
+    return (z - 0.5) * F.log(z) - z + F.lit(0.5 * math.log(2 * math.pi)) + F.lit(1 / 12) / z - F.lit(1 / 360) / (z * z * z) - F.log(product)
+
+
+def _log_kt(a: Column, b: Column) -> Column:
+    """Natural logarithm of the Krichevsky-Trofimov probability of a zeros and b ones."""
+    a, b = a.cast("double"), b.cast("double")
+    return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1.0) - F.lit(math.log(math.pi))
+
+
+def _decisions(cells: DataFrame) -> DataFrame:
+    """The eight decisions of each cell: node (context * 256 + the bits so far after a leading one) and the bit."""
+    rows = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i")).withColumn("head", F.expr("cast(shiftright(cell & 255, 7 - i) as int)"))
+    return rows.withColumns({"node": F.expr("(cell - (cell & 255)) + shiftleft(1, i) + shiftright(head, 1)"), "bit": F.expr("head & 1")}).drop("head", "i")
+
+
+def _cut_context(node: str, depth: int) -> Column:
+    """The node of the same decision whose context is the last `depth` bytes."""
+    return F.col(node).bitwiseAND(F.lit((1 << 8 * (depth + 1)) - 1))
+
+
+def cell_logs(cells: DataFrame) -> DataFrame:
+    """cell, seen and log (log10 probability of its byte in its context) from cell, n and seen."""
+    split = _decisions(cells)
+    level = split.groupBy("node").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("b"))
+    levels = {DEPTH: cut(level.withColumn("total", _log_kt(F.col("a"), F.col("b"))), "tree")}
+    half = F.lit(math.log(0.5))
+    for d in range(DEPTH - 1, -1, -1):
+        sums = levels[d + 1].groupBy(_cut_context("node", d).alias("node")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("total").alias("below"))
+        known = sums.select("node", "a", "b", (half + _log_kt(F.col("a"), F.col("b"))).alias("own"), (half + F.col("below")).alias("deep"))
+        total = F.greatest("own", "deep") + F.log1p(F.exp(-F.abs(F.col("own") - F.col("deep"))))
+        levels[d] = cut(known.withColumn("total", total), "tree")
+    one = (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1.0)
+    above = None
+    for d in range(DEPTH):
+        now = levels[d].withColumns({"stop": F.exp(F.col("own") - F.col("total")), "go": F.exp(F.col("deep") - F.col("total"))})
+        if above is None:
+            now = now.withColumns({"part": F.lit(0.0), "weight": F.lit(1.0)})
+        else:
+            now = now.withColumn("up", _cut_context("node", d - 1)).join(above, "up")
+        above = now.select(F.col("node").alias("up"), (F.col("part") + F.col("weight") * F.col("stop") * one).alias("part"), (F.col("weight") * F.col("go")).alias("weight"))
+    leaves = levels[DEPTH].withColumn("up", _cut_context("node", DEPTH - 1)).join(above, "up").select("node", (F.col("part") + F.col("weight") * one).alias("p"))
+    p = F.least(F.greatest("p", F.lit(1e-12)), F.lit(1 - 1e-12))
+    logs = split.join(leaves, "node").groupBy("cell").agg(F.first("seen").alias("seen"), F.sum(F.log10(F.when(F.col("bit") == 1, p).otherwise(1 - p))).alias("log"))
+    return cut(logs, "cell-logs")
+
+
+class Table:
+    """Logarithms of the frequent cells, by cell."""
+
+    def __init__(self, cells: np.ndarray, logs: np.ndarray):
         order = np.argsort(cells)
-        cells, counts = cells[order], counts[order].astype(np.float64)
-        step = CLASSES**2
-        sums = {d: np.zeros((CLASSES**d, 256)) for d in range(3)}
-        for d in range(3):  # the context's last d classes
-            np.add.at(sums[d], ((cells // 256) % CLASSES**d, cells % 256), counts)
-        deepest = np.unique(cells // 256)
-        # Contexts of depth 3 that share their last two classes are children of one node.
-        below = {2: np.zeros((step, 255)), 1: np.zeros((CLASSES, 255)), 0: np.zeros((1, 255))}
-        for part in np.array_split(deepest, max(1, len(deepest) // 512)):
-            np.add.at(below[2], part % step, _log_kt(*_bits(self._histograms(part, cells, counts))))
-        stop, ones = {}, {}
-        for d in (2, 1, 0):
-            a, b = _bits(sums[d])
-            own = math.log(0.5) + _log_kt(a, b)
-            total = np.logaddexp(own, math.log(0.5) + below[d])
-            stop[d], ones[d] = np.exp(own - total), (b + 0.5) / (a + b + 1)
-            if d:
-                np.add.at(below[d - 1], np.arange(CLASSES**d) % CLASSES ** (d - 1), total)
-
-        def mixed(contexts: np.ndarray, p: np.ndarray) -> np.ndarray:
-            for d in (2, 1, 0):
-                node = contexts % CLASSES**d
-                p = stop[d][node] * ones[d][node] + (1 - stop[d][node]) * p
-            return _byte_logs(np.clip(p, 1e-12, 1 - 1e-12))
-
-        # A context without training bytes has probability 1/2 at its own node; it depends on its last two classes only.
-        self.table = np.empty((step + len(deepest), 256), dtype=np.float32)
-        for part in np.array_split(np.arange(step), 8):
-            self.table[part] = mixed(part, np.full((len(part), 255), 0.5))
-        self.rows = (np.arange(CONTEXTS) % step).astype(np.int32)
-        self.rows[deepest] = step + np.arange(len(deepest))
-        for part in np.array_split(np.arange(len(deepest)), max(1, len(deepest) // 512)):
-            a, b = _bits(self._histograms(deepest[part], cells, counts))
-            self.table[step + part] = mixed(deepest[part], (b + 0.5) / (a + b + 1))
-
-    @staticmethod
-    def _histograms(contexts: np.ndarray, cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Counts of bytes of consecutive contexts (sorted, all of those present in their range)."""
-        h = np.zeros((len(contexts), 256))
-        if len(contexts):
-            a, z = np.searchsorted(cells, [contexts[0] * 256, contexts[-1] * 256 + 256])
-            h[np.searchsorted(contexts, cells[a:z] // 256), cells[a:z] % 256] = counts[a:z]
-        return h
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text."""
+        # A last entry that no cell equals keeps every search inside.
+        self.cells = np.r_[cells[order], np.int64(np.iinfo(np.int64).max)].astype(np.int64)
+        self.logs = np.r_[logs[order], 0.0].astype(np.float32)
+
+    def scores(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Of each text the sum over the cells of the table, and its other cells."""
+        if not texts:
+            return np.zeros(0), []
         data, starts = _joined(texts)
-        log = np.zeros(len(data) + 1, dtype=np.float32)
+        keep = _is_text(starts, len(data))
+        log, places, rest = np.zeros(len(data) + 1, dtype=np.float32), [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for at in range(0, len(data) - DEPTH, SLICE):
             part = data[at : at + SLICE + DEPTH]
-            log[at + DEPTH : at + DEPTH + len(part) - DEPTH] = self.table[self.rows[_codes(part)], part[DEPTH:]]
-        log[:-1][~_is_text(starts, len(data))] = 0
-        ends = np.array([len(t) for t in texts])
+            cells = _cells(part)
+            spot = np.searchsorted(self.cells, cells)
+            known, own = self.cells[spot] == cells, keep[at + DEPTH : at + len(part)]
+            log[at + DEPTH : at + len(part)] = np.where(known & own, self.logs[spot], 0)
+            other = np.flatnonzero(~known & own)
+            places.append(other + at + DEPTH)
+            rest.append(cells[other])
+        cuts = np.searchsorted(np.concatenate(places), starts[1:])
         # The zero after each text (its successor's lead, or the last place) keeps empty texts at 0.
-        return np.add.reduceat(log, starts, dtype=np.float64) if len(ends) else np.zeros(0)
+        return np.add.reduceat(log, starts, dtype=np.float64), np.split(np.concatenate(rest), cuts)
 
 
 def score_documents(docs: DataFrame, held: int = 5) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", (remainder("doc_id", held) == 1).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    counts = cut(training_counts(rows.where(~F.col("held_out"))), "counts")
+    counts = cut(corpus_counts(rows), "counts")
     words = counts.where("word is not null").select("word", "n")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     tokens, below = int(total["n"]), total["n"] + 0.5 * (total["v"] + 1)
     hot = words.where((F.col("n") * HOT >= tokens) | (F.length("word") == 0)).toPandas()
-    cells = counts.where("cell is not null").select("cell", "n").toPandas()
-    model = Model(cells["cell"].to_numpy(dtype=np.int64), cells["n"].to_numpy(dtype=np.int64))
+    cells = counts.where("cell is not null").select("cell", "n", "seen")
+    size = int(cells.agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0])
+    tree = cell_logs(cells)
+    frequent = tree.where(F.col("seen") * HOT_CELLS >= size).select("cell", "log").toPandas()
     logs = np.log10((hot["n"].to_numpy(dtype=np.float64) + 0.5) / below)
-    ready = spark.sparkContext.broadcast(({bytes(w): x for w, x in zip(hot["word"], logs)}, model))
+    found = Table(frequent["cell"].to_numpy(dtype=np.int64), frequent["log"].to_numpy(dtype=np.float64))
+    ready = spark.sparkContext.broadcast(({bytes(w): x for w, x in zip(hot["word"], logs)}, found))
     unknown = math.log10(0.5 / below)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -248,6 +274,7 @@ def score_documents(docs: DataFrame, held: int = 5) -> DataFrame:
                 n_known.append(len(sums) + (end is not None))
                 base.append(math.fsum(sums) + (unknown if end is None else end))
                 tails.append(tail)
+            score, rest = model.scores(texts)
             yield pd.DataFrame(
                 {
                     "uid": np.arange(uid, uid + len(b)),
@@ -256,26 +283,31 @@ def score_documents(docs: DataFrame, held: int = 5) -> DataFrame:
                     "n_tokens": n_tokens,
                     "n_known": n_known,
                     "base_score": base,
-                    "score": model.scores(texts),
+                    "score": score,
                     "bytes": [len(t) for t in texts],
                     "tail": tails,
+                    "rest": rest,
                 }
             )
             uid += len(b)
 
-    schema = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bytes long, tail array<binary>"
+    schema = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bytes long, tail array<binary>, rest array<long>"
     scored = cut(rows.mapInPandas(run, schema), "scored")
-    tail = scored.select("uid", F.explode("tail").alias("word"))
-    rest = words.where((F.col("n") * HOT < tokens) & (F.length("word") > 0))
+    rare = words.where((F.col("n") * HOT < tokens) & (F.length("word") > 0))
     c = F.coalesce("n", F.lit(0))
-    joined = tail.join(rest, "word", "left").groupBy("uid").agg(F.sum(F.log10((c + 0.5) / F.lit(below))).alias("tail_score"), F.count("n").alias("tail_known"))
-    return scored.join(joined, "uid", "left").select(
+    by_word = scored.select("uid", F.explode("tail").alias("word")).join(rare, "word", "left")
+    by_word = by_word.select("uid", F.log10((c + 0.5) / F.lit(below)).alias("base"), F.col("n").isNotNull().cast("int").alias("known"), F.lit(0.0).alias("log"))
+    by_cell = scored.select("uid", F.explode("rest").alias("cell")).join(tree.where(F.col("seen") * HOT_CELLS < size), "cell")
+    by_cell = by_cell.select("uid", F.lit(0.0).alias("base"), F.lit(0).alias("known"), "log")
+    joined = by_word.unionByName(by_cell).groupBy("uid").agg(F.sum("base").alias("tail_base"), F.sum("known").alias("tail_known"), F.sum("log").alias("rest_score"))
+    whole = scored.drop("tail", "rest").join(joined, "uid", "left").withColumn("score", F.col("score") + F.coalesce("rest_score", F.lit(0.0)))
+    return whole.select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("tail_score", F.lit(0.0))).alias("base_score"),
+        (F.col("base_score") + F.coalesce("tail_base", F.lit(0.0))).alias("base_score"),
         "score",
         (F.col("score") / F.lit(-math.log10(2)) / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"),
     )

@@ -279,9 +279,73 @@ def test_word_scores_equal_brute_force_and_the_model_is_a_distribution(docs, non
     assert multiset((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in out) == want
     assert all(r["score"] == 0 for r in out if r["doc_id"] in (100, 101)) and all(r["score"] < 0 for r in out if r["doc_id"] == 5)
     assert ctw.score_documents(none).count() == 0
-    model = ctw.Model(np.array([5 * 256 + 97, 5 * 256 + 98, 77 * 256 + 97]), np.array([9, 2, 4]))
-    assert np.allclose((10.0 ** model.table.astype(np.float64)).sum(axis=1), 1, atol=1e-4)
-    assert model.table[model.rows[5], 97] > model.table[model.rows[5], 98] > model.table[model.rows[5], 99]
+    context = int.from_bytes(b"abcde", "big") << 8
+    cells = docs.sparkSession.createDataFrame([(context + y, {97: 9, 98: 2}.get(y, 0), 1) for y in range(256)], "cell long, n long, seen long")
+    logs = {r["cell"] - context: r["log"] for r in ctw.cell_logs(cells).collect()}
+    assert math.isclose(sum(10**x for x in logs.values()), 1, rel_tol=1e-9)
+    assert logs[97] > logs[98] > logs[99]
+
+
+def brute_context_trees(train, texts, depth):
+    """Scores by recursion over the trees of all binary decisions, from plain counts."""
+    counts = Counter()
+    for t in train:
+        data = b"\n" * depth + t
+        for k in range(depth, len(data)):
+            for i in range(8):
+                for d in range(depth + 1):
+                    counts[data[k - d : k], i, data[k] >> (8 - i), data[k] >> (7 - i) & 1] += 1
+    children = {}
+    for context, i, head, _ in counts:
+        if context:
+            children.setdefault((context[1:], i, head), set()).add(context)
+    both = lambda c, i, h: (counts[c, i, h, 0], counts[c, i, h, 1])
+    memo = {}
+
+    def weighted(context, i, head):
+        """Logarithms of the node's own estimate and of its weighted probability."""
+        if (context, i, head) not in memo:
+            a, b = both(context, i, head)
+            own = total = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+            if len(context) < depth:
+                below = sum(weighted(c, i, head)[1] for c in children.get((context, i, head), ()))
+                total = math.log(0.5) + np.logaddexp(own, below)
+            memo[context, i, head] = own, total
+        return memo[context, i, head]
+
+    def one(context, i, head):
+        a, b = both(context[len(context) - depth :], i, head)
+        p = (b + 0.5) / (a + b + 1)
+        for d in range(depth - 1, -1, -1):
+            node = context[len(context) - d :]
+            a, b = both(node, i, head)
+            own, total = weighted(node, i, head)
+            stop = math.exp(math.log(0.5) + own - total)
+            p = stop * (b + 0.5) / (a + b + 1) + (1 - stop) * p
+        return p
+
+    out = []
+    for t in texts:
+        data, score = b"\n" * depth + t, 0.0
+        for k in range(depth, len(data)):
+            for i in range(8):
+                p = one(data[k - depth : k], i, data[k] >> (8 - i))
+                score += math.log10(p if data[k] >> (7 - i) & 1 else 1 - p)
+        out.append(score)
+    return out
+
+
+@pytest.mark.parametrize("frequent", [200, ctw.HOT_CELLS])
+def test_context_trees_equal_recursion(spark, monkeypatch, frequent):
+    """With few cells in memory the others come by join; both give the recursion's score."""
+    monkeypatch.setattr(ctw, "HOT_CELLS", frequent)
+    texts = [p[:150] for p in PROSE[:10]] + ["Größe 日本", "zq", PROSE[0][:150]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
+    assert any(held) and not all(held)
+    want = brute_context_trees([t.encode() for t, h in zip(texts, held) if not h], [t.encode() for t in texts], ctw.DEPTH)
+    got = {r["doc_id"]: r["score"] for r in rows_of(ctw.score_documents(df))}
+    assert np.allclose([got[i] for i in range(len(texts))], want, rtol=1e-5)
 
 
 def test_line_field_separates_junk_and_scores_every_text(spark, docs, labels, none):
