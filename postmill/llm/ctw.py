@@ -30,7 +30,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, remainder
@@ -154,7 +154,9 @@ def corpus_counts(rows: DataFrame) -> DataFrame:
         yield counted()
         yield from cells.take()
 
-    found = rows.select("held_out", "text").mapInPandas(run, "word binary, cell long, n long, seen long")
+    # Fewer, longer tasks: counts that one task has summed need not be moved. Nothing is shuffled for it.
+    few = rows.select("held_out", "text").coalesce(4 * rows.sparkSession.sparkContext.defaultParallelism)
+    found = few.mapInPandas(run, "word binary, cell long, n long, seen long")
     return found.groupBy("word", "cell").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
 
 
@@ -185,29 +187,44 @@ def _cut_context(node: str, depth: int) -> Column:
 
 
 def cell_logs(cells: DataFrame) -> DataFrame:
-    """cell, seen and log (log10 probability of its byte in its context) from cell, n and seen."""
-    split = _decisions(cells)
-    level = split.groupBy("node").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("b"))
-    levels = {DEPTH: cut(level.withColumn("total", _log_kt(F.col("a"), F.col("b"))), "tree")}
-    half = F.lit(math.log(0.5))
-    for d in range(DEPTH - 1, -1, -1):
-        sums = levels[d + 1].groupBy(_cut_context("node", d).alias("node")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("total").alias("below"))
+    """cell, seen and log (log10 probability of its byte in its context) from cell, n and seen.
+
+    Cells are dealt out once, by the last DEPTH - 1 bytes of their context (`up`; at most 65,536 cells each): the two
+    deepest levels are grouped there, on the way up and on the way down, without moving their eight rows a cell."""
+    half, one = F.lit(math.log(0.5)), (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1.0)
+    last = DEPTH - 1
+    dealt = cells.select("cell", "n", "seen", F.expr(f"shiftright(cell, 8) & {(1 << 8 * last) - 1}L").alias("up")).repartition("up")
+    split = _decisions(dealt)
+    zeros, ones = F.when(F.col("bit") == 0, F.col("n")).otherwise(0), F.when(F.col("bit") == 1, F.col("n")).otherwise(0)
+
+    def weigh(sums: DataFrame) -> DataFrame:
+        """node, a, b, own, deep and total from node, a, b and below."""
         known = sums.select("node", "a", "b", (half + _log_kt(F.col("a"), F.col("b"))).alias("own"), (half + F.col("below")).alias("deep"))
-        total = F.greatest("own", "deep") + F.log1p(F.exp(-F.abs(F.col("own") - F.col("deep"))))
-        levels[d] = cut(known.withColumn("total", total), "tree")
-    one = (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1.0)
+        return cut(known.withColumn("total", F.greatest("own", "deep") + F.log1p(F.exp(-F.abs(F.col("own") - F.col("deep"))))), "tree")
+
+    leaves = split.groupBy("up", "node").agg(F.sum(zeros).alias("a"), F.sum(ones).alias("b"))
+    leaves = leaves.select("up", _cut_context("node", last).alias("node"), "a", "b", _log_kt(F.col("a"), F.col("b")).alias("total"))
+    levels = {last: weigh(leaves.groupBy("up", "node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("total").alias("below")))}
+    for d in range(last - 1, -1, -1):
+        levels[d] = weigh(levels[d + 1].groupBy(_cut_context("node", d).alias("node")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("total").alias("below")))
     above = None
     for d in range(DEPTH):
-        now = levels[d].withColumns({"stop": F.exp(F.col("own") - F.col("total")), "go": F.exp(F.col("deep") - F.col("total"))})
+        now = levels[d].select("node", one.alias("one"), F.exp(F.col("own") - F.col("total")).alias("stop"), F.exp(F.col("deep") - F.col("total")).alias("go"))
         if above is None:
             now = now.withColumns({"part": F.lit(0.0), "weight": F.lit(1.0)})
         else:
-            now = now.withColumn("up", _cut_context("node", d - 1)).join(above, "up")
-        above = now.select(F.col("node").alias("up"), (F.col("part") + F.col("weight") * F.col("stop") * one).alias("part"), (F.col("weight") * F.col("go")).alias("weight"))
-    leaves = levels[DEPTH].withColumn("up", _cut_context("node", DEPTH - 1)).join(above, "up").select("node", (F.col("part") + F.col("weight") * one).alias("p"))
-    p = F.least(F.greatest("p", F.lit(1e-12)), F.lit(1 - 1e-12))
-    logs = split.join(leaves, "node").groupBy("cell").agg(F.first("seen").alias("seen"), F.sum(F.log10(F.when(F.col("bit") == 1, p).otherwise(1 - p))).alias("log"))
-    return cut(logs, "cell-logs")
+            now = now.withColumn("parent", _cut_context("node", d - 1)).join(above, "parent")
+        above = now.select(F.col("node").alias("parent"), (F.col("part") + F.col("weight") * F.col("stop") * F.col("one")).alias("part"), (F.col("weight") * F.col("go")).alias("weight"))
+    # One row for each `up`, of at most 255 decisions.
+    entries = F.collect_list(F.struct(F.expr("cast(parent & 255 as int)").alias("at"), F.struct("part", "weight").alias("mix")))
+    above = above.groupBy(F.shiftright("parent", 8).alias("up")).agg(F.map_from_entries(entries).alias("mixes"))
+    own = Window.partitionBy("up", "node")
+    sums = split.withColumns({"a": F.sum(zeros).over(own), "b": F.sum(ones).over(own)}).join(above, "up")
+    mixed = sums.select("up", "cell", "seen", "bit", one.alias("one"), F.col("mixes")[F.expr("cast(node & 255 as int)")].alias("mix"))
+    p = F.col("mix.part") + F.col("mix.weight") * F.col("one")
+    logs = mixed.withColumn("p", F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12)))
+    logs = logs.groupBy("up", "cell").agg(F.first("seen").alias("seen"), F.sum(F.log10(F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p")))).alias("log"))
+    return cut(logs.drop("up"), "cell-logs")
 
 
 class Table:
