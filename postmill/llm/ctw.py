@@ -227,14 +227,30 @@ def cell_logs(cells: DataFrame) -> DataFrame:
     return cut(logs.drop("up"), "cell-logs")
 
 
+def _gathered(logs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Cells and logarithms of a bounded table. They come as packed arrays, 12 bytes a cell, so the driver never
+    holds rows or frames of them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells, values = [], []
+        for b in batches:
+            cells.append(b["cell"].to_numpy(dtype=np.int64))
+            values.append(b["log"].to_numpy(dtype=np.float32))
+        if cells:
+            yield pd.DataFrame({"cells": [np.concatenate(cells).tobytes()], "logs": [np.concatenate(values).tobytes()]})
+
+    parts = logs.mapInPandas(run, "cells binary, logs binary").collect()
+    return tuple(np.frombuffer(b"".join(p[name] for p in parts), dtype=kind) for name, kind in (("cells", np.int64), ("logs", np.float32)))
+
+
 class Table:
     """Logarithms of the frequent cells, by cell."""
 
     def __init__(self, cells: np.ndarray, logs: np.ndarray):
         order = np.argsort(cells)
         # A last entry that no cell equals keeps every search inside.
-        self.cells = np.r_[cells[order], np.int64(np.iinfo(np.int64).max)].astype(np.int64)
-        self.logs = np.r_[logs[order], 0.0].astype(np.float32)
+        self.cells = np.append(cells[order], np.int64(np.iinfo(np.int64).max))
+        self.logs = np.append(logs[order], np.float32(0))
 
     def scores(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
         """Of each text the sum over the cells of the table, and its other cells."""
@@ -269,10 +285,10 @@ def score_documents(docs: DataFrame, held: int = 5) -> DataFrame:
     cells = counts.where("cell is not null").select("cell", "n", "seen")
     size = int(cells.agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0])
     tree = cell_logs(cells)
-    frequent = tree.where(F.col("seen") * HOT_CELLS >= size).select("cell", "log").toPandas()
+    found = Table(*_gathered(tree.where(F.col("seen") * HOT_CELLS >= size).select("cell", "log")))
     logs = np.log10((hot["n"].to_numpy(dtype=np.float64) + 0.5) / below)
-    found = Table(frequent["cell"].to_numpy(dtype=np.int64), frequent["log"].to_numpy(dtype=np.float64))
     ready = spark.sparkContext.broadcast(({bytes(w): x for w, x in zip(hot["word"], logs)}, found))
+    del hot, logs, found  # the executors have them now
     unknown = math.log10(0.5 / below)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
