@@ -12,6 +12,8 @@ its members by exact distances and returns a star for each linked set, never all
 CROWDED fingerprints is first split by the same construction over the bits its mask left free (another 31
 tables, so again no link is lost), after which about 16 free bits bound its size whatever the input.
 
+Rows get their component by a join on the fingerprint; one that many rows share is dealt over several tasks.
+
 Nulls and edges: a null, empty or blank text has fingerprint zero and links like any other; fewer than four words are
 one shingle; a null doc_id belongs to a component and is its id only if all ids there are null; repeated rows return
 each; an empty table gives no rows; other columns are ignored.
@@ -33,6 +35,8 @@ from .components import components
 WORDS, SEED, RADIUS = 4, 42, 4
 #: Buckets of more distinct fingerprints than this are split by masks over their free bits.
 CROWDED = 128
+#: Fingerprints of at least 1/HOT of all rows are dealt over several tasks when rows get their component; there are at most HOT.
+HOT = 10_000
 
 
 def covering_masks(bits: list[int], radius: int = RADIUS) -> list[int]:
@@ -140,13 +144,20 @@ def links(fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, h, fp and component_id (smallest doc_id reachable by links) of every row."""
     prints = cut(fingerprints(docs), "fingerprints")
-    fps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    fps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
+    total = fps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     roots = cut(components(links(fps)), "roots")
     members = fps.join(roots, fps.fp == roots.node).select("fp", "least", "root")
     least = members.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = members.join(least, "root").select("fp", "component_id")
     of = fps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(of, "fp").select("doc_id", "h", "fp", "component_id")
+    # A group of copies shares one fingerprint: its rows are dealt to parts of about 1/HOT of all rows, and every part
+    # gets the component. At most HOT fingerprints are broadcast, with 2 * HOT parts in all.
+    hot = F.broadcast(fps.where(F.col("n") * HOT >= total).select("fp", F.ceil(F.col("n") * HOT / F.lit(max(total, 1))).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = prints.join(hot, "fp", "left").select("doc_id", "h", "fp", F.pmod(F.xxhash64("doc_id", "h"), parts).cast("int").alias("part"))
+    every = of.join(hot, "fp", "left").select("fp", "component_id", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return dealt.join(every, ["fp", "part"]).select("doc_id", "h", "fp", "component_id")
 
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:

@@ -250,6 +250,14 @@ def test_simhash_links_equal_brute_force(docs, none):
     assert simhash.keep_one(docs.select("doc_id", "text")).count() == len({find(k) for k in range(len(prints))})
 
 
+def test_a_group_of_copies_is_dealt_over_tasks_and_loses_no_row(spark):
+    rows = [(i, PROSE[0] if i % 3 == 0 else " ".join(random.Random(i).choices(WORDS, k=30)), "en") for i in range(900)]
+    out = rows_of(simhash.near_duplicates(spark.createDataFrame(rows + [rows[0], (None, PROSE[0], None)], SCHEMA)))
+    assert multiset(r["doc_id"] for r in out) == multiset([i for i, _, _ in rows] + [0, None])
+    of_copies = {r["component_id"] for r in out if r["doc_id"] is None or r["doc_id"] % 3 == 0}
+    assert of_copies == {0} and all(r["component_id"] is not None for r in out)
+
+
 def test_crowded_buckets_lose_no_link(spark):
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 2**63, 6, dtype=np.uint64)
