@@ -137,14 +137,13 @@ def search_rank(jobs: DataFrame, term: str, title_weight: float = 1.0, text_weig
             last: dict[str, tuple[int, float]] = {}
             total, previous = 0.0, -1
             for i, (w, weight) in enumerate(words):
-                for q in wanted:
-                    if w.startswith(q):
-                        last[q] = (i, weight)
-                        if len(last) == len(wanted):
-                            start = min(p for p, _ in last.values())
-                            if start > previous:
-                                total += sum(x for _, x in last.values()) / len(last) / (i - start + 1)
-                                previous = start
+                hits = [q for q in wanted if w.startswith(q)]
+                last.update(dict.fromkeys(hits, (i, weight)))
+                if hits and len(last) == len(wanted):
+                    start = min(p for p, _ in last.values())
+                    if start > previous:
+                        total += sum(x for _, x in last.values()) / len(last) / (i - start + 1)
+                        previous = start
             out.append(total)
         return pd.Series(out)
 

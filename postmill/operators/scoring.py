@@ -113,6 +113,18 @@ def score_prompt(batches: DataFrame) -> DataFrame:
     return batches.groupBy("user_id", "batch").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n").alias("prompt"))
 
 
+def profile_text(resume: str = "resume", longest: int = 2500) -> Column:
+    """F21. A profile as one text: background (cut after `longest` characters), preferences, exclusions, language; parts
+    without content are left out. Lists are arrays of strings."""
+    own = F.nullif(F.trim(resume), F.lit(""))
+    own = F.when(F.length(own) > longest, F.concat(F.substring(own, 1, longest), F.lit("\n[cut]"))).otherwise(own)
+    line = lambda label, text: F.concat(F.lit(label), F.nullif(text, F.lit("")))
+    listed = lambda c: F.array_join(c, ", ")
+    wishes = F.concat_ws("\n", line("Roles: ", listed("target_titles")), line("Work mode: ", F.col("work_mode")), line("Countries: ", listed("preferred_countries")))
+    parts = [line("Background\n", own), line("Preferences\n", wishes), line("Reject if required\n", listed("excluded_keywords")), line("Reject employers\n", listed("excluded_companies")), F.when(F.col("english_only"), "Language\nEnglish only")]
+    return F.coalesce(F.nullif(F.concat_ws("\n\n", *parts), F.lit("")), F.lit("No profile"))
+
+
 def parse_score_response(response: Column, size: Column) -> Column:
     """F23. array<struct<index,score>>: fences off, a cut array closed at its last brace, places outside the batch
     dropped, a missing place 0, scores clamped to 0-100."""

@@ -79,5 +79,5 @@ def invalidate_embeddings(profiles: DataFrame, vector: str = "embedding") -> Dat
 def profile_hash(columns: list[str], lists: list[str], version: str = "1") -> Column:
     """F18. Hash of the rules' version and the scoring fields: strings trimmed, lists sorted, without blanks."""
     plain = [F.trim(F.col(c).cast("string")).alias(c) for c in sorted(columns)]
-    sets = [F.array_sort(F.filter(F.transform(F.col(c), F.trim), lambda x: x != "")).alias(c) for c in sorted(lists)]
+    sets = [F.array_sort(F.filter(F.transform(F.col(c), lambda x: F.trim(x)), lambda x: x != "")).alias(c) for c in sorted(lists)]
     return F.sha2(F.to_json(F.struct(F.lit(version).alias("v"), *plain, *sets)), 256)

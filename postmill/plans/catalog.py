@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import language
 from ..functions import text as X
 from ..operators import dedup, feed, liveness, rules, scoring, stats, tracker
-from ..sources import adapters
+from ..session import read, scratch
+from ..sources import adapters, tables
 from ..streaming import jobs as jobs_stream
 from .fixtures import AS_OF, load, oracle
 
@@ -796,7 +797,7 @@ def _(s, d):
     return scoring.score_prompt(scoring.assign_batches(queue).join(texts, "id")).select("user_id", "batch", F.sha2("prompt", 256).alias("digest"))
 
 
-@register("F18_profile_hash")
+@register("F18_profile_hash", """select user_id, sha256('{"v":"1","english_only":"' || cast(english_only as varchar) || '","work_mode":"' || work_mode || '","titles":' || case user_id % 3 when 0 then '["COO","Head of Procurement"]' when 1 then '["Director Supply Chain"]' else '[]' end || '}') as hash from profiles""", "profiles")
 def _(s, d):
     p = load(s, d, "profiles").withColumn("titles", X.clean_list(F.col("target_titles")))
     return p.select("user_id", tracker.profile_hash(["work_mode", "english_only"], ["titles"]).alias("hash"))
@@ -856,3 +857,93 @@ def _(s, d):
     actions = e.select("user_id", "job_id", F.col("status").alias("action"), F.col("changed_at").alias("at"), F.col("event_id").alias("seq"))
     none = load(s, d, "applications").limit(0)
     return tracker.apply_actions(none, actions).select("user_id", "job_id", "status", "applied_at")
+
+
+# --- texts of profiles, plug-ins, tables, markup payloads, streams -----------------------------------------------
+
+_LF = "chr(10)"
+
+
+@register("F21_profile_text", f"""select user_id, sha256(concat_ws({_LF} || {_LF}, 'Background' || {_LF} || case when length(r) > 2500 then substr(r, 1, 2500) || {_LF} || '[cut]' else r end,
+ 'Preferences' || {_LF} || concat_ws({_LF}, 'Roles: ' || case user_id % 3 when 0 then 'Head of Procurement, COO' when 1 then 'Director Supply Chain' end, 'Work mode: ' || work_mode, 'Countries: ' || case user_id % 3 when 0 then 'de, at' when 1 then 'de' end),
+ 'Reject if required' || {_LF} || case user_id % 5 when 0 then 'retail' when 1 then 'intern' end, 'Reject employers' || {_LF} || case user_id % 6 when 0 then 'nordwerk' when 1 then 'VTX AG' end,
+ case when english_only then 'Language' || {_LF} || 'English only' end)) as digest from (select p.*, nullif(trim(d.text), '') as r from profiles p left join documents d on d.doc_id = p.user_id) t""", "profiles")
+def _(s, d):
+    lists = ("target_titles", "preferred_countries", "excluded_keywords", "excluded_companies")
+    p = load(s, d, "profiles").join(read(s, d, "documents").select(F.col("doc_id").alias("user_id"), F.col("text").alias("resume")), "user_id", "left")
+    return p.withColumns({c: X.clean_list(F.col(c)) for c in lists}).select("user_id", F.sha2(scoring.profile_text(), 256).alias("digest"))
+
+
+@register("X01_score_with", f", {QUEUE}, b as (select user_id, id, (rn - 1) // 15 as batch from (select *, row_number() over (partition by user_id order by tier, place, id) as rn from queue where user_id <= 3) t) select user_id, batch, cast(sum(length(title)) as bigint) as score from b join jobs j on j.id = b.id group by 1, 2", "jobs", "profiles")
+def _(s, d):
+    queue = scoring.tiered_queue(verdicts(s, d).where("user_id <= 3"))
+    titles = scoring.assign_batches(queue).join(jobs(s, d).select("id", "title"), "id").groupBy("user_id", "batch").agg(F.array_join(F.collect_list("title"), "").alias("prompt"))
+    return scoring.score_with(titles, lambda prompts: [str(len(p)) for p in prompts]).select("user_id", "batch", F.col("response").cast("long").alias("score"))
+
+
+@register("X02_embed_with", "select id, cast(length(coalesce(description, '')) as double) as first, 0.0 as last from jobs", "jobs")
+def _(s, d):
+    texts = jobs(s, d).select("id", F.coalesce("description", F.lit("")).alias("text"))
+    out = scoring.embed_with(texts, lambda found: [[float(len(t))] for t in found], 8)
+    return out.select("id", F.col("embedding")[0].cast("double").alias("first"), F.col("embedding")[7].cast("double").alias("last"))
+
+
+@register("S16_table_round_trip", "select id, title, source, scraped_at from jobs", "jobs")
+def _(s, d):
+    path = scratch(s, "jobs-json")
+    tables.write_table(jobs(s, d).select("id", "title", "source", "scraped_at"), path, "json", by=("source",))
+    return tables.read_table(s, path, "json", "id long, title string, scraped_at timestamp_ntz, source string")
+
+
+@register("S06_embedded_state", "select 'state_' || cast(id as varchar) as external_id, title, posted_at from jobs", "jobs")
+def _(s, d):
+    entry = F.struct(F.col("id").cast("string").alias("id"), "title", F.date_format("posted_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("activatedAt"))
+    other = F.struct(F.lit("0").alias("id"), F.lit("no posting").alias("title"), F.lit(None).cast("string").alias("activatedAt"))
+    state = F.to_json(F.create_map(F.concat(F.lit("JobAd:"), "id"), entry, F.lit("Page:0"), other))
+    pages = jobs(s, d).select("arrival_seq", F.concat(F.lit('<html><script id="state">'), state, F.lit("</script></html>")).alias("payload"))
+    return adapters.from_embedded_state(pages, "JobAd:").select("external_id", "title", "posted_at")
+
+
+@register("S09_rss", "select 'rss_' || sha256('https://feed.example/' || cast(id as varchar)) as external_id, title, company_name, case when id % 2 = 0 then 'Long text ' || cast(id as varchar) else 'short text' end as description from jobs where title not like '% - %' and (contains(lower(title), 'supply') or contains(lower(title), 'procurement'))", "jobs")
+def _(s, d):
+    j, url = jobs(s, d).where("title not like '% - %'"), F.concat(F.lit("https://feed.example/"), F.col("id").cast("string"))
+    head = F.concat_ws(" // ", "title", "company_name")
+    items = j.select("arrival_seq", F.concat(F.lit("<rss><item><title>"), head, F.lit("</title><link>"), url, F.lit("</link><description>&lt;p&gt;short text&lt;/p&gt;</description></item></rss>")).alias("payload"))
+    details = j.where("id % 2 = 0").select(url.alias("url"), F.concat(F.lit('<div class="job-description">Long <b>text</b> '), F.col("id").cast("string"), F.lit("</div>")).alias("html"))
+    return adapters.from_rss(items, details, ["Supply of goods", "procurement"]).select("external_id", "title", "company_name", "description")
+
+
+@register("S11_watchlist", "select id from jobs where (lower(company_name) = 'nordwerk' and lower(country) in ('de', 'at')) or (lower(company_name) = 'vtx ag' and lower(country) = 'de')", "jobs")
+def _(s, d):
+    companies = load(s, d, "profiles").select(F.explode(X.clean_list(F.col("excluded_companies"))).alias("company"), "preferred_countries")
+    watched = companies.select("company", F.explode(X.clean_list(F.col("preferred_countries"))).alias("country"))
+    return adapters.watchlist_postings(jobs(s, d).withColumn("watched", F.col("company_name")), watched).select("id")
+
+
+def _hashed_stream(s: SparkSession, d: str) -> DataFrame:
+    """Documents as a stream of postings. The path is a pattern, as the table may be a file or a folder."""
+    docs = s.readStream.schema(read(s, d, "documents").schema).parquet(f"{d}/documents.parque[t]")
+    return docs.select("doc_id", F.col("doc_id").alias("arrival_seq"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("dedup_hash"), F.col("lang").alias("country"), F.lit(AS_OF).cast("timestamp").alias("event_time"))
+
+
+@register("ST01_stream_dedup", "select distinct sha256(coalesce(text, '')) as dedup_hash from documents")
+def _(s, d):
+    path = scratch(s, "stream-dedup")
+    unique = jobs_stream.stream_dedup(_hashed_stream(s, d)).select("dedup_hash")
+    unique.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema("dedup_hash string").parquet(f"{path}/out")
+
+
+@register("ST02_stream_insert", "select doc_id, case when regexp_full_match(lower(trim(lang)), '[a-z]{2}') then lower(trim(lang)) end as country from (select *, row_number() over (partition by sha256(coalesce(text, '')) order by doc_id) as rn from documents) t where rn = 1")
+def _(s, d):
+    path = scratch(s, "stream-insert")
+    new = jobs_stream.insert_batches(f"{path}/store")
+    _hashed_stream(s, d).writeStream.foreachBatch(new).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{path}/store").select("doc_id", "country")
+
+
+@register("ST07_match_alerts", f"select user_id, job_id, score, place from (select s.user_id, s.job_id, score, row_number() over (partition by s.user_id order by score desc, s.job_id) as place from job_scores s join jobs j on j.id = s.job_id join profiles p on p.user_id = s.user_id where score >= 80 and ({COUNTRY} is null or {COUNTRY} <> case p.user_id % 4 when 0 then 'at' when 1 then 'us' else '-' end)) t where place <= 10", "jobs", "job_scores", "profiles")
+def _(s, d):
+    sink = scratch(s, "alerts")
+    jobs_stream.match_alerts(jobs(s, d), load(s, d, "profiles"), sink)(scores(s, d), 0)
+    return s.read.parquet(sink).select("user_id", "job_id", "score", "place")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,3 +26,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; only where none is set (tests), in one of our own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared}/{name}-{uuid.uuid4().hex}"

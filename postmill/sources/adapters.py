@@ -127,7 +127,8 @@ def from_tabular(df: DataFrame, country: str, ignores_country: tuple[str, ...] =
 
 def watchlist_postings(found: DataFrame, companies: DataFrame) -> DataFrame:
     """S11. Postings found for watched companies (company, country); the watched name stands in for a missing one."""
-    kept = found.join(F.broadcast(companies.select(F.col("company").alias("_c"), F.col("country").alias("_k")).distinct().limit(100_000)), (F.lower("watched") == F.lower("_c")) & (F.lower("country") == F.lower("_k")))
+    pairs = companies.groupBy(F.lower("company").alias("_l"), F.lower("country").alias("_k")).agg(F.min("company").alias("_c"))
+    kept = found.join(pairs, (F.lower("watched") == F.col("_l")) & (F.lower("country") == F.col("_k"))).drop("_l")
     return kept.withColumn("company_name", F.coalesce("company_name", "_c")).withColumn("source", F.lit("watchlist")).drop("_c", "_k", "watched")
 
 

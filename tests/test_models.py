@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from postmill.functions import text as X
-from postmill.operators import dedup, feed, liveness, rules, scoring
+from postmill.operators import dedup, feed, liveness, rules, scoring, tracker
+from postmill.sources import tables
 from postmill.streaming import jobs as S
 
 POSTINGS = "arrival_seq long, id long, source string, title string, company_name string, location string, country string, description string"
@@ -129,3 +130,84 @@ def test_plug_ins_use_the_given_functions(spark):
     texts = spark.createDataFrame([(1, "abc")], "id long, text string")
     assert scoring.embed_with(texts, lambda ts: [[float(len(t))] for t in ts], 3).first()["embedding"] == [3.0, 0.0, 0.0]
     assert re.match("p", "p")
+
+
+def test_duplicate_pair_counts_equal_all_pairs(spark):
+    df = spark.createDataFrame(random_postings(80, 5), POSTINGS)
+    rows = [r.asDict() for r in dedup.fuzzy_keys(df).collect()]
+    pairs = {}
+    for b in rows:
+        for a in rows:
+            equal_forms = all(a[c] == b[c] for c in ("c_tokens", "c_words", "c_country", "root"))
+            if a["arrival_seq"] < b["arrival_seq"] and a["title_key"] == b["title_key"] and (equal_forms or dedup._alike(b, a) and not places_conflict(a["root"], b["root"])):
+                pairs[a["title_key"]] = pairs.get(a["title_key"], 0) + 1
+    assert {r["title_key"]: r["pairs"] for r in dedup.duplicate_pair_counts(df).collect() if r["pairs"]} == pairs
+
+
+def places_conflict(a, b):
+    """Places conflict unless both are missing, both are equal, or one is there without a root."""
+    return (a is None) != (b is None) or a is not None and a != b and "" not in (a, b)
+
+
+def brute_rank(head, body, wanted):
+    """Every stretch that holds all words while neither of its two shorter ones does."""
+    words = [(w, 1.0) for w in head] + [(w, 0.4) for w in body]
+    holds = lambda i, j: all(any(w.startswith(q) for w, _ in words[i : j + 1]) for q in wanted)
+    total = 0.0
+    for i in range(len(words)):
+        for j in range(i, len(words)):
+            if holds(i, j) and not holds(i + 1, j) and not holds(i, j - 1):
+                last = [max(k for k in range(i, j + 1) if words[k][0].startswith(q)) for q in wanted]
+                total += sum(words[k][1] for k in last) / len(wanted) / (j - i + 1)
+    return round(total, 6)
+
+
+@pytest.mark.parametrize("term", ["supply direct", "su supply", "su sup supply"])
+def test_search_rank_equals_all_stretches(spark, term):
+    rng = random.Random(6)
+    some = lambda n: [rng.choice(["supply", "sugar", "support", "director", "direct", "of"]) for _ in range(n)]
+    rows = [(i, some(3), some(rng.randint(0, 12))) for i in range(60)]
+    df = spark.createDataFrame([(i, " ".join(h), None, " ".join(b)) for i, h, b in rows], "id long, title string, company_name string, description string")
+    wanted = term.split()
+    got = {r["id"]: r["rank"] for r in feed.search_rank(df, term).collect()}
+    assert got == {i: brute_rank(h, b, wanted) for i, h, b in rows if i in got}
+    assert set(got) == {i for i, h, b in rows if all(any(w.startswith(q) for w in h + b) for q in wanted)}
+
+
+def test_profile_hash_ignores_order_blanks_and_other_columns(spark):
+    rows = [(1, " remote", ["b", " a ", ""], "x"), (2, "remote ", ["a", "b"], "y"), (3, "onsite", ["a", "b"], "x"), (4, "remote", ["a"], "x"), (5, None, None, None)]
+    df = spark.createDataFrame(rows, "user_id long, work_mode string, titles array<string>, shown string")
+    h = {r["user_id"]: r["h"] for r in df.select("user_id", tracker.profile_hash(["work_mode"], ["titles"]).alias("h")).collect()}
+    assert h[1] == h[2] and len(set(h.values())) == 4 and None not in h.values()
+    other = df.where("user_id = 1").select(tracker.profile_hash(["work_mode"], ["titles"], "2")).first()[0]
+    assert other != h[1]
+
+
+def test_merged_postings_are_those_of_several_sources(spark):
+    """T09 over the small table: newest first, as the fuzzy merge has them."""
+    from postmill.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    merged = [r for r in dedup.fuzzy_dedup(catalog.unique_jobs(spark, sf)).select("id", "scraped_at", "merged_sources").collect() if len(r["merged_sources"]) > 1]
+    merged.sort(key=lambda r: (-r["scraped_at"].timestamp(), r["id"]))
+    assert [(r["id"], r["n_sources"]) for r in catalog.QUERIES["T09_merged_postings"](spark, sf).collect()] == [(r["id"], len(r["merged_sources"])) for r in merged[:50]]
+
+
+def test_profile_text_leaves_out_what_is_missing(spark):
+    schema = "resume string, target_titles array<string>, work_mode string, preferred_countries array<string>, excluded_keywords array<string>, excluded_companies array<string>, english_only boolean"
+    rows = [(None,) * 7, (" ", [], "", [], [], [], False), ("r" * 2501, ["COO"], None, None, ["sales"], ["X"], True)]
+    out = [r[0] for r in spark.createDataFrame(rows, schema).coalesce(1).select(scoring.profile_text()).collect()]
+    assert out[0] == out[1] == "No profile"
+    assert out[2] == "Background\n" + "r" * 2500 + "\n[cut]\n\nPreferences\nRoles: COO\n\nReject if required\nsales\n\nReject employers\nX\n\nLanguage\nEnglish only"
+
+
+@pytest.mark.parametrize("kind", ["parquet", "json", "csv", "orc"])
+def test_tables_come_back_and_layout_prunes(spark, tmp_path, kind):
+    df = spark.createDataFrame([(1, "x, y", "a"), (2, None, "b"), (3, "z", "a")], "id long, t string, source string")
+    path = str(tmp_path / kind)
+    tables.write_table(df, path, kind, by=("source",))
+    back = tables.read_table(spark, path, kind, "id long, t string, source string")
+    assert {tuple(r) for r in back.select("id", "t", "source").collect()} == {(1, "x, y", "a"), (2, None, "b"), (3, "z", "a")}
+    assert {r["id"] for r in back.where("source = 'a'").collect()} == {1, 3}
+    with pytest.raises(Exception, match="exists"):
+        tables.write_table(df, path, kind)
