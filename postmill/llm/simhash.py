@@ -142,22 +142,24 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, h, fp and component_id (smallest doc_id reachable by links) of every row."""
+    """doc_id, h, fp, component_id (smallest doc_id reachable by links) and root of every row.
+
+    root is a fingerprint of the component and tells components apart; it is never null, as component_id may be."""
     prints = cut(fingerprints(docs), "fingerprints")
     fps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     total = fps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     roots = cut(components(links(fps)), "roots")
     members = fps.join(roots, fps.fp == roots.node).select("fp", "least", "root")
     least = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = members.join(least, "root").select("fp", "component_id")
-    of = fps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    linked = members.join(least, "root").select("fp", "component_id", "root")
+    of = fps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
     # A group of copies shares one fingerprint: its rows are dealt to parts of about 1/HOT of all rows, and every part
     # gets the component. At most HOT fingerprints are broadcast, with 2 * HOT parts in all.
     hot = F.broadcast(fps.where(F.col("n") * HOT >= total).select("fp", F.ceil(F.col("n") * HOT / F.lit(max(total, 1))).cast("int").alias("parts")))
     parts = F.coalesce("parts", F.lit(1))
     dealt = prints.join(hot, "fp", "left").select("doc_id", "h", "fp", F.pmod(F.xxhash64("doc_id", "h"), parts).cast("int").alias("part"))
-    every = of.join(hot, "fp", "left").select("fp", "component_id", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    return dealt.join(every, ["fp", "part"]).select("doc_id", "h", "fp", "component_id")
+    every = of.join(hot, "fp", "left").select("fp", "component_id", "root", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return dealt.join(every, ["fp", "part"]).select("doc_id", "h", "fp", "component_id", "root")
 
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
@@ -166,8 +168,8 @@ def near_duplicate_report(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The input's rows without near-duplicates: of each component the row of smallest (doc_id, hash of the text)."""
-    found = near_duplicates(docs).groupBy("component_id", "doc_id", "h").agg(F.count("*").alias("copies"))
-    chosen = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "h", "copies")).alias("s")).select("s.*")
+    found = near_duplicates(docs).groupBy("root", "doc_id", "h").agg(F.count("*").alias("copies"))
+    chosen = found.groupBy("root").agg(F.min(F.struct("doc_id", "h", "copies")).alias("s")).select("s.*")
     chosen = cut(chosen.select(F.col("doc_id").alias("kept_id"), F.col("h").alias("kept_h"), "copies"), "chosen")
     content = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (content == F.col("kept_h")))

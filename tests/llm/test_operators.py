@@ -258,6 +258,15 @@ def test_a_group_of_copies_is_dealt_over_tasks_and_loses_no_row(spark):
     assert of_copies == {0} and all(r["component_id"] is not None for r in out)
 
 
+def test_keep_one_keeps_every_component_of_null_ids(spark):
+    texts = [" ".join(random.Random(i).choices(WORDS, k=40)) for i in range(6)]
+    rows = [(None, t, "en") for t in texts + texts[:2]] + [(7, texts[0], "en"), (8, PROSE[0], "en")]
+    prints = [simhash.fingerprint(t) for t in texts + [PROSE[0]]]
+    assert all((a ^ b).bit_count() > 4 for i, a in enumerate(prints) for b in prints[:i])
+    out = simhash.keep_one(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(r["text"] for r in out.collect()) == sorted(texts + [PROSE[0]])
+
+
 def test_crowded_buckets_lose_no_link(spark):
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 2**63, 6, dtype=np.uint64)
