@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,8 +51,49 @@ def expand_queries(queries: Column, aliases: dict[str, list[str]]) -> Column:
     return F.filter(each, lambda q, i: F.array_position(lowered, F.lower(q)) == i + 1)
 
 
-def redact_json(payload: Column, keys: tuple[str, ...], mark: str = "***") -> Column:
-    """F29. Scalar values of the named keys of a JSON text, at any depth, replaced; other text is left alone."""
-    names = "|".join(keys)
-    value = r'(?:"(?:[^"\\]|\\.)*+"|-?[0-9][0-9.eE+-]*+|true|false|null)'
-    return reduce(lambda c, p: F.regexp_replace(c, *p), [(rf'(?i)("(?:{names})"\s*:\s*){value}', f'$1"{mark}"')], payload)
+class _Number(str):
+    """A number or constant of a JSON text, as written."""
+
+
+class _Object(list):
+    """The pairs of a JSON object, in order, repeated keys included."""
+
+
+def redacted(text: str, keys: tuple[str, ...], mark: str = "***", depth: int = 6) -> str:
+    """F29 on one text; see `redact_json`."""
+    named = {k.lower() for k in keys}
+
+    def quoted(x: str) -> str:
+        out = json.dumps(x, ensure_ascii=False)
+        return out if out.isascii() or not re.search("[\ud800-\udfff]", out) else json.dumps(x)
+
+    def put(x, at: int) -> str:
+        if at > depth:
+            return quoted("[depth-limit]")
+        if isinstance(x, _Object):
+            return "{" + ",".join(quoted(k) + ":" + (quoted(mark) if k.lower() in named else put(v, at + 1)) for k, v in x) + "}"
+        if isinstance(x, list):
+            return "[" + ",".join(put(v, at + 1) for v in x) + "]"
+        if isinstance(x, _Number):
+            return str(x)
+        return quoted(x) if isinstance(x, str) else json.dumps(x)
+
+    try:
+        return put(json.loads(text, object_pairs_hook=_Object, parse_int=_Number, parse_float=_Number, parse_constant=_Number), 0)
+    except (ValueError, RecursionError):
+        value = r'(?:"(?:[^"\\]|\\.)*+"|-?[0-9][0-9.eE+-]*+|true|false|null|["\[{].*)'
+        return re.sub(rf'("(?:{"|".join(map(re.escape, keys))})"\s*:\s*){value}', lambda m: m[1] + quoted(mark), text, flags=re.I | re.S)
+
+
+def redact_json(payload: Column, keys: tuple[str, ...], mark: str = "***", depth: int = 6) -> Column:
+    """F29. The whole value of each named key (any case) of a JSON text replaced, be it a scalar, an array or an object.
+
+    What lies deeper than `depth` becomes "[depth-limit]", as in the reference; all other values stay as written, without
+    blanks between them. In a text that is no JSON, scalars after a named key are replaced, and from an array, an object
+    or an open string on all the rest."""
+
+    @F.pandas_udf("string")
+    def scrub(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else redacted(t, keys, mark, depth) for t in texts], dtype=object)
+
+    return scrub(payload)

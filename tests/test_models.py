@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from postmill.functions import language
 from postmill.functions import text as X
 from postmill.operators import dedup, feed, liveness, rules, scoring, tracker
 from postmill.sources import tables
@@ -211,3 +212,18 @@ def test_tables_come_back_and_layout_prunes(spark, tmp_path, kind):
     assert {r["id"] for r in back.where("source = 'a'").collect()} == {1, 3}
     with pytest.raises(Exception, match="exists"):
         tables.write_table(df, path, kind)
+
+
+def test_redaction_takes_whole_values_of_named_keys(spark):
+    deep = '{"a":' * 7 + "1" + "}" * 7
+    cases = {
+        '{"excluded_companies": ["Acme", {"x": "Tools"}], "n": 1.50}': '{"excluded_companies":"***","n":1.50}',
+        '{"a":[{"Name":{"first":"Ann","last":["Lee"]},"b":"n\\"ame"}],"c":null}': '{"a":[{"Name":"***","b":"n\\"ame"}],"c":null}',
+        '{"name":"x","d":{"name":7}}': '{"name":"***","d":{"name":"***"}}',
+        deep: deep.replace("1", '"[depth-limit]"'),
+        'got {"name":"x","k":1} and {"name":["Ann"': 'got {"name":"***","k":1} and {"name":"***"',
+        None: None,
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, payload string")
+    out = df.select("i", language.redact_json(F.col("payload"), ("name", "excluded_companies")).alias("p")).collect()
+    assert [r["p"] for r in sorted(out)] == list(cases.values())
