@@ -168,6 +168,18 @@ def similarity(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def similarity_in_blocks(vectors: DataFrame, queries: DataFrame, k: int, size: int = 4096) -> DataFrame:
+    """T08 for any number of queries with distinct ids: `similarity` over consecutive blocks of at most `size` of them."""
+    out, last = None, None
+    while True:
+        rest = queries if last is None else queries.where(F.col("query_id") > last)
+        end = rest.select("query_id").orderBy("query_id").limit(size).agg(F.max("query_id")).first()[0]
+        if end is None:
+            return similarity(vectors, queries.limit(0), k) if out is None else out
+        found = similarity(vectors, rest.where(F.col("query_id") <= end), k)
+        out, last = found if out is None else out.unionByName(found), end
+
+
 def score_with(batches: DataFrame, fn: Callable[[list[str]], list[str]]) -> DataFrame:
     """X01. A user's scorer over prompts: one response text per prompt of an Arrow batch."""
 

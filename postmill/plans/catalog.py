@@ -19,13 +19,15 @@ from .fixtures import AS_OF, load, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: The SQL as written at the query, without its tables.
+ORACLE_BODY: dict[str, str] = {}
 
 
 def register(name: str, sql: str | None = None, *tables: str):
     def add(f):
         QUERIES[name] = f
         if sql is not None:
-            ORACLE_SQL[name] = oracle(sql, *tables)
+            ORACLE_SQL[name], ORACLE_BODY[name] = oracle(sql, *tables), sql
         return f
 
     return add
@@ -587,6 +589,13 @@ def _(s, d):
     return scoring.similarity(v, v.where("id < 20").withColumnRenamed("id", "query_id"), 50).select("query_id", "id", "cosine")
 
 
+@register("T08_semantic_top_k_all")
+def _(s, d):
+    v = load(s, d, "vectors").withColumnRenamed("vec_id", "id")
+    asked = v.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+    return scoring.similarity_in_blocks(v, asked, 500).select("query_id", "id", "cosine")
+
+
 @register("T10_recent_events", "select id, event_type from ops_events order by created_at desc, id desc limit 12", "ops_events")
 def _(s, d):
     return load(s, d, "ops_events").orderBy(F.desc("created_at"), F.desc("id")).limit(12).select("id", "event_type")
@@ -797,6 +806,13 @@ def _(s, d):
     return scoring.score_prompt(scoring.assign_batches(queue).join(texts, "id")).select("user_id", "batch", F.sha2("prompt", 256).alias("digest"))
 
 
+@register("F30_prompts_all", ORACLE_BODY["F30_prompts"].replace(" where user_id <= 3", ""), "jobs", "profiles")
+def _(s, d):
+    texts = jobs(s, d).select("id", "title", "company_name", "is_remote", "description")
+    batches = scoring.assign_batches(scoring.tiered_queue(verdicts(s, d))).join(texts, "id")
+    return scoring.score_prompt(batches).select("user_id", "batch", F.sha2("prompt", 256).alias("digest"))
+
+
 @register("F18_profile_hash", """select user_id, sha256('{"v":"1","english_only":"' || cast(english_only as varchar) || '","work_mode":"' || work_mode || '","titles":' || case user_id % 3 when 0 then '["COO","Head of Procurement"]' when 1 then '["Director Supply Chain"]' else '[]' end || '}') as hash from profiles""", "profiles")
 def _(s, d):
     p = load(s, d, "profiles").withColumn("titles", X.clean_list(F.col("target_titles")))
@@ -881,6 +897,13 @@ def _(s, d):
     return scoring.score_with(titles, lambda prompts: [str(len(p)) for p in prompts]).select("user_id", "batch", F.col("response").cast("long").alias("score"))
 
 
+@register("X01_score_with_all", ORACLE_BODY["X01_score_with"].replace(" where user_id <= 3", ""), "jobs", "profiles")
+def _(s, d):
+    queue = scoring.assign_batches(scoring.tiered_queue(verdicts(s, d)))
+    titles = queue.join(jobs(s, d).select("id", "title"), "id").groupBy("user_id", "batch").agg(F.array_join(F.collect_list("title"), "").alias("prompt"))
+    return scoring.score_with(titles, lambda prompts: [str(len(p)) for p in prompts]).select("user_id", "batch", F.col("response").cast("long").alias("score"))
+
+
 @register("X02_embed_with", "select id, cast(length(coalesce(description, '')) as double) as first, 0.0 as last from jobs", "jobs")
 def _(s, d):
     texts = jobs(s, d).select("id", F.coalesce("description", F.lit("")).alias("text"))

@@ -4,12 +4,14 @@ import datetime as dt
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from postmill.functions import language
 from postmill.functions import text as X
 from postmill.operators import dedup, feed, liveness, rules, scoring, tracker
+from postmill.plans import catalog
 from postmill.sources import tables
 from postmill.streaming import jobs as S
 
@@ -227,3 +229,24 @@ def test_redaction_takes_whole_values_of_named_keys(spark):
     df = spark.createDataFrame(list(enumerate(cases)), "i int, payload string")
     out = df.select("i", language.redact_json(F.col("payload"), ("name", "excluded_companies")).alias("p")).collect()
     assert [r["p"] for r in sorted(out)] == list(cases.values())
+
+
+def test_every_query_vector_gets_its_nearest_rows(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(60)]
+    asked = [r for r in rows if r[0] % 4 == 0]
+    out = scoring.similarity_in_blocks(spark.createDataFrame(rows, "id long, embedding array<float>"), spark.createDataFrame(asked, "query_id long, embedding array<float>"), 5, size=4)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["query_id"], []).append((-r["cosine"], r["id"]))
+    unit = {i: np.float32(v).astype(float) / np.linalg.norm(np.float32(v).astype(float)) for i, v in rows}
+    assert {q: [i for _, i in sorted(x)] for q, x in got.items()} == {q: [i for _, i in sorted((-round(float(unit[q] @ unit[i]), 6), i) for i in unit)[:5]] for q, _ in asked}
+
+
+def test_prompts_and_top_k_leave_no_profile_or_query_vector_out(spark):
+    sf = "/root/testdata/sf0.001"
+    users = {r["user_id"] for r in catalog.load(spark, sf, "profiles").collect()}
+    for name in ("F30_prompts_all", "X01_score_with_all"):
+        assert {r["user_id"] for r in catalog.QUERIES[name](spark, sf).select("user_id").distinct().collect()} == users
+    asked = {r["vec_id"] for r in catalog.load(spark, sf, "vectors").where("vec_id % 100 = 0").collect()}
+    assert {r["query_id"] for r in catalog.QUERIES["T08_semantic_top_k_all"](spark, sf).select("query_id").distinct().collect()} == asked
