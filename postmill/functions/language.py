@@ -20,6 +20,37 @@ STOP_WORDS: dict[str, tuple[str, ...]] = {
 }
 
 
+#: Local forms of target titles, by title in lower case; the reference's country pack for Brazil.
+TITLE_ALIASES: dict[str, list[str]] = {
+    "director supply chain": ["Diretor de Supply Chain", "Diretor de Cadeia de Suprimentos"],
+    "head of procurement": ["Diretor de Suprimentos", "Head de Compras"],
+    "head of supply chain": ["Head de Supply Chain", "Head de Cadeia de Suprimentos"],
+    "director operations": ["Diretor de Operações", "Diretor de Operações Industriais"],
+    "chief procurement officer": ["Diretor Executivo de Suprimentos", "Diretor Executivo de Compras"],
+    "director purchasing": ["Diretor de Compras", "Diretor de Procurement"],
+    "head of sourcing": ["Head de Sourcing", "Head de Compras Estratégicas"],
+    "director logistics": ["Diretor de Logística", "Diretor de Operações Logísticas"],
+    "head of operations": ["Head de Operações", "Gerente Executivo de Operações"],
+    "global supply chain director": ["Diretor Global de Supply Chain", "Diretor Global de Cadeia de Suprimentos"],
+    "interim manager": ["Gerente Interino"],
+    "crisis manager": ["Gerente de Crise"],
+    "krisenmanager": ["Gerente de Crise"],
+    "crisis director": ["Diretor de Gestão de Crise"],
+    "turnaround": ["Diretor de Turnaround", "Diretor de Reestruturação"],
+    "supply chain transformation": ["Diretor de Transformação de Supply Chain", "Transformação da Cadeia de Suprimentos"],
+    "e2e supply chain": ["Supply Chain Ponta a Ponta"],
+    "chief restructuring officer": ["Chief Restructuring Officer", "Diretor de Reestruturação"],
+    "cro": ["Chief Restructuring Officer", "Diretor de Reestruturação"],
+    "growth director": ["Diretor de Growth"],
+    "growth manager": ["Gerente de Growth"],
+    "head of autonomous operations": ["Head de Operações Autônomas"],
+    "ai agent orchestrator": ["Orquestrador de Agentes de IA"],
+    "supply chain transformation & ai": ["Transformação de Supply Chain e IA"],
+    "director of ai strategy": ["Diretor de Estratégia de IA"],
+    "chief of staff ai": ["Chief of Staff de IA"],
+}
+
+
 def detect_language(text: Column, stop_words: dict[str, tuple[str, ...]] = STOP_WORDS) -> Column:
     """F10. Hits of each language among the words of the first 12,000 characters. Unknown below 20 words, below 6 hits, or
     if the best is under 1.5 times the second and less than 4 ahead of it; ties go by the order of the languages."""
@@ -46,7 +77,7 @@ def detect_language(text: Column, stop_words: dict[str, tuple[str, ...]] = STOP_
 def expand_queries(queries: Column, aliases: dict[str, list[str]]) -> Column:
     """F09. Each query followed by its local aliases (keys in lower case), first wins, any case."""
     table = F.create_map(*[x for k, v in aliases.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]) if aliases else F.create_map().cast("map<string,array<string>>")
-    each = F.flatten(F.transform(queries, lambda q: F.concat(F.array(q), F.coalesce(F.try_element_at(table, F.lower(q)), F.array().cast("array<string>")))))
+    each = F.flatten(F.transform(queries, lambda q: F.concat(F.array(q), F.coalesce(F.try_element_at(table, F.trim(F.regexp_replace(F.lower(q), r"\s+", " "))), F.array().cast("array<string>")))))
     lowered = F.transform(each, F.lower)
     return F.filter(each, lambda q, i: F.array_position(lowered, F.lower(q)) == i + 1)
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.language import TITLE_ALIASES, expand_queries
 
 ALLOWED = ("de", "at", "ch", "nl", "fr", "es", "it", "pl", "gb", "uk", "ie", "se", "dk", "pt", "be", "lu", "cz")
 
@@ -110,8 +111,8 @@ def job_flags(jobs: DataFrame, lex: Lexicon = LEXICON) -> DataFrame:
     )
 
 
-def profile_terms(profiles: DataFrame) -> DataFrame:
-    """P19 on the list columns of profiles, and the forms that P05 compares with."""
+def profile_terms(profiles: DataFrame, aliases: dict[str, list[str]] = TITLE_ALIASES) -> DataFrame:
+    """P19 on the list columns of profiles, and the forms that P05 compares with: a target's aliases count as the target (P08)."""
     lists = {c: X.clean_list(F.col(c)) for c in ("target_titles", "preferred_countries", "excluded_keywords", "excluded_companies")}
     p = profiles.select(*[F.col(c) for c in profiles.columns if c not in lists], *[v.alias(c) for c, v in lists.items()])
     plain = lambda x: F.filter(F.split(F.trim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}_]+", " ")), " "), lambda w: ~w.isin(*X.TITLE_FILLERS))
@@ -119,7 +120,7 @@ def profile_terms(profiles: DataFrame) -> DataFrame:
         "user_id",
         "work_mode",
         "english_only",
-        F.transform("target_titles", plain).alias("targets"),
+        F.transform(expand_queries(F.col("target_titles"), aliases), plain).alias("targets"),
         F.exists("target_titles", lambda t: is_coo_title(F.lower(t))).alias("targets_coo"),
         F.transform("preferred_countries", F.lower).alias("preferred"),
         F.transform("excluded_keywords", lambda k: F.lower(k)).alias("keywords"),

@@ -250,3 +250,11 @@ def test_prompts_and_top_k_leave_no_profile_or_query_vector_out(spark):
         assert {r["user_id"] for r in catalog.QUERIES[name](spark, sf).select("user_id").distinct().collect()} == users
     asked = {r["vec_id"] for r in catalog.load(spark, sf, "vectors").where("vec_id % 100 = 0").collect()}
     assert {r["query_id"] for r in catalog.QUERIES["T08_semantic_top_k_all"](spark, sf).select("query_id").distinct().collect()} == asked
+
+
+def test_an_alias_of_a_target_title_is_an_explicit_match(spark):
+    titles = ["Diretor de Suprimentos", "Head de Compras (m/w/d)", "Head of Procurement", "Diretor de Vendas"]
+    jobs = spark.createDataFrame([(i, t, "text", None, None, None) for i, t in enumerate(titles)], "id long, title string, description string, company_name string, country string, is_remote boolean")
+    profile = spark.createDataFrame([(1, "any", False, "Head  of Procurement", "", "", "")], "user_id long, work_mode string, english_only boolean, target_titles string, preferred_countries string, excluded_keywords string, excluded_companies string")
+    out = {r["id"]: (r["passed"], r["bucket"]) for r in rules.pre_filter(rules.job_flags(jobs), rules.profile_terms(profile)).collect()}
+    assert [out[i] for i in range(4)] == [(True, "high")] * 3 + [(False, "low")]
