@@ -139,10 +139,23 @@ def work_mode_rejects() -> Column:
     )
 
 
-def pre_filter(flags: DataFrame, terms: DataFrame) -> DataFrame:
+def pre_filter(flags: DataFrame, terms: DataFrame, size: int = 4096) -> DataFrame:
     """P05 for every posting and profile: passed, bucket and the number of the deciding rule.
 
-    `terms` is one row per profile, joined as a bounded broadcast of at most a few thousand users at a time."""
+    `terms` is one row per profile. Profiles are broadcast in blocks of at most `size` by user_id; each block reads the postings once."""
+    out, rest = None, terms
+    while True:
+        block = rest.select("user_id").orderBy(F.asc_nulls_last("user_id")).limit(size)
+        n, end = block.agg(F.count("*"), F.max("user_id")).first()
+        if n < size or end is None:
+            found = _judged(flags, rest)
+            return found if out is None else out.unionByName(found)
+        found = _judged(flags, rest.where(F.col("user_id") <= end))
+        out, rest = found if out is None else out.unionByName(found), rest.where((F.col("user_id") > end) | F.col("user_id").isNull())
+
+
+def _judged(flags: DataFrame, terms: DataFrame) -> DataFrame:
+    """P05 over one block of profiles."""
     explicit = F.array_contains(F.col("targets"), F.col("t_tokens"))
     rules: list[tuple[Column, bool, str]] = [
         (F.col("f_intern"), False, "low"),

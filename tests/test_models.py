@@ -258,3 +258,13 @@ def test_an_alias_of_a_target_title_is_an_explicit_match(spark):
     profile = spark.createDataFrame([(1, "any", False, "Head  of Procurement", "", "", "")], "user_id long, work_mode string, english_only boolean, target_titles string, preferred_countries string, excluded_keywords string, excluded_companies string")
     out = {r["id"]: (r["passed"], r["bucket"]) for r in rules.pre_filter(rules.job_flags(jobs), rules.profile_terms(profile)).collect()}
     assert [out[i] for i in range(4)] == [(True, "high")] * 3 + [(False, "low")]
+
+
+def test_profile_blocks_are_bounded_and_leave_nobody_out(spark, monkeypatch):
+    jobs = spark.createDataFrame([(i, t, "supply chain", None, None, None) for i, t in enumerate(["COO", "Head of Ops"])], "id long, title string, description string, company_name string, country string, is_remote boolean")
+    profiles = spark.createDataFrame([(u, "any", False, "COO" if u % 2 else "", "", "", "") for u in range(7)], "user_id long, work_mode string, english_only boolean, target_titles string, preferred_countries string, excluded_keywords string, excluded_companies string")
+    flags, terms = rules.job_flags(jobs), rules.profile_terms(profiles)
+    sizes, judged = [], rules._judged
+    monkeypatch.setattr(rules, "_judged", lambda f, t: sizes.append(t.count()) or judged(f, t))
+    got = rules.pre_filter(flags, terms, size=3).collect()
+    assert sizes == [3, 3, 1] and sorted(got) == sorted(judged(flags, terms).collect()) and len(got) == 14
