@@ -167,11 +167,15 @@ def near_duplicate_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The input's rows without near-duplicates: of each component the row of smallest (doc_id, hash of the text)."""
+    """The input's rows without near-duplicates: of each component the row of smallest (doc_id, hash of the text), null ids
+    first. Of rows equal in both one stays, whichever; texts without words are one component; an empty table stays
+    empty; other columns stay as they are, whatever their names."""
     found = near_duplicates(docs).groupBy("root", "doc_id", "h").agg(F.count("*").alias("copies"))
     chosen = found.groupBy("root").agg(F.min(F.struct("doc_id", "h", "copies")).alias("s")).select("s.*")
     chosen = cut(chosen.select(F.col("doc_id").alias("kept_id"), F.col("h").alias("kept_h"), "copies"), "chosen")
-    content = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (content == F.col("kept_h")))
-    once = kept.where("copies = 1").select(docs.columns)
-    return once.unionByName(kept.where("copies > 1").dropDuplicates(["doc_id", "kept_h"]).select(docs.columns))
+    # The input's row travels as one struct, so none of its names meets one of ours.
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    content = F.xxhash64(F.coalesce(F.col("row.text"), F.lit("")))
+    kept = rows.join(chosen, F.col("row.doc_id").eqNullSafe(F.col("kept_id")) & (content == F.col("kept_h")))
+    once = kept.where("copies = 1").select("row.*")
+    return once.unionByName(kept.where("copies > 1").dropDuplicates(["kept_id", "kept_h"]).select("row.*"))
