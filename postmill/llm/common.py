@@ -17,16 +17,22 @@ SPACE = r"[\x20\x09-\x0D]+"
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one table; a table of fewer splits than cores (so a small one) is dealt over the cores."""
     df = read(spark, sf_dir, name)
-    # Rows are whole texts of any length: few of them go to a Python worker at once.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Rows are whole texts of any length: few of them go to a Python worker at once. A setting of the session, made by
+    the queries and the pipeline's stages, not by the operators."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where none is set (tests), one of our own."""
+    """The folder that driver and executors share; only where none is set, on one machine (tests), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found

@@ -5,13 +5,15 @@ digits, symbols, separators, repeats) and the bins of the lines before and after
 neighbours. Forward-backward gives each line's marginal, and the marginals, weighted by the lines' lengths,
 give the document's quality, which a logistic curve maps to a probability.
 
-The field is fitted on at most `SAMPLE` labelled training documents (the ones of smallest hash), whose lines carry
-their document's label; only bin numbers of those documents reach the driver. The model is a few hundred numbers.
+The field is fitted on a bounded sample of labelled training documents, the ones of smallest hash: at most `sample`
+documents and `lines` lines in all. Documents are left out whole; every line of a document in the sample is learned from,
+under its document's label. Only bin numbers of those documents reach the driver. The model is a few hundred numbers.
 Scoring is one pass over the texts, without a shuffle. Inputs of a score are the text alone.
 
-Nulls and edges: a null, empty or blank text is one blank line; a null id counts as crc32 remainder 0 (training,
-but without a label); unlabelled rows are scored only; with labels of one class or none every score is 0.5; several
-labels of an id count as their maximum; repeated rows each return; an empty table gives no rows.
+Nulls and edges: a null, empty or blank text is one blank line; a very long text is scored over all its lines; a null id
+counts as crc32 remainder 0 (training, but without a label); unlabelled rows are scored only; with labels of one class or
+none every score is 0.5; several labels of an id count as their maximum; of several texts of an id the one of smallest
+hash is learned from; repeated rows each return; an empty table gives no rows; the report leaves other columns out.
 """
 
 from __future__ import annotations
@@ -20,13 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import remainder
+from .common import cut, remainder
 
-#: Bound on the training documents and on the lines of one of them that are learned from.
-SAMPLE, SAMPLE_LINES = 6_000, 200
+#: Bounds on the training documents and on the lines of all of them.
+SAMPLE, SAMPLE_LINES = 6_000, 200_000
 
 _EDGES = {
     "bytes": (1, 8, 20, 40, 80, 160, 320, 640, 1280),
@@ -223,26 +225,32 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(w[0]), 1e-3), float(w[1])
 
 
-def fit_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
-    """The field fitted on at most `sample` labelled documents whose crc32(doc_id as text) mod 3 is not 1."""
+def fit_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = SAMPLE_LINES) -> Field:
+    """The field fitted on at most `sample` labelled documents, of at most `lines` lines in all, whose crc32(doc_id as text)
+    mod 3 is not 1. A document of more than a tenth of `lines` is not learned from."""
     truth = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (remainder("doc_id", 3) != 1))
     truth = truth.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     chosen = truth.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    content = F.coalesce("text", F.lit(""))
+    texts = docs.select("doc_id", content.alias("text")).join(F.broadcast(chosen), "doc_id")
+    # One text of each id; copies of an id are reduced before they are shuffled.
+    texts = texts.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("s")).select("doc_id", "quality", "s.text")
 
     def bins_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             bins, size, counts = line_bins(list(b["text"]))
             ends = np.cumsum(counts)
-            kept = np.minimum(counts, SAMPLE_LINES)
-            cuts = [slice(e - c, e - c + k) for e, c, k in zip(ends, counts, kept)]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "bins": [bins[c].tobytes() for c in cuts], "size": [size[c].tobytes() for c in cuts]})
-
-    rows = texts.mapInPandas(bins_of, "doc_id long, quality int, bins binary, size binary").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+            cuts = [slice(e - c, e) for e, c in zip(ends, counts)]
+            out = pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "n": counts, "bins": [bins[c].tobytes() for c in cuts], "size": [size[c].tobytes() for c in cuts]})
+            yield out[out["n"] <= lines // 10]
+
+    rows = cut(texts.mapInPandas(bins_of, "doc_id long, quality int, n long, bins binary, size binary"), "line-bins")
+    so_far = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # at most `sample` narrow rows
+    used = rows.select("doc_id", so_far.alias("so_far")).where(F.col("so_far") <= lines).select("doc_id")
+    rows = rows.join(F.broadcast(used), "doc_id").toPandas().sort_values("doc_id")
     bins = np.frombuffer(b"".join(rows["bins"]), dtype=np.uint8).reshape(-1, FEATURES)
     size = np.frombuffer(b"".join(rows["size"]), dtype=np.float64)
-    counts = np.array([len(x) // FEATURES for x in rows["bins"]], dtype=np.int64)
-    return fit(bins, size, counts, rows["quality"].to_numpy(dtype=np.int64))
+    return fit(bins, size, rows["n"].to_numpy(dtype=np.int64), rows["quality"].to_numpy(dtype=np.int64))
 
 
 def score_documents(docs: DataFrame, field: Field) -> DataFrame:

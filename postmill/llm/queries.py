@@ -7,12 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from . import ann, bpe, crf, ctw, packing, pii, quality_rules, secrets, sharding, simhash
-from .common import table
+from .common import small_batches
+from .common import table as _table
 
 #: The vocabulary file of the two tokenising queries.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
+    return _table(spark, sf_dir, name)
+
+
 def op1_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
