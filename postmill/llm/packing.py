@@ -1,17 +1,22 @@
 """Hierarchical multi-length packing of tokenised documents into context windows.
 
-Documents are routed by length to tiers of 256, 512, 1024 and 2048 tokens; what is longer gives full windows first
-and its remainder is routed. A remainder of exactly a tier's size is a window of that tier. The windows of the
-long tier are then filled from the shorter tiers, longest fitting piece first, and what is left of the shorter
-tiers is packed the same way; a last piece is cut to end a window exactly. The last window of a
-batch is split into full windows of smaller powers of two, so nothing is padded. Windows are dealt to step groups of near-equal attention cost.
+Documents are routed by length to tiers of 256, 512, 1024 and 2048 tokens; what is longer gives full windows of the
+longest tier first and its remainder is routed. Each tier is then packed into windows of its own length, from the
+longest to the shortest: a window starts with the tier's longest piece left, which fills more than half of it (the
+shortest tier holds all smaller lengths), and the gap is filled from the shorter tiers, longest fitting piece first. A
+piece is cut only where none fits, to end a window exactly; its rest is routed again. What is left at the end of a batch
+is less than one window of some tiers: it becomes full windows of smaller powers of two, so nothing is padded.
+
+Windows of one tier are dealt to step groups of about GROUP * WINDOW tokens and near-equal attention cost, so a training step
+has windows of one length only.
 
 Each task packs the rows of its own input split, a bounded number of tokens at a time, so nothing is shuffled and
 no step sees the whole table. Ids of sequences
 carry the number of the split; a task that runs again makes the same ones.
 
 Nulls and edges: a null or empty text is the end token alone; a null doc_id is kept; repeated rows are packed each;
-an empty table gives no rows; other columns are ignored.
+a very long text is many full windows and one remainder; of pieces of one length the last put is taken first; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ WINDOW = 2048
 TIERS = (256, 512, 1024, WINDOW)
 #: Tokens that a task holds while it packs them (4 bytes each).
 HELD = 2_000_000
-#: Windows of a step group.
+#: Windows of WINDOW tokens of a step group; of a shorter tier it has as many more.
 GROUP = 64
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
@@ -42,7 +47,7 @@ Piece = tuple[int, int, int]
 
 
 class _Shelf:
-    """Pieces by length; takes the longest that fits."""
+    """Pieces by length."""
 
     def __init__(self):
         self.lengths: list[int] = []
@@ -55,62 +60,58 @@ class _Shelf:
             self.pieces[n] = []
         self.pieces[n].append(piece)
 
-    def take(self, room: int) -> Piece | None:
-        """The longest piece of at most `room`; without one, the start of the shortest, whose rest stays."""
-        if not self.lengths:
-            return None
+    def take(self, room: int, over: int = 0) -> Piece | None:
+        """The longest piece of at most `room` and more than `over`, if there is one."""
         at = bisect_right(self.lengths, room) - 1
-        n = self.lengths[max(at, 0)]
+        if at < 0 or self.lengths[at] <= over:
+            return None
+        n = self.lengths[at]
         stack = self.pieces[n]
-        doc, start, length = stack.pop()
+        piece = stack.pop()
         if not stack:
             del self.pieces[n]
-            self.lengths.remove(n)
+            self.lengths.pop(at)
+        return piece
+
+    def cut(self, room: int) -> Piece | None:
+        """The first `room` tokens of the shortest piece; its rest stays."""
+        if not self.lengths:
+            return None
+        doc, start, length = self.take(self.lengths[0])
         if length > room:
             self.put((doc, start + room, length - room))
-            length = room
-        return doc, start, length
+        return doc, start, min(room, length)
 
 
-def pack(lengths: list[int], last: bool = True) -> list[tuple[int, list[Piece]]]:
+def pack(lengths: list[int]) -> list[tuple[int, list[Piece]]]:
     """Windows (tier, pieces) of documents of these lengths. A piece is cut only to end a window exactly."""
     windows: list[tuple[int, list[Piece]]] = []
-    tiers: dict[int, list[Piece]] = {t: [] for t in TIERS}
+    left: list[Piece] = []
+    shelf = _Shelf()
     for doc, n in enumerate(lengths):
         full = n - n % WINDOW
         windows += [(WINDOW, [(doc, s, WINDOW)]) for s in range(0, full, WINDOW)]
-        if rest := n - full:
-            tier = next(t for t in TIERS if rest <= t)
-            if rest == tier:
-                windows.append((tier, [(doc, full, rest)]))
+        if n > full:
+            shelf.put((doc, full, n - full))
+    for tier, below in zip(reversed(TIERS), (*reversed(TIERS[:-1]), 0)):
+        while piece := shelf.take(tier, below):
+            window, room = [piece], tier - piece[2]
+            while room and (piece := shelf.take(room) or shelf.cut(room)):
+                window.append(piece)
+                room -= piece[2]
+            if room:
+                left += window
             else:
-                tiers[tier].append((doc, full, rest))
-    shelf = _Shelf()
-    for t in TIERS[:-1]:
-        for piece in tiers[t]:
-            shelf.put(piece)
-    longest = sorted(tiers[WINDOW], key=lambda p: (p[2], p[0]))
-    while longest or shelf.lengths:
-        window = [longest.pop() if longest else shelf.take(WINDOW)]
-        room = WINDOW - window[0][2]
-        while room and (shelf.lengths or longest):
-            if not shelf.lengths:  # only long pieces are left: the smallest one gives what is missing
-                shelf.put(longest.pop(0))
-            piece = shelf.take(room)
-            window.append(piece)
-            room -= piece[2]
-        windows.append((WINDOW, window))
-    if windows and (used := sum(p[2] for p in windows[-1][1])) < WINDOW:
-        windows[-1:] = _by_tiers(windows[-1][1], used)
-    return windows
-
-
-def _by_tiers(pieces: list[Piece], used: int) -> list[tuple[int, list[Piece]]]:
-    """The last, unfilled window of a batch, as full windows of falling powers of two: no padding is left."""
+                windows.append((tier, window))
+    return windows + _by_powers(left)
+
+
+def _by_powers(pieces: list[Piece]) -> list[tuple[int, list[Piece]]]:
+    """The last pieces of a batch, too few for a window of their tier, as full windows of falling powers of two."""
     out: list[tuple[int, list[Piece]]] = []
-    rest = list(pieces)
-    for tier in (1 << k for k in range(WINDOW.bit_length() - 2, -1, -1)):
-        if used >= tier:
+    rest, used = list(pieces), sum(p[2] for p in pieces)
+    for tier in (1 << k for k in range(WINDOW.bit_length() - 1, -1, -1)):
+        while used >= tier:
             used -= tier
             window, room = [], tier
             while room:
@@ -124,13 +125,16 @@ def _by_tiers(pieces: list[Piece], used: int) -> list[tuple[int, list[Piece]]]:
 
 
 def step_groups(windows: list[tuple[int, list[Piece]]], first: int) -> list[int]:
-    """Group of each window: by falling attention cost, windows go to and fro over the groups."""
-    groups = max(1, -(-len(windows) // GROUP))
-    cost = [sum(p[2] ** 2 for p in w) for _, w in windows]
+    """Group of each window, numbered from `first`: the windows of a tier go, by falling attention cost, to and fro over its groups."""
     out = [0] * len(windows)
-    for k, i in enumerate(sorted(range(len(windows)), key=lambda i: (-cost[i], i))):
-        lap, place = divmod(k, groups)
-        out[i] = first + (place if lap % 2 == 0 else groups - 1 - place)
+    for tier in sorted({t for t, _ in windows}, reverse=True):
+        own = [i for i, (t, _) in enumerate(windows) if t == tier]
+        cost = {i: sum(p[2] ** 2 for p in windows[i][1]) for i in own}
+        groups = -(-len(own) * tier // (GROUP * WINDOW))
+        for k, i in enumerate(sorted(own, key=lambda i: (-cost[i], i))):
+            lap, place = divmod(k, groups)
+            out[i] = first + (place if lap % 2 == 0 else groups - 1 - place)
+        first += groups
     return out
 
 
