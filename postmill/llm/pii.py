@@ -5,10 +5,12 @@ Everything happens inside a row by built-in functions: no join, no shuffle, no P
 
 A span's score starts from what its validator proves (a checksum more than a shape) and rises or falls with words
 in the 40 code points before and the 24 after it, ending in 0 to 1. Every valid span is reported with its score;
-`redact` replaces those from a threshold upwards, joining spans that overlap.
+`redact` replaces those from a threshold upwards, joining spans that overlap. The words are an argument (CONTEXT: English,
+German, French and Spanish). The threshold lies between contexts: a mere shape (ip, phone) beside a word against it, such
+as "version 1.2.3.4", falls below and stays; what a checksum or a full address proves is replaced beside any word.
 
-Nulls and edges: a null or empty text has no spans; repeated rows each get their own result; an empty table gives
-no rows; columns of the input other than the ones used are left alone.
+Nulls and edges: a null or empty text has no spans; very long texts are one pass a kind; repeated rows each get their own
+result; an empty table gives no rows; columns of the input other than the ones used are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -54,12 +56,25 @@ def mod97(iban: Column) -> Column:
     return let(F.concat(F.substring(iban, 5, 40), F.substring(iban, 1, 4)), check)
 
 
-def _score(base: float, words: str, against: str = r"(?i)\b(?:version|example|sample|isbn|invoice|order)\b"):
+#: Words that make a kind likelier, and words that make any kind less likely, as alternatives of a pattern.
+CONTEXT: dict[str, str] = {
+    "email": r"e-?mail|mail|contact|write|kontakt|schreib\w*|courriel|écri\w*|correo|escrib\w*",
+    "ip": r"ip|host|server|address|login|adresse|anmeldung|serveur|hôte|servidor|dirección",
+    "card": r"card|visa|master\w*|amex|credit|pay\w*|karte\w*|kredit\w*|zahl\w*|carte|paiement|tarjeta|pago",
+    "phone": r"phone|tel\w*|call|mobile|fax|dial|anruf\w*|handy|mobil|appel\w*|portable|llam\w*|móvil",
+    "iban": r"iban|account|bank\w*|konto|compte|banque|cuenta|banco",
+    "against": r"version|release|build|section|chapter|isbn|invoice|order|kapitel|abschnitt|rechnung\w*|bestell\w*|chapitre|facture|commande|capítulo|versión|factura|pedido",
+}
+#: How much a word near a span moves its score, and the score from which `redact` replaces.
+NEAR, THRESHOLD = 0.3, 0.4
+
+
+def _score(kind: str, base: float, context: dict[str, str]):
     def rate(match: Column, before: Column, after: Column) -> Column:
         near = F.concat(before, F.lit(" "), after)
-        up = F.when(near.rlike(words), 0.3).otherwise(0.0)
-        down = F.when(near.rlike(against), -0.1).otherwise(0.0)
-        return F.least(F.lit(1.0), F.lit(base) + up + down)
+        some = lambda words: near.rlike(rf"(?iU)\b(?:{words})\b")
+        up, down = F.when(some(context[kind]), NEAR).otherwise(0.0), F.when(some(context["against"]), NEAR).otherwise(0.0)
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(base) + up - down))
 
     return rate
 
@@ -72,22 +87,26 @@ def _iban(match: Column) -> Column:
     return let(F.regexp_replace(match, " ", ""), lambda s: F.when(F.length(s).between(15, 34), mod97(s)).otherwise(False))
 
 
-#: In the order of the digest. The first four are the base; iban is added by its checksum.
-KINDS = (
-    Kind("email", rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda t: F.contains(t, F.lit("@")), score=_score(0.7, r"(?i)\b(?:e-?mail|mail|contact|write)\b")),
-    Kind("ip", r"[0-9](?<![0-9]{2})[0-9]*+(?:\.[0-9]++){3}", lambda t: t.rlike(r"[0-9]\.[0-9]"), lambda m: m.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"), _score(0.6, r"(?i)\b(?:ip|host|server|address|login)\b")),
-    Kind("card", r"[0-9](?:[ -]?[0-9]){15,}+", lambda t: t.rlike(r"[0-9](?:[ -]?[0-9]){15}"), _card, _score(0.7, r"(?i)\b(?:card|visa|master|amex|credit|pay)")),
-    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda t: F.contains(t, F.lit("+")), lambda m: F.length(digits(m)).between(8, 15), _score(0.5, r"(?i)\b(?:phone|tel|call|mobile|fax|dial)")),
-    Kind("iban", r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])", lambda t: t.rlike(r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"), _iban, _score(0.8, r"(?i)\b(?:iban|account|bank|konto)\b")),
-)
+def kinds(context: dict[str, str] = CONTEXT) -> tuple[Kind, ...]:
+    """In the order of the digest. The first four are the base; iban is added by its checksum."""
+    return (
+        Kind("email", rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda t: F.contains(t, F.lit("@")), score=_score("email", 0.7, context)),
+        Kind("ip", r"[0-9](?<![0-9]{2})[0-9]*+(?:\.[0-9]++){3}", lambda t: t.rlike(r"[0-9]\.[0-9]"), lambda m: m.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"), _score("ip", 0.5, context)),
+        Kind("card", r"[0-9](?:[ -]?[0-9]){15,}+", lambda t: t.rlike(r"[0-9](?:[ -]?[0-9]){15}"), _card, _score("card", 0.7, context)),
+        Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda t: F.contains(t, F.lit("+")), lambda m: F.length(digits(m)).between(8, 15), _score("phone", 0.5, context)),
+        Kind("iban", r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])", lambda t: t.rlike(r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"), _iban, _score("iban", 0.8, context)),
+    )
+
+
+KINDS = kinds()
 NAMES = [k.name for k in KINDS]
 BASE = 4
 
 
-def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The input with `pii`, array<struct<kind,start,end,score>> by kind, then place (code points, end exclusive)."""
+def find_pii(docs: DataFrame, text: str = "text", into: str = "pii", found: tuple[Kind, ...] = KINDS) -> DataFrame:
+    """The input with column `into`, array<struct<kind,start,end,score>> by kind, then place (code points, end exclusive)."""
     content = text_of(text)
-    return docs.withColumn("pii", by_kind(F.concat(*[spans_of(content, k, i) for i, k in enumerate(KINDS)])))
+    return docs.withColumn(into, by_kind(F.concat(*[spans_of(content, k, i) for i, k in enumerate(found)])))
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
@@ -103,13 +122,16 @@ def pii_report(docs: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, threshold: float = 0.3, text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", found: tuple[Kind, ...] = KINDS) -> DataFrame:
     """The documents with every span of at least `threshold` replaced by the tag of its kind, such as <email>.
 
-    Spans that overlap become one, tagged by the first. A null text stays null.
+    Spans that overlap become one, tagged by the first. A null text stays null; all other columns stay, one named `pii` too.
     """
-    tags = F.array(*[F.lit(f"<{k}>") for k in NAMES])
-    kept = F.array_sort(F.transform(F.filter("pii", lambda s: s["score"] >= threshold), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    spans = "pii"
+    while spans in docs.columns:
+        spans += "_"
+    tags = F.array(*[F.lit(f"<{k.name}>") for k in found])
+    kept = F.array_sort(F.transform(F.filter(spans, lambda s: s["score"] >= threshold - 1e-9), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def step(a: Column, s: Column) -> Column:
         fresh = s["start"] >= a["at"]
@@ -119,5 +141,4 @@ def redact(docs: DataFrame, threshold: float = 0.3, text: str = "text") -> DataF
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
     done = F.aggregate(kept, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col(text), (a["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    found = find_pii(docs, text)
-    return found.withColumn(text, F.when(F.size(kept) > 0, done).otherwise(F.col(text))).drop("pii")
+    return find_pii(docs, text, spans, found).withColumn(text, F.when(F.size(kept) > 0, done).otherwise(F.col(text))).drop(spans)
