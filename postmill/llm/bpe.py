@@ -12,8 +12,12 @@ bytes exactly if all its adjacent pairs are such, so the result is exact, not ap
 Long documents are cut into blocks that become rows of their own, so that blocks of one text are encoded on
 different executors; their ids meet again per document, as the text did in its row.
 
-Nulls and edges: a null or empty text has no ids; a null doc_id is kept; repeated rows each return; an empty
-table gives no rows; other columns are ignored. The string of a special token in a text is its id.
+Whether a character is a letter, a digit or neither is known here for the ranges of KNOWN. Where a piece holds another one,
+the tokenizers library itself splits that piece into pre-tokens; their ids come as all others do, long ones by the tree.
+
+Nulls and edges: a null or empty text has no ids; a very long text, in any script, is many blocks; a null doc_id is kept;
+repeated rows each return; an empty table gives no rows; other columns are ignored. The string of a special token in a
+text is its id.
 """
 
 from __future__ import annotations
@@ -42,8 +46,11 @@ SPECIAL = "<|endoftext|>"
 _OTHER_SPACE = ("\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
 _SIDE_BY_SIDE = ("  ", " \n", "\n ", "\n\n")
 _SAFE_CUT = re.compile(r" (?=\S)")
-#: Characters outside these ranges go to the tokenizers library itself: Unicode tables differ between versions.
-_ODD = re.compile(r"[^\x00-ɏͰ-ͳ΄-ΊΎ-ΡΣ-ϿЀ-҂‐-‧‰-⁞€ぁ-ゖァ-ヺ一-龥가-힣]")
+#: Characters outside these ranges are classed by the tokenizers library itself: Unicode tables differ between versions.
+KNOWN = r"\x00-ɏͰ-ͳ΄-ΊΎ-ΡΣ-ϿЀ-҂‐-‧‰-⁞€ぁ-ゖァ-ヺ一-龥가-힣"
+_ODD = re.compile(f"[^{KNOWN}]")
+#: A place to cut that needs no class of an odd character: a space before a known character that is no white space.
+_SURE_CUT = re.compile(rf" (?=[{KNOWN}])(?=\S)")
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -114,14 +121,22 @@ class Codec:
             out.extend(map(self.rest.__getitem__, tail))
         return b"".join(out)
 
-    def encode_piece(self, piece: str) -> bytes:
-        if not piece.isascii() and _ODD.search(piece):
-            ids = self.library.encode(piece, add_special_tokens=False).ids
-        elif len(piece) <= LEAF // 4:
-            ids = self.fast.encode_ordinary(piece)
+    def pre_tokens(self, text: str, at: int, end: int) -> Iterator[tuple[int, int]]:
+        """Begin and end of each pre-token of text[at:end], which begins and ends with pre-tokens of the text."""
+        part = text[at:end]
+        if part.isascii() or not _ODD.search(part):
+            for m in self.pattern.finditer(text, at, end):
+                yield m.span()
         else:
-            ids = [i for m in self.pattern.finditer(piece) for i in self.tree(m.group().encode("utf-8", "surrogatepass"))]
-        return _packed(ids)
+            for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(part):
+                yield at + a, at + b
+
+    def encode_piece(self, piece: str) -> bytes:
+        if len(piece) <= LEAF // 4:
+            if not piece.isascii() and _ODD.search(piece):
+                return _packed(self.library.encode(piece, add_special_tokens=False).ids)
+            return _packed(self.fast.encode_ordinary(piece))
+        return _packed([i for a, b in self.pre_tokens(piece, 0, len(piece)) for i in self.tree(piece[a:b].encode("utf-8", "surrogatepass"))])
 
     def tree(self, run: bytes) -> list[int]:
         """Ids of the bytes of one pre-token, by concatenation of halves."""
@@ -150,28 +165,31 @@ class Codec:
 
         A block that is cut inside a pre-token holds that pre-token only.
         """
-        if not text.isascii() and _ODD.search(text):
-            yield text, False
-            return
         for i, part in enumerate(text.split(SPECIAL)):
             if i:
                 yield SPECIAL, False
             at = 0
             while len(part) - at > block:
-                cut = part.rfind(" ", at + block // 2, at + block)
-                while cut > 0 and part[cut + 1].isspace():
-                    cut = part.rfind(" ", at + block // 2, cut)
-                if cut < 0:
-                    # A pre-token of white space may be another one without the text after it: no cut behind it.
-                    first, end = 0, at
-                    for m in self.pattern.finditer(part, at):
-                        first = first or m.end()
-                        if m.end() > at + block:
+                sure = list(_SURE_CUT.finditer(part, at + block // 2, at + block + 1))
+                if sure:
+                    cut = sure[-1].start()
+                else:
+                    # No sure cut: up to the next one the pre-tokens themselves are gone through. One of white space may
+                    # be another one without the text after it: no cut behind it.
+                    run = _SURE_CUT.search(part, at + block)
+                    whole, width = run.start() if run else len(part), 2 * block
+                    while True:
+                        end, cut, first = min(whole, at + width), at, 0
+                        for a, b in self.pre_tokens(part, at, end):
+                            first = first or b
+                            if b > at + block:
+                                break
+                            if not part[b - 1].isspace():
+                                cut = b
+                        if first < end or end == whole:
                             break
-                        if not m.group()[-1].isspace():
-                            end = m.end()
-                    cut = end
-                    if end == at:  # the pre-token here has to stand alone
+                        width *= 2  # the pre-token here may go on behind the window
+                    if cut == at:  # the pre-token here has to stand alone
                         for k in range(at, first, block):
                             yield part[k : min(k + block, first)], k > at
                         at = first
