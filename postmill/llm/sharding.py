@@ -8,8 +8,8 @@ and siblings' subtrees keep all their keys: movement is confined to the subtrees
 A shard added as a subtree of its own takes rows from everywhere and only into itself (law ``key``).
 
 Nulls and edges: a null key is hashed as null, so such rows share a shard; a null text has size 1 and
-crc32 0; repeated rows get the same shard and consecutive slots; an empty table gives no rows; other
-columns of the input are ignored.
+crc32 0; of a very long text only its size and crc32 are moved; repeated rows get the same shard and a slot each; an
+empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: region -> rack -> shard number -> weight
 Tree = dict[str, dict[str, dict[int, float]]]
 
-#: Rows of one window partition when slots are dealt, and the bound on their number (it bounds the broadcast).
+#: Rows of one bucket when slots are dealt, and the bound on the buckets of a shard.
 SLOT_ROWS, SLOT_BUCKETS = 64, 65_536
 
 
@@ -71,11 +73,11 @@ def descend(key: Column, tree: Tree, path: str = "") -> Column:
 def assign_shards(docs: DataFrame, tree: Tree, new_shard: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: its size, crc32, shard and place in the shard now, and its shard in the grown tree.
 
-    Slots are dealt without sorting a shard in one task: rows are numbered inside hash buckets of a shard and
-    the bucket's offset is added. Only the key, size and crc32 are shuffled, never the text.
+    Slots are dealt without sorting a shard in one task: rows are numbered inside buckets of a shard and the bucket's
+    offset is added. The law fixes a row's shard, not its slot, so buckets are drawn by the row's number, not its key:
+    rows of one key, null included, are spread like all others. Only the key, size and crc32 are written and shuffled,
+    never the text; the rows are read once, and their numbers are fixed by the table they are written to.
     """
-    spark = docs.sparkSession
-    buckets = min(SLOT_BUCKETS, docs.count() // SLOT_ROWS + 1)
     content = F.coalesce(F.col(text), F.lit(""))
     now, later = descend(F.col(key), tree), descend(F.col(key), grown(tree, new_shard))
     rows = docs.select(
@@ -85,13 +87,15 @@ def assign_shards(docs: DataFrame, tree: Tree, new_shard: int, key: str = "doc_i
         now["shard"].alias("shard"),
         F.substring_index(now["path"], "/", 3).alias("place"),
         later["shard"].alias("grown_shard"),
-        F.pmod(F.xxhash64(F.col(key), F.lit("slot")), F.lit(buckets)).alias("bucket"),
+        F.monotonically_increasing_id().alias("number"),
     )
-    # At most 9 shards' worth of SLOT_BUCKETS rows, whatever the input: small enough to broadcast.
+    rows = cut(rows, "shard-rows")
+    buckets = min(SLOT_BUCKETS, rows.count() // SLOT_ROWS + 1)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("number"), F.lit(buckets)))
     counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    # At most SLOT_BUCKETS rows a shard, whatever the input.
     offsets = counts.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("first"))
-    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
-    numbered = rows.withColumn("inside", F.row_number().over(inside) - 1)
-    return numbered.join(F.broadcast(offsets), ["shard", "bucket"]).select(
+    numbered = rows.withColumn("inside", F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("number")) - 1)
+    return numbered.join(offsets, ["shard", "bucket"]).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("inside")).alias("slot"), "grown_shard", "place"
     )
