@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import casefold
+from .text import casefold, unescaped
 
 #: In the order that breaks ties. Short lists of our own; an argument of `detect_language`.
 STOP_WORDS: dict[str, tuple[str, ...]] = {
@@ -20,7 +20,7 @@ STOP_WORDS: dict[str, tuple[str, ...]] = {
 }
 
 
-#: Local forms of target titles, by title in lower case; the reference's country pack for Brazil.
+#: Local forms of target titles in Brazil, by title in lower case.
 TITLE_ALIASES: dict[str, list[str]] = {
     "director supply chain": ["Diretor de Supply Chain", "Diretor de Cadeia de Suprimentos"],
     "head of procurement": ["Diretor de Suprimentos", "Head de Compras"],
@@ -54,7 +54,7 @@ TITLE_ALIASES: dict[str, list[str]] = {
 def detect_language(text: Column, stop_words: dict[str, tuple[str, ...]] = STOP_WORDS) -> Column:
     """F10. Hits of each language among the words of the first 12,000 characters. Unknown below 20 words, below 6 hits, or
     if the best is under 1.5 times the second and less than 4 ahead of it; ties go by the order of the languages."""
-    plain = F.regexp_replace(F.substring(casefold(F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]*>", " ")), 1, 12_000), r"[^\p{L}]+", " ")
+    plain = F.regexp_replace(F.substring(casefold(F.regexp_replace(unescaped(F.coalesce(text, F.lit(""))), "<[^>]*>", " ")), 1, 12_000), r"[^\p{L}]+", " ")
     tokens = F.split(F.trim(plain), " ")
 
     def judge(words: Column) -> Column:

@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 LEGAL_FORMS = ("gmbh", " ag", " ltd", " inc", " se", " co.", "& co", " mbh", " kg", " e.v.", " ohg", " ug", " sarl", " bv", " nv")
 TITLE_CITIES = ("berlin", "munich", "hamburg", "frankfurt", "cologne", "stuttgart", "leipzig", "dresden", "hannover", "dortmund", "essen", "bremen", "bonn")
 TITLE_NOISE = ("system engineering", "admin", "ingenieur", "it", "engineering")
+
+# Our own: items that a profile's lists drop, and words that do not tell two titles apart.
 PLACEHOLDERS = ("", "nan", "none", "null", "n/a", "unknown")
 TITLE_FILLERS = ("of", "de", "da", "do", "m", "w", "d", "f", "x", "gn")
 
@@ -106,19 +108,24 @@ def unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda t: html.unescape(t) if isinstance(t, str) and "&" in t else t)
 
 
+def unescaped(text: Column) -> Column:
+    """HTML entities as characters. Only texts with an ampersand go to a Python worker."""
+    return F.coalesce(unescape(F.when(F.contains(text, F.lit("&")), text)), text)
+
+
 def casefold(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
 def normalize_title(title: Column) -> Column:
     """F07. Tags off, case-folded, everything but letters, digits and _ as one space."""
-    plain = F.regexp_replace(casefold(F.regexp_replace(unescape(F.coalesce(title, F.lit(""))), "<[^>]*>", " ")), r"[^\p{L}\p{N}_]+", " ")
+    plain = F.regexp_replace(casefold(F.regexp_replace(unescaped(F.coalesce(title, F.lit(""))), "<[^>]*>", " ")), r"[^\p{L}\p{N}_]+", " ")
     return F.trim(plain)
 
 
 def normalize_company(company: Column) -> Column:
     """F08."""
-    return F.regexp_replace(casefold(F.trim(unescape(F.coalesce(company, F.lit(""))))), r"\s+", " ")
+    return F.regexp_replace(casefold(F.trim(unescaped(F.coalesce(company, F.lit(""))))), r"\s+", " ")
 
 
 def padded(text: Column) -> Column:
@@ -148,7 +155,7 @@ def to_utc_naive(stamp: Column) -> Column:
 def html_to_text(markup: Column) -> Column:
     """F13. Tags and script off, entities decoded, white space collapsed."""
     x = F.regexp_replace(markup, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
-    return F.trim(F.regexp_replace(unescape(F.regexp_replace(x, "<[^>]*>", " ")), r"[\s ]+", " "))
+    return F.trim(F.regexp_replace(unescaped(F.regexp_replace(x, "<[^>]*>", " ")), r"[\s ]+", " "))
 
 
 def main_text(markup: Column, longest: int = 4000) -> Column:
@@ -156,7 +163,7 @@ def main_text(markup: Column, longest: int = 4000) -> Column:
     block = F.regexp_extract(markup, r"(?is)<div[^>]*class=\"[^\"]*(?:job-?description|description|entry-content)[^\"]*\"[^>]*>(.*?)</div>", 1)
     paragraphs = F.transform(F.regexp_extract_all(markup, F.lit(r"(?is)<p[^>]*>(.*?)</p>"), 1), lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, "<[^>]*>", " "), r"\s+", " ")))
     best = F.aggregate(F.filter(paragraphs, lambda p: F.length(p) > 100), F.lit(""), lambda a, p: F.when(F.length(p) > F.length(a), p).otherwise(a))
-    return F.substring(F.when(block != "", html_to_text(block)).otherwise(unescape(best)), 1, longest)
+    return F.substring(F.when(block != "", html_to_text(block)).otherwise(unescaped(best)), 1, longest)
 
 
 def parse_salary(text: Column) -> Column:
@@ -202,3 +209,12 @@ def distinct_in_order(items: Column, limit: int | None = None) -> Column:
 def clean_list(raw: Column) -> Column:
     """P19. A comma list as at most 50 distinct items."""
     return distinct_in_order(F.split(F.coalesce(raw, F.lit("")), ","), 50)
+
+
+def country_codes(raw: Column) -> Column:
+    """P19. struct<good,bad> of a comma list of countries: two letters, in lower case; all else is flagged as bad."""
+
+    def split(items: Column) -> Column:
+        return F.struct(F.filter(items, lambda c: c.rlike("^[a-z]{2}$")).alias("good"), F.filter(items, lambda c: ~c.rlike("^[a-z]{2}$")).alias("bad"))
+
+    return F.transform(F.array(F.transform(clean_list(raw), F.lower)), split)[0]

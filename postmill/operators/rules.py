@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.language import TITLE_ALIASES, expand_queries
+from ..functions.language import TITLE_ALIASES, detect_language, expand_queries
 
 ALLOWED = ("de", "at", "ch", "nl", "fr", "es", "it", "pl", "gb", "uk", "ie", "se", "dk", "pt", "be", "lu", "cz")
 
@@ -31,8 +31,13 @@ class Lexicon:
     domain: tuple[str, ...] = ("supply chain", "procurement", "logistics", "logistik", "operations", "compras", "einkauf")
     commercial: tuple[str, ...] = ("retail operations", "sales operations", "sales director", "director of retail", "commercial director")
     core: tuple[str, ...] = ("supply chain", "procurement", "logistics", "logistik", "einkauf", "compras")
-    german_roles: tuple[str, ...] = ("leiter", "leiterin", "leitung", "direktor", "vorstand")
-    english_roles: tuple[str, ...] = ("director", "head", "chief", "officer", "manager", "lead", "president", "vp")
+    german_roles: tuple[str, ...] = ("abteilungsleiter", "bereichsleiter", "direktor", "einkaufsleiter", "leiter", "leiterin", "referent", "werksleiter")
+    english_roles: tuple[str, ...] = ("buyer", "chief", "director", "executive", "head", "manager", "officer", "owner", "specialist")
+    coo_roles: tuple[str, ...] = ("coo", "chief operating officer", "chief operations officer")
+    coo_modifiers: tuple[str, ...] = ("country", "deputy", "global", "group", "interim")
+    directors: tuple[str, ...] = ("head", "director", "vp", "chief", "diretor")
+    managers: tuple[str, ...] = ("manager", "gerente")
+    senior_managers: tuple[str, ...] = ("senior manager", "lead", "gerente senior")
     title_rejects: tuple[str, ...] = ("data officer", "legal", "consultant")
 
 
@@ -80,30 +85,31 @@ def reject_reason(as_of: str, days: int = 60, extra: tuple[str, ...] = (), lex:
     return F.when(is_negative(lex), "negative").when(is_too_old(as_of, days), "old").when(is_wrong_region(extra, lex), "wrong_location")
 
 
-def is_coo_title(title_norm: Column) -> Column:
-    """A title that starts with a chief operating officer role, after modifiers."""
-    return title_norm.rlike(r"^(?:(?:group|regional|global|interim|acting|deputy|country) )*(?:coo|chief (?:operating|operations) officer)(?: |$)")
+def is_coo_title(title_norm: Column, lex: Lexicon = LEXICON) -> Column:
+    """P07. A title that starts with a chief operating officer role, after modifiers."""
+    return title_norm.rlike(rf"^(?:(?:{'|'.join(lex.coo_modifiers)}) )*(?:{'|'.join(lex.coo_roles)})(?: |$)")
 
 
 def job_flags(jobs: DataFrame, lex: Lexicon = LEXICON) -> DataFrame:
     """What P05 needs of a posting alone, once per posting."""
     title = X.padded(F.col("title"))
     text = F.lower(F.concat_ws(" ", F.col("title"), F.coalesce("description", F.lit(""))))
-    head = X.has_word(title, ("head", "director", "vp", "chief", "diretor"))
+    head = X.has_word(title, lex.directors)
+    senior = X.has_part(F.lower("title"), lex.senior_managers)
     return jobs.select(
         "*",
         text.alias("text_lower"),
         X.title_tokens(F.col("title")).alias("t_tokens"),
         is_intern_title(F.col("title")).alias("f_intern"),
-        is_coo_title(F.trim(title)).alias("f_coo"),
+        is_coo_title(F.trim(title), lex).alias("f_coo"),
         X.has_part(F.lower("title"), lex.title_rejects).alias("f_reject"),
         (X.has_word(title, lex.commercial) & ~X.has_word(title, lex.core)).alias("f_commercial"),
         X.has_part(F.lower(F.coalesce("description", F.lit(""))), lex.foreign).alias("f_foreign"),
         (X.has_word(title, lex.german_roles) & ~X.has_word(title, lex.english_roles)).alias("f_german"),
+        (~detect_language(F.col("description")).isin("en", "unknown")).alias("f_other_language"),
         X.has_part(text, lex.domain).alias("f_domain"),
         head.alias("f_director"),
-        (X.has_word(title, ("senior",)) & X.has_word(title, ("manager", "lead"))).alias("f_senior_manager"),
-        (X.has_word(title, ("manager",)) & ~X.has_word(title, ("senior",)) & ~head).alias("f_plain_manager"),
+        (X.has_part(F.lower("title"), lex.managers) & ~senior & ~head).alias("f_plain_manager"),
         X.normalize_company(F.col("company_name")).alias("company_norm"),
         F.lower(F.coalesce("country", F.lit(""))).alias("country_lower"),
         F.contains(text, F.lit("remote")).alias("f_remote_word"),
@@ -154,8 +160,18 @@ def pre_filter(flags: DataFrame, terms: DataFrame, size: int = 4096) -> DataFram
         out, rest = found if out is None else out.unionByName(found), rest.where((F.col("user_id") > end) | F.col("user_id").isNull())
 
 
+def pre_filter_pairs(pairs: DataFrame, flags: DataFrame, terms: DataFrame) -> DataFrame:
+    """P05 for the given pairs (id, user_id) only: two equi-joins, however many postings and profiles there are."""
+    return _verdict(pairs.select("id", "user_id").join(flags, "id").join(terms, "user_id"))
+
+
 def _judged(flags: DataFrame, terms: DataFrame) -> DataFrame:
     """P05 over one block of profiles."""
+    return _verdict(flags.crossJoin(F.broadcast(terms)))
+
+
+def _verdict(joined: DataFrame) -> DataFrame:
+    """id, user_id, rule, passed and bucket from the columns of job_flags and profile_terms."""
     explicit = F.array_contains(F.col("targets"), F.col("t_tokens"))
     rules: list[tuple[Column, bool, str]] = [
         (F.col("f_intern"), False, "low"),
@@ -165,7 +181,7 @@ def _judged(flags: DataFrame, terms: DataFrame) -> DataFrame:
         (F.col("f_foreign"), False, "low"),
         (F.exists("keywords", lambda k: F.contains(F.col("text_lower"), k)), False, "low"),
         (F.array_contains(F.col("companies"), F.col("company_norm")), False, "low"),
-        (F.col("english_only") & F.col("f_german"), False, "low"),
+        (F.col("english_only") & (F.col("f_german") | F.col("f_other_language")), False, "low"),
         (~F.col("f_domain") & ~explicit, False, "low"),
         (work_mode_rejects(), False, "low"),
         ((F.size("preferred") > 0) & F.col("country_lower").rlike("^[a-z]{2}$") & ~F.array_contains(F.col("preferred"), F.col("country_lower")), False, "low"),
@@ -175,5 +191,4 @@ def _judged(flags: DataFrame, terms: DataFrame) -> DataFrame:
     ]
     at = F.coalesce(*[F.when(c, F.lit(i + 1)) for i, (c, _, _) in enumerate(rules)], F.lit(len(rules) + 1))
     pick = lambda f, last: reduce(lambda w, i: w.when(F.col("rule") == i + 1, f(rules[i])), range(1, len(rules)), F.when(F.col("rule") == 1, f(rules[0]))).otherwise(last)
-    joined = flags.crossJoin(F.broadcast(terms)).withColumn("rule", at)
-    return joined.select("id", "user_id", "rule", pick(lambda r: F.lit(r[1]), True).alias("passed"), pick(lambda r: F.lit(r[2]), "medium").alias("bucket"))
+    return joined.withColumn("rule", at).select("id", "user_id", "rule", pick(lambda r: F.lit(r[1]), True).alias("passed"), pick(lambda r: F.lit(r[2]), "medium").alias("bucket"))
