@@ -72,19 +72,31 @@ def duplicate_pair_counts(df: DataFrame) -> DataFrame:
     return own.unionByName(across).groupBy("title_key").agg(F.sum("form_pairs").alias("form_pairs"), F.sum("pairs").alias("pairs"))
 
 
+def fuzzy_blocks(keys: DataFrame) -> DataFrame:
+    """keys with `block`: rows of different blocks never merge.
+
+    Rows with and without a place never merge, and places merge only on equal roots, unless a title has a place with an
+    empty root, which goes with any: then the whole title is one block. Where all rows of a title have a country, blocks
+    are split by it as well."""
+    title = keys.groupBy(F.col("title_key").alias("t")).agg(F.max(F.coalesce(F.col("root") == "", F.lit(False))).alias("open"), F.max(F.col("c_country").isNull()).alias("anywhere"))
+    place = F.when(~F.col("open"), F.coalesce(F.concat(F.lit("="), "root"), F.lit("-"))).otherwise("*")
+    country = F.when(~F.col("anywhere"), F.col("c_country")).otherwise("*")
+    return keys.join(title, F.col("title_key").eqNullSafe(F.col("t"))).select(*keys.columns, F.concat_ws("|", place, country).alias("block"))
+
+
 def fuzzy_dedup(df: DataFrame) -> DataFrame:
     """D01 and U05. Greedy merge in arrival order among postings of equal title key.
 
     A posting joins the first accepted one with a compatible company and country and no conflicting place; the
     longer description survives (only if strictly longer) in the old place; sources add up in order.
-    Blocks are (title key, place root): places merge only on equal roots and rows without a place only with each
-    other, so this splits a title's bucket exactly unless a root is empty. The result depends on the order inside a
-    block, so a block is one sorted run of narrow rows in a task (no descriptions, only their lengths); the task
-    streams over it and holds the accepted postings of one block, not its rows. The texts are joined afterwards.
+    Titles are split exactly by `fuzzy_blocks`. The result depends on the order inside a block, so a block is one sorted
+    run of narrow rows in a task (no descriptions, only their lengths); the task streams over it and holds the accepted
+    postings of one block, not its rows. The texts are joined afterwards.
     """
     columns = ["title_key", "root", "arrival_seq", "source", "c_tokens", "c_words", "c_country", "size"]
     narrow = fuzzy_keys(df).withColumn("size", F.length(F.coalesce("description", F.lit("")))).select(*columns)
-    dealt = narrow.repartition("title_key", "root").sortWithinPartitions("title_key", "root", "arrival_seq")
+    blocks = fuzzy_blocks(narrow)
+    dealt = blocks.repartition("title_key", "block").sortWithinPartitions("title_key", "block", "arrival_seq")
     schema = "slot long, kept_seq long, members long, merged_sources array<string>, comparisons long"
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,7 +108,7 @@ def fuzzy_dedup(df: DataFrame) -> DataFrame:
 
         for b in batches:
             for row in b.astype(object).where(b.notna(), None).to_dict("records"):
-                key = (row["title_key"], row["root"])
+                key = (row["title_key"], row["block"])
                 if key != block:
                     if accepted:
                         yield done()
@@ -120,7 +132,10 @@ def fuzzy_dedup(df: DataFrame) -> DataFrame:
 
 
 def _alike(a: dict, b: dict) -> bool:
-    if a["c_country"] and b["c_country"] and a["c_country"] != b["c_country"]:
+    """Whether two rows of one title have compatible countries, places and companies."""
+    if a["c_country"] is not None and b["c_country"] is not None and a["c_country"] != b["c_country"]:
+        return False
+    if (a["root"] is None) != (b["root"] is None) or a["root"] and b["root"] and a["root"] != b["root"]:
         return False
     if a["c_words"] is None or b["c_words"] is None:
         return a["c_words"] is None and b["c_words"] is None
