@@ -44,6 +44,18 @@ def unscored(jobs: DataFrame, users: DataFrame, scores: DataFrame) -> DataFrame:
     return users.select("user_id").join(scored, "user_id", "left").join(F.broadcast(n)).select("user_id", (F.col("n_jobs") - F.coalesce("n_scored", F.lit(0))).alias("n_unscored"))
 
 
+def unscored_jobs(jobs: DataFrame, scores: DataFrame, user_id: int, countries: list[str], as_of: str, days: int) -> DataFrame:
+    """J03. Postings of the countries, scraped in the last days, without a score row of the user."""
+    done = scores.where(F.col("user_id") == user_id).select(F.col("job_id").alias("id"))
+    fresh = F.col("scraped_at") >= F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days))
+    return jobs.where(fresh & F.lower("country").isin([c.lower() for c in countries])).join(done, "id", "left_anti")
+
+
+def to_score(passed: DataFrame, hits: DataFrame) -> DataFrame:
+    """J06, the rest: pairs (id, user_id) that pass and have no fresh score, as (job_id, user_id)."""
+    return passed.select(F.col("id").alias("job_id"), "user_id").join(hits.select("job_id", "user_id"), ["job_id", "user_id"], "left_anti")
+
+
 def exclude_actioned(jobs: DataFrame, applications: DataFrame, user_id: int) -> DataFrame:
     """J04. Postings the user has not applied to or rejected, by id or by dedup_hash."""
     acted = applications.where((F.col("user_id") == user_id) & F.col("status").isin("applied", "rejected")).select(F.col("job_id").alias("id"))
@@ -67,11 +79,14 @@ def prefilter_reject_rows(verdicts: DataFrame, as_of: str) -> DataFrame:
     return verdicts.where(~F.col("passed") & (F.col("bucket") == "low")).select(F.col("id").alias("job_id"), "user_id", F.lit(0).alias("score"), F.lit("rejected by rules").alias("ai_analysis"), F.lit("prefilter").alias("model_version"), F.lit(as_of).cast("timestamp_ntz").alias("scored_at"))
 
 
-def recheck_zero_scores(scores: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """D07. Zero scores without analysis: `filtered` if the rules still reject, else `to_score`."""
-    zero = scores.where((F.col("score") == 0) & F.col("ai_analysis").isNull())
-    v = verdicts.select(F.col("id").alias("job_id"), "user_id", "passed")
-    return zero.join(v, ["job_id", "user_id"]).select("job_id", "user_id", F.when(F.col("passed"), "to_score").otherwise("filtered").alias("action"))
+def zero_scores(scores: DataFrame) -> DataFrame:
+    """D07. The pairs (id, user_id) to check again: score 0 without analysis."""
+    return scores.where((F.col("score") == 0) & F.col("ai_analysis").isNull()).select(F.col("job_id").alias("id"), "user_id")
+
+
+def recheck_zero_scores(verdicts: DataFrame) -> DataFrame:
+    """D07. From the verdicts of those pairs: `filtered` if the rules still reject, else `to_score`."""
+    return verdicts.select(F.col("id").alias("job_id"), "user_id", F.when(F.col("passed"), "to_score").otherwise("filtered").alias("action"))
 
 
 def stale_score_queue(scores: DataFrame, as_of: str, budget: int = 300) -> DataFrame:
@@ -84,12 +99,16 @@ def stale_score_queue(scores: DataFrame, as_of: str, budget: int = 300) -> DataF
 
 
 def tiered_queue(verdicts: DataFrame, tier1: int = 1000, rejects: int = 2000) -> DataFrame:
-    """W06. Per user: tier 1 (passed) up to its cap; tier 2 only where tier 1 is empty; rejects up to theirs."""
+    """W06. Per user: tier 1 (passed) up to its cap; tier 2 only where tier 1 is empty; rejects up to theirs.
+
+    The first cut is by one number, so each task keeps its own first rows before anything is shuffled; what is left is at
+    most a few thousand rows a user. Every tier that a user has keeps a row, so the lowest one is read from them."""
     tier = F.when(F.col("passed"), 1).when(F.col("bucket") == "manager_tier2", 2).otherwise(3)
     w = Window.partitionBy("user_id", "tier").orderBy("id")
-    ranked = verdicts.withColumn("tier", tier).withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.when(F.col("tier") == 3, rejects).otherwise(tier1))
-    lowest = verdicts.groupBy("user_id").agg(F.min(tier).alias("lowest"))
-    return ranked.join(lowest, "user_id").where((F.col("tier") != 2) | (F.col("lowest") == 2)).select("user_id", "id", "tier", "place")
+    ranked = verdicts.select("user_id", "id", tier.alias("tier")).withColumn("place", F.row_number().over(w)).where(F.col("place") <= max(tier1, rejects))
+    capped = ranked.where(F.col("place") <= F.when(F.col("tier") == 3, rejects).otherwise(tier1))
+    lowest = capped.withColumn("lowest", F.min("tier").over(Window.partitionBy("user_id")))
+    return lowest.where((F.col("tier") != 2) | (F.col("lowest") == 2)).select("user_id", "id", "tier", "place")
 
 
 def assign_batches(queue: DataFrame, size: int = 15, order: str = "place") -> DataFrame:
@@ -99,10 +118,11 @@ def assign_batches(queue: DataFrame, size: int = 15, order: str = "place") -> Da
 
 
 def semantic_priority(queue: DataFrame, threshold: float = 0.25) -> DataFrame:
-    """W08. explicit, similar, without vector, low; then similarity, then input order. Removes nothing."""
+    """W08. explicit, similar, without vector, low; then similarity, then input order. Removes nothing; n_low counts the user's low ones."""
     group = F.when(F.col("explicit"), 0).when(F.col("similarity") >= threshold, 1).when(F.col("similarity").isNull(), 2).otherwise(3)
     w = Window.partitionBy("user_id").orderBy("group", F.desc(F.coalesce("similarity", F.lit(0.0))), "seq")
-    return queue.withColumn("group", group).withColumn("place", F.row_number().over(w))
+    low = F.count_if(F.col("group") == 3).over(Window.partitionBy("user_id"))
+    return queue.withColumn("group", group).withColumn("place", F.row_number().over(w)).withColumn("n_low", low)
 
 
 def score_prompt(batches: DataFrame) -> DataFrame:
@@ -135,6 +155,35 @@ def parse_score_response(response: Column, size: Column) -> Column:
     return F.filter(items, lambda x: (x["index"] >= 0) & (x["index"] < size))
 
 
+def job_text(longest: int = 6000, total: int = 12_000) -> Column:
+    """F20. A posting as one text: title, company and place with labels, then the start of the description."""
+    label = lambda name, c: F.concat(F.lit(f"{name}: "), F.col(c))
+    return F.substring(F.concat_ws("\n", label("Title", "title"), label("Company", "company_name"), label("Location", "location"), F.substring("description", 1, longest)), 1, total)
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two vectors by built-in functions, in double precision, to six digits; null where one is null or zero."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    return F.round(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), 6)
+
+
+def pair_similarity(pairs: DataFrame, vectors: DataFrame, profiles: DataFrame) -> DataFrame:
+    """pairs (id, user_id) with similarity, from vectors (id, embedding) and profile vectors (user_id, embedding); null where
+    one has no vector. Two equi-joins."""
+    v, p = vectors.select("id", F.col("embedding").alias("_v")), profiles.select("user_id", F.col("embedding").alias("_p"))
+    return pairs.join(v, "id", "left").join(p, "user_id", "left").withColumn("similarity", cosine(F.col("_v"), F.col("_p"))).drop("_v", "_p")
+
+
+def profile_similarity(vectors: DataFrame, profiles: DataFrame, size: int = 4096) -> DataFrame:
+    """J07. (id, user_id, cosine) of every vector and profile (user_id, embedding, profile_hash, embedding_profile_hash) whose
+    vector carries the current hash. Asked for are all pairs, so the profiles are broadcast, if there are at most `size`."""
+    current = profiles.where((F.col("embedding_profile_hash") == F.col("profile_hash")) & F.col("embedding").isNotNull()).select("user_id", F.col("embedding").alias("_p"))
+    if current.limit(size + 1).count() > size:
+        raise ValueError(f"pass the profiles in blocks of at most {size}")
+    pairs = vectors.where(F.col("embedding").isNotNull()).crossJoin(F.broadcast(current))
+    return pairs.select("id", "user_id", cosine(F.col("embedding"), F.col("_p")).alias("cosine"))
+
+
 def similarity(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """J07 and T08. The k nearest rows by cosine for each query vector: (query_id, id, cosine).
 
@@ -190,6 +239,14 @@ def score_with(batches: DataFrame, fn: Callable[[list[str]], list[str]]) -> Data
     return batches.mapInPandas(run, "user_id long, batch long, response string")
 
 
+def scored_rows(answers: DataFrame, batches: DataFrame, size: int) -> DataFrame:
+    """X01. (job_id, user_id, score) of each answered place, from answers (user_id, batch, response) to batches of at most
+    `size` rows (user_id, batch, in_batch, id); a place answered twice takes its last score, one without answer gives no row."""
+    each = answers.select("user_id", "batch", F.posexplode(parse_score_response(F.col("response"), F.lit(size))).alias("_p", "s"))
+    last = each.groupBy("user_id", "batch", F.col("s.index").cast("long").alias("in_batch")).agg(F.max_by(F.col("s.score"), "_p").alias("score"))
+    return batches.select("user_id", "batch", F.col("in_batch").cast("long").alias("in_batch"), F.col("id").alias("job_id")).join(last, ["user_id", "batch", "in_batch"]).select("job_id", "user_id", "score")
+
+
 def embed_with(texts: DataFrame, fn: Callable[[list[str]], list[list[float]]], dimension: int) -> DataFrame:
     """X02. A user's embedder over (id, text); vectors are fitted to the dimension."""
 
