@@ -19,8 +19,9 @@ def feed_base(jobs: DataFrame, scores: DataFrame, applications: DataFrame, user_
     return jobs.join(s, "id", "left").join(a, "id", "left")
 
 
-def feed_filters(base: DataFrame, min_score: int | None = None, sources: list[str] | None = None, status: str | None = None, countries: list[str] | None = None, hidden: list[str] | None = None, closed: bool = False) -> DataFrame:
-    """P14 and P15. Hidden countries count for the default and the `new` feed without an explicit country."""
+def feed_filters(base: DataFrame, min_score: int | None = None, sources: list[str] | None = None, status: str | None = None, countries: list[str] | None = None, hidden: list[str] | None = None, closed: bool = False, region: str | None = None, search: str | None = None, among: DataFrame | None = None) -> DataFrame:
+    """P14 and P15, composed. Hidden countries count for the default and the `new` feed without an explicit country.
+    `search` is F26's term; `among` has the ids (id) of a semantic selection (T08)."""
     df = base
     if min_score is not None:
         df = df.where(F.col("score") >= min_score)
@@ -40,16 +41,35 @@ def feed_filters(base: DataFrame, min_score: int | None = None, sources: list[st
         df = df.where(country.isNull() | ~country.isin(valid))
     if not closed:
         df = df.where(F.coalesce(F.col("url_status"), F.lit("")) != "closed")
-    return df
+    if region:
+        df = df.where(region_preset(region))
+    if search and search.strip():
+        df = prefix_search(df, search)
+    return df if among is None else df.join(among.select("id").distinct(), "id", "left_semi")
 
 
-#: P16. Named regions: country sets.
-REGIONS = {"dach": ("de", "at", "ch"), "nordics": ("se", "dk", "no", "fi")}
+# The regions of the feed, by country and by parts of the place.
+REGIONS = {
+    "germany": ("de",),
+    "dach": ("de", "at", "ch"),
+    "europe": ("de", "at", "ch", "nl", "be", "lu", "dk", "pl", "cz", "si", "sk", "ro", "hu"),
+    "cee": ("si", "sk", "ro", "hu"),
+}
+PLACES = {"saxony": ("leipzig", "dresden", "halle", "chemnitz", "sachsen", "saxony")}
 
 
 def region_preset(name: str) -> Column:
-    """P16. A named country set; 'berlin' is a part of the place instead."""
-    return F.coalesce(F.contains(F.lower("location"), F.lit("berlin")), F.lit(False)) if name == "berlin" else F.coalesce(F.lower("country").isin(*REGIONS[name]), F.lit(False))
+    """P16. A named country set, or a set of parts of the place."""
+    if name in PLACES:
+        return X.has_part(F.lower(F.coalesce("location", F.lit(""))), PLACES[name])
+    return F.coalesce(F.lower("country").isin(*REGIONS[name]), F.lit(False))
+
+
+def display(df: DataFrame) -> DataFrame:
+    """P17. What a feed shows for missing values, and the quality of the text."""
+    shown = {"company_name": "N/A", "location": "N/A", "country": "?", "salary_currency": "EUR"}
+    filled = {c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(v)) if c in df.columns else F.lit(v) for c, v in shown.items()}
+    return df.withColumns({**filled, "data_quality": data_quality()})
 
 
 def data_quality() -> Column:
@@ -72,14 +92,45 @@ def after_key(df: DataFrame, posted_at: str, last_id: int, per_page: int) -> Dat
 
 
 def unreviewed(scores: DataFrame, applications: DataFrame, min_score: int) -> DataFrame:
-    """J02. Scored postings that the user has not applied to, rejected or withdrawn."""
+    """J02. Scored postings that the user has not applied to, rejected or withdrawn; `place` counts them per user, best first."""
     done = applications.where(F.col("status").isin("applied", "rejected", "withdrawn"))
-    return scores.where(F.col("score") >= min_score).join(done, ["user_id", "job_id"], "left_anti")
+    left = scores.where(F.col("score") >= min_score).join(done, ["user_id", "job_id"], "left_anti")
+    return left.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "job_id")))
+
+
+def applications_with_jobs(applications: DataFrame, jobs: DataFrame, user_id: int | None = None, status: str | None = None) -> DataFrame:
+    """J10. Applications (of one user, in one status) with their posting; `place` counts them per user, newest update first."""
+    own = applications if user_id is None else applications.where(F.col("user_id") == user_id)
+    own = own if status is None else own.where(F.col("status") == status)
+    found = own.join(jobs.select(F.col("id").alias("job_id"), "title", "company_name"), "job_id").select("user_id", "job_id", "status", "title", "company_name", "updated_at")
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("updated_at"), "job_id")))
+
+
+def embedding_queue(jobs: DataFrame, vectors: DataFrame, n: int = 70) -> DataFrame:
+    """T04. Postings without a vector (id), newest scraped first."""
+    return jobs.join(vectors.select("id"), "id", "left_anti").orderBy(F.desc("scraped_at"), "id").limit(n)
+
+
+def stale_profiles(profiles: DataFrame, seen: int = 200, n: int = 20) -> DataFrame:
+    """T05. Of the `seen` profiles updated last, the first n whose vector belongs to another hash."""
+    newest = profiles.orderBy(F.desc("updated_at"), "user_id").limit(seen)
+    return newest.where(~F.col("embedding_profile_hash").eqNullSafe(F.col("profile_hash"))).orderBy(F.desc("updated_at"), "user_id").limit(n)
+
+
+def search_results(scores: DataFrame, least: int = 40, n: int = 100) -> DataFrame:
+    """T11. Scored candidates, best first."""
+    return scores.where(F.col("score") >= least).orderBy(F.desc("score"), "job_id", "user_id").limit(n)
+
+
+def recent_events(events: DataFrame, n: int = 12) -> DataFrame:
+    """T10. The newest events."""
+    return events.orderBy(F.desc("created_at"), F.desc("id")).limit(n)
 
 
-def applications_with_jobs(applications: DataFrame, jobs: DataFrame) -> DataFrame:
-    """J10."""
-    return applications.join(jobs.select(F.col("id").alias("job_id"), "title", "company_name"), "job_id").select("user_id", "job_id", "status", "title", "company_name", "updated_at")
+def recent_scans(events: DataFrame, n: int = 8) -> DataFrame:
+    """T10. The newest scans; `latest_status` is that of the last one."""
+    last = recent_events(events.where(F.col("event_type") == "scan"), n)
+    return last.withColumn("latest_status", F.max_by("status", F.struct("created_at", "id")).over(Window.partitionBy(F.lit(1))))
 
 
 def url_check_queue(jobs: DataFrame, as_of: str, hours: int = 20, n: int = 500) -> DataFrame:
@@ -156,9 +207,12 @@ def is_safe_public_url(url: Column) -> Column:
 
     @F.pandas_udf("boolean")
     def safe(urls: pd.Series) -> pd.Series:
-        return urls.map(_safe)
+        return urls.map(lambda u: None if u is None else _safe(u))
 
-    return safe(url)
+    # A plain name without credentials, port or literal address needs no parser: only the other URLs go to a worker.
+    plain = url.rlike(r"^(?i:https?)://[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z][A-Za-z0-9-]*(?:[/?#][\x21-\x5A\x5C\x5E-\x7E]*)?$") & (F.length(url) <= 4096)
+    plain = F.coalesce(plain, F.lit(False))
+    return plain | F.coalesce(safe(F.when(~plain, url)), F.lit(False))
 
 
 def _safe(url: object) -> bool:

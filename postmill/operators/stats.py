@@ -5,40 +5,62 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 
 def since(column: str, as_of: str, hours: int) -> Column:
     return F.col(column) >= F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(hours))
 
 
-def user_stats(scores: DataFrame, applications: DataFrame) -> DataFrame:
-    """A01. Per user: scored, top, applied, rejected, inbox."""
+def user_stats(scores: DataFrame, applications: DataFrame, jobs: DataFrame) -> DataFrame:
+    """A01. Per user: scored, top, applied, rejected, inbox; and the same for all: postings, and postings by source."""
     s = scores.groupBy("user_id").agg(F.count("*").alias("scored"), F.count_if(F.col("score") >= 70).alias("top"))
     a = applications.groupBy("user_id").agg(F.count_if(F.col("status") == "applied").alias("applied"), F.count_if(F.col("status") == "rejected").alias("rejected"))
     done = applications.where(F.col("status").isin("applied", "rejected"))
     inbox = scores.join(done, ["user_id", "job_id"], "left_anti").groupBy("user_id").agg(F.count("*").alias("inbox"))
-    both = s.join(a, "user_id", "full").join(inbox, "user_id", "left")
-    return both.select("user_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("scored", "top", "applied", "rejected", "inbox")])
+    by_source = jobs.groupBy("source").agg(F.count("*").alias("n"))
+    each = F.array_sort(F.collect_list(F.concat_ws(":", "source", F.col("n").cast("string"))))
+    total = by_source.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_jobs"), F.array_join(each, ",").alias("by_source"))  # one row
+    both = s.join(a, "user_id", "full").join(inbox, "user_id", "left").crossJoin(F.broadcast(total))
+    return both.select("user_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("scored", "top", "applied", "rejected", "inbox")], "total_jobs", "by_source")
 
 
-def public_stats(jobs: DataFrame, scores: DataFrame, as_of: str, days: int = 30) -> DataFrame:
+def public_stats(jobs: DataFrame, scores: DataFrame, users: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """A02. All-time and last-month counts; a prefilter reject is score 0 without analysis."""
     month = lambda c: since(c, as_of, 24 * days)
-    reject = (F.col("score") == 0) & F.col("ai_analysis").isNull()
+    reject, top, fresh = (F.col("score") == 0) & F.col("ai_analysis").isNull(), F.col("score") >= 70, month("scored_at")
     j = jobs.agg(F.count("*").alias("jobs"), F.count_if(month("scraped_at")).alias("jobs_month"), F.count_distinct("source").alias("sources"), F.count_distinct(F.when(month("scraped_at"), F.col("source"))).alias("sources_month"))
-    s = scores.agg(F.count("*").alias("scores"), F.count_if(month("scored_at")).alias("scores_month"), F.count_if(reject).alias("rejects"), F.count_if(F.col("score") >= 80).alias("top"), F.count_distinct("user_id").alias("users"))
-    return j.crossJoin(s)  # one row each
+    s = scores.agg(F.count("*").alias("scores"), F.count_if(fresh).alias("scores_month"), F.count_if(reject).alias("rejects"), F.count_if(reject & fresh).alias("rejects_month"), F.count_if(top).alias("top"), F.count_if(top & fresh).alias("top_month"))
+    return j.crossJoin(s).crossJoin(users.agg(F.count_if("is_active").alias("active_users")))  # one row each
 
 
-def ops_kpis(scores: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
-    """A03. Per user totals, counts in the window and in 7 days, average score; a reject is score 0 by `prefilter`."""
+def ops_kpis(scores: DataFrame, jobs: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
+    """A03. Per user: totals, counts in the window and in 7 days, top matches, average score of the window, share of all
+    postings scored (coverage) and not scored (pending); a reject is score 0 by `prefilter`."""
+    recent = since("scored_at", as_of, hours)
     out = scores.groupBy("user_id").agg(
         F.count("*").alias("total"),
-        F.count_if(since("scored_at", as_of, hours)).alias("recent"),
+        F.count_if(recent).alias("recent"),
         F.count_if(since("scored_at", as_of, 168)).alias("week"),
-        F.round(F.avg("score"), 4).alias("average"),
+        F.count_if(F.col("score") >= 70).alias("top"),
+        F.count_if((F.col("score") >= 70) & recent).alias("top_recent"),
+        F.round(F.avg(F.when(recent, F.col("score"))), 1).alias("average"),
         F.count_if((F.col("score") == 0) & (F.col("model_version") == "prefilter")).alias("rejects"),
     )
-    return out.withColumn("week_pct", F.round(F.try_divide(F.col("week") * 100, F.col("total")), 1))
+    known = scores.join(jobs.select(F.col("id").alias("job_id")), "job_id", "left_semi").groupBy("user_id").agg(F.count_distinct("job_id").alias("known"))
+    n = jobs.agg(F.count("*").alias("jobs"))  # one row
+    share = lambda x: F.coalesce(F.round(F.try_divide(x * 100, F.col("jobs")), 1), F.lit(0.0))
+    joined = out.join(known, "user_id", "left").crossJoin(F.broadcast(n)).withColumn("pending", F.col("jobs") - F.coalesce("known", F.lit(0)))
+    return joined.withColumns({"coverage_pct": share(F.col("total")), "pending_pct": share(F.col("pending")), "week_pct": F.round(F.try_divide(F.col("week") * 100, F.col("total")), 1)}).drop("known", "jobs")
+
+
+def funnel(jobs: DataFrame, scores: DataFrame, applications: DataFrame, as_of: str, hours: int) -> DataFrame:
+    """A06. Per user with scores, in the window: collected, scored, top, applied, rejected, saved."""
+    s = scores.groupBy("user_id").agg(F.count_if(since("scored_at", as_of, hours)).alias("scored"), F.count_if((F.col("score") >= 70) & since("scored_at", as_of, hours)).alias("top"))
+    acts = applications.where(since("updated_at", as_of, hours)).groupBy("user_id").agg(*[F.count_if(F.col("status") == k).alias(k) for k in ("applied", "rejected", "saved")])
+    n = jobs.agg(F.count_if(since("scraped_at", as_of, hours)).alias("collected"))  # one row
+    joined = s.join(acts, "user_id", "left").crossJoin(F.broadcast(n))
+    return joined.select("user_id", "collected", "scored", "top", *[F.coalesce(k, F.lit(0)).alias(k) for k in ("applied", "rejected", "saved")])
 
 
 def source_breakdown(jobs: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
@@ -106,10 +128,31 @@ def scan_funnel(unique: DataFrame, raw: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def rescore_summary(verdicts: DataFrame, valid: DataFrame) -> DataFrame:
-    """A13. Per user: postings in scope, already current, passing, rejected, pending."""
+def scan_report(raw: DataFrame, unique: DataFrame, merged: DataFrame) -> DataFrame:
+    """A12 in full: raw postings, by source too; what exact and fuzzy dedup left, removed and compared; then the reject
+    reasons of what was left. `merged` is D01's result with reject_reason."""
+    one = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("stage"), "n")
+    by_source = raw.groupBy("source").agg(F.count("*").alias("n")).select(F.concat(F.lit("source:"), "source").alias("stage"), "n")
+    fuzzy = merged.agg(F.coalesce(F.sum(F.col("members") - 1), F.lit(0)).alias("fuzzy_removed"), F.coalesce(F.sum("comparisons"), F.lit(0)).alias("comparisons"), F.count("*").alias("unique"))
+    stages = F.array(*[F.struct(F.lit(k).alias("stage"), F.col(k).alias("n")) for k in ("fuzzy_removed", "comparisons", "unique")])
+    reasons = merged.groupBy(F.coalesce("reject_reason", F.lit("kept")).alias("stage")).agg(F.count("*").alias("n"))
+    return one("raw", raw).unionByName(by_source).unionByName(one("exact", unique)).unionByName(fuzzy.select(F.inline(stages))).unionByName(reasons)
+
+
+def rescore_summary(verdicts: DataFrame, valid: DataFrame, jobs: DataFrame, profiles: DataFrame, budget: int = 300) -> DataFrame:
+    """A13. Per user: postings in scope, already current, hidden by country, passing, by bucket, rejected; pending (passing and
+    not current), eligible (pending and not hidden) and selected (eligible within the budget). Profiles are a bounded block."""
+    hidden = profiles.select("user_id", F.filter(F.transform(X.clean_list(F.col("hidden_countries")), F.lower), lambda c: c.rlike("^[a-z]{2}$")).alias("hidden"))
     v = verdicts.withColumnRenamed("id", "job_id").join(valid.select("job_id", "user_id", F.lit(1).alias("current")), ["job_id", "user_id"], "left")
-    return v.groupBy("user_id").agg(F.count("*").alias("in_scope"), F.count("current").alias("current"), F.count_if("passed").alias("passing"), F.count_if(~F.col("passed")).alias("rejected"), F.count_if(F.col("passed") & F.col("current").isNull()).alias("pending"))
+    v = v.join(jobs.select(F.col("id").alias("job_id"), X.normalize_country(F.col("country")).alias("country")), "job_id").join(hidden, "user_id")
+    unseen = F.coalesce(F.array_contains("hidden", F.col("country")), F.lit(False))
+    pending = F.col("passed") & F.col("current").isNull()
+    out = v.groupBy("user_id").agg(
+        F.count("*").alias("in_scope"), F.count("current").alias("current"), F.count_if(unseen).alias("hidden"), F.count_if("passed").alias("passing"),
+        *[F.count_if(F.col("bucket") == b).alias(b) for b in ("high", "medium", "manager_tier2", "low")],
+        F.count_if(~F.col("passed")).alias("rejected"), F.count_if(pending).alias("pending"), F.count_if(pending & ~unseen).alias("eligible"),
+    )
+    return out.withColumn("selected", F.least(F.col("eligible"), F.lit(budget).cast("long")))
 
 
 def last_success_age(events: DataFrame, as_of: str) -> DataFrame:
