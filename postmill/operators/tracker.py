@@ -23,20 +23,47 @@ def status_transitions(events: DataFrame) -> DataFrame:
     return events.select("user_id", "job_id", "event_id", F.lag("status").over(w).alias("old_status"), F.col("status").alias("new_status"))
 
 
+def owned_actions(current: DataFrame, actions: DataFrame) -> DataFrame:
+    """D09. The actions that count: valid ones by which a user acts on a posting (owner_id null), and status updates of an
+    application (owner_id: whose it is) only by its owner and only where there is one."""
+    valid = actions.where(F.col("action").isin(*STATUSES))
+    own = valid.where(F.col("owner_id").isNull())
+    updates = valid.where(F.col("owner_id") == F.col("user_id"))
+    there = current.select("user_id", "job_id").unionByName(own.select("user_id", "job_id")).distinct()
+    return own.unionByName(updates.join(there, ["user_id", "job_id"], "left_semi").select(own.columns))
+
+
+def _effective(current: DataFrame, actions: DataFrame) -> DataFrame:
+    """Current rows and the actions that change something, in order: save only creates."""
+    a = owned_actions(current, actions).select("user_id", "job_id", F.col("action").alias("status"), F.col("at").alias("changed_at"), F.col("seq").alias("event_id"), F.col("owner_id").isNotNull().alias("update"), F.lit(1).alias("new"), F.lit(None).cast("timestamp_ntz").alias("was_applied"))
+    first_applied = F.col("applied_at") if "applied_at" in current.columns else F.when(F.col("status") == "applied", F.col("updated_at"))
+    c = current.select("user_id", "job_id", "status", F.col("updated_at").alias("changed_at"), F.lit(-1).cast("long").alias("event_id"), F.lit(False).alias("update"), F.lit(0).alias("new"), first_applied.alias("was_applied"))
+    w = Window.partitionBy("user_id", "job_id").orderBy("new", "changed_at", "event_id")
+    rows = c.unionByName(a).withColumn("_n", F.row_number().over(w))
+    # A save of what is there does nothing; an update cannot create.
+    rows = rows.where((F.col("new") == 0) | ((F.col("_n") == 1) & ~F.col("update")) | ((F.col("status") != "saved") | F.col("update")))
+    return rows.withColumn("old_status", F.lag("status").over(w))
+
+
 def apply_actions(current: DataFrame, actions: DataFrame) -> DataFrame:
-    """D09. Applications after a log of actions (user_id, job_id, action, at, seq): save only creates; others set the
-    status, if valid. `applied` always sets applied_at, as a repeated application does."""
-    a = actions.where(F.col("action").isin(*STATUSES)).select("user_id", "job_id", F.col("action").alias("status"), F.col("at").alias("changed_at"), F.col("seq").alias("event_id"), F.lit(1).alias("new"))
-    c = current.select("user_id", "job_id", "status", F.col("updated_at").alias("changed_at"), F.lit(-1).cast("long").alias("event_id"), F.lit(0).alias("new"))
-    rows = c.unionByName(a)
-    first = F.row_number().over(Window.partitionBy("user_id", "job_id").orderBy("new", "changed_at", "event_id"))
-    effective = rows.withColumn("_n", first).where((F.col("_n") == 1) | (F.col("status") != "saved") | (F.col("new") == 0))
+    """D09. Applications after a log of actions (user_id, job_id, action, at, seq, owner_id): save only creates, others set
+    the status. `applied` by the user sets applied_at each time; as a status update it sets it only where there is none."""
     order = F.struct("new", "changed_at", "event_id")
-    return effective.groupBy("user_id", "job_id").agg(F.max_by("status", order).alias("status"), F.max(order)["changed_at"].alias("updated_at"), F.max(F.when(F.col("status") == "applied", F.col("changed_at"))).alias("applied_at"))
+    by_user = F.max(F.when((F.col("status") == "applied") & (F.col("new") == 1) & ~F.col("update"), F.col("changed_at")))
+    by_update = F.min(F.when((F.col("status") == "applied") & F.col("update"), F.col("changed_at")))
+    rows = _effective(current, actions).groupBy("user_id", "job_id")
+    return rows.agg(F.max_by("status", order).alias("status"), F.max(order)["changed_at"].alias("updated_at"), F.coalesce(by_user, F.max("was_applied"), by_update).alias("applied_at"))
+
+
+def action_history(current: DataFrame, actions: DataFrame) -> DataFrame:
+    """D09. One row per change that the actions make: old and new status; old is null where the action creates. A save that
+    creates leaves no row."""
+    rows = _effective(current, actions).where("new = 1 and not (old_status is null and status = 'saved')")
+    return rows.select("user_id", "job_id", F.col("event_id").alias("seq"), "old_status", F.col("status").alias("new_status"), "changed_at")
 
 
 def retention(jobs: DataFrame, applications: DataFrame, as_of: str, days: int = 45) -> DataFrame:
-    """D01-D02. What stays: postings scraped since the cutoff or with a live application of any user."""
+    """D02. What stays: postings scraped since the cutoff or with a live application of any user."""
     live = applications.where(F.col("status").isin("applied", "interviewing", "offer")).select(F.col("job_id").alias("id")).distinct()
     fresh = F.col("scraped_at") >= F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days))
     return jobs.where(fresh).unionByName(jobs.where(~fresh).join(live, "id", "left_semi").select(jobs.columns))
@@ -60,6 +87,33 @@ def auto_exclude_companies(profiles: DataFrame, applications: DataFrame, jobs: D
     return profiles.join(more, "user_id", "left").select("user_id", X.distinct_in_order(F.concat(listed, F.coalesce("more", F.array().cast("array<string>")))).alias("excluded_companies"))
 
 
+def zero_excluded(scores: DataFrame, profiles: DataFrame, applications: DataFrame, jobs: DataFrame, threshold: int = 5, note: str = "company excluded") -> DataFrame:
+    """D04. Scores after auto-exclusion: 0 with a note at a company that is newly excluded for the user (rejected at least
+    `threshold` times and not yet in the profile's list), but for postings the user applied to or rejected (J09)."""
+    listed = profiles.select("user_id", F.transform(X.clean_list(F.col("excluded_companies")), F.lower).alias("listed"))
+    fresh = rejections_by_company(applications, jobs, threshold).join(listed, "user_id").where(~F.array_contains("listed", F.col("company"))).select("user_id", "company")
+    at = jobs.select(F.col("id").alias("job_id"), F.lower("company_name").alias("company")).join(fresh, "company").select("user_id", "job_id")
+    acted = applications.where(F.col("status").isin("applied", "rejected")).select("user_id", "job_id")
+    hit = at.join(acted, ["user_id", "job_id"], "left_anti").distinct().withColumn("_hit", F.lit(True))
+    joined = scores.join(hit, ["user_id", "job_id"], "left")
+    return joined.withColumns({"score": F.when(F.col("_hit"), 0).otherwise(F.col("score")), "ai_analysis": F.when(F.col("_hit"), note).otherwise(F.col("ai_analysis"))}).select(scores.columns)
+
+
+def eligible(jobs: DataFrame, scores: DataFrame, applications: DataFrame, user_id: int, hidden: tuple[str, ...] = ()) -> DataFrame:
+    """U04. Postings without the user's scored and acted ones and without hidden countries."""
+    seen = lambda df: df.where(F.col("user_id") == user_id).select(F.col("job_id").alias("id"))
+    left = jobs.join(seen(scores), "id", "left_anti").join(seen(applications), "id", "left_anti")
+    country = X.normalize_country(F.col("country"))
+    return left.where(country.isNull() | ~country.isin(*[h.lower() for h in hidden])) if hidden else left
+
+
+def country_support(wanted: Column, supported: list[str]) -> Column:
+    """U01. struct<supported,skipped> of an array of country codes, in order."""
+    has = F.array(*map(F.lit, supported))
+    low = F.transform(wanted, F.lower)
+    return F.struct(F.array_intersect(low, has).alias("supported"), F.array_except(low, has).alias("skipped"))
+
+
 def split_exclusions(profiles: DataFrame, jobs: DataFrame) -> DataFrame:
     """U03. Keywords that name a known company move to the company list; the rest stay, in order."""
     known = jobs.select(F.lower(F.trim("company_name")).alias("k")).where("k is not null").distinct().withColumn("known", F.lit(True))
