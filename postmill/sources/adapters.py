@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-COLUMNS = ("external_id", "source", "title", "company_name", "location", "country", "description", "salary_min", "salary_max", "salary_currency", "url", "is_remote", "posted_at")
+COLUMNS = ("external_id", "source", "title", "company_name", "location", "country", "description", "salary_min", "salary_max", "salary_currency", "url", "is_remote", "posted_at", "raw_data")
 CURRENCIES = {"gb": "GBP", "us": "USD", "pl": "PLN", "ch": "CHF", "br": "BRL", "au": "AUD"}
 
 
@@ -23,9 +23,18 @@ def postings(df: DataFrame, source: str, **values: Column) -> DataFrame:
     return df.select("arrival_seq", *[made.get(c, F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in COLUMNS])
 
 
+#: Elements of one array that keep their place in arrival_seq, and rows of one source in a union of sources.
+PLACES, SOURCE_ROWS = 10_000, 1 << 56
+
+
+def _placed(seq: Column, place: Column) -> Column:
+    """A sequence number refined by a place inside its row; more places than PLACES are an error, not a wrong order."""
+    return F.when(place < PLACES, seq * PLACES + place).otherwise(F.raise_error(F.lit(f"a payload holds more than {PLACES} elements: land it in smaller pages")).cast("long"))
+
+
 def _numbered(df: DataFrame, array: Column, name: str = "r") -> DataFrame:
     """One row per element, arrival_seq refined by the element's place."""
-    return df.select((F.col("arrival_seq") * 10_000).alias("_a"), F.posexplode(array).alias("_p", name)).select((F.col("_a") + F.col("_p")).alias("arrival_seq"), name)
+    return df.select(F.col("arrival_seq").alias("_a"), F.posexplode(array).alias("_p", name)).select(_placed(F.col("_a"), F.col("_p")).alias("arrival_seq"), name)
 
 
 def from_paged_api(df: DataFrame, country: str) -> DataFrame:
@@ -69,14 +78,24 @@ def from_snippet_api(df: DataFrame) -> DataFrame:
     schema = "struct<jobs:array<struct<id:string,title:string,company:string,location:string,snippet:string,salary:string,link:string,updated:string>>>"
     r = _numbered(df, F.from_json("payload", schema)["jobs"]).where((F.coalesce("r.id", F.lit("")) != "") & (F.coalesce("r.title", F.lit("")) != ""))
     pay = X.parse_salary(F.col("r.salary"))
-    return postings(r, "snippet", external_id=F.concat(F.lit("snippet_"), F.col("r.id")), title=F.col("r.title"), company_name=F.col("r.company"), location=F.col("r.location"), description=X.html_to_text(F.col("r.snippet")), salary_min=pay["min"], salary_max=pay["max"], url=F.col("r.link"), posted_at=X.to_utc_naive(F.col("r.updated")))
+    return postings(r, "snippet", external_id=F.concat(F.lit("snippet_"), F.col("r.id")), title=F.col("r.title"), company_name=F.col("r.company"), location=F.col("r.location"), description=X.html_to_text(F.col("r.snippet")), salary_min=pay["min"], salary_max=pay["max"], url=F.col("r.link"), posted_at=X.to_utc_naive(F.col("r.updated")), raw_data=F.to_json(F.struct(F.col("r.id").alias("id"), F.col("r.salary").alias("salary"), F.col("r.updated").alias("updated"))))
 
 
 def from_embedded_state(df: DataFrame, prefix: str) -> DataFrame:
-    """S06. Entries of a JSON state in a script block whose key starts with a prefix."""
-    state = F.regexp_extract("payload", r"(?s)<script[^>]*id=\"state\"[^>]*>(.*?)</script>", 1)
-    entries = F.map_entries(F.from_json(state, "map<string,struct<id:string,title:string,company:string,location:string,refreshedAt:string,activatedAt:string,activeUntil:string,url:string>>"))
-    r = _numbered(df, F.filter(entries, lambda e: F.startswith(e["key"], F.lit(prefix)))).select("arrival_seq", F.col("r.value").alias("r"))
+    """S06. Entries of a JSON state in a script block whose key starts with a prefix. Where the state does not parse (cut
+    off, or broken in another entry), flat entries are taken one by one from its text."""
+    fields = ("id", "title", "company", "location", "refreshedAt", "activatedAt", "activeUntil", "url")
+    kind = f"struct<{','.join(f'{f}:string' for f in fields)}>"
+    state = F.regexp_extract("payload", r"(?s)<script[^>]*id=\"state\"[^>]*>(.*?)(?:</script>|$)", 1)
+    parsed = F.map_entries(F.from_json(state, f"map<string,{kind}>"))
+    flat = F.regexp_extract_all(state, F.lit(r'("[^"\\]+":\{[^{}]*\})'), 1)
+
+    def entry(text: Column) -> Column:
+        return F.struct(F.regexp_extract(text, r'^"([^"\\]+)"', 1).alias("key"), F.from_json(F.regexp_extract(text, r"(\{.*\})$", 1), kind).alias("value"))
+
+    entries = F.coalesce(parsed, F.transform(flat, entry))
+    kept = F.filter(entries, lambda e: F.startswith(e["key"], F.lit(prefix)) & e["value"]["id"].isNotNull())
+    r = _numbered(df, kept).select("arrival_seq", F.col("r.value").alias("r"))
     stamp = F.coalesce(*[X.to_utc_naive(F.col(f"r.{c}")) for c in ("refreshedAt", "activatedAt", "activeUntil")])
     return postings(r, "state", external_id=F.concat(F.lit("state_"), F.col("r.id")), title=F.col("r.title"), company_name=F.col("r.company"), location=F.col("r.location"), url=F.col("r.url"), posted_at=stamp)
 
@@ -95,7 +114,7 @@ def from_company_feed(df: DataFrame, queries: list[str], countries: list[str], s
     """S08. Companies with jobs inside; kept are requested countries and titles in scope; at most `cap`, in order (a feed limit)."""
     schema = "struct<companies:array<struct<name:string,jobs:array<struct<id:string,name:string,country:string,city:string,state:string,description:string,duties:string,needs:string,url:string,published:string>>>>>"
     c = _numbered(df, F.from_json("payload", schema)["companies"], "c")
-    r = c.select((F.col("arrival_seq") * 1000).alias("_a"), F.col("c.name").alias("company"), F.posexplode("c.jobs").alias("_p", "r")).select((F.col("_a") + F.col("_p")).alias("arrival_seq"), "company", "r")
+    r = c.select(F.col("arrival_seq").alias("_a"), F.col("c.name").alias("company"), F.posexplode("c.jobs").alias("_p", "r")).select(_placed(F.col("_a"), F.col("_p")).alias("arrival_seq"), "company", "r")
     title, country = F.lower("r.name"), F.lower("r.country")
     either = reduce(lambda a, q: a | F.contains(title, F.lit(q.lower())) | F.contains(F.lit(q.lower()), title), queries, F.lit(False))
     in_scope = either | (X.has_part(title, senior) & X.has_part(title, domain))
@@ -118,10 +137,12 @@ def from_rss(df: DataFrame, details: DataFrame, queries: list[str]) -> DataFrame
 
 
 def from_tabular(df: DataFrame, country: str, ignores_country: tuple[str, ...] = ("google",)) -> DataFrame:
-    """S10. A scraped table (site, id, title, company, location, description, min_amount, max_amount, currency, job_url, is_remote, date_posted)."""
+    """S10. A scraped table (site, id, title, company, location, description, min_amount, max_amount, currency, job_url, is_remote,
+    date_posted, and optionally the query that found the row, which is kept in raw_data)."""
+    found_by = F.to_json(F.struct(F.col("query"))) if "query" in df.columns else F.lit(None)
     clean = lambda c: X.null_if_placeholder(F.col(c))
     number = lambda c: F.when(~F.isnan(c), F.col(c))
-    out = postings(df, "table", external_id=F.concat_ws("_", "site", "id"), title=clean("title"), company_name=clean("company"), location=clean("location"), country=F.when(~F.col("site").isin(*ignores_country), F.lit(country)), description=clean("description"), salary_min=number("min_amount"), salary_max=number("max_amount"), salary_currency=clean("currency"), url=clean("job_url"), is_remote=F.col("is_remote"), posted_at=X.to_utc_naive(F.col("date_posted").cast("string")))
+    out = postings(df, "table", external_id=F.concat_ws("_", "site", "id"), title=clean("title"), company_name=clean("company"), location=clean("location"), country=F.when(~F.col("site").isin(*ignores_country), F.lit(country)), description=clean("description"), salary_min=number("min_amount"), salary_max=number("max_amount"), salary_currency=clean("currency"), url=clean("job_url"), is_remote=F.col("is_remote"), posted_at=X.to_utc_naive(F.col("date_posted").cast("string")), raw_data=found_by)
     return out.where(F.col("title").isNotNull())
 
 
@@ -138,14 +159,34 @@ def union_sources(frames: dict[str, DataFrame], disabled: tuple[str, ...] = ())
     used = [(i, f) for i, (name, f) in enumerate(frames.items()) if name.lower() not in off]
     if not used:
         raise ValueError("every source is disabled")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f.withColumn("arrival_seq", F.col("arrival_seq") + F.lit(i) * F.lit(10**15)) for i, f in used])
+    if len(frames) > 127:
+        raise ValueError("a union holds at most 127 sources")
+    seq = F.col("arrival_seq")
+    fits = lambda i: F.when(seq < SOURCE_ROWS, seq + F.lit(i * SOURCE_ROWS)).otherwise(F.raise_error(F.lit("arrival_seq is too large for a union of sources")).cast("long"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f.withColumn("arrival_seq", fits(i)) for i, f in used])
 
 
-def scan_scope(profiles: DataFrame) -> DataFrame:
-    """W03. Target titles over all profiles: case-insensitive, first wins by user, then place."""
-    items = profiles.select("user_id", F.posexplode(X.clean_list(F.col("target_titles"))).alias("pos", "item")).withColumn("item", F.regexp_replace(F.trim("item"), r"\s+", " "))
-    first = items.groupBy(F.lower("item").alias("k")).agg(F.min(F.struct("user_id", "pos", "item")).alias("f"))
-    return first.select("f.item", "f.user_id", "f.pos")
+def source_report(frames: dict[str, DataFrame], disabled: tuple[str, ...] = ()) -> DataFrame:
+    """S13. Per source its raw count and status: ok, empty or disabled (not counted)."""
+    off = {d.lower() for d in disabled}
+    count = lambda name, f: f.agg(F.count("*").alias("n")).select(F.lit(name).alias("source"), "n", F.when(F.col("n") > 0, "ok").otherwise("empty").alias("status"))
+    rows = [f.limit(0).agg(F.count("*").alias("n")).select(F.lit(name).alias("source"), "n", F.lit("disabled").alias("status")) if name.lower() in off else count(name, f) for name, f in frames.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def scan_scope(profiles: DataFrame, titles: tuple[str, ...] = (), countries: tuple[str, ...] = ()) -> DataFrame:
+    """W03. kind (title, country), item, user_id and pos: target titles and preferred countries over all profiles,
+    case-insensitive, first wins by user, then place; the defaults (user_id null) where a kind has none."""
+    listed = lambda c, kind: profiles.select("user_id", F.lit(kind).alias("kind"), F.posexplode(X.clean_list(F.col(c))).alias("pos", "item"))
+    items = listed("target_titles", "title").unionByName(listed("preferred_countries", "country").withColumn("item", X.normalize_country(F.col("item"))))
+    items = items.where("item is not null").withColumn("item", F.regexp_replace(F.trim("item"), r"\s+", " "))
+    first = items.groupBy("kind", F.lower("item").alias("k")).agg(F.min(F.struct("user_id", "pos", "item")).alias("f")).select("kind", "f.item", "f.user_id", "f.pos")
+    given = [(k, t, i) for k, own in (("title", titles), ("country", countries)) for i, t in enumerate(own)]
+    if not given:
+        return first
+    default = profiles.sparkSession.createDataFrame(given, "kind string, item string, pos int")
+    missing = default.join(items.select("kind").distinct(), "kind", "left_anti")
+    return first.unionByName(missing.select("kind", "item", F.lit(None).cast(profiles.schema["user_id"].dataType).alias("user_id"), "pos"))
 
 
 def rotate(items: DataFrame, slot: int, n: int) -> DataFrame:

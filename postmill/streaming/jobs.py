@@ -123,6 +123,50 @@ def breaker_intervals(calls: DataFrame, threshold: int = 3) -> DataFrame:
     return dealt.mapInPandas(run, "backend string, opened_at timestamp_ntz, until timestamp_ntz")
 
 
+def limit_stream(events: DataFrame, limit: int, seconds: float) -> DataFrame:
+    """ST05 as a stream of (subject, key, ts, event_id): the state of a key is the admitted times of its last window. Events
+    of a micro-batch are taken by time; a later micro-batch goes on from the state."""
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(frames)).sort_values(["t", "event_id"])
+        out = []
+        for t, event in zip(rows["t"], rows["event_id"]):
+            held = [h for h in held if h > t - seconds]
+            ok = len(held) < limit
+            out.append((event, ok, 0.0 if ok else round(held[0] + seconds - t, 6)))
+            if ok:
+                held.append(t)
+        state.update((held,))
+        yield pd.DataFrame(out, columns=["event_id", "admitted", "retry_after"])
+
+    narrow = events.select("subject", "key", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), "event_id")
+    return narrow.groupBy("subject", "key").applyInPandasWithState(step, "event_id long, admitted boolean, retry_after double", "held array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def breaker_stream(calls: DataFrame, threshold: int = 3) -> DataFrame:
+    """ST06 as a stream of (backend, ts, ok, event_id), ts in UTC: the state of a backend is its failures in a row and until
+    when it is open. Seconds since the epoch keep the midnight free of any session's zone."""
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        failures, until = state.get if state.exists else (0, 0.0)
+        rows = pd.concat(list(frames)).sort_values(["t", "event_id"])
+        out = []
+        for t, ok in zip(rows["t"], rows["ok"]):
+            if t < until:
+                continue
+            failures = 0 if ok else failures + 1
+            if failures >= threshold:
+                until, failures = (t // 86_400 + 1) * 86_400, 0
+                out.append((key[0], t, until))
+        state.update((failures, until))
+        yield pd.DataFrame(out, columns=["backend", "opened", "until"])
+
+    narrow = calls.select("backend", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), "ok", "event_id")
+    found = narrow.groupBy("backend").applyInPandasWithState(step, "backend string, opened double, until double", "failures int, until double", "append", GroupStateTimeout.NoTimeout)
+    return found.select("backend", F.timestamp_micros((F.col("opened") * 1e6).cast("long")).alias("opened_at"), F.timestamp_micros((F.col("until") * 1e6).cast("long")).alias("until"))
+
+
 def match_alerts(jobs: DataFrame, profiles: DataFrame, sink: str, threshold: int = 80, n: int = 10) -> Callable[[DataFrame, int], None]:
     """ST07. For foreachBatch over new scores: at most n alerts per user and batch, outside hidden countries."""
 
