@@ -5,8 +5,9 @@ A key starts with the operator's id. Queries without SQL are tested against sequ
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import language
@@ -19,15 +20,13 @@ from .fixtures import AS_OF, load, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-#: The SQL as written at the query, without its tables.
-ORACLE_BODY: dict[str, str] = {}
 
 
 def register(name: str, sql: str | None = None, *tables: str):
     def add(f):
         QUERIES[name] = f
         if sql is not None:
-            ORACLE_SQL[name], ORACLE_BODY[name] = oracle(sql, *tables), sql
+            ORACLE_SQL[name] = oracle(sql, *tables)
         return f
 
     return add
@@ -136,11 +135,14 @@ def _(s, d):
     return jobs(s, d).select("id", X.to_utc_naive(F.concat(F.date_format("posted_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+03:00"))).alias("utc"))
 
 
-@register("F13_page_text", r"""select page_id, length(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[\s ]+', ' ', 'g'))) > 0 as has_text from pages""")
+@register("F13_page_text", r"""select page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[\s\x{A0}]+', ' ', 'g'))) as digest from pages""")
 def _(s, d):
-    from ..session import read
+    return read(s, d, "pages").select("page_id", F.sha2(X.html_to_text(F.col("html")), 256).alias("digest"))
 
-    return read(s, d, "pages").select("page_id", (F.length(X.html_to_text(F.col("html"))) > 0).alias("has_text"))
+
+@register("F13_main_text", r"""select page_id, substr(replace(replace(replace(list_reduce(list_prepend('', list_filter(list_transform(regexp_extract_all(html, '(?is)<p[^>]*>(.*?)</p>', 1), lambda p: trim(regexp_replace(regexp_replace(p, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))), lambda p: length(p) > 100)), lambda a, p: case when length(p) > length(a) then p else a end), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), 1, 4000) as text from pages""")
+def _(s, d):
+    return read(s, d, "pages").select("page_id", X.main_text(F.col("html")).alias("text"))
 
 
 @register("F14_salary", "select id, cast(regexp_extract_all(t, '[0-9]{4,}')[1] as double) as low, cast(list_last(regexp_extract_all(t, '[0-9]{4,}')) as double) as high from (select id, regexp_replace('EUR ' || cast(50 + id % 40 as varchar) || ',000 - ' || cast(90 + id % 30 as varchar) || '.000', '[,.]', '', 'g') as t from jobs) x", "jobs")
@@ -152,8 +154,6 @@ def _(s, d):
 
 @register("F15_domains", r"select domain, count(*) as n from (select array_to_string(list_slice(string_split(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '.'), -2, -1), '.') as domain from pages) t group by domain")
 def _(s, d):
-    from ..session import read
-
     host = F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1)
     return read(s, d, "pages").groupBy(X.registered_domain(host).alias("domain")).agg(F.count("*").alias("n"))
 
@@ -165,9 +165,7 @@ def _(s, d):
 
 @register("F20_embedding_text", "select id, sha256(substr('Title: ' || title || coalesce(chr(10) || 'Company: ' || company_name, '') || coalesce(chr(10) || 'Location: ' || location, '') || coalesce(chr(10) || substr(description, 1, 6000), ''), 1, 12000)) as digest from jobs", "jobs")
 def _(s, d):
-    label = lambda name, c: F.concat(F.lit(f"{name}: "), F.col(c))
-    text = F.concat_ws("\n", label("Title", "title"), label("Company", "company_name"), label("Location", "location"), F.substring("description", 1, 6000))
-    return jobs(s, d).select("id", F.sha2(F.substring(text, 1, 12000), 256).alias("digest"))
+    return jobs(s, d).select("id", F.sha2(scoring.job_text(), 256).alias("digest"))
 
 
 @register("F22_fit_dimension", "select vec_id, len(embedding) as d0, round(cast(embedding[1] as double), 5) as first, round(coalesce(cast(embedding[80] as double), 0), 5) as last from vectors", "vectors")
@@ -182,6 +180,16 @@ def _(s, d):
     return jobs(s, d).groupBy(X.null_if_placeholder(F.col("company_name")).alias("company")).agg(F.count("*").alias("n"))
 
 
+@register("F07_normal_titles", rf"select id, trim(regexp_replace(replace(lower(replace(replace('<b>' || title || '</b> &amp; more', '<b>', ' '), '</b>', ' ')), '&amp;', '&'), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')) as title from jobs", "jobs")
+def _(s, d):
+    return jobs(s, d).select("id", X.normalize_title(F.concat(F.lit("<b>"), "title", F.lit("</b> &amp; more"))).alias("title"))
+
+
+@register("F08_normal_companies", "select id, trim(regexp_replace(lower(coalesce(company_name, '') || ' & co'), '\\s+', ' ', 'g')) as company from jobs", "jobs")
+def _(s, d):
+    return jobs(s, d).select("id", X.normalize_company(F.concat(F.lit("  "), F.coalesce("company_name", F.lit("")), F.lit(" &amp; Co "))).alias("company"))
+
+
 # --- dedup, filters, rules ---------------------------------------------------------------------------------------
 
 
@@ -241,24 +249,35 @@ def _(s, d):
     return stats.scan_funnel(unique_jobs(s, d).withColumn("reject_reason", rules.reject_reason(AS_OF)), jobs(s, d))
 
 
+#: F10 in SQL: the language of each description, with its word lists spelled out.
+LANGUAGE = r"""lt as (select id, string_split(trim(regexp_replace(substr(replace(lower(regexp_replace(coalesce(description, ''), '<[^>]*>', ' ', 'g')), 'ß', 'ss'), 1, 12000), '[^\p{L}]+', ' ', 'g')), ' ') as w from jobs),
+ lh as (select id, len(w) as n, len(list_filter(w, lambda x: x in ('the', 'and', 'of', 'to', 'in', 'is', 'for', 'with', 'on', 'that'))) as en,
+  len(list_filter(w, lambda x: x in ('der', 'die', 'und', 'das', 'ist', 'mit', 'für', 'von', 'zu', 'den'))) as de,
+  len(list_filter(w, lambda x: x in ('le', 'la', 'les', 'des', 'et', 'une', 'est', 'pour', 'dans', 'que'))) as fr,
+  len(list_filter(w, lambda x: x in ('el', 'los', 'las', 'una', 'por', 'para', 'con', 'del', 'que', 'es'))) as es from lt),
+ lr as (select *, list_reverse_sort([en, de, fr, es]) as s from lh),
+ lang as materialized (select id, case when n < 20 or s[1] < 6 or (s[1] < 1.5 * s[2] and s[1] - s[2] < 4) then 'unknown' when en = s[1] then 'en' when de = s[1] then 'de' when fr = s[1] then 'fr' else 'es' end as language from lr)"""
+
+
 def _titles() -> str:
     p = sql_padded("title")
     plain = rf"list_filter(string_split(trim({p}), ' '), lambda w: w not in ({', '.join(repr(w) for w in X.TITLE_FILLERS)}))"
     head = sql_word(p, ("head", "director", "vp", "chief", "diretor"))
     text = f"lower(title || ' ' || coalesce(description, ''))"
-    return f"""flags as (select id, is_remote, {text} as txt, array_to_string({plain}, ' ') as tt, {INTERN} as f_intern,
- regexp_matches(trim({p}), '^((group|regional|global|interim|acting|deputy|country) )*(coo|chief (operating|operations) officer)( |$)') as f_coo,
+    senior = "(contains(lower(title), 'senior manager') or contains(lower(title), 'lead') or contains(lower(title), 'gerente senior'))"
+    return f"""{LANGUAGE}, flags as materialized (select jobs.id, is_remote, {text} as txt, array_to_string({plain}, ' ') as tt, {INTERN} as f_intern,
+ regexp_matches(trim({p}), '^((country|deputy|global|group|interim) )*(coo|chief (operating|operations) officer)( |$)') as f_coo,
  {sql_part('lower(title)', L.title_rejects)} as f_reject, ({sql_word(p, L.commercial)} and not {sql_word(p, L.core)}) as f_commercial,
- {sql_part(_DESC, L.foreign)} as f_foreign, ({sql_word(p, L.german_roles)} and not {sql_word(p, L.english_roles)}) as f_german,
- {sql_part(text, L.domain)} as f_domain, {head} as f_director, ({sql_word(p, ('manager',))} and not {sql_word(p, ('senior',))} and not {head}) as f_plain,
- lower(trim(coalesce(company_name, ''))) as comp, lower(coalesce(country, '')) as ctry from jobs),
+ {sql_part(_DESC, L.foreign)} as f_foreign, ({sql_word(p, L.german_roles)} and not {sql_word(p, L.english_roles)}) as f_german, language in ('de', 'fr', 'es') as f_other,
+ {sql_part(text, L.domain)} as f_domain, {head} as f_director, ((contains(lower(title), 'manager') or contains(lower(title), 'gerente')) and not {senior} and not {head}) as f_plain,
+ lower(trim(coalesce(company_name, ''))) as comp, lower(coalesce(country, '')) as ctry from jobs join lang on lang.id = jobs.id),
 terms as (select user_id, work_mode, english_only,
- case user_id % 3 when 0 then ['head procurement', 'coo'] when 1 then ['director supply chain'] else [] end as targets, user_id % 3 = 0 as t_coo,
+ case user_id % 3 when 0 then ['head procurement', 'diretor suprimentos', 'head compras', 'coo'] when 1 then ['director supply chain', 'diretor supply chain', 'diretor cadeia suprimentos'] else [] end as targets, user_id % 3 = 0 as t_coo,
  case user_id % 3 when 0 then ['de', 'at'] when 1 then ['de'] else [] end as pref,
- case user_id % 5 when 0 then ['retail'] when 1 then ['intern'] else [] end as kws,
- case user_id % 6 when 0 then ['nordwerk'] when 1 then ['vtx ag'] else [] end as comps from profiles),
+ case user_id % 5 when 0 then ['retail'] when 1 then ['intern'] when 2 then ['hafenlogistik se', 'growth'] else [] end as kws,
+ case user_id % 6 when 0 then ['nordwerk'] when 1 then ['vtx ag'] else [] end as comps from scored_profiles),
 verdicts as (select id, user_id, cast(case when f_intern then 1 when f_coo and not t_coo then 2 when f_reject and not e then 3 when f_commercial and not e then 4
- when f_foreign then 5 when len(list_filter(kws, lambda k: contains(txt, k))) > 0 then 6 when list_contains(comps, comp) then 7 when english_only and f_german then 8
+ when f_foreign then 5 when len(list_filter(kws, lambda k: contains(txt, k))) > 0 then 6 when list_contains(comps, comp) then 7 when english_only and (f_german or f_other) then 8
  when not f_domain and not e then 9
  when (case work_mode when 'remote' then coalesce(not is_remote, not contains(txt, 'remote')) when 'onsite' then coalesce(is_remote, false) when 'hybrid' then coalesce(is_remote, false) and not contains(txt, 'hybrid') else false end) then 10
  when len(pref) > 0 and regexp_full_match(ctry, '[a-z]{{2}}') and not list_contains(pref, ctry) then 11
@@ -270,27 +289,33 @@ judged as (select id, user_id, rule, rule in (12, 14, 15) as passed, case when r
 VERDICTS = _titles()
 
 
+def terms(s, d) -> DataFrame:
+    return rules.profile_terms(load(s, d, "scored_profiles"))
+
+
 def verdicts(s, d) -> DataFrame:
-    return rules.pre_filter(rules.job_flags(jobs(s, d)), rules.profile_terms(load(s, d, "profiles")))
+    return rules.pre_filter(rules.job_flags(jobs(s, d)), terms(s, d))
 
 
-@register("P05_pre_filter", f", {VERDICTS} select id, user_id, rule, passed, bucket from judged", "jobs", "profiles")
+@register("P05_pre_filter", f", {VERDICTS} select id, user_id, rule, passed, bucket from judged", "jobs", "scored_profiles")
 def _(s, d):
     return verdicts(s, d)
 
 
-@register("P06_P10_title_flags", f", {VERDICTS} select id, f_intern, f_coo, f_commercial, f_german, f_domain, f_plain from flags", "jobs", "profiles")
+@register("P06_P10_title_flags", f", {VERDICTS} select id, f_intern, f_coo, f_commercial, f_german, f_other, f_domain, f_plain from flags", "jobs", "scored_profiles")
 def _(s, d):
-    return rules.job_flags(jobs(s, d)).select("id", "f_intern", "f_coo", "f_commercial", "f_german", "f_domain", F.col("f_plain_manager").alias("f_plain"))
+    return rules.job_flags(jobs(s, d)).select("id", "f_intern", "f_coo", "f_commercial", "f_german", F.col("f_other_language").alias("f_other"), "f_domain", F.col("f_plain_manager").alias("f_plain"))
 
 
-@register("P12_work_mode", f", {VERDICTS} select work_mode, count(*) as n from flags cross join terms where (case work_mode when 'remote' then coalesce(not is_remote, not contains(txt, 'remote')) when 'onsite' then coalesce(is_remote, false) when 'hybrid' then coalesce(is_remote, false) and not contains(txt, 'hybrid') else false end) group by work_mode", "jobs", "profiles")
+@register("P12_work_mode", f", {VERDICTS} select work_mode, count(*) as n from flags cross join terms where (case work_mode when 'remote' then coalesce(not is_remote, not contains(txt, 'remote')) when 'onsite' then coalesce(is_remote, false) when 'hybrid' then coalesce(is_remote, false) and not contains(txt, 'hybrid') else false end) group by work_mode", "jobs", "scored_profiles")
 def _(s, d):
-    terms = rules.profile_terms(load(s, d, "profiles"))
-    return rules.job_flags(jobs(s, d)).crossJoin(F.broadcast(terms)).where(rules.work_mode_rejects()).groupBy("work_mode").agg(F.count("*").alias("n"))
+    # Users of one mode stand alike to a posting: the modes (at most four) are paired with the postings, not the profiles.
+    modes = terms(s, d).groupBy("work_mode").agg(F.count("*").alias("users"))
+    pairs = rules.job_flags(jobs(s, d)).crossJoin(F.broadcast(modes)).where(rules.work_mode_rejects())
+    return pairs.groupBy("work_mode").agg(F.sum("users").alias("n"))
 
 
-@register("P13_buckets", f", {VERDICTS} select user_id, bucket, count(*) as n from judged group by user_id, bucket", "jobs", "profiles")
+@register("P13_buckets", f", {VERDICTS} select user_id, bucket, count(*) as n from judged group by user_id, bucket", "jobs", "scored_profiles")
 def _(s, d):
     return verdicts(s, d).groupBy("user_id", "bucket").agg(F.count("*").alias("n"))
 
@@ -300,17 +325,26 @@ def _(s, d):
     return jobs(s, d).groupBy("source", feed.data_quality().alias("quality")).agg(F.count("*").alias("n"))
 
 
-@register("P19_clean_lists", "select user_id, case user_id % 3 when 0 then 'Head of Procurement|COO' when 1 then 'Director Supply Chain' else '' end as titles, case user_id % 5 when 0 then 'retail' when 1 then 'intern' else '' end as keywords from profiles", "profiles")
+@register("P17_display", "select id, coalesce(nullif(company_name, ''), 'N/A') as company_name, coalesce(nullif(location, ''), 'N/A') as location, coalesce(nullif(country, ''), '?') as country, 'EUR' as salary_currency, case when length(coalesce(description, '')) >= 300 then 'full' else 'partial' end as data_quality from jobs", "jobs")
 def _(s, d):
-    p = load(s, d, "profiles")
-    return p.select("user_id", F.array_join(X.clean_list(F.col("target_titles")), "|").alias("titles"), F.array_join(X.clean_list(F.col("excluded_keywords")), "|").alias("keywords"))
+    return feed.display(jobs(s, d)).select("id", "company_name", "location", "country", "salary_currency", "data_quality")
 
 
-@register("P20_safe_urls", "select true as safe, count(*) as n from pages where regexp_matches(url, '^https?://[^/@:]+(/|$|[?])')")
+@register("P19_clean_lists", "select user_id, case user_id % 3 when 0 then 'Head of Procurement|COO' when 1 then 'Director Supply Chain' else '' end as titles, case user_id % 5 when 0 then 'retail' when 1 then 'intern' when 2 then 'Hafenlogistik SE|growth' else '' end as keywords, case user_id % 4 when 0 then 'at' when 1 then 'us' else '' end as countries, case user_id % 4 when 1 then 'de1' else '' end as bad_countries from profiles", "profiles")
 def _(s, d):
-    from ..session import read
+    codes = X.country_codes(F.col("hidden_countries"))
+    lists = {"titles": X.clean_list(F.col("target_titles")), "keywords": X.clean_list(F.col("excluded_keywords")), "countries": codes["good"], "bad_countries": codes["bad"]}
+    return load(s, d, "profiles").select("user_id", *[F.array_join(v, "|").alias(k) for k, v in lists.items()])
 
-    return read(s, d, "pages").groupBy(feed.is_safe_public_url(F.col("url")).alias("safe")).agg(F.count("*").alias("n"))
+
+@register("P20_safe_urls", r"""select page_id, kind, case kind when 0 then regexp_matches(url, '^https?://[^/@:]+(/|$|[?])') when 4 then true when 7 then true else false end as safe from (select page_id, page_id % 8 as kind, url from pages) t""")
+def _(s, d):
+    tail, kind = F.col("page_id").cast("string"), F.col("page_id") % 8
+    made = ["ftp://a.example/", "https://u:p@a.example/", "http://10.0.0.7/", "https://a.example:443/", "https://a.example:8443/", "http://[::1]/", "http://93.184.216.34/"]
+    url = F.when(kind == 0, F.col("url"))
+    for i, x in enumerate(made, 1):
+        url = url.when(kind == i, F.concat(F.lit(x), tail))
+    return read(s, d, "pages").select("page_id", kind.alias("kind"), feed.is_safe_public_url(url).alias("safe"))
 
 
 @register("P21_error_events", "select id, case when id % 5 = 1 then 'error' else 'warn' end as level, message from ops_events where id % 5 in (0, 1)", "ops_events")
@@ -353,14 +387,21 @@ def _(s, d):
     return feed.feed_filters(base(s, d), status="new", countries=["AT"], hidden=["at"]).select("id")
 
 
-@register("P16_regions", "select id, coalesce(lower(country) in ('de', 'at', 'ch'), false) as dach, coalesce(contains(lower(location), 'berlin'), false) as berlin from jobs", "jobs")
+@register("P14_feed_composed", f", {FEED} select id from base where score >= 5 and source in (select source from jobs where id < 90) and (app_status is null or app_status <> 'rejected') and coalesce(lower(country) in ('de', 'at', 'ch'), false) and contains({sql_padded('title')} || {sql_padded('company_name')} || {sql_padded('description')}, ' dir') and id in (select vec_id from vectors where vec_id % 3 <> 1)", "jobs", "job_scores", "applications", "vectors")
 def _(s, d):
-    return jobs(s, d).select("id", feed.region_preset("dach").alias("dach"), feed.region_preset("berlin").alias("berlin"))
+    near = load(s, d, "vectors").where("vec_id % 3 <> 1").select(F.col("vec_id").alias("id"))
+    named = [r["source"] for r in jobs(s, d).where("id < 90").select("source").distinct().collect()]  # a feed's own choice of boards
+    return feed.feed_filters(base(s, d), 5, named, closed=True, region="dach", search="dir", among=near).select("id")
 
 
-@register("J02_unreviewed", "select user_id, job_id, score from job_scores s where score >= 60 and not exists (select 1 from applications a where a.user_id = s.user_id and a.job_id = s.job_id and a.status in ('applied', 'rejected', 'withdrawn'))", "job_scores", "applications")
+@register("P16_regions", "select id, coalesce(lower(country) = 'de', false) as germany, coalesce(lower(country) in ('de', 'at', 'ch'), false) as dach, coalesce(lower(country) in ('de', 'at', 'ch', 'nl', 'be', 'lu', 'dk', 'pl', 'cz', 'si', 'sk', 'ro', 'hu'), false) as europe, coalesce(regexp_matches(lower(location), 'leipzig|dresden|halle|chemnitz|sachsen|saxony'), false) as saxony from jobs", "jobs")
 def _(s, d):
-    return feed.unreviewed(scores(s, d), applications(s, d), 60).select("user_id", "job_id", "score")
+    return jobs(s, d).select("id", *[feed.region_preset(k).alias(k) for k in ("germany", "dach", "europe", "saxony")])
+
+
+@register("J02_unreviewed", "select user_id, job_id, score, row_number() over (partition by user_id order by score desc, job_id) as place from job_scores s where score >= 60 and not exists (select 1 from applications a where a.user_id = s.user_id and a.job_id = s.job_id and a.status in ('applied', 'rejected', 'withdrawn'))", "job_scores", "applications")
+def _(s, d):
+    return feed.unreviewed(scores(s, d), applications(s, d), 60).select("user_id", "job_id", "score", "place")
 
 
 @register("J03_unscored", "select u.user_id, (select count(*) from jobs) - coalesce(n, 0) as n_unscored from users u left join (select user_id, count(distinct job_id) as n from job_scores where job_id in (select id from jobs) group by user_id) s on s.user_id = u.user_id", "jobs", "job_scores", "users")
@@ -368,6 +409,11 @@ def _(s, d):
     return scoring.unscored(jobs(s, d), load(s, d, "users"), scores(s, d))
 
 
+@register("J03_unscored_jobs", f"select id from jobs where id not in (select job_id from job_scores where user_id = 7) and lower(country) in ('de', 'at') and scraped_at >= {T} - INTERVAL 40 DAY", "jobs", "job_scores")
+def _(s, d):
+    return scoring.unscored_jobs(jobs(s, d), scores(s, d), 7, ["de", "at"], AS_OF, 40).select("id")
+
+
 @register("J04_exclude_actioned", f", {HASHED}, acted as (select h.id, h.dedup_hash from hashed h join applications a on a.job_id = h.id where a.user_id = 7 and a.status in ('applied', 'rejected')) select id from hashed where id not in (select id from acted) and dedup_hash not in (select dedup_hash from acted)", "jobs", "applications")
 def _(s, d):
     return scoring.exclude_actioned(dedup.with_hash(jobs(s, d)), applications(s, d), 7).select("id")
@@ -386,19 +432,41 @@ def _(s, d):
     return scoring.fresh_cache_hits(scores(s, d), load(s, d, "profiles"), AS_OF, 480).select("user_id", "job_id")
 
 
+@register("J06_to_score", f", {VERDICTS}, {VALID} select id as job_id, user_id from judged v where passed and not exists (select 1 from valid c where c.user_id = v.user_id and c.job_id = v.id and model_version = 'primary' and scored_at >= {T} - INTERVAL 480 HOUR)", "jobs", "scored_profiles", "job_scores")
+def _(s, d):
+    hits = scoring.fresh_cache_hits(scores(s, d), load(s, d, "scored_profiles"), AS_OF, 480)
+    return scoring.to_score(verdicts(s, d).where("passed"), hits)
+
+
+COSINE = "round(list_cosine_similarity(cast(p.embedding as double[]), cast(v.embedding as double[])), 6)"
+
+
+@register("J07_similarity", f"select v.vec_id as id, p.vec_id as user_id, {COSINE} as cosine from vectors v, vectors p join scored_profiles q on q.user_id = p.vec_id where q.embedding_profile_hash = q.profile_hash and v.embedding is not null and p.embedding is not null", "vectors", "scored_profiles")
+def _(s, d):
+    v = load(s, d, "vectors")
+    mine = load(s, d, "scored_profiles").join(v.select(F.col("vec_id").alias("user_id"), "embedding"), "user_id")
+    return scoring.profile_similarity(v.select(F.col("vec_id").alias("id"), "embedding"), mine)
+
+
 @register("J09_excluded_company_jobs", "select id from jobs where lower(company_name) = 'nordwerk' and id not in (select job_id from applications where user_id = 7 and status in ('applied', 'rejected'))", "jobs", "applications")
 def _(s, d):
     return tracker.jobs_at_excluded_company(jobs(s, d), applications(s, d), "Nordwerk", 7).select("id")
 
 
-@register("J10_applications_with_jobs", "select user_id, job_id, status, title, company_name, updated_at from applications a join jobs j on j.id = a.job_id", "jobs", "applications")
+@register("J10_applications_with_jobs", "select user_id, job_id, status, title, company_name, updated_at, row_number() over (partition by user_id order by updated_at desc, job_id) as place from applications a join jobs j on j.id = a.job_id", "jobs", "applications")
 def _(s, d):
     return feed.applications_with_jobs(applications(s, d), jobs(s, d))
 
 
-@register("J11_reuse_scores", f", {VERDICTS} select s.user_id, s.job_id, 'h2' as profile_hash from job_scores s where profile_hash = 'h3' and regexp_matches(model_version, '^(gemini|nvidia|claude)') and job_id in (select id from judged where user_id = 3 and passed)", "jobs", "profiles", "job_scores")
+@register("J10_own_applications", "select user_id, job_id, status, title, row_number() over (partition by user_id order by updated_at desc, job_id) as place from applications a join jobs j on j.id = a.job_id where user_id = 7 and status = 'applied'", "jobs", "applications")
+def _(s, d):
+    return feed.applications_with_jobs(applications(s, d), jobs(s, d), 7, "applied").select("user_id", "job_id", "status", "title", "place")
+
+
+@register("J11_reuse_scores", f", {VERDICTS} select s.user_id, s.job_id, 'h2' as profile_hash from job_scores s where profile_hash = 'h3' and regexp_matches(model_version, '^(gemini|nvidia|claude)') and job_id in (select id from judged where user_id = 3 and passed)", "jobs", "scored_profiles", "job_scores")
 def _(s, d):
-    passed = verdicts(s, d).where("user_id = 3 and passed").select(F.col("id").alias("job_id"))
+    own = rules.pre_filter(rules.job_flags(jobs(s, d)), rules.profile_terms(load(s, d, "scored_profiles").where("user_id = 3")))
+    passed = own.where("passed").select(F.col("id").alias("job_id"))
     return scoring.reuse_scores(scores(s, d), passed, "h3", "h2").select("user_id", "job_id", "profile_hash")
 
 
@@ -421,14 +489,15 @@ def _(s, d):
     return scoring.requeue_scores(scores(s, d), "gemini:a").select("user_id", "job_id")
 
 
-@register("D06_reject_rows", f", {VERDICTS} select id as job_id, user_id, 0 as score, 'prefilter' as model_version from judged where not passed and bucket = 'low'", "jobs", "profiles")
+@register("D06_reject_rows", f", {VERDICTS} select id as job_id, user_id, 0 as score, 'prefilter' as model_version from judged where not passed and bucket = 'low'", "jobs", "scored_profiles")
 def _(s, d):
     return scoring.prefilter_reject_rows(verdicts(s, d), AS_OF).select("job_id", "user_id", "score", "model_version")
 
 
-@register("D07_recheck", f", {VERDICTS} select s.job_id, s.user_id, case when passed then 'to_score' else 'filtered' end as action from job_scores s join judged v on v.id = s.job_id and v.user_id = s.user_id where score = 0 and ai_analysis is null", "jobs", "profiles", "job_scores")
+@register("D07_recheck", f", {VERDICTS} select s.job_id, s.user_id, case when passed then 'to_score' else 'filtered' end as action from job_scores s join judged v on v.id = s.job_id and v.user_id = s.user_id where score = 0 and ai_analysis is null", "jobs", "scored_profiles", "job_scores")
 def _(s, d):
-    return scoring.recheck_zero_scores(scores(s, d), verdicts(s, d))
+    pairs = scoring.zero_scores(scores(s, d))
+    return scoring.recheck_zero_scores(rules.pre_filter_pairs(pairs, rules.job_flags(jobs(s, d)), terms(s, d)))
 
 
 @register("T06_stale_queue", f"select user_id, job_id, priority, place from (select *, row_number() over (partition by user_id order by priority, scored_at, job_id) as place from (select *, case when score = 0 and ai_analysis is null then 1 when score > 0 and scored_at < {T} - INTERVAL 7 DAY then 2 end as priority from job_scores) a where priority is not null) b where place <= 30", "job_scores")
@@ -439,12 +508,12 @@ def _(s, d):
 QUEUE = f"{VERDICTS}, ranked as (select *, case when passed then 1 when bucket = 'manager_tier2' then 2 else 3 end as tier, min(case when passed then 1 when bucket = 'manager_tier2' then 2 else 3 end) over (partition by user_id) as lowest from judged), queue as (select * from (select *, row_number() over (partition by user_id, tier order by id) as place from ranked) x where place <= case when tier = 3 then 2000 else 1000 end and (tier <> 2 or lowest = 2))"
 
 
-@register("W06_tiered_queue", f", {QUEUE} select user_id, id, tier, place from queue", "jobs", "profiles")
+@register("W06_tiered_queue", f", {QUEUE} select user_id, id, tier, place from queue", "jobs", "scored_profiles")
 def _(s, d):
     return scoring.tiered_queue(verdicts(s, d))
 
 
-@register("W07_batches", f", {QUEUE} select user_id, id, (rn - 1) // 15 as batch, (rn - 1) % 15 as in_batch from (select *, row_number() over (partition by user_id order by tier, place, id) as rn from queue) t", "jobs", "profiles")
+@register("W07_batches", f", {QUEUE} select user_id, id, (rn - 1) // 15 as batch, (rn - 1) % 15 as in_batch from (select *, row_number() over (partition by user_id order by tier, place, id) as rn from queue) t", "jobs", "scored_profiles")
 def _(s, d):
     return scoring.assign_batches(scoring.tiered_queue(verdicts(s, d))).select("user_id", "id", "batch", F.col("in_batch").cast("long").alias("in_batch"))
 
@@ -456,23 +525,31 @@ def _(s, d):
     "A01_user_stats",
     """, s as (select user_id, count(*) as scored, count_if(score >= 70) as top from job_scores group by 1), a as (select user_id, count_if(status = 'applied') as applied, count_if(status = 'rejected') as rejected from applications group by 1),
 i as (select user_id, count(*) as inbox from job_scores x where not exists (select 1 from applications y where y.user_id = x.user_id and y.job_id = x.job_id and y.status in ('applied', 'rejected')) group by 1)
-select coalesce(s.user_id, a.user_id) as user_id, coalesce(scored, 0) as scored, coalesce(top, 0) as top, coalesce(applied, 0) as applied, coalesce(rejected, 0) as rejected, coalesce(inbox, 0) as inbox
+select coalesce(s.user_id, a.user_id) as user_id, coalesce(scored, 0) as scored, coalesce(top, 0) as top, coalesce(applied, 0) as applied, coalesce(rejected, 0) as rejected, coalesce(inbox, 0) as inbox,
+ (select count(*) from jobs) as total_jobs, (select string_agg(source || ':' || cast(n as varchar), ',' order by source || ':' || cast(n as varchar)) from (select source, count(*) as n from jobs group by 1) x) as by_source
 from s full join a on s.user_id = a.user_id left join i on i.user_id = coalesce(s.user_id, a.user_id)""",
-    "job_scores",
-    "applications",
-)
+    "job_scores", "applications", "jobs",
+)
 def _(s, d):
-    return stats.user_stats(scores(s, d), applications(s, d))
+    return stats.user_stats(scores(s, d), applications(s, d), jobs(s, d))
 
 
-@register("A02_public_stats", f"select * from (select count(*) as jobs, count_if(scraped_at >= {T} - INTERVAL 30 DAY) as jobs_month, count(distinct source) as sources, count(distinct case when scraped_at >= {T} - INTERVAL 30 DAY then source end) as sources_month from jobs) j, (select count(*) as scores, count_if(scored_at >= {T} - INTERVAL 30 DAY) as scores_month, count_if(score = 0 and ai_analysis is null) as rejects, count_if(score >= 80) as top, count(distinct user_id) as users from job_scores) s", "jobs", "job_scores")
+@register("A02_public_stats", f"select * from (select count(*) as jobs, count_if(scraped_at >= {T} - INTERVAL 30 DAY) as jobs_month, count(distinct source) as sources, count(distinct case when scraped_at >= {T} - INTERVAL 30 DAY then source end) as sources_month from jobs) j, (select count(*) as scores, count_if(scored_at >= {T} - INTERVAL 30 DAY) as scores_month, count_if(score = 0 and ai_analysis is null) as rejects, count_if(score = 0 and ai_analysis is null and scored_at >= {T} - INTERVAL 30 DAY) as rejects_month, count_if(score >= 70) as top, count_if(score >= 70 and scored_at >= {T} - INTERVAL 30 DAY) as top_month from job_scores) s, (select count_if(is_active) as active_users from users) u", "jobs", "job_scores", "users")
 def _(s, d):
-    return stats.public_stats(jobs(s, d), scores(s, d), AS_OF)
+    return stats.public_stats(jobs(s, d), scores(s, d), load(s, d, "users"), AS_OF)
 
 
-@register("A03_ops_kpis", f"select user_id, count(*) as total, count_if(scored_at >= {T} - INTERVAL 48 HOUR) as recent, count_if(scored_at >= {T} - INTERVAL 168 HOUR) as week, round(avg(score), 4) as average, count_if(score = 0 and model_version = 'prefilter') as rejects, round(count_if(scored_at >= {T} - INTERVAL 168 HOUR) * 100 / count(*), 1) as week_pct from job_scores group by user_id", "job_scores")
+@register(
+    "A03_ops_kpis",
+    f"""select s.user_id, count(*) as total, count_if(scored_at >= {T} - INTERVAL 48 HOUR) as recent, count_if(scored_at >= {T} - INTERVAL 168 HOUR) as week, count_if(score >= 70) as top, count_if(score >= 70 and scored_at >= {T} - INTERVAL 48 HOUR) as top_recent,
+ round(avg(case when scored_at >= {T} - INTERVAL 48 HOUR then score end), 1) as average, count_if(score = 0 and model_version = 'prefilter') as rejects,
+ any_value(n) - count(distinct j.id) as pending, round(count(*) * 100 / any_value(n), 1) as coverage_pct, round((any_value(n) - count(distinct j.id)) * 100 / any_value(n), 1) as pending_pct,
+ round(count_if(scored_at >= {T} - INTERVAL 168 HOUR) * 100 / count(*), 1) as week_pct
+ from job_scores s cross join (select count(*) as n from jobs) c left join jobs j on j.id = s.job_id group by s.user_id""",
+    "job_scores", "jobs",
+)
 def _(s, d):
-    return stats.ops_kpis(scores(s, d), AS_OF, 48)
+    return stats.ops_kpis(scores(s, d), jobs(s, d), AS_OF, 48)
 
 
 @register("A04_sources", f"select source, total, recent, round(recent * 100 / total, 1) as fresh_pct, round(total * 100 / sum(total) over (), 1) as share_pct from (select source, count(*) as total, count_if(scraped_at >= {T} - INTERVAL 240 HOUR) as recent from jobs group by source) t", "jobs")
@@ -490,6 +567,13 @@ def _(s, d):
     return stats.application_counts(applications(s, d), "1998-01-01 00:00:00", 1000)
 
 
+@register("A06_funnel", f"""select s.user_id, (select count_if(scraped_at >= {T} - INTERVAL 240 HOUR) from jobs) as collected, scored, top, coalesce(applied, 0) as applied, coalesce(rejected, 0) as rejected, coalesce(saved, 0) as saved
+ from (select user_id, count_if(scored_at >= {T} - INTERVAL 240 HOUR) as scored, count_if(score >= 70 and scored_at >= {T} - INTERVAL 240 HOUR) as top from job_scores group by 1) s
+ left join (select user_id, count_if(status = 'applied') as applied, count_if(status = 'rejected') as rejected, count_if(status = 'saved') as saved from applications where updated_at >= {T} - INTERVAL 240 HOUR group by 1) a on a.user_id = s.user_id""", "jobs", "job_scores", "applications")
+def _(s, d):
+    return stats.funnel(jobs(s, d), scores(s, d), applications(s, d), AS_OF, 240)
+
+
 @register(
     "A07_user_activity",
     f"""select u.user_id, login, coalesce(scores, 0) as scores, coalesce(scores_recent, 0) as scores_recent, coalesce(actions, 0) as actions, coalesce(actions_recent, 0) as actions_recent, last_score, u.user_id in (select user_id from profiles) as has_profile
@@ -524,9 +608,12 @@ def _(s, d):
     return stats.rejections_by_company(applications(s, d), jobs(s, d))
 
 
-@register("A13_rescore_summary", f", {VERDICTS}, {VALID} select v.user_id, count(*) as in_scope, count(c.job_id) as current, count_if(passed) as passing, count_if(not passed) as rejected, count_if(passed and c.job_id is null) as pending from judged v left join valid c on c.job_id = v.id and c.user_id = v.user_id group by 1", "jobs", "profiles", "job_scores")
+@register("A13_rescore_summary", f""", {VERDICTS}, {VALID}, x as (select v.*, c.job_id as cur, coalesce({COUNTRY} = case v.user_id % 4 when 0 then 'at' when 1 then 'us' end, false) as unseen from judged v join jobs j on j.id = v.id left join valid c on c.job_id = v.id and c.user_id = v.user_id)
+ select *, least(eligible, 300) as selected from (select user_id, count(*) as in_scope, count(cur) as current, count_if(unseen) as hidden, count_if(passed) as passing, count_if(bucket = 'high') as high, count_if(bucket = 'medium') as medium, count_if(bucket = 'manager_tier2') as manager_tier2, count_if(bucket = 'low') as low,
+  count_if(not passed) as rejected, count_if(passed and cur is null) as pending, count_if(passed and cur is null and not unseen) as eligible from x group by 1) y""", "jobs", "profiles", "scored_profiles", "job_scores")
 def _(s, d):
-    return stats.rescore_summary(verdicts(s, d), scoring.valid_scores(scores(s, d), load(s, d, "profiles")))
+    p = load(s, d, "scored_profiles")
+    return stats.rescore_summary(verdicts(s, d), scoring.valid_scores(scores(s, d), p), jobs(s, d), p)
 
 
 @register("A15_last_success", f"select max(created_at) as last, greatest(0, date_sub('second', max(created_at), {T})) as age_s from ops_events where event_type = 'scan' and status = 'ok'", "ops_events")
@@ -534,6 +621,12 @@ def _(s, d):
     return stats.last_success_age(load(s, d, "ops_events"), AS_OF)
 
 
+@register("A12_scan_report")
+def _(s, d):
+    merged = dedup.fuzzy_dedup(unique_jobs(s, d)).withColumn("reject_reason", rules.reject_reason(AS_OF))
+    return stats.scan_report(jobs(s, d), unique_jobs(s, d), merged)
+
+
 @register("A16_result_summary", "select source, count(*) as n, count_if(score >= 70) as top, count_if(score >= 40 and score < 70) as good, count_if(score < 40) as low from job_scores s join jobs j on j.id = s.job_id group by source", "jobs", "job_scores")
 def _(s, d):
     return stats.result_summary(scores(s, d).join(jobs(s, d).select(F.col("id").alias("job_id"), "source"), "job_id"))
@@ -552,7 +645,7 @@ def _(s, d):
     return tracker.latest_application(load(s, d, "application_events")).select("user_id", "job_id", "status", "applied_at")
 
 
-@register("W11_candidate_order", f", {VERDICTS} select user_id, id, place from (select *, row_number() over (partition by user_id order by (case when id % 2 = 0 then 2 else 0 end) + (case when bucket = 'high' then 0 else 1 end), id) as place from judged where passed) t where place <= 80", "jobs", "profiles")
+@register("W11_candidate_order", f", {VERDICTS} select user_id, id, place from (select *, row_number() over (partition by user_id order by (case when id % 2 = 0 then 2 else 0 end) + (case when bucket = 'high' then 0 else 1 end), id) as place from judged where passed) t where place <= 80", "jobs", "scored_profiles")
 def _(s, d):
     c = verdicts(s, d).where("passed").withColumn("seen", F.col("id") % 2 == 0).withColumn("seq", F.col("id"))
     return feed.candidate_order(c).select("user_id", "id", "place")
@@ -563,6 +656,12 @@ def _(s, d):
     return feed.feed_page(jobs(s, d), "date", True, 2, 50).select("id", "posted_at")
 
 
+@register("T02_sorted_pages", f", {FEED} select 'score' as sort, id from (select id from base order by score desc nulls last, posted_at desc nulls last, id desc limit 40 offset 40) union all select 'title', id from (select id from base order by title asc nulls last, posted_at desc nulls last, id desc limit 40) union all select 'company_name', id from (select id from base order by company_name desc nulls last, posted_at desc nulls last, id desc limit 40)", "jobs", "job_scores", "applications")
+def _(s, d):
+    pages = [("score", True, 2), ("title", False, 1), ("company_name", True, 1)]
+    return reduce(DataFrame.unionByName, [feed.feed_page(base(s, d), c, down, page, 40).select(F.lit(c).alias("sort"), "id") for c, down, page in pages])
+
+
 @register("T02_keyset_page", f"select id from jobs where posted_at < {T} - INTERVAL 3 DAY or (posted_at = {T} - INTERVAL 3 DAY and id < 500) order by posted_at desc, id desc limit 50", "jobs")
 def _(s, d):
     return feed.after_key(jobs(s, d), "2024-01-28 00:00:00", 500, 50).select("id")
@@ -573,9 +672,9 @@ def _(s, d):
     return feed.url_check_queue(jobs(s, d), AS_OF).select("id")
 
 
-@register("T05_stale_profiles", "select user_id from profiles where embedding_profile_hash is distinct from profile_hash order by updated_at desc limit 20", "profiles")
+@register("T05_stale_profiles", "select user_id from (select * from profiles order by updated_at desc, user_id limit 200) p where embedding_profile_hash is distinct from profile_hash order by updated_at desc, user_id limit 20", "profiles")
 def _(s, d):
-    return load(s, d, "profiles").where(~F.col("embedding_profile_hash").eqNullSafe(F.col("profile_hash"))).orderBy(F.desc("updated_at")).limit(20).select("user_id")
+    return feed.stale_profiles(load(s, d, "profiles")).select("user_id")
 
 
 @register("T07_top_matches", f"select user_id, job_id, score, place from (select s.user_id, s.job_id, score, row_number() over (partition by s.user_id order by score desc, s.job_id) as place from job_scores s join jobs j on j.id = s.job_id join profiles p on p.user_id = s.user_id where score >= 80 and ({COUNTRY} is null or {COUNTRY} <> case p.user_id % 4 when 0 then 'at' when 1 then 'us' else '-' end)) t where place <= 10", "jobs", "job_scores", "profiles")
@@ -583,13 +682,7 @@ def _(s, d):
     return feed.top_matches(scores(s, d), jobs(s, d), load(s, d, "profiles"))
 
 
-@register("T08_semantic_top_k", "select query_id, id, cosine from (select q.vec_id as query_id, v.vec_id as id, round(list_cosine_similarity(cast(q.embedding as double[]), cast(v.embedding as double[])), 6) as cosine, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(cast(q.embedding as double[]), cast(v.embedding as double[])), 6) desc, v.vec_id) as rank from vectors q, vectors v where q.vec_id < 20) t where rank <= 50", "vectors")
-def _(s, d):
-    v = load(s, d, "vectors").withColumnRenamed("vec_id", "id")
-    return scoring.similarity(v, v.where("id < 20").withColumnRenamed("id", "query_id"), 50).select("query_id", "id", "cosine")
-
-
-@register("T08_semantic_top_k_all")
+@register("T08_semantic_top_k", "select query_id, id, cosine from (select q.vec_id as query_id, v.vec_id as id, round(list_cosine_similarity(cast(q.embedding as double[]), cast(v.embedding as double[])), 6) as cosine, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(cast(q.embedding as double[]), cast(v.embedding as double[])), 6) desc, v.vec_id) as rank from vectors q, vectors v where q.vec_id % 100 = 0) t where rank <= 500", "vectors")
 def _(s, d):
     v = load(s, d, "vectors").withColumnRenamed("vec_id", "id")
     asked = v.where("id % 100 = 0").withColumnRenamed("id", "query_id")
@@ -598,12 +691,17 @@ def _(s, d):
 
 @register("T10_recent_events", "select id, event_type from ops_events order by created_at desc, id desc limit 12", "ops_events")
 def _(s, d):
-    return load(s, d, "ops_events").orderBy(F.desc("created_at"), F.desc("id")).limit(12).select("id", "event_type")
+    return feed.recent_events(load(s, d, "ops_events")).select("id", "event_type")
+
+
+@register("T10_recent_scans", "select id, status, first_value(status) over (order by created_at desc, id desc) as latest_status from (select * from ops_events where event_type = 'scan' order by created_at desc, id desc limit 8) t", "ops_events")
+def _(s, d):
+    return feed.recent_scans(load(s, d, "ops_events")).select("id", "status", "latest_status")
 
 
 @register("T11_search_results", "select job_id, user_id, score from job_scores where score >= 40 order by score desc, job_id, user_id limit 100", "job_scores")
 def _(s, d):
-    return scores(s, d).where("score >= 40").orderBy(F.desc("score"), "job_id", "user_id").limit(100).select("job_id", "user_id", "score")
+    return feed.search_results(scores(s, d)).select("job_id", "user_id", "score")
 
 
 @register("F26_prefix_search", rf"select id from jobs where contains({sql_padded('title')} || {sql_padded('company_name')} || {sql_padded('description')}, ' dir') and contains({sql_padded('title')} || {sql_padded('company_name')} || {sql_padded('description')}, ' supply')", "jobs")
@@ -639,7 +737,12 @@ def _(s, d):
     return tracker.auto_exclude_companies(load(s, d, "profiles"), applications(s, d), jobs(s, d)).select("user_id", F.array_join("excluded_companies", "|").alias("companies"))
 
 
-@register("U03_split_exclusions", "select user_id, '' as companies, case user_id % 5 when 0 then 'retail' when 1 then 'intern' else '' end as keywords from profiles", "profiles")
+@register("D04_zeroed_scores", f", {REJECTIONS}, fresh as (select r.user_id, r.company from rejections r join profiles p on p.user_id = r.user_id where r.company <> case p.user_id % 6 when 0 then 'nordwerk' when 1 then 'vtx ag' else '' end), hit as (select f.user_id, j.id from fresh f join jobs j on lower(j.company_name) = f.company where not exists (select 1 from applications a where a.user_id = f.user_id and a.job_id = j.id and a.status in ('applied', 'rejected'))) select s.user_id, s.job_id, case when h.id is not null then 0 else score end as score, case when h.id is not null then 'company excluded' else ai_analysis end as ai_analysis from job_scores s left join hit h on h.user_id = s.user_id and h.id = s.job_id", "jobs", "applications", "profiles", "job_scores")
+def _(s, d):
+    return tracker.zero_excluded(scores(s, d), load(s, d, "profiles"), applications(s, d), jobs(s, d)).select("user_id", "job_id", "score", "ai_analysis")
+
+
+@register("U03_split_exclusions", "select user_id, case when user_id % 5 = 2 and exists (select 1 from jobs where lower(trim(company_name)) = 'hafenlogistik se') then 'Hafenlogistik SE' else '' end as companies, case user_id % 5 when 0 then 'retail' when 1 then 'intern' when 2 then case when exists (select 1 from jobs where lower(trim(company_name)) = 'hafenlogistik se') then '' else 'Hafenlogistik SE|' end || 'growth' else '' end as keywords from profiles", "jobs", "profiles")
 def _(s, d):
     return tracker.split_exclusions(load(s, d, "profiles"), jobs(s, d)).select("user_id", F.array_join("companies", "|").alias("companies"), F.array_join("keywords", "|").alias("keywords"))
 
@@ -649,22 +752,26 @@ def _(s, d):
     return tracker.invalidate_embeddings(load(s, d, "profiles")).select("user_id", "embedding_profile_hash")
 
 
-CHECKS = r""", coded as (select *, case when status_code = 405 and get_status_code is not null then get_status_code else status_code end as code, rtrim(coalesce(location, ''), '/') as path from fetches),
-checks as (select *, case when error_kind = 'unsafe' then 'closed' when error_kind is not null or coalesce(code >= 500, false) then 'unreachable' when code between 200 and 299 then 'active' when code in (404, 410) then 'closed'
+#: Markers of the pages' own domain, and of another one that must not count.
+MARKERS = {"example.org": ["no longer"], "example.com": ["the", "nicht mehr"], "elsewhere.example": ["a"]}
+CHECKS = r""", coded as (select *, case when status_code = 405 and get_status_code is not null then get_status_code else status_code end as code, rtrim(coalesce(case when status_code = 405 and get_status_code is not null then get_location else location end, ''), '/') as path,
+ case array_to_string(list_slice(string_split(lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)), '.'), -2, -1), '.') when 'example.org' then contains(lower(substr(body, 1, 50000)), 'no longer') when 'example.com' then contains(lower(substr(body, 1, 50000)), 'the') or contains(lower(substr(body, 1, 50000)), 'nicht mehr') else false end as gone from fetches),
+checks as (select *, case when error_kind = 'unsafe' then 'closed' when error_kind is not null or coalesce(code >= 500, false) then 'unreachable' when code between 200 and 299 then case when gone then 'closed' else 'active' end when code in (404, 410) then 'closed'
  when code between 300 and 399 then case when path = '' or path in ('/jobs', '/careers') or not (regexp_matches(path, '/[0-9]+(/|$)') or regexp_matches(path, '/[^/]*[0-9][^/]*') and length(list_last(string_split(path, '/'))) >= 8) then 'closed' else 'active' end else 'active' end as status,
- coalesce(error_kind, '') <> 'unsafe' and (error_kind is not null or coalesce(code >= 500, false)) as transient from coded)"""
+ coalesce(error_kind, '') <> 'unsafe' and (error_kind is not null or coalesce(code >= 500, false)) as transient, error_kind is null and coalesce(code between 200 and 299, false) and gone as soft404 from coded)"""
 
 
 def checks(s, d) -> DataFrame:
-    return load(s, d, "fetches").withColumn("c", liveness.classify_fetch())
+    marked = liveness.with_gone_marker(load(s, d, "fetches"), MARKERS)
+    return marked.withColumn("c", liveness.classify_fetch(F.col("gone_marker"), F.col("get_location")))
 
 
-@register("F16_F17_classify", CHECKS + " select fetch_id, status, transient from checks", "fetches")
+@register("F16_F17_classify", CHECKS + " select fetch_id, status, transient, soft404 from checks", "fetches")
 def _(s, d):
-    return checks(s, d).select("fetch_id", "c.status", "c.transient")
+    return checks(s, d).select("fetch_id", "c.status", "c.transient", "c.soft404")
 
 
-@register("A14_liveness_counts", CHECKS + " select count(*) as checked, count_if(status = 'active') as active, count_if(status = 'closed') as closed, count_if(status = 'unreachable') as unreachable, count_if(transient) as transient from checks", "fetches")
+@register("A14_liveness_counts", CHECKS + ", p as (select *, status_code is not null or error_kind is not null as probed from checks) select count_if(probed) as checked, count_if(probed and status = 'active') as active, count_if(probed and status = 'closed') as closed, count_if(probed and status = 'unreachable') as unreachable, count_if(probed and transient) as transient, count_if(not probed) as skipped, count_if(probed and soft404) as soft_404 from p", "fetches")
 def _(s, d):
     return liveness.liveness_counts(checks(s, d))
 
@@ -706,10 +813,10 @@ def _(s, d):
     return adapters.from_public_agency(p).select("external_id", "location", "is_remote", "posted_at")
 
 
-@register("S05_snippet_api", "select 'snippet_' || cast(id as varchar) as external_id, title, 50000.0 as salary_min, 90000.0 as salary_max from jobs where id % 9 > 0", "jobs")
+@register("S05_snippet_api", """select 'snippet_' || cast(id as varchar) as external_id, title, 50000.0 as salary_min, 90000.0 as salary_max, '{"id":"' || cast(id as varchar) || '","salary":"EUR 50,000 - 90.000"}' as raw_data from jobs where id % 9 > 0""", "jobs")
 def _(s, d):
     p = _payload(jobs(s, d), "jobs", F.when(F.col("id") % 9 > 0, F.col("id").cast("string")).alias("id"), F.col("title"), F.lit("EUR 50,000 - 90.000").alias("salary"))
-    return adapters.from_snippet_api(p).select("external_id", "title", "salary_min", "salary_max")
+    return adapters.from_snippet_api(p).select("external_id", "title", "salary_min", "salary_max", "raw_data")
 
 
 @register("S07_search_index", "select 'index_' || cast(id as varchar) as external_id, location, lower(country) as country, 'S' || chr(10) || '- m1' || chr(10) || '- m2' || chr(10) || 'P' as description, is_remote from jobs", "jobs")
@@ -726,22 +833,37 @@ def _(s, d):
     return adapters.from_company_feed(p, ["Head of Procurement"], ["de", "at"], cap=2**31 - 1).select("external_id", "company_name", "country")
 
 
-@register("S10_tabular", "select 'b' || cast(id % 3 as varchar) || '_' || cast(id as varchar) as external_id, case when company_name <> 'nan' then company_name end as company_name, case when id % 3 > 0 then 'de' end as country, case when id % 2 = 0 then 10.0 end as salary_min from jobs", "jobs")
+@register("S10_tabular", "select 'b' || cast(id % 3 as varchar) || '_' || cast(id as varchar) as external_id, case when company_name <> 'nan' then company_name end as company_name, case when id % 3 > 0 then 'de' end as country, case when id % 2 = 0 then 10.0 end as salary_min, '{\"query\":\"q' || cast(id % 4 as varchar) || '\"}' as raw_data from jobs", "jobs")
 def _(s, d):
-    t = jobs(s, d).select(F.col("id").alias("arrival_seq"), F.concat(F.lit("b"), (F.col("id") % 3).cast("string")).alias("site"), F.col("id").cast("string").alias("id"), "title", F.col("company_name").alias("company"), "location", "description", F.when(F.col("id") % 2 == 0, 10.0).otherwise(float("nan")).alias("min_amount"), F.lit(float("nan")).alias("max_amount"), F.lit("EUR").alias("currency"), F.col("url").alias("job_url"), "is_remote", F.col("posted_at").alias("date_posted"))
-    return adapters.from_tabular(t, "de", ("b0",)).select("external_id", "company_name", "country", "salary_min")
+    t = jobs(s, d).select(F.col("id").alias("arrival_seq"), F.concat(F.lit("b"), (F.col("id") % 3).cast("string")).alias("site"), F.col("id").cast("string").alias("id"), "title", F.col("company_name").alias("company"), "location", "description", F.when(F.col("id") % 2 == 0, 10.0).otherwise(float("nan")).alias("min_amount"), F.lit(float("nan")).alias("max_amount"), F.lit("EUR").alias("currency"), F.col("url").alias("job_url"), "is_remote", F.col("posted_at").alias("date_posted"), F.concat(F.lit("q"), (F.col("id") % 4).cast("string")).alias("query"))
+    return adapters.from_tabular(t, "de", ("b0",)).select("external_id", "company_name", "country", "salary_min", "raw_data")
+
+
+def _boards(s, d) -> dict[str, DataFrame]:
+    j = jobs(s, d)
+    return {n: j.where(F.col("source") == n) for n in ("src0", "src1", "src2")} | {"rest": j.where(~F.col("source").isin("src0", "src1", "src2")), "none": j.where("id < 0")}
 
 
 @register("S13_union_sources", "select source, count(*) as n from jobs where source <> 'src1' group by source", "jobs")
 def _(s, d):
-    j = jobs(s, d)
-    frames = {n: j.where(F.col("source") == n) for n in ("src0", "src1", "src2")} | {"rest": j.where(~F.col("source").isin("src0", "src1", "src2"))}
-    return adapters.union_sources(frames, ("SRC1",)).groupBy("source").agg(F.count("*").alias("n"))
+    return adapters.union_sources(_boards(s, d), ("SRC1",)).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@register("S13_source_report", "select name as source, count(*) filter (where name <> 'src1' and id is not null) as n, case when name = 'src1' then 'disabled' when count(id) > 0 then 'ok' else 'empty' end as status from (select unnest(['src0', 'src1', 'src2', 'rest', 'none']) as name) a left join (select id, case when source in ('src0', 'src1', 'src2') then source else 'rest' end as board from jobs) b on b.board = a.name group by 1", "jobs")
+def _(s, d):
+    return adapters.source_report(_boards(s, d), ("SRC1",))
 
 
-@register("W03_scan_scope", "select item, min(user_id) as user_id from (select 'Head of Procurement' as item, user_id from profiles where user_id % 3 = 0 union all select 'COO', user_id from profiles where user_id % 3 = 0 union all select 'Director Supply Chain', user_id from profiles where user_id % 3 = 1) t group by item", "profiles")
+@register("W03_scan_scope", "select kind, item, min(user_id) as user_id from (select 'title' as kind, 'Head of Procurement' as item, user_id from profiles where user_id % 3 = 0 union all select 'title', 'COO', user_id from profiles where user_id % 3 = 0 union all select 'title', 'Director Supply Chain', user_id from profiles where user_id % 3 = 1 union all select 'country', 'de', user_id from profiles where user_id % 3 < 2 union all select 'country', 'at', user_id from profiles where user_id % 3 = 0) t group by 1, 2", "profiles")
 def _(s, d):
-    return adapters.scan_scope(load(s, d, "profiles")).select("item", "user_id")
+    return adapters.scan_scope(load(s, d, "profiles"), ("Buyer",), ("ch",)).select("kind", "item", "user_id")
+
+
+@register("W04_rotate", "select item from (select title as item, row_number() over (order by title) - 1 as place, count(*) over () as size from (select distinct title from jobs) t) x where ((place - 21) % size + size) % size < 7", "jobs")
+def _(s, d):
+    items = jobs(s, d).select(F.col("title").alias("item")).distinct()
+    numbered = items.withColumn("place", F.row_number().over(Window.orderBy("item")) - 1)  # one small list of queries
+    return adapters.rotate(numbered, 3, 7).select("item")
 
 
 # --- stateful operators over a batch -----------------------------------------------------------------------------
@@ -753,6 +875,12 @@ def _(s, d):
     return jobs_stream.event_rate_windows(e).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@register("ST03_sliding_rates", "select start, event_type, status, count(*) as n from (select time_bucket(INTERVAL 15 MINUTE, created_at) - k * INTERVAL 15 MINUTE as start, event_type, status from ops_events, (select unnest([0, 1, 2, 3]) as k) u) t group by 1, 2, 3", "ops_events")
+def _(s, d):
+    e = load(s, d, "ops_events").withColumn("ts", F.col("created_at").cast("timestamp"))
+    return jobs_stream.event_rate_windows(e, "1 hour", "15 minutes").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 @register("ST05_limit_audit")
 def _(s, d):
     e = load(s, d, "ops_events").select(F.col("source").alias("subject"), F.col("event_type").alias("key"), F.col("created_at").alias("ts"), F.col("id").alias("event_id"))
@@ -761,24 +889,14 @@ def _(s, d):
 
 @register("ST06_breaker")
 def _(s, d):
-    e = load(s, d, "ops_events").select(F.col("source").alias("backend"), F.col("created_at").alias("ts"), (F.col("status") != "error").alias("ok"), F.col("id").alias("event_id"))
-    return jobs_stream.breaker_intervals(e)
+    e = load(s, d, "ops_events").select(F.col("source").alias("backend"), F.col("created_at").alias("ts"), (F.col("event_type") == "purchase").alias("ok"), F.col("id").alias("event_id"))
+    return jobs_stream.breaker_intervals(e.withColumn("ok", F.col("event_id") % 3 == 0))
 
 
 # --- further functions, set operations and queues ----------------------------------------------------------------
 
 
-def _stop(words) -> str:
-    return f"len(list_filter(w, lambda x: x in ({', '.join(repr(x) for x in words)})))"
-
-
-@register(
-    "F10_language",
-    r", t as (select id, string_split(trim(regexp_replace(substr(replace(lower(regexp_replace(coalesce(description, ''), '<[^>]*>', ' ', 'g')), 'ß', 'ss'), 1, 12000), '[^\p{L}]+', ' ', 'g')), ' ') as w from jobs), h as (select id, len(w) as n, "
-    + ", ".join(f"{_stop(v)} as h{i}" for i, v in enumerate(language.STOP_WORDS.values()))
-    + " from t), r as (select id, n, list_reverse_sort([h0, h1, h2, h3]) as s, case greatest(h0, h1, h2, h3) when h0 then 'en' when h1 then 'de' when h2 then 'fr' else 'es' end as best from h) select id, case when n < 20 or s[1] < 6 or (s[1] < 1.5 * s[2] and s[1] - s[2] < 4) then 'unknown' else best end as language from r",
-    "jobs",
-)
+@register("F10_language", f", {LANGUAGE} select id, language from lang", "jobs")
 def _(s, d):
     return jobs(s, d).select("id", language.detect_language(F.col("description")).alias("language"))
 
@@ -799,14 +917,7 @@ def _(s, d):
     return load(s, d, "ops_events").select("id", language.redact_json(F.col("payload"), ("name", "token")).alias("payload"))
 
 
-@register("F30_prompts", f", {QUEUE}, b as (select user_id, id, (rn - 1) // 15 as batch, (rn - 1) % 15 as k from (select *, row_number() over (partition by user_id order by tier, place, id) as rn from queue where user_id <= 3) t) select user_id, batch, sha256(string_agg('[' || cast(k as varchar) || '] ' || title || chr(10) || 'Company: ' || coalesce(company_name, '-') || chr(10) || 'Remote: ' || case when is_remote then 'Yes' when not is_remote then 'No' else 'Unknown' end || chr(10) || substr(coalesce(description, ''), 1, 1200), chr(10) || chr(10) order by k)) as digest from b join jobs j on j.id = b.id group by 1, 2", "jobs", "profiles")
-def _(s, d):
-    queue = scoring.tiered_queue(verdicts(s, d).where("user_id <= 3"))
-    texts = jobs(s, d).select("id", "title", "company_name", "is_remote", "description")
-    return scoring.score_prompt(scoring.assign_batches(queue).join(texts, "id")).select("user_id", "batch", F.sha2("prompt", 256).alias("digest"))
-
-
-@register("F30_prompts_all", ORACLE_BODY["F30_prompts"].replace(" where user_id <= 3", ""), "jobs", "profiles")
+@register("F30_prompts", f", {QUEUE}, b as (select user_id, id, (rn - 1) // 15 as batch, (rn - 1) % 15 as k from (select *, row_number() over (partition by user_id order by tier, place, id) as rn from queue) t) select user_id, batch, sha256(string_agg('[' || cast(k as varchar) || '] ' || title || chr(10) || 'Company: ' || coalesce(company_name, '-') || chr(10) || 'Remote: ' || case when is_remote then 'Yes' when not is_remote then 'No' else 'Unknown' end || chr(10) || substr(coalesce(description, ''), 1, 1200), chr(10) || chr(10) order by k)) as digest from b join jobs j on j.id = b.id group by 1, 2", "jobs", "scored_profiles")
 def _(s, d):
     texts = jobs(s, d).select("id", "title", "company_name", "is_remote", "description")
     batches = scoring.assign_batches(scoring.tiered_queue(verdicts(s, d))).join(texts, "id")
@@ -826,8 +937,7 @@ def _(s, d):
 
 @register("T04_embedding_queue", "select id from jobs j left join vectors v on v.vec_id = j.id where v.vec_id is null order by scraped_at desc, id limit 70", "jobs", "vectors")
 def _(s, d):
-    v = load(s, d, "vectors").select(F.col("vec_id").alias("id"))
-    return jobs(s, d).join(v, "id", "left_anti").orderBy(F.desc("scraped_at"), "id").limit(70).select("id")
+    return feed.embedding_queue(jobs(s, d), load(s, d, "vectors").select(F.col("vec_id").alias("id"))).select("id")
 
 
 @register("T09_merged_postings")
@@ -837,11 +947,11 @@ def _(s, d):
 
 @register("U01_countries", "select user_id, case user_id % 3 when 0 then 'de' when 1 then 'de' else '' end as supported, case user_id % 3 when 0 then 'at' else '' end as skipped from profiles", "profiles")
 def _(s, d):
-    wanted, has = F.transform(X.clean_list(F.col("preferred_countries")), F.lower), F.array(F.lit("de"), F.lit("fr"))
-    return load(s, d, "profiles").select("user_id", F.array_join(F.array_intersect(wanted, has), ",").alias("supported"), F.array_join(F.array_except(wanted, has), ",").alias("skipped"))
+    found = load(s, d, "profiles").select("user_id", tracker.country_support(X.clean_list(F.col("preferred_countries")), ["de", "fr"]).alias("c"))
+    return found.select("user_id", F.array_join("c.supported", ",").alias("supported"), F.array_join("c.skipped", ",").alias("skipped"))
 
 
-@register("U02_merge_exclusions", "select user_id, array_to_string(list_filter([case user_id % 5 when 0 then 'retail' when 1 then 'intern' end, case user_id % 6 when 0 then 'nordwerk' when 1 then 'VTX AG' end], lambda x: x is not null), '|') as merged from profiles", "profiles")
+@register("U02_merge_exclusions", "select user_id, array_to_string(list_filter([case user_id % 5 when 0 then 'retail' when 1 then 'intern' when 2 then 'Hafenlogistik SE' end, case user_id % 5 when 2 then 'growth' end, case user_id % 6 when 0 then 'nordwerk' when 1 then 'VTX AG' end], lambda x: x is not null), '|') as merged from profiles", "profiles")
 def _(s, d):
     both = F.concat(F.split("excluded_keywords", ","), F.split("excluded_companies", ","))
     return load(s, d, "profiles").select("user_id", F.array_join(X.distinct_in_order(both), "|").alias("merged"))
@@ -849,10 +959,7 @@ def _(s, d):
 
 @register("U04_eligible", f"select id from jobs where id not in (select job_id from job_scores where user_id = 7) and id not in (select job_id from applications where user_id = 7) and ({COUNTRY} is null or {COUNTRY} <> 'at')", "jobs", "job_scores", "applications")
 def _(s, d):
-    seen = lambda df: df.where("user_id = 7").select(F.col("job_id").alias("id"))
-    left = jobs(s, d).join(seen(scores(s, d)), "id", "left_anti").join(seen(applications(s, d)), "id", "left_anti")
-    country = X.normalize_country(F.col("country"))
-    return left.where(country.isNull() | (country != "at")).select("id")
+    return tracker.eligible(jobs(s, d), scores(s, d), applications(s, d), 7, ("at",)).select("id")
 
 
 @register("W05_crawl_plan", "select query, country, location from (select distinct title as query, dense_rank() over (order by title) as q from jobs) a, (select 'at' as country, 0 as c union all select 'de', 1) b, (select distinct location, dense_rank() over (order by location) as l from jobs where location is not null) x order by q, c, l limit 80", "jobs")
@@ -861,18 +968,40 @@ def _(s, d):
     return adapters.crawl_plan(j.select(F.col("title").alias("query")).distinct().orderBy("query"), ["at", "de"], j.select("location").where("location is not null").distinct().orderBy("location"))
 
 
-@register("W08_semantic_priority", f", {VERDICTS}, s as (select j.id, j.user_id, rule = 12 as explicit, case when id % 5 > 0 then (id * 37 % 100) / 100.0 end as sim from judged j where passed), g as (select *, case when explicit then 0 when sim >= 0.25 then 1 when sim is null then 2 else 3 end as grp from s) select user_id, id, grp as \"group\", row_number() over (partition by user_id order by grp, coalesce(sim, 0) desc, id) as place from g", "jobs", "profiles")
+@register("W08_semantic_priority", f", {VERDICTS}, s as (select j.id, j.user_id, rule = 12 as explicit, {COSINE} as sim from judged j left join vectors v on v.vec_id = j.id left join vectors p on p.vec_id = j.user_id where passed), g as (select *, case when explicit then 0 when sim >= 0.25 then 1 when sim is null then 2 else 3 end as grp from s) select user_id, id, grp as \"group\", row_number() over (partition by user_id order by grp, coalesce(sim, 0) desc, id) as place, count_if(grp = 3) over (partition by user_id) as n_low from g", "jobs", "scored_profiles", "vectors")
 def _(s, d):
-    v = verdicts(s, d).where("passed").select("user_id", "id", (F.col("rule") == 12).alias("explicit"), F.when(F.col("id") % 5 > 0, (F.col("id") * 37 % 100) / 100.0).alias("similarity"), F.col("id").alias("seq"))
-    return scoring.semantic_priority(v).select("user_id", "id", "group", "place")
+    v = load(s, d, "vectors")
+    passed = verdicts(s, d).where("passed").select("user_id", "id", (F.col("rule") == 12).alias("explicit"), F.col("id").alias("seq"))
+    near = scoring.pair_similarity(passed, v.select(F.col("vec_id").alias("id"), "embedding"), v.select(F.col("vec_id").alias("user_id"), "embedding"))
+    return scoring.semantic_priority(near).select("user_id", "id", "group", "place", "n_low")
 
 
-@register("D09_apply_actions", "select user_id, job_id, max_by(status, struct_pack(a := changed_at, b := event_id)) as status, max(case when status = 'applied' then changed_at end) as applied_at from (select *, row_number() over (partition by user_id, job_id order by changed_at, event_id) as rn from application_events) t where rn = 1 or status <> 'saved' group by 1, 2", "application_events")
-def _(s, d):
+#: The first half of the events made the current rows; the second half are actions, a fifth of them status updates, some by
+#: someone else than the owner, some of nothing.
+ACTIONS = """, cur as (select * from (select user_id, job_id, status, changed_at as updated_at, row_number() over (partition by user_id, job_id order by changed_at desc, event_id desc) as rn,
+  min(case when status = 'applied' then changed_at end) over (partition by user_id, job_id) as applied_at from application_events where event_id % 2 = 0) t where rn = 1),
+ acts as (select user_id, job_id, status as action, changed_at + INTERVAL 3000 DAY as moment, event_id as seq, case event_id % 5 when 1 then user_id when 3 then user_id + 1 end as owner from application_events where event_id % 2 = 1),
+ ok as (select * from acts a where owner is null or (owner = user_id and (exists (select 1 from cur c where c.user_id = a.user_id and c.job_id = a.job_id) or exists (select 1 from acts o where o.owner is null and o.user_id = a.user_id and o.job_id = a.job_id)))),
+ line as (select *, row_number() over (partition by user_id, job_id order by fresh, moment, seq) as rn from (select user_id, job_id, status, updated_at as moment, -1 as seq, false as upd, 0 as fresh, applied_at as was from cur union all select user_id, job_id, action, moment, seq, owner is not null, 1, null from ok) x),
+ eff as (select *, lag(status) over (partition by user_id, job_id order by fresh, moment, seq) as old_status from line where fresh = 0 or (rn = 1 and not upd) or status <> 'saved' or upd)"""
+
+
+def current_and_actions(s, d) -> tuple[DataFrame, DataFrame]:
     e = load(s, d, "application_events")
-    actions = e.select("user_id", "job_id", F.col("status").alias("action"), F.col("changed_at").alias("at"), F.col("event_id").alias("seq"))
-    none = load(s, d, "applications").limit(0)
-    return tracker.apply_actions(none, actions).select("user_id", "job_id", "status", "applied_at")
+    current = tracker.latest_application(e.where("event_id % 2 = 0"))
+    owner = F.when(F.col("event_id") % 5 == 1, F.col("user_id")).when(F.col("event_id") % 5 == 3, F.col("user_id") + 1)
+    actions = e.where("event_id % 2 = 1").select("user_id", "job_id", F.col("status").alias("action"), (F.col("changed_at") + F.make_dt_interval(F.lit(3000))).cast("timestamp_ntz").alias("at"), F.col("event_id").alias("seq"), owner.alias("owner_id"))
+    return current.withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz")).withColumn("applied_at", F.col("applied_at").cast("timestamp_ntz")), actions
+
+
+@register("D09_apply_actions", ACTIONS + " select user_id, job_id, max_by(status, struct_pack(n := fresh, a := moment, b := seq)) as status, coalesce(max(case when status = 'applied' and fresh = 1 and not upd then moment end), max(was), min(case when status = 'applied' and upd then moment end)) as applied_at from eff group by 1, 2", "application_events")
+def _(s, d):
+    return tracker.apply_actions(*current_and_actions(s, d)).select("user_id", "job_id", "status", "applied_at")
+
+
+@register("D09_history", ACTIONS + " select user_id, job_id, seq, old_status, status as new_status from eff where fresh = 1 and not (old_status is null and status = 'saved')", "application_events")
+def _(s, d):
+    return tracker.action_history(*current_and_actions(s, d)).select("user_id", "job_id", "seq", "old_status", "new_status")
 
 
 # --- texts of profiles, plug-ins, tables, markup payloads, streams -----------------------------------------------
@@ -882,7 +1011,7 @@ _LF = "chr(10)"
 
 @register("F21_profile_text", f"""select user_id, sha256(concat_ws({_LF} || {_LF}, 'Background' || {_LF} || case when length(r) > 2500 then substr(r, 1, 2500) || {_LF} || '[cut]' else r end,
  'Preferences' || {_LF} || concat_ws({_LF}, 'Roles: ' || case user_id % 3 when 0 then 'Head of Procurement, COO' when 1 then 'Director Supply Chain' end, 'Work mode: ' || work_mode, 'Countries: ' || case user_id % 3 when 0 then 'de, at' when 1 then 'de' end),
- 'Reject if required' || {_LF} || case user_id % 5 when 0 then 'retail' when 1 then 'intern' end, 'Reject employers' || {_LF} || case user_id % 6 when 0 then 'nordwerk' when 1 then 'VTX AG' end,
+ 'Reject if required' || {_LF} || case user_id % 5 when 0 then 'retail' when 1 then 'intern' when 2 then 'Hafenlogistik SE, growth' end, 'Reject employers' || {_LF} || case user_id % 6 when 0 then 'nordwerk' when 1 then 'VTX AG' end,
  case when english_only then 'Language' || {_LF} || 'English only' end)) as digest from (select p.*, nullif(trim(d.text), '') as r from profiles p left join documents d on d.doc_id = p.user_id) t""", "profiles")
 def _(s, d):
     lists = ("target_titles", "preferred_countries", "excluded_keywords", "excluded_companies")
@@ -890,18 +1019,29 @@ def _(s, d):
     return p.withColumns({c: X.clean_list(F.col(c)) for c in lists}).select("user_id", F.sha2(scoring.profile_text(), 256).alias("digest"))
 
 
-@register("X01_score_with", f", {QUEUE}, b as (select user_id, id, (rn - 1) // 15 as batch from (select *, row_number() over (partition by user_id order by tier, place, id) as rn from queue where user_id <= 3) t) select user_id, batch, cast(sum(length(title)) as bigint) as score from b join jobs j on j.id = b.id group by 1, 2", "jobs", "profiles")
-def _(s, d):
-    queue = scoring.tiered_queue(verdicts(s, d).where("user_id <= 3"))
-    titles = scoring.assign_batches(queue).join(jobs(s, d).select("id", "title"), "id").groupBy("user_id", "batch").agg(F.array_join(F.collect_list("title"), "").alias("prompt"))
-    return scoring.score_with(titles, lambda prompts: [str(len(p)) for p in prompts]).select("user_id", "batch", F.col("response").cast("long").alias("score"))
+def _stub(prompts: list[str]) -> list[str]:
+    """A deterministic scorer: an answer for each posting of a prompt, one of them out of range, cut off in the middle."""
+    out = []
+    for p in prompts:
+        titles = p.split("\n")
+        out.append("```json\n[" + ",".join(f'{{"index":{i},"score":{len(t)}}}' for i, t in enumerate(titles)) + ',{"index":99,"score":1},{"ind')
+    return out
 
 
-@register("X01_score_with_all", ORACLE_BODY["X01_score_with"].replace(" where user_id <= 3", ""), "jobs", "profiles")
+@register("X01_score_with", f""", {QUEUE}, b as (select user_id, id, tier from queue where tier = 1),
+ fresh as (select b.user_id, b.id as job_id, cast(least(100, length(title)) as int) as score, 'h' || cast(b.user_id as varchar) as profile_hash from b join jobs j on j.id = b.id)
+ select coalesce(o.job_id, n.job_id) as job_id, coalesce(o.user_id, n.user_id) as user_id,
+  case when n.job_id is not null and (o.job_id is null or not coalesce(o.profile_hash = n.profile_hash and o.model_version = 'primary', false)) then n.score else o.score end as score
+ from job_scores o full join fresh n on o.job_id = n.job_id and o.user_id = n.user_id""", "jobs", "scored_profiles", "job_scores")
 def _(s, d):
-    queue = scoring.assign_batches(scoring.tiered_queue(verdicts(s, d)))
-    titles = queue.join(jobs(s, d).select("id", "title"), "id").groupBy("user_id", "batch").agg(F.array_join(F.collect_list("title"), "").alias("prompt"))
-    return scoring.score_with(titles, lambda prompts: [str(len(p)) for p in prompts]).select("user_id", "batch", F.col("response").cast("long").alias("score"))
+    queue = scoring.assign_batches(scoring.tiered_queue(verdicts(s, d)).where("tier = 1"))
+    batches = queue.join(jobs(s, d).select("id", "title"), "id")
+    prompts = batches.groupBy("user_id", "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("in_batch", "title"))), lambda p: p["title"]), "\n").alias("prompt"))
+    answers = scoring.score_with(prompts, _stub)
+    found = scoring.scored_rows(answers, batches, 15).join(load(s, d, "scored_profiles").select("user_id", "profile_hash"), "user_id")
+    old = scores(s, d).select("job_id", "user_id", "score", "profile_hash", "model_version")
+    new = found.select("job_id", "user_id", "score", "profile_hash", F.lit("primary").alias("model_version"))
+    return scoring.upsert_scores(old, new).select("job_id", "user_id", "score")
 
 
 @register("X02_embed_with", "select id, cast(length(coalesce(description, '')) as double) as first, 0.0 as last from jobs", "jobs")
@@ -923,13 +1063,15 @@ def _(s, d):
     entry = F.struct(F.col("id").cast("string").alias("id"), "title", F.date_format("posted_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("activatedAt"))
     other = F.struct(F.lit("0").alias("id"), F.lit("no posting").alias("title"), F.lit(None).cast("string").alias("activatedAt"))
     state = F.to_json(F.create_map(F.concat(F.lit("JobAd:"), "id"), entry, F.lit("Page:0"), other))
-    pages = jobs(s, d).select("arrival_seq", F.concat(F.lit('<html><script id="state">'), state, F.lit("</script></html>")).alias("payload"))
+    # Every third page is cut off behind its posting.
+    whole = F.concat(F.lit('<html><script id="state">'), state, F.lit("</script></html>"))
+    pages = jobs(s, d).select("arrival_seq", F.when(F.col("id") % 3 == 0, F.concat(F.substring_index(whole, "},", 1), F.lit('},"Page:0":{"id'))).otherwise(whole).alias("payload"))
     return adapters.from_embedded_state(pages, "JobAd:").select("external_id", "title", "posted_at")
 
 
-@register("S09_rss", "select 'rss_' || sha256('https://feed.example/' || cast(id as varchar)) as external_id, title, company_name, case when id % 2 = 0 then 'Long text ' || cast(id as varchar) else 'short text' end as description from jobs where title not like '% - %' and (contains(lower(title), 'supply') or contains(lower(title), 'procurement'))", "jobs")
+@register("S09_rss", "select 'rss_' || sha256('https://feed.example/' || cast(id as varchar)) as external_id, title, company_name, case when id % 2 = 0 then 'Long text ' || cast(id as varchar) else 'short text' end as description from jobs where contains(lower(title), 'supply') or contains(lower(title), 'procurement') or contains(lower(coalesce(company_name, '')), 'supply') or contains(lower(coalesce(company_name, '')), 'procurement')", "jobs")
 def _(s, d):
-    j, url = jobs(s, d).where("title not like '% - %'"), F.concat(F.lit("https://feed.example/"), F.col("id").cast("string"))
+    j, url = jobs(s, d), F.concat(F.lit("https://feed.example/"), F.col("id").cast("string"))
     head = F.concat_ws(" // ", "title", "company_name")
     items = j.select("arrival_seq", F.concat(F.lit("<rss><item><title>"), head, F.lit("</title><link>"), url, F.lit("</link><description>&lt;p&gt;short text&lt;/p&gt;</description></item></rss>")).alias("payload"))
     details = j.where("id % 2 = 0").select(url.alias("url"), F.concat(F.lit('<div class="job-description">Long <b>text</b> '), F.col("id").cast("string"), F.lit("</div>")).alias("html"))
@@ -965,8 +1107,33 @@ def _(s, d):
     return s.read.parquet(f"{path}/store").select("doc_id", "country")
 
 
+def _through(s: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written once and read as a stream; and a folder for the run's state and output."""
+    path = scratch(s, name)
+    df.write.parquet(f"{path}/in")
+    return s.readStream.schema(df.schema).parquet(f"{path}/in"), path
+
+
+@register("ST04_liveness_stream", CHECKS + ", g as (select *, sum(case when transient then 0 else 1 end) over (partition by job_id order by checked_at, fetch_id) as g from checks), l as (select job_id, g, count_if(transient) as failures, max(case when not transient then status end) as definite from g group by 1, 2) select job_id, case when failures >= 3 then 'unreachable' else definite end as status, failures from l qualify row_number() over (partition by job_id order by g desc) = 1", "fetches")
+def _(s, d):
+    flat = checks(s, d).select("job_id", "checked_at", "c.status", "c.transient")
+    stream, path = _through(s, flat, "liveness")
+    keep = lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/out/batch={i}")
+    jobs_stream.liveness_stream(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{path}/out").groupBy("job_id").agg(F.max_by(F.struct("status", "failures"), "batch").alias("x")).select("job_id", "x.status", F.col("x.failures").cast("long").alias("failures"))
+
+
+@register("ST05_limit_stream")
+def _(s, d):
+    e = load(s, d, "ops_events").select(F.col("source").alias("subject"), F.col("event_type").alias("key"), F.col("created_at").alias("ts"), F.col("id").alias("event_id"))
+    stream, path = _through(s, e, "limit")
+    jobs_stream.limit_stream(stream, 3, 3600.0).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{path}/out")
+
+
 @register("ST07_match_alerts", f"select user_id, job_id, score, place from (select s.user_id, s.job_id, score, row_number() over (partition by s.user_id order by score desc, s.job_id) as place from job_scores s join jobs j on j.id = s.job_id join profiles p on p.user_id = s.user_id where score >= 80 and ({COUNTRY} is null or {COUNTRY} <> case p.user_id % 4 when 0 then 'at' when 1 then 'us' else '-' end)) t where place <= 10", "jobs", "job_scores", "profiles")
 def _(s, d):
-    sink = scratch(s, "alerts")
-    jobs_stream.match_alerts(jobs(s, d), load(s, d, "profiles"), sink)(scores(s, d), 0)
-    return s.read.parquet(sink).select("user_id", "job_id", "score", "place")
+    stream, path = _through(s, scores(s, d).repartition(1), "alerts")
+    alerts = jobs_stream.match_alerts(jobs(s, d), load(s, d, "profiles"), f"{path}/out")
+    stream.writeStream.foreachBatch(alerts).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{path}/out").select("user_id", "job_id", "score", "place")

@@ -10,31 +10,47 @@ from pyspark.sql import functions as F
 
 from postmill.functions import language
 from postmill.functions import text as X
-from postmill.operators import dedup, feed, liveness, rules, scoring, tracker
+from postmill.operators import dedup, feed, liveness, rules, scoring, stats, tracker
 from postmill.plans import catalog
-from postmill.sources import tables
+from postmill.sources import adapters, tables
 from postmill.streaming import jobs as S
 
 POSTINGS = "arrival_seq long, id long, source string, title string, company_name string, location string, country string, description string"
 
 
-def random_postings(n, seed):
+def random_postings(n, seed, odd=()):
+    """`odd` are places without a root, such as a postal code alone."""
     rng = random.Random(seed)
     pick = rng.choice
     return [
-        (i, i, pick(["a", "b", "c"]), pick(["Head of Ops", "head of ops (m/w/d)", "COO"]), pick([None, "", "Acme GmbH", "Acme Tools GmbH", "Tools", "VW", "VW AG"]), pick([None, "", "Berlin, DE", "10115 Berlin", "Köln"]), pick([None, "de", "DE", "at"]), "x" * rng.randint(0, 5))
+        (i, i, pick(["a", "b", "c"]), pick(["Head of Ops", "head of ops (m/w/d)", "COO"]), pick([None, "", "Acme GmbH", "Acme Tools GmbH", "Tools", "VW", "VW AG"]), pick([None, "", "Berlin, DE", "10115 Berlin", "Köln", *odd]), pick([None, "de", "DE", "at"]), "x" * rng.randint(0, 5))
         for i in range(n)
     ]
 
 
+def alike(a, b):
+    """Whether two prepared rows are the same posting, condition by condition."""
+    if a["title_key"] != b["title_key"]:
+        return False
+    if None not in (a["c_country"], b["c_country"]) and a["c_country"] != b["c_country"]:
+        return False
+    if places_conflict(a["root"], b["root"]):
+        return False
+    if a["c_words"] is None or b["c_words"] is None:
+        return a["c_words"] is b["c_words"]
+    if a["c_tokens"] and b["c_tokens"]:
+        return set(a["c_tokens"]) <= set(b["c_tokens"]) or set(b["c_tokens"]) <= set(a["c_tokens"])
+    n = min(len(a["c_words"]), len(b["c_words"]))
+    return n > 0 and a["c_words"][:n] == b["c_words"][:n]
+
+
 def sequential_fuzzy(rows):
-    """The greedy merge over prepared rows, one after another."""
+    """The greedy merge over prepared rows, one after another: all accepted rows are looked through."""
     accepted = []
     for r in rows:
         for seen in accepted:
             s = seen["row"]
-            same_place = (r["root"] is None) == (s["root"] is None) and (r["root"] == s["root"] or "" in (r["root"], s["root"]))
-            if r["title_key"] == s["title_key"] and same_place and dedup._alike(r, s):
+            if alike(r, s):
                 if r["source"] not in seen["sources"]:
                     seen["sources"].append(r["source"])
                 seen["members"] += 1
@@ -46,15 +62,34 @@ def sequential_fuzzy(rows):
     return {(a["slot"], a["row"]["arrival_seq"], a["members"], tuple(a["sources"])) for a in accepted}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_fuzzy_dedup_equals_the_sequential_merge(spark, seed):
-    df = spark.createDataFrame(random_postings(150, seed), POSTINGS)
+@pytest.mark.parametrize("seed, odd", [(1, ()), (2, ()), (3, ("12345", "DE")), (4, ("12345",))])
+def test_fuzzy_dedup_equals_the_sequential_merge(spark, seed, odd):
+    df = spark.createDataFrame(random_postings(150, seed, odd), POSTINGS)
+    if seed % 2:  # titles whose rows all have a country are split by it
+        df = df.withColumn("country", F.coalesce(F.nullif("country", F.lit("")), F.lit("fr")))
     rows = sorted((r.asDict() for r in dedup.fuzzy_keys(df).collect()), key=lambda r: r["arrival_seq"])
     for parts in (1, 5):
         got = {(r["slot"], r["arrival_seq"], r["members"], tuple(r["merged_sources"])) for r in dedup.fuzzy_dedup(df.repartition(parts)).collect()}
         assert got == sequential_fuzzy(rows)
 
 
+def test_a_place_without_a_root_goes_with_any(spark):
+    rows = [(0, 0, "a", "COO", "Acme", "Berlin", "de", "x"), (1, 1, "b", "COO", "Acme", "12345", "de", "long"), (2, 2, "c", "COO", "Acme", None, "de", "x")]
+    out = dedup.fuzzy_dedup(spark.createDataFrame(rows, POSTINGS)).collect()
+    assert {(r["slot"], r["id"], r["members"]) for r in out} == {(0, 1, 2), (2, 2, 1)}
+
+
+def test_the_scan_report_adds_up(spark):
+    df = spark.createDataFrame(random_postings(150, 6, ("12345",)), POSTINGS)
+    unique = dedup.exact_dedup(dedup.with_hash(df))
+    merged = dedup.fuzzy_dedup(unique).withColumn("reject_reason", F.when(F.col("source") == "a", "old"))
+    got = {r["stage"]: r["n"] for r in stats.scan_report(df, unique, merged).collect()}
+    rows = sorted((r.asDict() for r in dedup.fuzzy_keys(unique).collect()), key=lambda r: r["arrival_seq"])
+    left = sequential_fuzzy(rows)
+    assert (got["raw"], got["exact"], got["unique"], got["fuzzy_removed"]) == (150, len(rows), len(left), len(rows) - len(left))
+    assert sum(n for k, n in got.items() if k.startswith("source:")) == 150 and got["kept"] + got["old"] == len(left) and got["comparisons"] >= len(rows) - len(left)
+
+
 def test_liveness_state_equals_the_fold(spark):
     rng = random.Random(3)
     rows = [(j, j * 100 + k, dt.datetime(2024, 1, 1) + dt.timedelta(hours=k), rng.choice([200, 404, 503])) for j in range(40) for k in range(rng.randint(1, 9))]
@@ -142,7 +177,7 @@ def test_duplicate_pair_counts_equal_all_pairs(spark):
     for b in rows:
         for a in rows:
             equal_forms = all(a[c] == b[c] for c in ("c_tokens", "c_words", "c_country", "root"))
-            if a["arrival_seq"] < b["arrival_seq"] and a["title_key"] == b["title_key"] and (equal_forms or dedup._alike(b, a) and not places_conflict(a["root"], b["root"])):
+            if a["arrival_seq"] < b["arrival_seq"] and a["title_key"] == b["title_key"] and (equal_forms or alike(b, a)):
                 pairs[a["title_key"]] = pairs.get(a["title_key"], 0) + 1
     assert {r["title_key"]: r["pairs"] for r in dedup.duplicate_pair_counts(df).collect() if r["pairs"]} == pairs
 
@@ -187,13 +222,12 @@ def test_profile_hash_ignores_order_blanks_and_other_columns(spark):
 
 
 def test_merged_postings_are_those_of_several_sources(spark):
-    """T09 over the small table: newest first, as the fuzzy merge has them."""
-    from postmill.plans import catalog
-
+    """T09 over the small table: newest first, as the sequential merge has them."""
     sf = "/root/testdata/sf0.001"
-    merged = [r for r in dedup.fuzzy_dedup(catalog.unique_jobs(spark, sf)).select("id", "scraped_at", "merged_sources").collect() if len(r["merged_sources"]) > 1]
-    merged.sort(key=lambda r: (-r["scraped_at"].timestamp(), r["id"]))
-    assert [(r["id"], r["n_sources"]) for r in catalog.QUERIES["T09_merged_postings"](spark, sf).collect()] == [(r["id"], len(r["merged_sources"])) for r in merged[:50]]
+    rows = sorted((r.asDict() for r in dedup.fuzzy_keys(catalog.unique_jobs(spark, sf)).collect()), key=lambda r: r["arrival_seq"])
+    by_seq = {r["arrival_seq"]: r for r in rows}
+    merged = sorted(((-by_seq[kept]["scraped_at"].timestamp(), by_seq[kept]["id"], len(sources)) for _, kept, _, sources in sequential_fuzzy(rows) if len(sources) > 1))
+    assert merged and [(r["id"], r["n_sources"]) for r in catalog.QUERIES["T09_merged_postings"](spark, sf).collect()] == [(i, n) for _, i, n in merged[:50]]
 
 
 def test_profile_text_leaves_out_what_is_missing(spark):
@@ -245,11 +279,76 @@ def test_every_query_vector_gets_its_nearest_rows(spark):
 
 def test_prompts_and_top_k_leave_no_profile_or_query_vector_out(spark):
     sf = "/root/testdata/sf0.001"
-    users = {r["user_id"] for r in catalog.load(spark, sf, "profiles").collect()}
-    for name in ("F30_prompts_all", "X01_score_with_all"):
-        assert {r["user_id"] for r in catalog.QUERIES[name](spark, sf).select("user_id").distinct().collect()} == users
+    users = {r["user_id"] for r in catalog.load(spark, sf, "scored_profiles").collect()}
+    assert len(users) > 20 and {r["user_id"] for r in catalog.QUERIES["F30_prompts"](spark, sf).select("user_id").distinct().collect()} == users
     asked = {r["vec_id"] for r in catalog.load(spark, sf, "vectors").where("vec_id % 100 = 0").collect()}
-    assert {r["query_id"] for r in catalog.QUERIES["T08_semantic_top_k_all"](spark, sf).select("query_id").distinct().collect()} == asked
+    assert {r["query_id"] for r in catalog.QUERIES["T08_semantic_top_k"](spark, sf).select("query_id").distinct().collect()} == asked
+
+
+TEXTS = {
+    "en": "We are looking for a leader of the supply chain team. The role is based in our office and you will work with the board on the plan that is to come.",
+    "de": "Wir suchen für den Einkauf eine Leitung mit Erfahrung. Das Team ist in der Zentrale und die Arbeit mit den Partnern ist von Vertrauen und Freude geprägt, supply chain.",
+    "fr": "Nous cherchons une personne pour la direction de la supply chain dans le groupe. Les missions et les projets sont pour une équipe que la direction et le conseil est heureux de voir.",
+    "es": "Buscamos una persona para el equipo de la supply chain con experiencia. Los proyectos por venir son para una empresa que es del grupo y para los socios con las metas.",
+}
+
+
+def profile(spark, **given):
+    row = {"user_id": 1, "work_mode": "any", "english_only": False, "target_titles": "", "preferred_countries": "", "excluded_keywords": "", "excluded_companies": "", **given}
+    return rules.profile_terms(spark.createDataFrame([tuple(row.values())], "user_id long, work_mode string, english_only boolean, target_titles string, preferred_countries string, excluded_keywords string, excluded_companies string"))
+
+
+def posting_rows(spark, rows):
+    return rules.job_flags(spark.createDataFrame([(i, t, x, c, k, r) for i, (t, x, c, k, r) in enumerate(rows)], "id long, title string, description string, company_name string, country string, is_remote boolean"))
+
+
+def test_english_only_profiles_reject_texts_surely_in_another_language(spark):
+    flags = posting_rows(spark, [("Head of Supply Chain", t, None, None, None) for t in TEXTS.values()] + [("Head of Supply Chain", "kurz und gut", None, None, None), ("Leiter Logistik", TEXTS["en"], None, None, None), ("Head of Supply Chain", TEXTS["de"].replace(" ", "&nbsp; "), None, None, None)])
+    strict = {r["id"]: (r["rule"], r["passed"], r["bucket"]) for r in rules.pre_filter(flags, profile(spark, english_only=True)).collect()}
+    assert [strict[i] for i in range(7)] == [(14, True, "high"), (8, False, "low"), (8, False, "low"), (8, False, "low"), (14, True, "high"), (8, False, "low"), (8, False, "low")]
+    assert all(r["rule"] != 8 for r in rules.pre_filter(flags, profile(spark)).collect())
+
+
+def test_rules_decide_in_their_order(spark):
+    cases = [
+        (("Supply Chain Intern", "x", None, None, None), 1, (False, "low")),
+        (("Interim COO", "supply chain", None, None, None), 2, (False, "low")),
+        (("Legal Director", "supply chain", None, None, None), 3, (False, "low")),
+        (("Sales Director", "supply chain", None, None, None), 4, (False, "low")),
+        (("Director Operations", "French required", None, None, None), 5, (False, "low")),
+        (("Director Operations", "with growth", None, None, None), 6, (False, "low")),
+        (("Director Operations", "x", " ACME  Tools", None, None), 7, (False, "low")),
+        (("Director Finance", "x", None, None, None), 9, (False, "low")),
+        (("Director Operations", "x", None, None, False), 10, (False, "low")),
+        (("Director Operations", "x", None, None, None), 10, (False, "low")),
+        (("Director Operations", "remote", None, "us", None), 11, (False, "low")),
+        (("Head of Legal Procurement", "x", None, None, True), 12, (True, "high")),
+        (("Logistics Manager", "x", None, "Remote", True), 13, (False, "manager_tier2")),
+        (("Senior Logistics Manager", "x", None, None, True), 13, (False, "manager_tier2")),
+        (("Director Operations", "x", None, "de", True), 14, (True, "high")),
+        (("Lead Logistics Manager", "x", None, None, True), 15, (True, "medium")),
+        (("Logistics Buyer", "x", None, None, True), 15, (True, "medium")),
+    ]
+    terms = profile(spark, work_mode="remote", english_only=True, target_titles="Head Legal Procurement", preferred_countries="DE", excluded_keywords="Growth, nan", excluded_companies="acme tools")
+    flags = posting_rows(spark, [c for c, _, _ in cases])
+    out = {r["id"]: (r["rule"], (r["passed"], r["bucket"])) for r in rules.pre_filter(flags, terms).collect()}
+    assert [out[i] for i in range(len(cases))] == [(rule, verdict) for _, rule, verdict in cases]
+    pairs = spark.createDataFrame([(3, 1), (14, 1), (5, 9)], "id long, user_id long")
+    assert {(r["id"], r["rule"]) for r in rules.pre_filter_pairs(pairs, flags, terms).collect()} == {(3, 4), (14, 14)}
+
+
+def test_the_queue_cuts_before_it_shuffles(spark):
+    rows = [(u, i, i % 3 == 0 and u > 0, "low" if i % 2 else "manager_tier2") for u in range(3) for i in range(60)]
+    df = spark.createDataFrame(rows, "user_id long, id long, passed boolean, bucket string")
+    queue = scoring.tiered_queue(df, tier1=5, rejects=8)
+    want = set()
+    for u in range(3):
+        tiers = {1: [i for x, i, p, _ in rows if x == u and p], 2: [i for x, i, p, b in rows if x == u and not p and b == "manager_tier2"], 3: [i for x, i, p, b in rows if x == u and not p and b == "low"]}
+        for t, ids in tiers.items():
+            if t != 2 or not tiers[1]:
+                want |= {(u, i, t, n + 1) for n, i in enumerate(sorted(ids)[: 8 if t == 3 else 5])}
+    assert {tuple(r) for r in queue.select("user_id", "id", "tier", "place").collect()} == want
+    assert "WindowGroupLimit" in queue._jdf.queryExecution().executedPlan().toString()
 
 
 def test_an_alias_of_a_target_title_is_an_explicit_match(spark):
@@ -268,3 +367,132 @@ def test_profile_blocks_are_bounded_and_leave_nobody_out(spark, monkeypatch):
     monkeypatch.setattr(rules, "_judged", lambda f, t: sizes.append(t.count()) or judged(f, t))
     got = rules.pre_filter(flags, terms, size=3).collect()
     assert sizes == [3, 3, 1] and sorted(got) == sorted(judged(flags, terms).collect()) and len(got) == 14
+
+
+def test_a_broken_state_still_gives_its_postings(spark):
+    entry = lambda i: f'"JobAd:{i}":{{"id":"{i}","title":"T{i}","activatedAt":"2024-01-0{i}T00:00:00Z"}}'
+    bodies = ["{" + entry(1) + "," + entry(2) + "}</script>", "{" + entry(1) + ',"Page:0":{"id":"x","a":[{}]},' + entry(2) + ',"JobAd:3":{"id":"3","ti', "no state", "{}</script>"]
+    df = spark.createDataFrame([(i, f'<script id="state">{b}' if "state" not in b else b) for i, b in enumerate(bodies)], "arrival_seq long, payload string")
+    out = adapters.from_embedded_state(df, "JobAd:").collect()
+    assert sorted((r["arrival_seq"] // adapters.PLACES, r["external_id"], r["title"]) for r in out) == [(i, f"state_{k}", f"T{k}") for i in (0, 1) for k in (1, 2)]
+
+
+def test_places_beyond_the_packing_are_an_error_not_a_wrong_order(spark):
+    df = spark.createDataFrame([(1, adapters.PLACES - 1), (2, 5)], "arrival_seq long, p int")
+    assert [r[0] for r in df.select(adapters._placed(F.col("arrival_seq"), F.col("p"))).collect()] == [2 * adapters.PLACES - 1, 2 * adapters.PLACES + 5]
+    with pytest.raises(Exception, match="smaller pages"):
+        df.select(adapters._placed(F.col("arrival_seq"), F.col("p") + 1)).collect()
+    union = adapters.union_sources({"a": df, "b": df})
+    assert len({r["arrival_seq"] for r in union.collect()}) == 4
+    with pytest.raises(Exception, match="too large"):
+        adapters.union_sources({"a": df.withColumn("arrival_seq", F.lit(1 << 57))}).collect()
+
+
+def test_scan_scope_falls_back_to_defaults(spark):
+    schema = "user_id long, target_titles string, preferred_countries string"
+    df = spark.createDataFrame([(2, "COO,  Head  of X", "nan"), (1, "coo", "")], schema)
+    got = {(r["kind"], r["item"], r["user_id"]) for r in adapters.scan_scope(df, ("Buyer",), ("de", "at")).collect()}
+    assert got == {("title", "coo", 1), ("title", "Head of X", 2), ("country", "de", None), ("country", "at", None)}
+
+
+def test_rotation_wraps_around(spark):
+    items = spark.createDataFrame([(i, f"q{i}") for i in range(5)], "place long, item string")
+    assert [[r["item"] for r in adapters.rotate(items, slot, 2).collect()] for slot in range(3)] == [["q0", "q1"], ["q2", "q3"], ["q4", "q0"]]
+
+
+def test_second_probes_and_markers_decide(spark):
+    schema = "url string, body string, status_code int, location string, error_kind string, get_status_code int, get_location string"
+    rows = [
+        ("https://jobs.board.example/1", "x" * 49_990 + " GONE now", 200, None, None, None, None),
+        ("https://board.example/2", "x" * 50_000 + " gone now", 200, None, None, None, None),
+        ("https://other.example/3", "gone now", 200, None, None, None, None),
+        ("https://board.example/4", "", 405, "/jobs/99999", None, 302, "/careers"),
+        ("https://board.example/5", "", 405, None, None, 302, "/jobs/99999"),
+        ("https://board.example/6", "gone", None, None, "timeout", None, None),
+        ("https://board.example/7", None, None, None, None, None, None),
+    ]
+    df = liveness.with_gone_marker(spark.createDataFrame(rows, schema), {"board.example": ["gone"]})
+    found = df.withColumn("c", liveness.classify_fetch(F.col("gone_marker"), F.col("get_location")))
+    got = {r["url"][-1]: (r["c"]["status"], r["c"]["transient"], r["c"]["soft404"]) for r in found.collect()}
+    assert got == {"1": ("closed", False, True), "2": ("active", False, False), "3": ("active", False, False), "4": ("closed", False, False), "5": ("active", False, False), "6": ("unreachable", True, False), "7": ("active", False, False)}
+    n = liveness.liveness_counts(found).first()
+    assert (n["checked"], n["skipped"], n["soft_404"], n["closed"]) == (6, 1, 1, 2)
+
+
+def test_actions_respect_owners_and_leave_history(spark):
+    at = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    current = spark.createDataFrame([(1, 10, "saved", at(0), None), (1, 11, "applied", at(0), at(0))], "user_id long, job_id long, status string, updated_at timestamp_ntz, applied_at timestamp_ntz")
+    actions = [
+        (1, 10, "saved", at(1), 1, None),  # there already
+        (1, 10, "applied", at(2), 2, None),
+        (1, 11, "applied", at(3), 3, 1),  # an update keeps the first time
+        (1, 11, "offer", at(4), 4, 2),  # not the owner's
+        (1, 12, "offer", at(5), 5, 1),  # nothing to update
+        (1, 13, "saved", at(6), 6, None),
+        (1, 13, "rejected", at(7), 7, 1),
+        (1, 14, "applied", at(8), 8, None),
+        (1, 14, "bad", at(9), 9, None),
+        (1, 14, "applied", at(10), 10, None),  # again: the time moves
+    ]
+    a = spark.createDataFrame(actions, "user_id long, job_id long, action string, at timestamp_ntz, seq long, owner_id long")
+    got = {r["job_id"]: (r["status"], r["applied_at"]) for r in tracker.apply_actions(current, a).collect()}
+    assert got == {10: ("applied", at(2)), 11: ("applied", at(0)), 13: ("rejected", None), 14: ("applied", at(10))}
+    history = {(r["job_id"], r["seq"], r["old_status"], r["new_status"]) for r in tracker.action_history(current, a).collect()}
+    assert history == {(10, 2, "saved", "applied"), (11, 3, "applied", "applied"), (13, 7, "saved", "rejected"), (14, 8, None, "applied"), (14, 10, "applied", "applied")}
+
+
+def drained(stream, tmp_path, mode="append"):
+    """Rows of a stream over all micro-batches, in order of the batches."""
+    out = []
+    stream.writeStream.outputMode(mode).foreachBatch(lambda b, i: out.extend((i, r) for r in b.collect())).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(180)
+    return [r for _, r in sorted(out, key=lambda x: x[0])]
+
+
+def in_files(spark, tmp_path, frames):
+    """Each frame a file of its own, read as one micro-batch each."""
+    import os
+    import time
+
+    for i, f in enumerate(frames):
+        f.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for name in os.listdir(tmp_path / "in"):
+            if name.endswith(".parquet") and not name.startswith("b"):
+                os.rename(tmp_path / "in" / name, tmp_path / "in" / f"b{i}.parquet")
+                os.utime(tmp_path / "in" / f"b{i}.parquet", (time.time() - 100 + i,) * 2)
+    return spark.readStream.option("maxFilesPerTrigger", 1).schema(frames[0].schema).parquet(str(tmp_path / "in"))
+
+
+def test_liveness_as_a_stream_folds_over_micro_batches(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(j, dt.datetime(2024, 1, 1) + dt.timedelta(hours=k), rng.choice(["active", "closed", "unreachable"])) for k in range(9) for j in range(5)]
+    df = spark.createDataFrame([(j, t, s, s == "unreachable") for j, t, s in rows], "job_id long, checked_at timestamp_ntz, status string, transient boolean")
+    frames = [df.where((F.hour("checked_at") >= a) & (F.hour("checked_at") < a + 3)) for a in (0, 3, 6)]
+    got = {r["job_id"]: (r["status"], r["failures"]) for r in drained(S.liveness_stream(in_files(spark, tmp_path, frames)), tmp_path, "update")}
+    want = {}
+    for j, _, s in rows:
+        want[j] = S.fold_liveness(*want.get(j, (None, 0)), s == "unreachable", s)
+    assert got == want
+
+
+def test_limits_and_breakers_as_streams_equal_their_batch(spark, tmp_path):
+    rng = random.Random(8)
+    rows = sorted((rng.choice("ab"), dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rng.randint(0, 200_000)), rng.random() < 0.5, i) for i in range(150))
+    rows.sort(key=lambda r: (r[1], r[3]))
+    df = spark.createDataFrame([(s, "k", t, ok, i, n // 50) for n, (s, t, ok, i) in enumerate(rows)], "subject string, key string, ts timestamp_ntz, ok boolean, event_id long, part int")
+    stream = in_files(spark, tmp_path, [df.where(F.col("part") == p) for p in range(3)])
+    got = {(r["event_id"], r["admitted"], round(r["retry_after"], 3)) for r in drained(S.limit_stream(stream, 3, 9000.0), tmp_path)}
+    assert got == {(r["event_id"], r["admitted"], round(r["retry_after"], 3)) for r in S.limit_audit(df, 3, 9000.0).collect()}
+    calls = lambda d: d.select(F.col("subject").alias("backend"), "ts", "ok", "event_id")
+    opened = drained(S.breaker_stream(calls(stream)), tmp_path / "b")
+    batch = S.breaker_intervals(calls(df)).collect()
+    seconds = lambda t: t.replace(tzinfo=dt.timezone.utc).timestamp()
+    assert len(batch) > 2 and {(r["backend"], r["opened_at"].timestamp(), r["until"].timestamp()) for r in opened} == {(r["backend"], seconds(r["opened_at"]), seconds(r["until"])) for r in batch}
+
+
+def test_late_events_are_dropped_and_windows_slide(spark, tmp_path):
+    at = lambda h, m: dt.datetime(2024, 1, 1, h, m, tzinfo=dt.timezone.utc)
+    schema = "ts timestamp, event_type string, status string"
+    frames = [spark.createDataFrame([(t, "scan", "ok") for t in ts], schema) for ts in ([at(1, 5), at(1, 20)], [at(6, 0)], [at(6, 5)], [at(1, 30), at(6, 10)], [at(12, 0)])]
+    rows = drained(S.event_rate_windows(in_files(spark, tmp_path, frames), "1 hour", "30 minutes"), tmp_path)
+    hours = {(r["start"].astimezone(dt.timezone.utc).strftime("%H:%M"), r["n"]) for r in rows}
+    assert hours == {("00:30", 2), ("01:00", 2), ("05:30", 3), ("06:00", 3)}  # the event of 01:30 came too late
