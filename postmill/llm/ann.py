@@ -1,18 +1,20 @@
 """Approximate nearest neighbours: an inverted file of coarse cells with product-quantised residuals.
 
 Coarse centroids and the codebooks of the residuals are fitted on a bounded sample (SAMPLE rows of smallest hash). Every
-row is indexed: its nearest cell, and one code per sub-vector of its residual. A query visits its nearest cells, as
-many as hold the share `recall` of the neighbours inside the sample (few where vectors cluster, most where they do not),
-ranks their rows by asymmetric distances (its own residual, table-looked-up against the codes), and the best
-CANDIDATES of each block, with all ties, are ranked again by exact distances on the original vectors.
+row is indexed: its nearest of about 4 * sqrt(rows) cells (at most CELLS), and one code per sub-vector of its residual. How
+many cells a query visits is measured, not guessed: the true neighbours of ASKED sample rows among all rows are found in
+one pass, and as many of the nearest cells are visited as hold the share `recall` of them. A query's rows there are ranked by
+asymmetric distances (its own residual, table-looked-up against the codes), and the best CANDIDATES of each block, with
+all ties, are ranked again by exact distances on the original vectors, in double precision.
 
-Cells are dealt in blocks of at most about BLOCK rows and QUERIES queries, so a cell that holds a third of all rows is
-many tasks, and no group is larger than its block. Inside a block copies of one vector count once for the candidates
+Neighbouring cells are dealt together in blocks of at most about BLOCK rows and QUERIES queries, and a query is sent once to a
+block with the numbers of its cells there. A cell that holds a third of all rows is many blocks, and no group of rows is
+larger than its block. Inside a block copies of one vector count once for the candidates
 and come back, smallest ids first, in the result: copies never crowd out other vectors.
 
 Nulls and edges: a null id, and vectors that are null, empty, zero, of another dimension than most of the sample, or
 hold null or non-finite components, take no part; an id that occurs again counts once per query, at its
-smallest distance; ties go to the smaller id; with fewer than k other rows all are returned; an empty table gives
+smallest distance, and asks with the vector of smallest bytes; ties go to the smaller id; with fewer than k other rows all are returned; an empty table gives
 no rows; other columns are ignored.
 """
 
@@ -26,9 +28,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, steps
 
 SAMPLE = 20_000
+#: Bound on the coarse cells.
+CELLS = 4096
+#: Sample rows whose true neighbours are looked up.
+ASKED = 400
+#: Rows whose distances to all centroids are held at a time.
+ROWS = 2_048
 PARTS, CODES = 16, 256
 CANDIDATES = 64
 BLOCK, QUERIES = 8_192, 1_024
@@ -44,20 +52,29 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)[None, :]
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number and squared distance of each row's nearest centre."""
+    own, gap = np.zeros(len(x), dtype=np.int64), np.zeros(len(x))
+    for at in range(0, len(x), ROWS):
+        d = _squared(x[at : at + ROWS], centres)
+        own[at : at + ROWS] = d.argmin(1)
+        gap[at : at + ROWS] = d.min(1)
+    return own, gap
+
+
 def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
     """Centroids by Lloyd's rounds; an empty cell takes the row farthest from its own centroid."""
     rng = np.random.default_rng(seed)
     k = min(k, len(x))
     centres = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        distance = _squared(x, centres)
-        own = distance.argmin(1)
+        own, gap = _nearest(x, centres)
         n = np.bincount(own, minlength=k)
         sums = np.stack([np.bincount(own, x[:, d], k) for d in range(x.shape[1])], axis=1)
         centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
         empty = np.flatnonzero(n == 0)
         if len(empty):
-            centres[empty] = x[np.argsort(-distance.min(1), kind="stable")[: len(empty)]]
+            centres[empty] = x[np.argsort(-gap, kind="stable")[: len(empty)]]
     return centres
 
 
@@ -66,23 +83,24 @@ class Index:
 
     def __init__(self, sample: np.ndarray, cells: int):
         self.centres = k_means(sample, cells)
-        own = _squared(sample, self.centres).argmin(1)
-        rest = sample - self.centres[own]
+        rest = sample - self.centres[self.cells(sample)]
         self.cuts = np.array_split(np.arange(sample.shape[1]), min(PARTS, sample.shape[1]))
         self.books = [k_means(rest[:, c], CODES, rounds=8) for c in self.cuts]
 
-    def probes(self, sample: np.ndarray, k: int, recall: float, queries: int = 400) -> int:
-        """Cells to visit so that this share of the sample's own k nearest neighbours lies in them."""
-        asking = sample[: min(queries, len(sample))]
-        distance = _squared(asking, sample)
-        distance[np.arange(len(asking)), np.arange(len(asking))] = np.inf
-        near = np.argsort(distance, axis=1)[:, : min(k, len(sample) - 1)]
+    def probes(self, asking: np.ndarray, of: np.ndarray, cells: np.ndarray, recall: float) -> int:
+        """Cells to visit so that this share of known neighbours is found: neighbour i, of row of[i] of `asking`, lies in cells[i]."""
         place = np.argsort(np.argsort(_squared(asking, self.centres), axis=1, kind="stable"), axis=1)
-        needed = np.sort(np.take_along_axis(place, self.cells(sample)[near], axis=1).ravel())
+        needed = np.sort(place[of, cells])
         return int(needed[min(len(needed) - 1, int(recall * len(needed)))]) + 1 if len(needed) else 1
 
+    def visits(self, queries: np.ndarray, probes: int, rows_in: np.ndarray, least: int) -> list[np.ndarray]:
+        """The nearest cells of each query, and more of them until they hold `least` rows."""
+        order = np.argsort(_squared(queries, self.centres), axis=1, kind="stable")
+        enough = np.minimum((np.cumsum(rows_in[order], axis=1) < least).sum(axis=1) + 1, order.shape[1])
+        return [o[:m] for o, m in zip(order, np.maximum(min(probes, order.shape[1]), enough))]
+
     def cells(self, x: np.ndarray) -> np.ndarray:
-        return _squared(x, self.centres).argmin(1)
+        return _nearest(x, self.centres)[0]
 
     def codes(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
         rest = x - self.centres[cells]
@@ -97,31 +115,43 @@ class Index:
         return out
 
 
-def search_block(index: Index, cell: int, ids: np.ndarray, codes: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best rows of a block for each query: query_id, vec_id, score."""
+def search_block(index: Index, ids: np.ndarray, cells: np.ndarray, codes: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, visited: list[np.ndarray], k: int) -> pd.DataFrame:
+    """The k best rows of a block for each query, among those of the cells it visits: query_id, vec_id, score."""
     order = np.argsort(ids, kind="stable")
-    ids, codes, vectors = ids[order], codes[order], vectors[order]
+    ids, cells, codes, vectors = ids[order], cells[order], codes[order], vectors[order]
     raw = np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.dtype.itemsize * vectors.shape[1]))).ravel()
     _, first, group = np.unique(raw, return_index=True, return_inverse=True)
     by_group = np.argsort(group, kind="stable")
     begins = np.searchsorted(group[by_group], np.arange(len(first) + 1))
-    codes_of, exact = codes[first].astype(np.int64), vectors[first].astype(np.float64)
-    tables = index.tables(queries.astype(np.float64), cell)
+    cells, codes, exact = cells[first], codes[first].astype(np.int64), vectors[first].astype(np.float64)
+    queries = queries.astype(np.float64)
+    # Asymmetric distances of all queries to the rows of the cells they visit, cell by cell.
+    rough = np.full((len(queries), len(first)), np.inf, dtype=np.float32)
+    by_cell = np.argsort(cells, kind="stable")
+    names, at = np.unique(cells[by_cell], return_index=True)
+    ends = np.append(at[1:], len(cells))
+    asking = np.repeat(np.arange(len(queries)), [len(v) for v in visited])
+    wanted = np.concatenate(visited) if len(visited) else np.zeros(0, dtype=np.int64)
     parts = np.arange(codes.shape[1])
+    for cell, a, z in zip(names, at, ends):
+        own, rows = asking[wanted == cell], by_cell[a:z]
+        step = max(1, (1 << 21) // (len(rows) * len(parts)))
+        for i in range(0, len(own), step):
+            some = own[i : i + step]
+            table = index.tables(queries[some], int(cell))
+            rough[np.ix_(some, rows)] = table[:, parts[None, :], codes[rows]].sum(axis=2)
     out_query, out_id, out_score = [], [], []
-    for q, (query_id, query) in enumerate(zip(query_ids, queries.astype(np.float64))):
-        rough = tables[q][parts, codes_of].sum(axis=1)
-        if len(rough) > CANDIDATES:
-            chosen = np.flatnonzero(rough <= np.partition(rough, CANDIDATES - 1)[CANDIDATES - 1])
-        else:
-            chosen = np.arange(len(rough))
-        gap = exact[chosen] - query
+    for q, query_id in enumerate(query_ids):
+        chosen = np.flatnonzero(np.isfinite(rough[q]))
+        if len(chosen) > CANDIDATES:
+            chosen = np.flatnonzero(rough[q] <= np.partition(rough[q], CANDIDATES - 1)[CANDIDATES - 1])
+        gap = exact[chosen] - queries[q]
         distance = np.sqrt((gap * gap).sum(axis=1))
         found: list[tuple[float, int]] = []
         limit = np.inf if len(chosen) <= k + 1 else np.partition(distance, k)[k]
         for c, d in zip(chosen[distance <= limit], distance[distance <= limit]):
-            own = ids[by_group[begins[c] : min(begins[c + 1], begins[c] + k + 1)]]
-            found += [(d, i) for i in own.tolist() if i != query_id]
+            near = ids[by_group[begins[c] : min(begins[c + 1], begins[c] + k + 1)]]
+            found += [(d, i) for i in near.tolist() if i != query_id]
         for d, i in sorted(found)[:k]:
             out_query.append(query_id)
             out_id.append(i)
@@ -129,63 +159,118 @@ def search_block(index: Index, cell: int, ids: np.ndarray, codes: np.ndarray, ve
     return pd.DataFrame({"query_id": np.array(out_query, dtype=np.int64), "vec_id": np.array(out_id, dtype=np.int64), "score": np.array(out_score, dtype=np.float64)})
 
 
-def nearest(rows: DataFrame, every: int = 100, k: int = 10, recall: float = 0.98) -> DataFrame:
+def block_plan(centres: np.ndarray, rows_in: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Block of each cell and parts of each block: neighbouring cells together up to BLOCK rows, a larger cell alone in parts."""
+    near = k_means(centres, max(1, min(64, int(rows_in.sum() // BLOCK) + 1)), rounds=6)
+    order = np.lexsort((np.arange(len(centres)), _nearest(centres, near)[0]))
+    block_of, parts, held = np.zeros(len(centres), dtype=np.int64), [], BLOCK
+    for c in order:
+        n = int(rows_in[c])
+        if n > BLOCK or held + n > BLOCK:
+            parts.append(max(1, -(-n // BLOCK)))
+            held = 0
+        block_of[c] = len(parts) - 1
+        held += n
+    return block_of, parts
+
+
+def known_neighbours(indexed: DataFrame, ids: np.ndarray, asking: np.ndarray, k: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Row of `asking` and cell of each of its k true neighbours in `indexed`. Each task keeps its own k best."""
+
+    def best(batches):
+        held = [(np.zeros(0), np.zeros(0, dtype=np.int64))] * len(ids)
+        for b in batches:
+            if len(b):
+                gap = _squared(asking, np.stack([np.frombuffer(v, dtype=kind) for v in b["vector"]]).astype(np.float64))
+                gap[ids[:, None] == b["vec_id"].to_numpy()[None, :]] = np.inf
+                cells = b["cell"].to_numpy(dtype=np.int64)
+                for q in range(len(ids)):
+                    d, c = np.concatenate([held[q][0], gap[q]]), np.concatenate([held[q][1], cells])
+                    o = np.argsort(d, kind="stable")[:k]
+                    held[q] = d[o], c[o]
+        n = [len(c) for _, c in held]
+        yield pd.DataFrame({"q": np.repeat(np.arange(len(ids)), n), "gap": np.concatenate([d for d, _ in held]), "cell": np.concatenate([c for _, c in held])})
+
+    own = indexed.mapInPandas(best, "q long, gap double, cell long").where(F.col("gap") < float("inf"))
+    near = own.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("gap", "cell"))).where(F.col("rank") <= k)
+    found = near.select("q", "cell").toPandas()  # at most ASKED * k rows
+    return found["q"].to_numpy(), found["cell"].to_numpy()
+
+
+def nearest(rows: DataFrame, every: int = 100, k: int = 10, recall: float = 0.93) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found rows of each row whose vec_id is divisible by `every`."""
+    with steps(rows.sparkSession, "neighbours") as own:
+        return cut(_nearest_rows(rows, every, k, recall, own), "nearest")
+
+
+def _nearest_rows(rows: DataFrame, every: int, k: int, recall: float, cut) -> DataFrame:
     spark = rows.sparkSession
     result = "query_id long, rank int, vec_id long, score double"
-    good = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(T.ArrayType(T.FloatType())).alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
+    # Components keep their own precision: four bytes for floats, eight for all other numbers.
+    single = isinstance(rows.schema["embedding"].dataType.elementType, T.FloatType)
+    kind, own_type = ("<f4", T.FloatType()) if single else ("<f8", T.DoubleType())
+    good = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(T.ArrayType(own_type)).alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
     if not len(sample):
         return spark.createDataFrame([], result)
     sizes = sample["embedding"].map(len)
     dimension = int(sizes.mode().iloc[0])
-    total = good.count()
-    cells = int(min(4096, max(4, math.sqrt(total) / 2)))
-    fitted = np.stack(sample["embedding"][sizes == dimension].to_list()).astype(np.float64)
-    index = Index(fitted, cells)
-    probes = index.probes(fitted, k, recall)
-    shared = spark.sparkContext.broadcast(index)  # cells and codebooks: at most 4096 + 256 vectors
+    sample = sample[sizes == dimension]
+    asked_ids, fitted = sample["vec_id"].to_numpy()[:ASKED], np.stack(sample["embedding"].to_list()).astype(np.float64)
+    del sample
+    index = Index(fitted, int(min(CELLS, max(4, 4 * math.sqrt(good.count())))))
+    asking = fitted[:ASKED].copy()
+    del fitted
+    shared = spark.sparkContext.broadcast(index)  # cells and codebooks: at most CELLS + CODES vectors
 
     def assign(batches):
         own = shared.value
         for b in batches:
-            x = np.stack(b["embedding"].to_list()).astype(np.float64) if len(b) else np.zeros((0, dimension))
-            at = own.cells(x)
-            yield pd.DataFrame({"vec_id": b["vec_id"], "cell": at, "codes": [c.tobytes() for c in own.codes(x, at)], "vector": [v.astype("<f4").tobytes() for v in x]})
+            x = np.stack(b["embedding"].to_list()).astype(kind) if len(b) else np.zeros((0, dimension), dtype=kind)
+            at = own.cells(x.astype(np.float64))
+            yield pd.DataFrame({"vec_id": b["vec_id"], "cell": at, "codes": [c.tobytes() for c in own.codes(x.astype(np.float64), at)], "vector": [v.tobytes() for v in x]})
 
     schema = "vec_id long, cell int, codes binary, vector binary"
     indexed = cut(good.where(F.size("embedding") == dimension).mapInPandas(assign, schema), "index")
+    probes = index.probes(asking, *known_neighbours(indexed, asked_ids, asking, k, kind), recall)
     counts = indexed.groupBy("cell").count().toPandas().set_index("cell")["count"]  # one number per cell
     rows_in = np.array([int(counts.get(c, 0)) for c in range(len(index.centres))])
-    queries = indexed.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    queries = indexed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+
+    block_of, row_parts = block_plan(index.centres, rows_in)
+    least = 4 * (k + 1)
 
     def probe(batches):
         own = shared.value
         for b in batches:
-            x = np.stack([np.frombuffer(v, dtype="<f4") for v in b["vector"]]).astype(np.float64) if len(b) else np.zeros((0, dimension))
-            order = np.argsort(_squared(x, own.centres), axis=1, kind="stable")
-            reached = np.cumsum(rows_in[order], axis=1)
-            # The nearest cells, and more of them until they hold four times the rows asked for.
-            n = np.maximum(min(probes, order.shape[1]), np.minimum((reached < 4 * (k + 1)).sum(axis=1) + 1, order.shape[1]))
-            yield pd.DataFrame({"query_id": np.repeat(b["vec_id"].to_numpy(), n), "query": [v for v, m in zip(b["vector"], n) for _ in range(m)], "cell": np.concatenate([o[:m] for o, m in zip(order, n)]) if len(b) else np.zeros(0, dtype=np.int64)})
-
-    visits = cut(queries.mapInPandas(probe, "query_id long, query binary, cell int"), "visits")
-    asked = visits.groupBy("cell").count().toPandas().set_index("cell")["count"]
-    plan = [(c, -(-int(n) // BLOCK), -(-int(asked.get(c, 0)) // QUERIES)) for c, n in enumerate(rows_in) if n and asked.get(c, 0)]
+            out = []
+            if len(b):
+                x = np.stack([np.frombuffer(v, dtype=kind) for v in b["vector"]]).astype(np.float64)
+                for query_id, vector, cells in zip(b["vec_id"], b["vector"], own.visits(x, probes, rows_in, least)):
+                    blocks = block_of[cells]
+                    out += [(query_id, vector, int(g), cells[blocks == g].astype("<i4").tobytes()) for g in np.unique(blocks)]
+            yield pd.DataFrame(out, columns=["query_id", "query", "block", "cells"])
+
+    visits = cut(queries.mapInPandas(probe, "query_id long, query binary, block int, cells binary"), "visits")
+    asked = visits.groupBy("block").count().toPandas().set_index("block")["count"]  # one number per block
+    plan = [(g, n, -(-int(asked[g]) // QUERIES)) for g, n in enumerate(row_parts) if g in asked.index]
     if not plan:
         return spark.createDataFrame([], result)
-    blocks = F.broadcast(spark.createDataFrame(plan, "cell int, row_blocks int, query_blocks int"))  # a row per cell
-    every_block = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = indexed.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("vec_id"), F.col("row_blocks")).cast("int").alias("rb"), every_block("query_blocks").alias("qb"), "vec_id", "codes", "vector")
-    right = visits.join(blocks, "cell").select("cell", every_block("row_blocks").alias("rb"), F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int").alias("qb"), "query_id", "query")
+    # A row per block and one per cell, of which there are at most CELLS.
+    blocks = F.broadcast(spark.createDataFrame(plan, "block int, row_parts int, query_parts int"))
+    of_cell = F.broadcast(spark.createDataFrame([(c, int(g)) for c, g in enumerate(block_of)], "cell int, block int"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = indexed.join(of_cell, "cell").join(blocks, "block").select("block", F.pmod(F.xxhash64("vec_id", "vector"), F.col("row_parts")).cast("int").alias("rp"), each("query_parts").alias("qp"), "vec_id", "cell", "codes", "vector")
+    right = visits.join(blocks, "block").select("block", each("row_parts").alias("rp"), F.pmod(F.xxhash64("query_id"), F.col("query_parts")).cast("int").alias("qp"), "query_id", "query", "cells")
 
     def search(stored: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         if not len(stored) or not len(asking):
             return pd.DataFrame({"query_id": np.zeros(0, "int64"), "vec_id": np.zeros(0, "int64"), "score": np.zeros(0)})
-        array = lambda s, kind: np.stack([np.frombuffer(v, dtype=kind) for v in s])
-        return search_block(shared.value, int(stored["cell"].iloc[0]), stored["vec_id"].to_numpy(), array(stored["codes"], np.uint8), array(stored["vector"], "<f4"), asking["query_id"].to_numpy(), array(asking["query"], "<f4"), k)
+        array = lambda s, t: np.stack([np.frombuffer(v, dtype=t) for v in s])
+        visited = [np.frombuffer(c, dtype="<i4").astype(np.int64) for c in asking["cells"]]
+        return search_block(shared.value, stored["vec_id"].to_numpy(), stored["cell"].to_numpy(dtype=np.int64), array(stored["codes"], np.uint8), array(stored["vector"], kind), asking["query_id"].to_numpy(), array(asking["query"], kind), visited, k)
 
-    keys = ["cell", "rb", "qb"]
+    keys = ["block", "rp", "qp"]
     found = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(search, "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
