@@ -4,7 +4,8 @@ Every byte is eight binary decisions. Each decision has a context tree over the
 Krichevsky-Trofimov estimate from its zeros and ones. A node's weighted probability is the mean of its own estimate
 and the product of its children's (Willems, Shtarkov, Tjalkens, 1995), so all depths are mixed, with weights that the
 training data determine. The trees are learned from all training texts and then frozen; a text's score is the sum of
-log10 probabilities of its bytes.
+log10 probabilities of its bytes and of its end. The end is one more byte, MARK, which UTF-8 never uses; it also stands
+DEPTH times before each text as the context of its first bytes. So the scores of all texts are one distribution.
 
 The trees are tables that grow with the corpus; no task and no driver holds them. Each task counts its own cells
 (context and byte), which are summed by key; every depth is then a grouped sum over the depth below it, and the mixing
@@ -15,8 +16,8 @@ Most bytes of a text are looked up in memory: cells that make at least 1 / HOT_C
 executors (at most HOT_CELLS of them, 12 bytes each: 96 MB whatever the corpus), words of at least 1 / HOT of all tokens
 likewise. Every other cell and word of a text is joined with its figure; none of those is a hot key.
 
-Nulls and edges: a null or empty text has one token (the end) and score 0; a null id has remainder 0 (training);
-repeated rows each return and each count; without training rows all counts are 0 and every bit costs one bit;
+Nulls and edges: a null or empty text is its end alone; a very long text is read in slices; a null id has remainder 0
+(training); repeated rows each return and each count; without training rows all counts are 0 and every bit costs one bit;
 an empty table gives no rows; other columns are ignored.
 """
 
@@ -33,10 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, remainder
+from .common import cut, remainder, steps
 
-#: Bytes of context; context and byte fit a long up to 6.
+#: Bytes of context; context and byte leave two bytes of a long free up to 5.
 DEPTH = 5
+#: The end of a text, and what stands before it.
+MARK = b"\xff"
+#: Input splits that one counting task reads at most.
+SPLITS = 4
 #: Words of at least 1/HOT of all tokens are looked up in memory; there are at most HOT of them.
 HOT = 1_000_000
 #: Cells of at least 1/HOT_CELLS of all bytes are looked up in memory; there are at most HOT_CELLS of them.
@@ -58,10 +63,10 @@ def _cells(data: np.ndarray) -> np.ndarray:
 
 
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts, each after DEPTH line ends, in one array; the index of each text's first byte."""
-    lead = b"\n" * DEPTH
-    sizes = np.array([len(t) + DEPTH for t in texts], dtype=np.int64)
-    return np.frombuffer(lead + lead.join(texts), dtype=np.uint8), np.cumsum(sizes) - sizes + DEPTH
+    """All texts, each after DEPTH marks and before one, in one array; the index of each text's first byte."""
+    lead = MARK * DEPTH
+    sizes = np.array([len(t) + DEPTH + 1 for t in texts], dtype=np.int64)
+    return np.frombuffer(lead + (MARK + lead).join(texts) + MARK, dtype=np.uint8), np.cumsum(sizes) - sizes + DEPTH
 
 
 def _batches(texts: Iterator[str]) -> Iterator[list[bytes]]:
@@ -78,7 +83,7 @@ def _batches(texts: Iterator[str]) -> Iterator[list[bytes]]:
 
 
 def _is_text(starts: np.ndarray, n: int) -> np.ndarray:
-    """False for the line ends put before each text."""
+    """False for the marks before each text."""
     keep = np.ones(n, dtype=bool)
     for k in range(1, DEPTH + 1):
         keep[starts - k] = False
@@ -154,8 +159,10 @@ def corpus_counts(rows: DataFrame) -> DataFrame:
         yield counted()
         yield from cells.take()
 
-    # Fewer, longer tasks: counts that one task has summed need not be moved. Nothing is shuffled for it.
-    few = rows.select("held_out", "text").coalesce(4 * rows.sparkSession.sparkContext.defaultParallelism)
+    # Fewer, longer tasks: counts that one task has summed need not be moved. Nothing is shuffled for it. A task reads at
+    # most SPLITS splits, so a lost one costs as little on a large corpus.
+    splits = rows.rdd.getNumPartitions()
+    few = rows.select("held_out", "text").coalesce(max(4 * rows.sparkSession.sparkContext.defaultParallelism, -(-splits // SPLITS)))
     found = few.mapInPandas(run, "word binary, cell long, n long, seen long")
     return found.groupBy("word", "cell").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
 
@@ -186,7 +193,7 @@ def _cut_context(node: str, depth: int) -> Column:
     return F.col(node).bitwiseAND(F.lit((1 << 8 * (depth + 1)) - 1))
 
 
-def cell_logs(cells: DataFrame) -> DataFrame:
+def cell_logs(cells: DataFrame, cut=cut) -> DataFrame:
     """cell, seen and log (log10 probability of its byte in its context) from cell, n and seen.
 
     Cells are dealt out once, by the last DEPTH - 1 bytes of their context (`up`; at most 65,536 cells each): the two
@@ -224,7 +231,7 @@ def cell_logs(cells: DataFrame) -> DataFrame:
     p = F.col("mix.part") + F.col("mix.weight") * F.col("one")
     logs = mixed.withColumn("p", F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12)))
     logs = logs.groupBy("up", "cell").agg(F.first("seen").alias("seen"), F.sum(F.log10(F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p")))).alias("log"))
-    return cut(logs.drop("up"), "cell-logs")
+    return logs.drop("up")
 
 
 def _gathered(logs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -252,29 +259,45 @@ class Table:
         self.cells = np.append(cells[order], np.int64(np.iinfo(np.int64).max))
         self.logs = np.append(logs[order], np.float32(0))
 
+    def spots(self, cells: np.ndarray) -> np.ndarray:
+        """Where each cell is, or would be. Cells are looked up in sorted chunks: the search then walks the table in order."""
+        n, chunk = len(cells), 1 << 16
+        packed = np.zeros(-(-n // chunk) * chunk, dtype=np.uint64)
+        packed[:n] = cells
+        packed = (packed.reshape(-1, chunk) << np.uint64(16)) | np.arange(chunk, dtype=np.uint64)
+        packed.sort(axis=1)
+        at = (packed & np.uint64(chunk - 1)).astype(np.int64) + np.arange(len(packed))[:, None] * chunk
+        out = np.empty(packed.size, dtype=np.int64)
+        out[at.ravel()] = np.searchsorted(self.cells, (packed >> np.uint64(16)).astype(np.int64).ravel())
+        return out[:n]
+
     def scores(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
         """Of each text the sum over the cells of the table, and its other cells."""
         if not texts:
             return np.zeros(0), []
         data, starts = _joined(texts)
         keep = _is_text(starts, len(data))
-        log, places, rest = np.zeros(len(data) + 1, dtype=np.float32), [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        log, places, rest = np.zeros(len(data), dtype=np.float32), [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for at in range(0, len(data) - DEPTH, SLICE):
             part = data[at : at + SLICE + DEPTH]
             cells = _cells(part)
-            spot = np.searchsorted(self.cells, cells)
+            spot = self.spots(cells)
             known, own = self.cells[spot] == cells, keep[at + DEPTH : at + len(part)]
             log[at + DEPTH : at + len(part)] = np.where(known & own, self.logs[spot], 0)
             other = np.flatnonzero(~known & own)
             places.append(other + at + DEPTH)
             rest.append(cells[other])
         cuts = np.searchsorted(np.concatenate(places), starts[1:])
-        # The zero after each text (its successor's lead, or the last place) keeps empty texts at 0.
         return np.add.reduceat(log, starts, dtype=np.float64), np.split(np.concatenate(rest), cuts)
 
 
 def score_documents(docs: DataFrame, held: int = 5) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row."""
+    with steps(docs.sparkSession, "context-trees") as own:
+        return cut(_scores(docs, held, own), "scores")
+
+
+def _scores(docs: DataFrame, held: int, cut) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select("doc_id", (remainder("doc_id", held) == 1).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     counts = cut(corpus_counts(rows), "counts")
@@ -284,7 +307,8 @@ def score_documents(docs: DataFrame, held: int = 5) -> DataFrame:
     hot = words.where((F.col("n") * HOT >= tokens) | (F.length("word") == 0)).toPandas()
     cells = counts.where("cell is not null").select("cell", "n", "seen")
     size = int(cells.agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0])
-    tree = cell_logs(cells)
+    with steps(spark, "trees") as own:
+        tree = cut(cell_logs(cells, own), "cell-logs")
     found = Table(*_gathered(tree.where(F.col("seen") * HOT_CELLS >= size).select("cell", "log")))
     logs = np.log10((hot["n"].to_numpy(dtype=np.float64) + 0.5) / below)
     ready = spark.sparkContext.broadcast(({bytes(w): x for w, x in zip(hot["word"], logs)}, found))
