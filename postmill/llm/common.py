@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,12 +42,32 @@ def shared_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: later steps neither repeat the work nor depend on
-    executors that may be lost. The rows are then fixed, whatever happens to the tasks that made them."""
+    executors that may be lost. The rows are then fixed, whatever happens to the tasks that made them.
+
+    The table stays, as what is returned is read from it whenever it is used; see `steps` for those of one run."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def steps(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A `cut` for the steps of one run: their tables lie in one folder, which is deleted at the end. What is to outlive the
+    run is cut outside of it, before."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def cut_step(df: DataFrame, step: str) -> DataFrame:
+        path = f"{folder}/{step}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield cut_step
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once per row, however often body names it."""
     return F.transform(F.array(value), body)[0]

@@ -26,8 +26,8 @@ def _star(nodes: DataFrame, smaller: bool) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, root (the smallest node of its component) for every node of an edge, from columns a and b."""
+def components(edges: DataFrame, rounds: int = 60, cut=cut) -> DataFrame:
+    """node, root (the smallest node of its component) for every node of an edge, from columns a and b. `cut` writes a round's table."""
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = lambda df: df.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
     before = mark(now)

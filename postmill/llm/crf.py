@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, remainder
+from .common import remainder, steps
 
 #: Bounds on the training documents and on the lines of all of them.
 SAMPLE, SAMPLE_LINES = 6_000, 200_000
@@ -244,10 +244,11 @@ def fit_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, line
             out = pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "n": counts, "bins": [bins[c].tobytes() for c in cuts], "size": [size[c].tobytes() for c in cuts]})
             yield out[out["n"] <= lines // 10]
 
-    rows = cut(texts.mapInPandas(bins_of, "doc_id long, quality int, n long, bins binary, size binary"), "line-bins")
-    so_far = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # at most `sample` narrow rows
-    used = rows.select("doc_id", so_far.alias("so_far")).where(F.col("so_far") <= lines).select("doc_id")
-    rows = rows.join(F.broadcast(used), "doc_id").toPandas().sort_values("doc_id")
+    with steps(docs.sparkSession, "line-bins") as own:
+        rows = own(texts.mapInPandas(bins_of, "doc_id long, quality int, n long, bins binary, size binary"), "lines")
+        so_far = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # at most `sample` narrow rows
+        used = rows.select("doc_id", so_far.alias("so_far")).where(F.col("so_far") <= lines).select("doc_id")
+        rows = rows.join(F.broadcast(used), "doc_id").toPandas().sort_values("doc_id")
     bins = np.frombuffer(b"".join(rows["bins"]), dtype=np.uint8).reshape(-1, FEATURES)
     size = np.frombuffer(b"".join(rows["size"]), dtype=np.float64)
     return fit(bins, size, rows["n"].to_numpy(dtype=np.int64), rows["quality"].to_numpy(dtype=np.int64))

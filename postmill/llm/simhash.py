@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, steps
 from .components import components
 
 WORDS, SEED, RADIUS = 4, 42, 4
@@ -122,7 +122,7 @@ def _stars(members: DataFrame, keys: list[str]) -> DataFrame:
     return together.mapInPandas(run, "a long, b long")
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, cut=cut) -> DataFrame:
     """Edges (a, b) that connect distinct fingerprints (column fp) exactly as all links do."""
     spark = fps.sparkSession
     first = covering_masks(list(range(64)))
@@ -141,14 +141,14 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.unionByName(small).unionByName(crowded)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, cut=cut) -> DataFrame:
     """doc_id, h, fp, component_id (smallest doc_id reachable by links) and root of every row.
 
     root is a fingerprint of the component and tells components apart; it is never null, as component_id may be."""
     prints = cut(fingerprints(docs), "fingerprints")
     fps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     total = fps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    roots = cut(components(links(fps)), "roots")
+    roots = cut(components(links(fps, cut), cut=cut), "roots")
     members = fps.join(roots, fps.fp == roots.node).select("fp", "least", "root")
     least = members.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = members.join(least, "root").select("fp", "component_id", "root")
@@ -163,16 +163,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    with steps(docs.sparkSession, "near-duplicates") as own:
+        found = near_duplicates(docs, own).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        return cut(found, "components")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The input's rows without near-duplicates: of each component the row of smallest (doc_id, hash of the text), null ids
     first. Of rows equal in both one stays, whichever; texts without words are one component; an empty table stays
     empty; other columns stay as they are, whatever their names."""
-    found = near_duplicates(docs).groupBy("root", "doc_id", "h").agg(F.count("*").alias("copies"))
-    chosen = found.groupBy("root").agg(F.min(F.struct("doc_id", "h", "copies")).alias("s")).select("s.*")
-    chosen = cut(chosen.select(F.col("doc_id").alias("kept_id"), F.col("h").alias("kept_h"), "copies"), "chosen")
+    with steps(docs.sparkSession, "near-duplicates") as own:
+        found = near_duplicates(docs, own).groupBy("root", "doc_id", "h").agg(F.count("*").alias("copies"))
+        chosen = found.groupBy("root").agg(F.min(F.struct("doc_id", "h", "copies")).alias("s")).select("s.*")
+        chosen = cut(chosen.select(F.col("doc_id").alias("kept_id"), F.col("h").alias("kept_h"), "copies"), "chosen")
     # The input's row travels as one struct, so none of its names meets one of ours.
     rows = docs.select(F.struct(*docs.columns).alias("row"))
     content = F.xxhash64(F.coalesce(F.col("row.text"), F.lit("")))
