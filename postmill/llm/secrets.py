@@ -9,7 +9,8 @@ a blob with an identifier in scope, an ident with a secret in scope, and an endp
 The parts are found inside each row. Only spans are shuffled, by (doc_id, hash of the text); equal rows are
 counted there and given back at the end. A window holds the spans of one text, and its frame those of one scope.
 
-Nulls and edges: a null or empty text has no spans; null ids are kept; repeated rows each return; an empty table
+Nulls and edges: a null or empty text has no spans; a very long text is one pass a kind, and its spans are one window; of
+spans at one place the kind listed first comes first; null ids are kept; repeated rows each return; an empty table
 gives no rows; other columns are ignored.
 """
 

@@ -100,9 +100,22 @@ def test_pii_matches_brute_force_and_adds_iban(spark, docs, none):
     assert [row[f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [1, 1, 1, 1] and "iban:" in row["spans"]
     assert pii.pii_report(none).count() == 0
     clean = next(r["text"] for r in rows_of(pii.redact(docs)) if r["doc_id"] == 104)
+    assert pii.redact(none).count() == 0
+    named = pii.redact(docs.withColumn("pii", F.lit("own")))
+    assert named.columns == [*docs.columns, "pii"] and all(r["pii"] == "own" for r in rows_of(named))
     assert clean == "Mail <email>, ip <ip>, not 300.1.1.1; card <card> and <phone>. IBAN <iban> \x01"
 
 
+def test_context_decides_about_mere_shapes_only(spark):
+    texts = ["Version 10.1.2.3 ist da", "server 10.1.2.3 ist da", "siehe 10.1.2.3 da", "Bestellung +49 30 1234567 x", "Bestellung, Handy +49 30 1234567 x", "Rechnung 4111 1111 1111 1111", "Rechnung a@b.org"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["text"] for r in rows_of(pii.redact(df).orderBy("doc_id"))]
+    assert got == [texts[0], "server <ip> ist da", "siehe <ip> da", texts[3], "Bestellung, Handy <phone> x", "Rechnung <card>", "Rechnung <email>"]
+    assert all(r["n_ip"] + r["n_phone"] + r["n_card"] + r["n_email"] == 1 for r in rows_of(pii.pii_report(df)))  # the report keeps them
+    own = pii.kinds({**pii.CONTEXT, "against": "siehe"})
+    assert [r["text"] for r in rows_of(pii.redact(df, found=own).orderBy("doc_id"))][:3] == ["Version <ip> ist da", "server <ip> ist da", texts[2]]
+
+
 def test_pii_patterns_on_random_strings(spark):
     rng = random.Random(1)
     texts = ["".join(rng.choice("a1.@+- 4%(") for _ in range(rng.choice([5, 40, 200]))) for _ in range(300)] + ["é@b.c 1.2.3.4.5.6.7.8 a@b.c_d@e.f 𝔘x@y.zz"]
@@ -134,6 +147,14 @@ def test_shards_follow_the_tree_and_grow_only_into_the_new_one(spark, docs, none
     assert all(400 < n < 600 for n in Counter(r["shard"] for r in out).values())
 
 
+def test_rows_of_one_key_are_dealt_over_many_buckets(spark):
+    hot = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    out = rows_of(sharding.assign_shards(hot, sharding.balanced_tree(8), 8))
+    assert len({r["shard"] for r in out}) == 1 and sorted(r["slot"] for r in out) == list(range(3000))
+    plan = sharding.assign_shards(hot, sharding.balanced_tree(8), 8)._jdf.queryExecution().toString()
+    assert "doc_id" not in plan.split("Window")[1].split("]")[0]
+
+
 def test_a_changed_weight_moves_keys_only_into_its_subtree(spark):
     tree = sharding.balanced_tree(8)
     heavier = {**tree, "region0": {**tree["region0"], "rack0": {0: 1.0, 1: 3.0}}}
@@ -158,6 +179,20 @@ def test_rule_features_match_brute_force(spark, docs, labels, none):
     assert all(r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]) for r in out)
     assert all(r["kept"] == (not r["base_failed"]) for r in out)  # too few labels certify nothing
     assert quality_rules.judge(none, labels).count() == 0
+    kept = quality_rules.keep(docs, labels)
+    assert kept.columns == docs.columns
+    assert multiset(r["doc_id"] for r in rows_of(kept)) == multiset(r["doc_id"] for r in out if r["kept"])
+
+
+def test_windows_of_one_hash_are_told_apart(spark, monkeypatch):
+    """With every window in one hash all texts go by their words, and the counts stay."""
+    texts = [" ".join(random.Random(i).choices("abc", k=i)) for i in range(3, 40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    count = lambda: [r["n"] for r in df.orderBy("doc_id").select(quality_rules.repeated_words(F.split("text", " ")).alias("n")).collect()]
+    want = [brute_features(t)[4] for t in texts]
+    assert count() == want
+    monkeypatch.setattr(F, "xxhash64", lambda *_: F.lit(7).cast("long"))
+    assert count() == want
 
 
 @pytest.mark.parametrize("n", [10, 400, 5000])
@@ -180,6 +215,51 @@ def test_cutoffs_keep_the_promise_on_good_documents(spark):
     assert len(kept & set(range(9000))) > 8800 and not kept & set(range(9000, 10_000))
 
 
+def brute_levels(rows, path, alpha, delta, strata):
+    """The certified level of best gain, test by test, from (quality, bins) of a holdout."""
+    n, best = sum(q for q, _ in rows), None
+    for level in range(len(quality_rules.LEVELS)):
+        hit = [any(b[k] >= path[k][level] for k in path) for _, b in rows]
+        good, bad = (sum(h and q == want for h, (q, _) in zip(hit, rows)) for want in (1, 0))
+        tail = sum(math.comb(n, k) * alpha**k * (1 - alpha) ** (n - k) for k in range(good + 1))
+        if tail > delta / strata:
+            break
+        if bad - 10 * good > 0 and (best is None or bad - 10 * good > best[0]):
+            best = bad - 10 * good, level, good
+    return best and best[1:]
+
+
+def test_levels_are_those_of_brute_force_and_break_the_promise_rarely(spark):
+    """Two hundred strata, each a trial of its own: the path comes from other rows than the test, and the true rate of
+    false rejection of a chosen level exceeds alpha in at most delta of them (within chance)."""
+    rng, trials, alpha, delta = random.Random(8), 200, 0.05, 0.1
+    scales = {k: 4.0 + i for i, k in enumerate(quality_rules.RULES)}
+
+    def bins(quality):
+        return {k: min(quality_rules.BINS, int(rng.expovariate(1 / (s * (1 if quality else 6))))) for k, s in scales.items()}
+
+    def table(n):
+        return [(f"s{t:03}", q, bins(q)) for t in range(trials) for q in [1] * n + [0] * (n // 4)]
+
+    def frame(rows):
+        return spark.createDataFrame([(s, q, *b.values()) for s, q, b in rows], "stratum string, quality int, " + ", ".join(f"{k} int" for k in scales)).repartition(4)
+
+    training, holdout = table(150), table(150)
+    path = {r["stratum"]: r["cutoffs"] for r in quality_rules.cutoff_path(frame(training)).collect()}
+    for s in ("s000", "s001"):
+        for k in scales:
+            own = sorted((b[k] for t, q, b in training if t == s and q), reverse=True)
+            for share, c in zip(quality_rules.LEVELS, path[s][k]):
+                assert sum(x >= c for x in own) <= share * len(own) and (c == 0 or sum(x >= c - 1 for x in own) > share * len(own))
+    got = {r["stratum"]: (r["level"], r["rejected_good"]) for r in quality_rules.certified_levels(frame(holdout), quality_rules.cutoff_path(frame(training)), alpha, delta, 1).collect()}
+    for s in sorted(path)[:40]:
+        assert got.get(s) == brute_levels([(q, b) for t, q, b in holdout if t == s], path[s], alpha, delta, 1)
+    fresh, broken = [bins(1) for _ in range(4000)], 0
+    for s, (level, _) in got.items():
+        broken += sum(any(b[k] >= path[s][k][level] for k in scales) for b in fresh) / len(fresh) > alpha
+    assert len(got) > 50 and broken <= delta * trials + 3 * math.sqrt(delta * (1 - delta) * trials)
+
+
 def library():
     return Tokenizer.from_file(PATH)
 
@@ -208,6 +288,47 @@ def test_tree_concatenation_is_exact_on_random_runs():
             assert bpe.concatenate_blocks(codec, parts) == ids
 
 
+@pytest.mark.parametrize("unit", ["😀", "مرحبا", "สวัสดี", "नमस्ते", "e\u0301", "word "])
+def test_long_texts_of_any_script_are_many_blocks(spark, unit):
+    """Odd characters are no reason to leave a long text whole."""
+    codec, t = bpe.Codec.load(PATH), library()
+    text = unit * (60_000 // len(unit)) + "😀 end"
+    assert len(list(codec.blocks(text, 8192))) >= 60_000 // 8192
+    ids = t.encode(text, add_special_tokens=False).ids
+    out = rows_of(bpe.encode_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH, block=8192))
+    assert [(r["n_tokens"], r["ids_sha256"]) for r in out] == [(len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest())]
+
+
+def test_packing_fills_each_tier_from_its_own_pieces():
+    rng = random.Random(9)
+    lengths = [min(30_000, int(rng.lognormvariate(5.8, 1.1)) + 1) for _ in range(6000)]
+    windows = packing.pack(lengths)
+    assert sum(p[2] for _, w in windows for p in w) == sum(lengths) and all(sum(p[2] for p in w) == t for t, w in windows)
+    placed = sorted((d, s, n) for _, w in windows for d, s, n in w)
+    assert all(a[1] + a[2] == b[1] if a[0] == b[0] else a[1] + a[2] == lengths[a[0]] and b[1] == 0 for a, b in zip(placed, placed[1:]))
+    count = Counter(t for t, _ in windows)
+    routed = Counter(next(t for t in packing.TIERS if n % 2048 <= t) for n in lengths if n % 2048)
+    assert all(count[t] > routed[t] / 10 for t in packing.TIERS) and sum(n for t, n in count.items() if t not in packing.TIERS) <= 11
+    whole = sum(len({(d, s) for _, w in windows for d, s, n in w if d == i}) for i in range(len(lengths))) - sum(n // 2048 + (n % 2048 > 0) for n in lengths)
+    assert whole < 0.15 * len(lengths)  # few pieces are cut
+    for tier in packing.TIERS[1:]:
+        heads = [w[0][2] for t, w in windows if t == tier]
+        assert all(tier // 2 < h <= tier for h in heads[:-1])  # the rest of a window is its gap, filled from shorter tiers
+
+
+def test_step_groups_have_one_length_and_near_equal_cost():
+    rng = random.Random(10)
+    windows = packing.pack([min(30_000, int(rng.lognormvariate(5.8, 1.1)) + 1) for _ in range(6000)])
+    groups = {}
+    for (tier, w), g in zip(windows, packing.step_groups(windows, 5)):
+        groups.setdefault(g, []).append((tier, sum(p[2] ** 2 for p in w)))
+    assert min(groups) == 5 and sorted(groups) == list(range(5, 5 + len(groups)))
+    assert all(len({t for t, _ in x}) == 1 and len(x) * x[0][0] <= packing.GROUP * packing.WINDOW for x in groups.values())
+    for tier in packing.TIERS:
+        costs = [sum(c for _, c in x) / len(x) for x in groups.values() if x[0][0] == tier]
+        assert max(costs) <= 1.1 * min(costs)
+
+
 def test_packing_covers_every_id_once_without_padding(docs, none):
     t = library()
     out = rows_of(packing.pack_documents(docs, PATH))
@@ -247,7 +368,9 @@ def test_simhash_links_equal_brute_force(docs, none):
     want = multiset((i, fp, least[find(k)]) for k, (i, fp) in enumerate(prints))
     assert multiset((r["doc_id"], r["fp"] % 2**64, r["component_id"]) for r in out) == want
     assert simhash.near_duplicates(none).count() == 0
-    assert simhash.keep_one(docs.select("doc_id", "text")).count() == len({find(k) for k in range(len(prints))})
+    kept = simhash.keep_one(docs.withColumn("row", F.lit("own")).withColumn("kept_id", F.lit("own")))
+    assert kept.columns == [*docs.columns, "row", "kept_id"] and kept.count() == len({find(k) for k in range(len(prints))})
+    assert simhash.keep_one(none).count() == 0
 
 
 def test_a_group_of_copies_is_dealt_over_tasks_and_loses_no_row(spark):
@@ -294,7 +417,9 @@ def test_word_scores_equal_brute_force_and_the_model_is_a_distribution(docs, non
     n, v = sum(c.values()), len(c)
     want = multiset((i, held(i), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), 6)) for i, ws in token_lists)
     assert multiset((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in out) == want
-    assert all(r["score"] == 0 for r in out if r["doc_id"] in (100, 101)) and all(r["score"] < 0 for r in out if r["doc_id"] == 5)
+    ends = [r["score"] for r in out if r["doc_id"] in (100, 101)]
+    assert len(ends) == 2 and ends[0] == ends[1] < 0  # an empty text is its end
+    assert all(r["score"] < 0 for r in out)
     assert ctw.score_documents(none).count() == 0
     context = int.from_bytes(b"abcde", "big") << 8
     cells = docs.sparkSession.createDataFrame([(context + y, {97: 9, 98: 2}.get(y, 0), 1) for y in range(256)], "cell long, n long, seen long")
@@ -307,7 +432,7 @@ def brute_context_trees(train, texts, depth):
     """Scores by recursion over the trees of all binary decisions, from plain counts."""
     counts = Counter()
     for t in train:
-        data = b"\n" * depth + t
+        data = ctw.MARK * depth + t + ctw.MARK
         for k in range(depth, len(data)):
             for i in range(8):
                 for d in range(depth + 1):
@@ -343,7 +468,7 @@ def brute_context_trees(train, texts, depth):
 
     out = []
     for t in texts:
-        data, score = b"\n" * depth + t, 0.0
+        data, score = ctw.MARK * depth + t + ctw.MARK, 0.0
         for k in range(depth, len(data)):
             for i in range(8):
                 p = one(data[k - depth : k], i, data[k] >> (8 - i))
@@ -356,7 +481,7 @@ def brute_context_trees(train, texts, depth):
 def test_context_trees_equal_recursion(spark, monkeypatch, frequent):
     """With few cells in memory the others come by join; both give the recursion's score."""
     monkeypatch.setattr(ctw, "HOT_CELLS", frequent)
-    texts = [p[:150] for p in PROSE[:10]] + ["Größe 日本", "zq", PROSE[0][:150]]
+    texts = [p[:150] for p in PROSE[:10]] + ["Größe 日本", "zq", PROSE[0][:150], ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
     assert any(held) and not all(held)
@@ -379,6 +504,22 @@ def test_line_field_separates_junk_and_scores_every_text(spark, docs, labels, no
     assert all(r["score"] == 0.5 for r in rows_of(crf.quality_report(docs, labels.limit(0))))
 
 
+def test_the_field_learns_from_whole_documents_within_its_bounds(spark, monkeypatch):
+    """All lines of a sampled document count; one too long for the bound is left out whole, not cut."""
+    seen = []
+    monkeypatch.setattr(crf, "fit", lambda bins, size, counts, labels: seen.append((counts.tolist(), labels.tolist())))
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1][:12]
+    rows = [(i, "\n".join(["a line"] * (10 + k)), k % 2) for k, i in enumerate(ids)]
+    rows[3] = (ids[3], "\n".join(["a line"] * 500), 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    crf.fit_documents(df, df.select("doc_id", "quality"), lines=400)
+    crf.fit_documents(df, df.select("doc_id", "quality"), lines=6000)
+    crf.fit_documents(df, df.select("doc_id", "quality"), sample=5, lines=6000)
+    assert sum(seen[0][0]) <= 400 and 500 not in seen[0][0] and set(seen[0][0]) <= set(range(10, 22))
+    assert sorted(seen[1][0]) == sorted([10 + k for k in range(12) if k != 3] + [500])
+    assert len(seen[2][0]) == 5
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(0)
     field = crf.Field(np.zeros(crf.PARAMETERS), rng.normal(size=(2, 2)), rng.normal(size=2))
@@ -415,5 +556,12 @@ def test_neighbours_reach_the_recall_and_exact_scores(spark):
         total += 10
     assert hits / total >= 0.9 and len(out) == total
     assert ann.nearest(df.limit(0)).count() == 0
+    # Double components keep their precision; a repeated id asks once, with the vector of smallest bytes.
+    y = rng.normal(size=(300, 8))
+    fine = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(y)] + [(100, [9.0] * 8)], "vec_id long, embedding array<double>").repartition(3)
+    asks = {100: min(y[100].tobytes(), np.full(8, 9.0).tobytes())}
+    for r in rows_of(ann.nearest(fine)):
+        asked = np.frombuffer(asks.get(r["query_id"], y[r["query_id"]].tobytes()))
+        assert r["score"] == min(np.sqrt(((v - asked) ** 2).sum()) for v in ([y[r["vec_id"]], np.full(8, 9.0)] if r["vec_id"] == 100 else [y[r["vec_id"]]]))
     few = rows_of(ann.nearest(df.where("vec_id < 4")))
     assert sorted(r["vec_id"] for r in few) == [1, 2, 3]
