@@ -180,6 +180,31 @@ def _(s, d):
     return jobs(s, d).groupBy(X.null_if_placeholder(F.col("company_name")).alias("company")).agg(F.count("*").alias("n"))
 
 
+_ROOT = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(location)), '\([a-z]{2,3}\)', '', 'g'), '\b[a-z]{2}\b', '', 'g'), '[0-9]+', '', 'g'), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@register("F04_F06_compared", rf""", n as (select id, {sql_norm("nullif(company_name, '')")} as c, location, {_ROOT} as r from jobs),
+ k as (select id, case when c is not null then list_distinct(list_filter(regexp_split_to_array(regexp_replace(c, '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+'), lambda w: length(w) >= 4)) end as t, case when c is not null then list_filter(regexp_split_to_array(c, '[^\p{{L}}\p{{N}}_]+'), lambda w: w <> '') end as w,
+  case when trim(location) <> '' then coalesce(list_filter(string_split(r, ' '), lambda w: length(w) >= 4)[1], substr(r, 1, 8)) end as root from n)
+ select a.id, case when a.w is null and b.w is null then true when a.w is null or b.w is null then false when len(a.t) > 0 and len(b.t) > 0 then list_has_all(a.t, b.t) or list_has_all(b.t, a.t) when len(a.w) = 0 or len(b.w) = 0 then false else a.w[1:least(len(a.w), len(b.w))] = b.w[1:least(len(a.w), len(b.w))] end as same_company,
+  case when a.root is null and b.root is null then false when a.root is null or b.root is null then true when a.root = '' or b.root = '' then false else a.root <> b.root end as conflict from k a join k b on b.id = a.id + 7""", "jobs")
+def _(s, d):
+    """Each posting against the one seven rows on."""
+    k = dedup.fuzzy_keys(jobs(s, d)).select("id", "c_tokens", "c_words", "root")
+    a, b = k.alias("a"), k.withColumn("id", F.col("id") - 7).alias("b")
+    same = X.same_company(F.col("a.c_tokens"), F.col("a.c_words"), F.col("b.c_tokens"), F.col("b.c_words"))
+    return a.join(b, F.col("a.id") == F.col("b.id")).select("a.id", same.alias("same_company"), X.locations_conflict(F.col("a.root"), F.col("b.root")).alias("conflict"))
+
+
+@register("F23_parsed_responses", "select id, 0 as place, cast(least(100, id % 150) as int) as score from jobs union all select id, 2, 0 from jobs where id % 3 = 0", "jobs")
+def _(s, d):
+    """Fenced, cut off, out of range, and with scores beyond both ends."""
+    more = F.when(F.col("id") % 3 == 0, ',{"index":2,"score":-5}').otherwise("")
+    text = F.concat(F.lit('```json\n[{"index":0,"score":'), (F.col("id") % 150).cast("string"), F.lit("}"), more, F.lit(',{"index":7,"score":3},{"ind'))
+    items = jobs(s, d).select("id", F.explode(scoring.parse_score_response(text, F.lit(5))).alias("s"))
+    return items.select("id", F.col("s.index").alias("place"), "s.score")
+
+
 @register("F07_normal_titles", rf"select id, trim(regexp_replace(replace(lower(replace(replace('<b>' || title || '</b> &amp; more', '<b>', ' '), '</b>', ' ')), '&amp;', '&'), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')) as title from jobs", "jobs")
 def _(s, d):
     return jobs(s, d).select("id", X.normalize_title(F.concat(F.lit("<b>"), "title", F.lit("</b> &amp; more"))).alias("title"))

@@ -51,7 +51,7 @@ select user_id, job_id, status, changed_at as updated_at from (
     "users": """
 select c_custkey as user_id, c_name as name, c_acctbal > 0 as is_active,
  case c_custkey % 3 when 0 then 'telegram' when 1 then 'email' else 'google' end as login,
- {ts} '2024-01-31 00:00:00' - c_custkey * INTERVAL '1' DAY as created_at from customer where c_custkey < 150""",
+ {ts} '2024-01-31 00:00:00' - c_custkey * INTERVAL '1' DAY as created_at from customer""",
     # The profiles of the users that events know: scoring pairs them with every posting.
     "scored_profiles": """select * from profiles where user_id in (select user_id from events)""",
     "profiles": """
