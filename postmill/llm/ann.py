@@ -39,7 +39,7 @@ ASKED = 400
 ROWS = 2_048
 PARTS, CODES = 16, 256
 CANDIDATES = 64
-BLOCK, QUERIES = 8_192, 1_024
+BLOCK, QUERIES = 2_048, 1_024
 
 
 def usable(vector: Column) -> Column:

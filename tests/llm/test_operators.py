@@ -292,10 +292,10 @@ def test_tree_concatenation_is_exact_on_random_runs():
 def test_long_texts_of_any_script_are_many_blocks(spark, unit):
     """Odd characters are no reason to leave a long text whole."""
     codec, t = bpe.Codec.load(PATH), library()
-    text = unit * (60_000 // len(unit)) + "😀 end"
-    assert len(list(codec.blocks(text, 8192))) >= 60_000 // 8192
+    text = unit * (200_000 // len(unit)) + "😀 end"
+    assert len(list(codec.blocks(text, 16_384))) >= 200_000 // 16_384
     ids = t.encode(text, add_special_tokens=False).ids
-    out = rows_of(bpe.encode_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH, block=8192))
+    out = rows_of(bpe.encode_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH, block=16_384))
     assert [(r["n_tokens"], r["ids_sha256"]) for r in out] == [(len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest())]
 
 
