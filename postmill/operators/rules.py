@@ -162,15 +162,19 @@ def pre_filter(flags: DataFrame, terms: DataFrame, size: int = 4096) -> DataFram
 
 def pre_filter_pairs(pairs: DataFrame, flags: DataFrame, terms: DataFrame) -> DataFrame:
     """P05 for the given pairs (id, user_id) only: two equi-joins, however many postings and profiles there are."""
-    return _verdict(pairs.select("id", "user_id").join(flags, "id").join(terms, "user_id"))
+    hit = F.exists("keywords", lambda k: F.contains(F.col("text_lower"), k))
+    return _verdict(pairs.select("id", "user_id").join(flags, "id").join(terms, "user_id"), hit)
 
 
 def _judged(flags: DataFrame, terms: DataFrame) -> DataFrame:
-    """P05 over one block of profiles."""
-    return _verdict(flags.crossJoin(F.broadcast(terms)))
+    """P05 over one block of profiles. A text is searched once for each keyword of the block, not once for each profile, and
+    does not go into the pairs."""
+    every = terms.select(F.explode("keywords").alias("k")).agg(F.collect_set("k").alias("every_keyword"))  # one row, bounded by the block
+    found = flags.crossJoin(F.broadcast(every)).withColumn("keyword_hits", F.filter("every_keyword", lambda k: F.contains(F.col("text_lower"), k))).drop("every_keyword", "text_lower")
+    return _verdict(found.crossJoin(F.broadcast(terms)), F.arrays_overlap("keywords", "keyword_hits"))
 
 
-def _verdict(joined: DataFrame) -> DataFrame:
+def _verdict(joined: DataFrame, keyword_hit: Column) -> DataFrame:
     """id, user_id, rule, passed and bucket from the columns of job_flags and profile_terms."""
     explicit = F.array_contains(F.col("targets"), F.col("t_tokens"))
     rules: list[tuple[Column, bool, str]] = [
@@ -179,7 +183,7 @@ def _verdict(joined: DataFrame) -> DataFrame:
         (F.col("f_reject") & ~explicit, False, "low"),
         (F.col("f_commercial") & ~explicit, False, "low"),
         (F.col("f_foreign"), False, "low"),
-        (F.exists("keywords", lambda k: F.contains(F.col("text_lower"), k)), False, "low"),
+        (keyword_hit, False, "low"),
         (F.array_contains(F.col("companies"), F.col("company_norm")), False, "low"),
         (F.col("english_only") & (F.col("f_german") | F.col("f_other_language")), False, "low"),
         (~F.col("f_domain") & ~explicit, False, "low"),
