@@ -140,7 +140,7 @@ def _(s, d):
     return read(s, d, "pages").select("page_id", F.sha2(X.html_to_text(F.col("html")), 256).alias("digest"))
 
 
-@register("F13_main_text", r"""select page_id, substr(replace(replace(replace(list_reduce(list_prepend('', list_filter(list_transform(regexp_extract_all(html, '(?is)<p[^>]*>(.*?)</p>', 1), lambda p: trim(regexp_replace(regexp_replace(p, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))), lambda p: length(p) > 100)), lambda a, p: case when length(p) > length(a) then p else a end), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), 1, 4000) as text from pages""")
+@register("F13_main_text", r"""select page_id, substr(replace(replace(replace(replace(replace(replace(list_reduce(list_prepend('', list_filter(list_transform(regexp_extract_all(html, '(?is)<p[^>]*>(.*?)</p>', 1), lambda p: trim(regexp_replace(regexp_replace(p, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))), lambda p: length(p) > 100)), lambda a, p: case when length(p) > length(a) then p else a end), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), 1, 4000) as text from pages""")
 def _(s, d):
     return read(s, d, "pages").select("page_id", X.main_text(F.col("html")).alias("text"))
 
