@@ -51,21 +51,29 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def steps(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+def steps(spark: SparkSession, name: str, generations: int = 0) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """A `cut` for the steps of one run: their tables lie in one folder, which is deleted at the end. What is to outlive the
-    run is cut outside of it, before."""
+    run is cut outside of it, before. With `generations`, only so many tables of the same step are held while the next is
+    written, and one fewer after it."""
     folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    written: dict[str, list[str]] = {}
+
+    def delete(place: str) -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def cut_step(df: DataFrame, step: str) -> DataFrame:
         path = f"{folder}/{step}-{uuid.uuid4().hex}"
         df.write.parquet(path)
+        written.setdefault(step, []).append(path)
+        if generations and len(written[step]) >= generations:
+            delete(written[step].pop(0))
         return spark.read.schema(df.schema).parquet(path)
 
     try:
         yield cut_step
     finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(folder)
 
 
 def let(value: Column, body) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import ann, bpe, crf, ctw, packing, pii, quality_rules, secrets, sharding, simhash
+from . import ann, bpe, crf, ctw, packing, pii, quality_rules, secrets, sharding, simhash, vector_codes
 from .common import small_batches
 from .common import table as _table
 
@@ -60,9 +60,13 @@ def op10_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_ivf_pq, op2_secret_links, op3_context_tree, op4_tree_bpe, op5_hash_tree, op6_crf_quality, op7_covering_simhash, op8_pii, op9_tiered_packing, op10_risk_rules)
+    for f in (op1_ivf_pq, op2_secret_links, op3_context_tree, op4_tree_bpe, op5_hash_tree, op6_crf_quality, op7_covering_simhash, op8_pii, op9_tiered_packing, op10_risk_rules, op13_vector_codes)
 }
 ORACLE_SQL: dict[str, str] = {
     # crc32 of an id is worked out bit by bit; windows of three words are rows, counted per text.
