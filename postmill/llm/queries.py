@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import ann, bpe, conversations, crf, ctw, packing, pii, quality_rules, secrets, sharding, simhash, vector_codes
+from . import ann, bpe, conversations, crf, ctw, packing, parity_join, pii, quality_rules, secrets, sharding, simhash, vector_codes
 from .common import small_batches
 from .common import table as _table
 
@@ -61,6 +61,10 @@ def op10_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum")
 
 
+def op11_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.linked_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_report(conversations.damage(table(spark, sf_dir, "conversations")), F.col("present"))
 
@@ -71,7 +75,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_ivf_pq, op2_secret_links, op3_context_tree, op4_tree_bpe, op5_hash_tree, op6_crf_quality, op7_covering_simhash, op8_pii, op9_tiered_packing, op10_risk_rules, op12_conversation_repair, op13_vector_codes)
+    for f in (op1_ivf_pq, op2_secret_links, op3_context_tree, op4_tree_bpe, op5_hash_tree, op6_crf_quality, op7_covering_simhash, op8_pii, op9_tiered_packing, op10_risk_rules, op11_parity_join, op12_conversation_repair, op13_vector_codes)
 }
 ORACLE_SQL: dict[str, str] = {
     # crc32 of an id is worked out bit by bit; windows of three words are rows, counted per text.
