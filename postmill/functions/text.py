@@ -17,7 +17,8 @@ LEGAL_FORMS = ("gmbh", " ag", " ltd", " inc", " se", " co.", "& co", " mbh", " k
 TITLE_CITIES = ("berlin", "munich", "hamburg", "frankfurt", "cologne", "stuttgart", "leipzig", "dresden", "hannover", "dortmund", "essen", "bremen", "bonn")
 TITLE_NOISE = ("system engineering", "admin", "ingenieur", "it", "engineering")
 
-# Our own: items that a profile's lists drop, and words that do not tell two titles apart.
+# Items that a profile's lists drop, and words that do not tell two titles apart. A profile's lists and the
+# match of a title with a target have to come out the same.
 PLACEHOLDERS = ("", "nan", "none", "null", "n/a", "unknown")
 TITLE_FILLERS = ("of", "de", "da", "do", "m", "w", "d", "f", "x", "gn")
 
@@ -117,15 +118,30 @@ def casefold(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
+def unescaped_items(items: Column) -> Column:
+    """HTML entities as characters, in every item of an array: a lambda cannot call the worker, so the items go as one text."""
+    apart = F.lit("\x1f")
+    return F.when(F.size(items) > 0, F.split(unescaped(F.array_join(items, "\x1f")), apart)).otherwise(items)
+
+
+def plain_title(title: Column) -> Column:
+    """F07 without entities."""
+    return F.trim(F.regexp_replace(casefold(F.regexp_replace(title, "<[^>]*>", " ")), r"[^\p{L}\p{N}_]+", " "))
+
+
 def normalize_title(title: Column) -> Column:
     """F07. Tags off, case-folded, everything but letters, digits and _ as one space."""
-    plain = F.regexp_replace(casefold(F.regexp_replace(unescaped(F.coalesce(title, F.lit(""))), "<[^>]*>", " ")), r"[^\p{L}\p{N}_]+", " ")
-    return F.trim(plain)
+    return plain_title(unescaped(F.coalesce(title, F.lit(""))))
+
+
+def plain_company(company: Column) -> Column:
+    """F08 without entities."""
+    return F.regexp_replace(casefold(F.trim(company)), r"\s+", " ")
 
 
 def normalize_company(company: Column) -> Column:
     """F08."""
-    return F.regexp_replace(casefold(F.trim(unescaped(F.coalesce(company, F.lit(""))))), r"\s+", " ")
+    return plain_company(unescaped(F.coalesce(company, F.lit(""))))
 
 
 def padded(text: Column) -> Column:
@@ -177,9 +193,14 @@ def registered_domain(host: Column) -> Column:
     return F.lower(F.substring_index(host, ".", -2))
 
 
+def functional_words(plain: Column) -> Column:
+    """F19 on a title in normal form."""
+    return F.filter(F.split(plain, " "), lambda w: (w != "") & ~w.isin(*TITLE_FILLERS))
+
+
 def title_tokens(title: Column) -> Column:
     """F19. Words of the title without fillers and gender marks, in order."""
-    return F.filter(F.split(normalize_title(title), " "), lambda w: (w != "") & ~w.isin(*TITLE_FILLERS))
+    return functional_words(normalize_title(title))
 
 
 def fit_dimension(vector: Column, d: int) -> Column:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import ipaddress
-from urllib.parse import urlsplit
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .search import cover_density, posting_words, prefixes_of, term_words
 
 
 def feed_base(jobs: DataFrame, scores: DataFrame, applications: DataFrame, user_id: int) -> DataFrame:
@@ -85,10 +84,19 @@ def feed_page(df: DataFrame, sort: str, descending: bool, page: int, per_page: i
     return df.orderBy(*order).offset((page - 1) * per_page).limit(per_page)
 
 
-def after_key(df: DataFrame, posted_at: str, last_id: int, per_page: int) -> DataFrame:
-    """T02 for deep pages: the rows after a key, without counting off the ones before."""
-    at = F.lit(posted_at).cast("timestamp_ntz")
-    return df.where((F.col("posted_at") < at) | ((F.col("posted_at") == at) & (F.col("id") < last_id)) | F.col("posted_at").isNull()).orderBy(F.desc_nulls_last("posted_at"), F.desc("id")).limit(per_page)
+def after_key(df: DataFrame, key: tuple[str | None, str | None, int], per_page: int, descending: bool = True) -> DataFrame:
+    """T02 for deep pages by date: the rows after the last one seen (posted_at, scraped_at, id), without counting off the ones
+    before. Nulls come last, in both directions, so what follows a null is null as well."""
+    after, same = F.lit(False), F.lit(True)
+    for column, kind, value in zip(("posted_at", "scraped_at", "id"), ("timestamp_ntz", "timestamp_ntz", "long"), key):
+        own = F.col(column)
+        if value is None:
+            same = same & own.isNull()
+            continue
+        at = F.lit(value).cast(kind)
+        after = after | (same & (own.isNull() | (own < at if descending else own > at)))
+        same = same & (own == at)
+    return feed_page(df.where(after), "date", descending, 1, per_page)
 
 
 def unreviewed(scores: DataFrame, applications: DataFrame, min_score: int) -> DataFrame:
@@ -139,13 +147,22 @@ def url_check_queue(jobs: DataFrame, as_of: str, hours: int = 20, n: int = 500)
     return jobs.where((F.coalesce("url", F.lit("")) != "") & due).orderBy(F.asc_nulls_first("url_checked_at"), "id").limit(n)
 
 
+def visible(jobs: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What T07 holds scores against: each user's hidden countries, and each posting's country."""
+    hidden = profiles.select("user_id", F.filter(F.transform(X.clean_list(F.col("hidden_countries")), F.lower), lambda c: c.rlike("^[a-z]{2}$")).alias("hidden"))
+    return hidden, jobs.select(F.col("id").alias("job_id"), X.normalize_country(F.col("country")).alias("country"))
+
+
+def best_per_user(scores: DataFrame, n: int) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy(F.desc("score"), "job_id")
+    return scores.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("user_id", "job_id", "score", "place")
+
+
 def top_matches(scores: DataFrame, jobs: DataFrame, profiles: DataFrame, threshold: int = 80, n: int = 10) -> DataFrame:
     """T07. Best scores per user outside the user's hidden countries."""
-    hidden = profiles.select("user_id", F.filter(F.transform(X.clean_list(F.col("hidden_countries")), F.lower), lambda c: c.rlike("^[a-z]{2}$")).alias("hidden"))
-    j = jobs.select(F.col("id").alias("job_id"), X.normalize_country(F.col("country")).alias("country"))
+    hidden, j = visible(jobs, profiles)
     ok = scores.where(F.col("score") >= threshold).join(j, "job_id").join(hidden, "user_id").where(F.col("country").isNull() | ~F.array_contains("hidden", F.col("country")))
-    w = Window.partitionBy("user_id").orderBy(F.desc("score"), "job_id")
-    return ok.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("user_id", "job_id", "score", "place")
+    return best_per_user(ok, n)
 
 
 def candidate_order(candidates: DataFrame, n: int = 80) -> DataFrame:
@@ -156,17 +173,11 @@ def candidate_order(candidates: DataFrame, n: int = 80) -> DataFrame:
 
 
 def prefix_search(jobs: DataFrame, term: str) -> DataFrame:
-    """F26. Every word of the term is a prefix of some word of title, company or description."""
-    wanted = [w for w in "".join(c if c.isalnum() or c == "_" else " " for c in term.lower()).split()][:8]
+    """F26 by a scan. Every word of the term is a prefix of some word of title, company or description. For many searches of one
+    table see search.write_token_index."""
+    wanted = term_words(term)
     text = F.concat(F.lit(" "), F.concat_ws(" ", *[F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}_]+", " ") for c in ("title", "company_name", "description")]))
-    return jobs.where(F.lit(True) if not wanted else _all([F.contains(text, F.lit(f" {w}")) for w in wanted]))
-
-
-def _all(parts: list[Column]) -> Column:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out & p
-    return out
+    return jobs.where(reduce(lambda a, b: a & b, [F.contains(text, F.lit(f" {w}")) for w in wanted], F.lit(True)))
 
 
 def substring_search(jobs: DataFrame, term: str) -> DataFrame:
@@ -176,58 +187,12 @@ def substring_search(jobs: DataFrame, term: str) -> DataFrame:
 
 
 def search_rank(jobs: DataFrame, term: str, title_weight: float = 1.0, text_weight: float = 0.4) -> DataFrame:
-    """F28. Cover-density rank: the sum, over the minimal stretches of words that hold all words of the term, of the mean
+    """F28 by a scan. Cover-density rank: the sum, over the minimal stretches of words that hold all words of the term, of the mean
     weight over the stretch's length. Title and company count `title_weight`, the description `text_weight`."""
-    wanted = list(dict.fromkeys("".join(c if c.isalnum() or c == "_" else " " for c in term.lower()).split()))[:8]
-
-    @F.pandas_udf("double")
-    def rank(head: pd.Series, body: pd.Series) -> pd.Series:
-        out = []
-        for h, b in zip(head, body):
-            words = [(w, title_weight) for w in h.split()] + [(w, text_weight) for w in b.split()]
-            last: dict[str, tuple[int, float]] = {}
-            total, previous = 0.0, -1
-            for i, (w, weight) in enumerate(words):
-                hits = [q for q in wanted if w.startswith(q)]
-                last.update(dict.fromkeys(hits, (i, weight)))
-                if hits and len(last) == len(wanted):
-                    start = min(p for p, _ in last.values())
-                    if start > previous:
-                        total += sum(x for _, x in last.values()) / len(last) / (i - start + 1)
-                        previous = start
-            out.append(total)
-        return pd.Series(out)
-
-    plain = lambda *c: F.regexp_replace(F.lower(F.concat_ws(" ", *c)), r"[^\p{L}\p{N}_]+", " ")
-    return prefix_search(jobs, term).withColumn("rank", F.round(rank(plain("title", "company_name"), plain("description")), 6))
-
-
-def is_safe_public_url(url: Column) -> Column:
-    """P20. http or https, at most 4096 characters, no credentials, port 80 or 443, a literal address must be global."""
-
-    @F.pandas_udf("boolean")
-    def safe(urls: pd.Series) -> pd.Series:
-        return urls.map(lambda u: None if u is None else _safe(u))
-
-    # A plain name without credentials, port or literal address needs no parser: only the other URLs go to a worker.
-    plain = url.rlike(r"^(?i:https?)://[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z][A-Za-z0-9-]*(?:[/?#][\x21-\x5A\x5C\x5E-\x7E]*)?$") & (F.length(url) <= 4096)
-    plain = F.coalesce(plain, F.lit(False))
-    return plain | F.coalesce(safe(F.when(~plain, url)), F.lit(False))
-
-
-def _safe(url: object) -> bool:
-    if not isinstance(url, str) or len(url) > 4096:
-        return False
-    try:
-        parts = urlsplit(url)
-        if parts.scheme.lower() not in ("http", "https") or not parts.hostname or parts.username or parts.password or parts.port not in (None, 80, 443):
-            return False
-    except ValueError:
-        return False
-    try:
-        return ipaddress.ip_address(parts.hostname).is_global
-    except ValueError:
-        return parts.hostname.lower() != "localhost"
+    wanted = term_words(term)
+    words = posting_words()
+    hits = F.filter(F.transform(words, lambda w: F.struct(w["position"].alias("position"), w["head"].alias("head"), prefixes_of(w["token"], wanted).alias("mask"))), lambda w: w["mask"] > 0)
+    return prefix_search(jobs, term).withColumn("rank", cover_density(hits, len(wanted), title_weight, text_weight))
 
 
 def error_events(log: DataFrame) -> DataFrame:

@@ -92,16 +92,17 @@ def is_coo_title(title_norm: Column, lex: Lexicon = LEXICON) -> Column:
 
 def job_flags(jobs: DataFrame, lex: Lexicon = LEXICON) -> DataFrame:
     """What P05 needs of a posting alone, once per posting."""
-    title = X.padded(F.col("title"))
+    plain = X.normalize_title(F.col("title"))
+    title = F.concat(F.lit(" "), plain, F.lit(" "))
     text = F.lower(F.concat_ws(" ", F.col("title"), F.coalesce("description", F.lit(""))))
     head = X.has_word(title, lex.directors)
     senior = X.has_part(F.lower("title"), lex.senior_managers)
     return jobs.select(
         "*",
         text.alias("text_lower"),
-        X.title_tokens(F.col("title")).alias("t_tokens"),
+        X.functional_words(plain).alias("t_tokens"),
         is_intern_title(F.col("title")).alias("f_intern"),
-        is_coo_title(F.trim(title), lex).alias("f_coo"),
+        is_coo_title(plain, lex).alias("f_coo"),
         X.has_part(F.lower("title"), lex.title_rejects).alias("f_reject"),
         (X.has_word(title, lex.commercial) & ~X.has_word(title, lex.core)).alias("f_commercial"),
         X.has_part(F.lower(F.coalesce("description", F.lit(""))), lex.foreign).alias("f_foreign"),
@@ -117,21 +118,32 @@ def job_flags(jobs: DataFrame, lex: Lexicon = LEXICON) -> DataFrame:
     )
 
 
+#: What P05 reads of a profile. Profiles that agree in it get the same verdicts.
+SIGNATURE = ("work_mode", "english_only", "targets", "targets_coo", "preferred", "keywords", "companies")
+
+
 def profile_terms(profiles: DataFrame, aliases: dict[str, list[str]] = TITLE_ALIASES) -> DataFrame:
-    """P19 on the list columns of profiles, and the forms that P05 compares with: a target's aliases count as the target (P08)."""
+    """P19 on the list columns of profiles, in the forms that P05 compares with: targets (a target's aliases count as the target,
+    P08) and companies (P11) in the normal forms of postings. `sig` stands for all of them together."""
     lists = {c: X.clean_list(F.col(c)) for c in ("target_titles", "preferred_countries", "excluded_keywords", "excluded_companies")}
     p = profiles.select(*[F.col(c) for c in profiles.columns if c not in lists], *[v.alias(c) for c, v in lists.items()])
-    plain = lambda x: F.filter(F.split(F.trim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}_]+", " ")), " "), lambda w: ~w.isin(*X.TITLE_FILLERS))
-    return p.select(
+    p = p.withColumns({c: X.unescaped_items(F.col(c)) for c in ("target_titles", "excluded_companies")})
+    terms = p.select(
         "user_id",
         "work_mode",
         "english_only",
-        F.transform(expand_queries(F.col("target_titles"), aliases), plain).alias("targets"),
-        F.exists("target_titles", lambda t: is_coo_title(F.lower(t))).alias("targets_coo"),
+        F.transform(expand_queries(F.col("target_titles"), aliases), lambda t: X.functional_words(X.plain_title(t))).alias("targets"),
+        F.exists("target_titles", lambda t: is_coo_title(X.plain_title(t))).alias("targets_coo"),
         F.transform("preferred_countries", F.lower).alias("preferred"),
-        F.transform("excluded_keywords", lambda k: F.lower(k)).alias("keywords"),
-        F.transform("excluded_companies", lambda c: F.regexp_replace(F.lower(F.trim(c)), r"\s+", " ")).alias("companies"),
+        F.transform("excluded_keywords", X.casefold).alias("keywords"),
+        F.transform("excluded_companies", X.plain_company).alias("companies"),
     )
+    return terms.withColumn("sig", F.sha2(F.to_json(F.struct(*SIGNATURE)), 256))
+
+
+def signatures(terms: DataFrame) -> DataFrame:
+    """The distinct signatures of profiles, one row each."""
+    return terms.groupBy("sig").agg(*[F.first(c).alias(c) for c in SIGNATURE])
 
 
 def work_mode_rejects() -> Column:
@@ -145,37 +157,54 @@ def work_mode_rejects() -> Column:
     )
 
 
-def pre_filter(flags: DataFrame, terms: DataFrame, size: int = 4096) -> DataFrame:
-    """P05 for every posting and profile: passed, bucket and the number of the deciding rule.
+def signature_verdicts(flags: DataFrame, terms: DataFrame, size: int = 4096) -> DataFrame:
+    """P05 for every posting and signature of profiles: id, sig, rule, passed and bucket.
 
-    `terms` is one row per profile. Profiles are broadcast in blocks of at most `size` by user_id; each block reads the postings once."""
-    out, rest = None, terms
+    However many profiles share a signature, a posting meets it once. Signatures are broadcast in blocks of at most `size`; each
+    block reads the postings once."""
+    out, rest = None, signatures(terms)
     while True:
-        block = rest.select("user_id").orderBy(F.asc_nulls_last("user_id")).limit(size)
-        n, end = block.agg(F.count("*"), F.max("user_id")).first()
-        if n < size or end is None:
+        n, end = rest.select("sig").orderBy("sig").limit(size).agg(F.count("*"), F.max("sig")).first()
+        if n < size:
             found = _judged(flags, rest)
             return found if out is None else out.unionByName(found)
-        found = _judged(flags, rest.where(F.col("user_id") <= end))
-        out, rest = found if out is None else out.unionByName(found), rest.where((F.col("user_id") > end) | F.col("user_id").isNull())
+        found = _judged(flags, rest.where(F.col("sig") <= end))
+        out, rest = found if out is None else out.unionByName(found), rest.where(F.col("sig") > end)
+
+
+def for_users(found: DataFrame, terms: DataFrame) -> DataFrame:
+    """Rows of signatures as rows of their users."""
+    return found.join(terms.select("user_id", "sig"), "sig").drop("sig")
+
+
+def pre_filter(flags: DataFrame, terms: DataFrame, size: int = 4096) -> DataFrame:
+    """P05 for every posting and profile: passed, bucket and the number of the deciding rule. `terms` is one row per profile.
+
+    These are all pairs, as asked for; aggregates and queues start from `signature_verdicts` instead."""
+    return for_users(signature_verdicts(flags, terms, size), terms).select("id", "user_id", "rule", "passed", "bucket")
+
+
+def bucket_counts(flags: DataFrame, terms: DataFrame) -> DataFrame:
+    """P13. user_id, bucket and n, without a row per pair."""
+    return for_users(signature_verdicts(flags, terms).groupBy("sig", "bucket").agg(F.count("*").alias("n")), terms).select("user_id", "bucket", "n")
 
 
 def pre_filter_pairs(pairs: DataFrame, flags: DataFrame, terms: DataFrame) -> DataFrame:
     """P05 for the given pairs (id, user_id) only: two equi-joins, however many postings and profiles there are."""
     hit = F.exists("keywords", lambda k: F.contains(F.col("text_lower"), k))
-    return _verdict(pairs.select("id", "user_id").join(flags, "id").join(terms, "user_id"), hit)
+    return _verdict(pairs.select("id", "user_id").join(flags, "id").join(terms, "user_id"), hit, "user_id")
 
 
 def _judged(flags: DataFrame, terms: DataFrame) -> DataFrame:
-    """P05 over one block of profiles. A text is searched once for each keyword of the block, not once for each profile, and
+    """P05 over one block of signatures. A text is searched once for each keyword of the block, not once for each signature, and
     does not go into the pairs."""
     every = terms.select(F.explode("keywords").alias("k")).agg(F.collect_set("k").alias("every_keyword"))  # one row, bounded by the block
     found = flags.crossJoin(F.broadcast(every)).withColumn("keyword_hits", F.filter("every_keyword", lambda k: F.contains(F.col("text_lower"), k))).drop("every_keyword", "text_lower")
-    return _verdict(found.crossJoin(F.broadcast(terms)), F.arrays_overlap("keywords", "keyword_hits"))
+    return _verdict(found.crossJoin(F.broadcast(terms)), F.arrays_overlap("keywords", "keyword_hits"), "sig")
 
 
-def _verdict(joined: DataFrame, keyword_hit: Column) -> DataFrame:
-    """id, user_id, rule, passed and bucket from the columns of job_flags and profile_terms."""
+def _verdict(joined: DataFrame, keyword_hit: Column, whose: str) -> DataFrame:
+    """id, whose, rule, passed and bucket from the columns of job_flags and profile_terms."""
     explicit = F.array_contains(F.col("targets"), F.col("t_tokens"))
     rules: list[tuple[Column, bool, str]] = [
         (F.col("f_intern"), False, "low"),
@@ -184,7 +213,7 @@ def _verdict(joined: DataFrame, keyword_hit: Column) -> DataFrame:
         (F.col("f_commercial") & ~explicit, False, "low"),
         (F.col("f_foreign"), False, "low"),
         (keyword_hit, False, "low"),
-        (F.array_contains(F.col("companies"), F.col("company_norm")), False, "low"),
+        ((F.col("company_norm") != "") & F.array_contains(F.col("companies"), F.col("company_norm")), False, "low"),
         (F.col("english_only") & (F.col("f_german") | F.col("f_other_language")), False, "low"),
         (~F.col("f_domain") & ~explicit, False, "low"),
         (work_mode_rejects(), False, "low"),
@@ -195,4 +224,4 @@ def _verdict(joined: DataFrame, keyword_hit: Column) -> DataFrame:
     ]
     at = F.coalesce(*[F.when(c, F.lit(i + 1)) for i, (c, _, _) in enumerate(rules)], F.lit(len(rules) + 1))
     pick = lambda f, last: reduce(lambda w, i: w.when(F.col("rule") == i + 1, f(rules[i])), range(1, len(rules)), F.when(F.col("rule") == 1, f(rules[0]))).otherwise(last)
-    return joined.withColumn("rule", at).select("id", "user_id", "rule", pick(lambda r: F.lit(r[1]), True).alias("passed"), pick(lambda r: F.lit(r[2]), "medium").alias("bucket"))
+    return joined.withColumn("rule", at).select("id", whose, "rule", pick(lambda r: F.lit(r[1]), True).alias("passed"), pick(lambda r: F.lit(r[2]), "medium").alias("bucket"))

@@ -56,10 +56,10 @@ def to_score(passed: DataFrame, hits: DataFrame) -> DataFrame:
     return passed.select(F.col("id").alias("job_id"), "user_id").join(hits.select("job_id", "user_id"), ["job_id", "user_id"], "left_anti")
 
 
-def exclude_actioned(jobs: DataFrame, applications: DataFrame, user_id: int) -> DataFrame:
-    """J04. Postings the user has not applied to or rejected, by id or by dedup_hash."""
+def exclude_actioned(jobs: DataFrame, applications: DataFrame, user_id: int, known: DataFrame | None = None) -> DataFrame:
+    """J04. Postings the user has not applied to or rejected, by id or by dedup_hash; `known` are all postings, if jobs are fewer."""
     acted = applications.where((F.col("user_id") == user_id) & F.col("status").isin("applied", "rejected")).select(F.col("job_id").alias("id"))
-    hashes = jobs.join(acted, "id", "left_semi").select("dedup_hash").distinct()
+    hashes = (jobs if known is None else known).join(acted, "id", "left_semi").select("dedup_hash").distinct()
     return jobs.join(acted, "id", "left_anti").join(hashes, "dedup_hash", "left_anti")
 
 
@@ -89,31 +89,34 @@ def recheck_zero_scores(verdicts: DataFrame) -> DataFrame:
     return verdicts.select(F.col("id").alias("job_id"), "user_id", F.when(F.col("passed"), "to_score").otherwise("filtered").alias("action"))
 
 
-def stale_score_queue(scores: DataFrame, as_of: str, budget: int = 300) -> DataFrame:
-    """T06. Per user: zero scores without analysis first, then scores over 7 days old, oldest first."""
-    old = F.col("scored_at") < F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(7))
-    priority = F.when((F.col("score") == 0) & F.col("ai_analysis").isNull(), 1).when((F.col("score") > 0) & old, 2)
-    queue = scores.withColumn("priority", priority).where(F.col("priority").isNotNull())
+def stale_score_queue(scores: DataFrame, jobs: DataFrame, as_of: str, country: str, days: int = 30, budget: int = 300) -> DataFrame:
+    """T06. Per user, over the country's postings scraped in the last `days`: zero scores without analysis first, then scores
+    over 7 days old, oldest first."""
+    ago = lambda n: F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(n))
+    scope = jobs.where((F.col("country") == country) & (F.col("scraped_at") >= ago(days))).select(F.col("id").alias("job_id"))
+    priority = F.when((F.col("score") == 0) & F.col("ai_analysis").isNull(), 1).when((F.col("score") > 0) & (F.col("scored_at") < ago(7)), 2)
+    queue = scores.withColumn("priority", priority).where(F.col("priority").isNotNull()).join(scope, "job_id", "left_semi")
     w = Window.partitionBy("user_id").orderBy("priority", "scored_at", "job_id")
     return queue.withColumn("place", F.row_number().over(w)).where(F.col("place") <= budget).select("user_id", "job_id", "priority", "place")
 
 
-def tiered_queue(verdicts: DataFrame, tier1: int = 1000, rejects: int = 2000) -> DataFrame:
-    """W06. Per user: tier 1 (passed) up to its cap; tier 2 only where tier 1 is empty; rejects up to theirs.
+def tiered_queue(verdicts: DataFrame, tier1: int = 1000, rejects: int = 2000, by: str = "user_id") -> DataFrame:
+    """W06. Per user: tier 1 (passed) up to its cap; tier 2 only where tier 1 is empty; rejects up to theirs. Profiles of one
+    signature have one queue: take signature_verdicts by `sig`, and rules.for_users of the result.
 
     The first cut is by one number, so each task keeps its own first rows before anything is shuffled; what is left is at
     most a few thousand rows a user. Every tier that a user has keeps a row, so the lowest one is read from them."""
     tier = F.when(F.col("passed"), 1).when(F.col("bucket") == "manager_tier2", 2).otherwise(3)
-    w = Window.partitionBy("user_id", "tier").orderBy("id")
-    ranked = verdicts.select("user_id", "id", tier.alias("tier")).withColumn("place", F.row_number().over(w)).where(F.col("place") <= max(tier1, rejects))
+    w = Window.partitionBy(by, "tier").orderBy("id")
+    ranked = verdicts.select(by, "id", tier.alias("tier")).withColumn("place", F.row_number().over(w)).where(F.col("place") <= max(tier1, rejects))
     capped = ranked.where(F.col("place") <= F.when(F.col("tier") == 3, rejects).otherwise(tier1))
-    lowest = capped.withColumn("lowest", F.min("tier").over(Window.partitionBy("user_id")))
-    return lowest.where((F.col("tier") != 2) | (F.col("lowest") == 2)).select("user_id", "id", "tier", "place")
+    lowest = capped.withColumn("lowest", F.min("tier").over(Window.partitionBy(by)))
+    return lowest.where((F.col("tier") != 2) | (F.col("lowest") == 2)).select(by, "id", "tier", "place")
 
 
-def assign_batches(queue: DataFrame, size: int = 15, order: str = "place") -> DataFrame:
-    """W07. Consecutive batches of a user's queue, with the place in the batch."""
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("tier", order, "id")) - 1
+def assign_batches(queue: DataFrame, size: int = 15, order: str = "place", by: str = "user_id") -> DataFrame:
+    """W07. Consecutive batches of a user's queue (or of a signature's, see tiered_queue), with the place in the batch."""
+    n = F.row_number().over(Window.partitionBy(by).orderBy("tier", order, "id")) - 1
     return queue.withColumn("_n", n).withColumn("batch", F.floor(F.col("_n") / size)).withColumn("in_batch", F.pmod(F.col("_n"), F.lit(size))).drop("_n")
 
 
@@ -125,12 +128,12 @@ def semantic_priority(queue: DataFrame, threshold: float = 0.25) -> DataFrame:
     return queue.withColumn("group", group).withColumn("place", F.row_number().over(w)).withColumn("n_low", low)
 
 
-def score_prompt(batches: DataFrame) -> DataFrame:
-    """F30. One text per batch from rows with in_batch, title, company_name, is_remote, description."""
+def score_prompt(batches: DataFrame, by: str = "user_id") -> DataFrame:
+    """F30. One text per batch of a user (or a signature) from rows with in_batch, title, company_name, is_remote, description."""
     remote = F.when(F.col("is_remote"), "Yes").when(~F.col("is_remote"), "No").otherwise("Unknown")
     line = F.concat_ws("\n", F.concat(F.lit("["), F.col("in_batch").cast("string"), F.lit("] "), F.col("title")), F.concat(F.lit("Company: "), F.coalesce("company_name", F.lit("-"))), F.concat(F.lit("Remote: "), remote), F.substring(F.coalesce("description", F.lit("")), 1, 1200))
     parts = F.array_sort(F.collect_list(F.struct("in_batch", line.alias("text"))))
-    return batches.groupBy("user_id", "batch").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n").alias("prompt"))
+    return batches.groupBy(by, "batch").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n").alias("prompt"))
 
 
 def profile_text(resume: str = "resume", longest: int = 2500) -> Column:
@@ -174,59 +177,91 @@ def pair_similarity(pairs: DataFrame, vectors: DataFrame, profiles: DataFrame) -
     return pairs.join(v, "id", "left").join(p, "user_id", "left").withColumn("similarity", cosine(F.col("_v"), F.col("_p"))).drop("_v", "_p")
 
 
-def profile_similarity(vectors: DataFrame, profiles: DataFrame, size: int = 4096) -> DataFrame:
+#: Rows of a tile: of the query side (held as one matrix) and of the other (streamed).
+QUERY_TILE, ROW_TILE = 2048, 65_536
+
+
+def _tiled(rows: DataFrame, queries: DataFrame, product: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], k: int | None) -> DataFrame:
+    """query_id, id and cosine of rows (id, embedding) and queries (query_id, embedding), tile by tile.
+
+    Both sides are cut into tiles by a hash of their ids; every row goes to each tile of queries and every query to each tile
+    of rows, and tiles meet by their numbers in one shuffle. A task holds a tile of queries and reads the rows that follow
+    them in batches; nothing goes through the driver but the two counts. With k, a tile returns its k best per query."""
+    usable = lambda df: df.where(F.exists("embedding", lambda x: x != 0))
+    rows, queries = usable(rows), usable(queries)
+    n_rows, n_queries = rows.count(), queries.count()
+    across, down = max(1, -(-n_rows // ROW_TILE)), max(1, -(-n_queries // QUERY_TILE))
+    # Few rows: spread them over the cores all the same.
+    across = max(across, min(rows.sparkSession.sparkContext.defaultParallelism, -(-n_rows // 256)))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(part("query_id", down).alias("q"), every(across).alias("r"), F.lit(0).alias("side"), F.col("query_id").alias("id"), "embedding")
+    given = rows.select(every(down).alias("q"), part("id", across).alias("r"), F.lit(1).alias("side"), "id", "embedding")
+    tiles = asked.unionByName(given).repartition("q", "r").sortWithinPartitions("q", "r", "side")
+
+    def unit(vectors: pd.Series) -> np.ndarray:
+        m = np.stack(vectors.to_list()).astype(np.float64)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tile, held, ids, best = None, [], np.zeros(0, dtype=np.int64), None
+        for batch in batches:
+            for mark, own in batch.groupby(["q", "r"], sort=True):
+                if mark != tile:
+                    if best is not None:
+                        yield best
+                    tile, held, ids, best = mark, [], np.zeros(0, dtype=np.int64), None
+                new = own[own["side"] == 0]
+                if len(new):
+                    held.append(unit(new["embedding"]))
+                    ids = np.concatenate([ids, new["id"].to_numpy(dtype=np.int64)])
+                others = own[own["side"] == 1]
+                for at in range(0, len(others) if len(ids) else 0, 512):
+                    piece = others.iloc[at : at + 512]
+                    held = [np.concatenate(held)]
+                    cosine = np.round(held[0] @ unit(piece["embedding"]).T, 6)
+                    found = product(ids, piece["id"].to_numpy(dtype=np.int64), cosine, best)
+                    if k is None:
+                        yield found
+                    else:
+                        best = found
+        if best is not None:
+            yield best
+
+    return tiles.mapInPandas(run, "query_id long, id long, cosine double")
+
+
+def _pairs(queries: np.ndarray, ids: np.ndarray, cosine: np.ndarray, _) -> pd.DataFrame:
+    return pd.DataFrame({"query_id": np.repeat(queries, len(ids)), "id": np.tile(ids, len(queries)), "cosine": cosine.ravel()})
+
+
+def profile_similarity(vectors: DataFrame, profiles: DataFrame) -> DataFrame:
     """J07. (id, user_id, cosine) of every vector and profile (user_id, embedding, profile_hash, embedding_profile_hash) whose
-    vector carries the current hash. Asked for are all pairs, so the profiles are broadcast, if there are at most `size`."""
-    current = profiles.where((F.col("embedding_profile_hash") == F.col("profile_hash")) & F.col("embedding").isNotNull()).select("user_id", F.col("embedding").alias("_p"))
-    if current.limit(size + 1).count() > size:
-        raise ValueError(f"pass the profiles in blocks of at most {size}")
-    pairs = vectors.where(F.col("embedding").isNotNull()).crossJoin(F.broadcast(current))
-    return pairs.select("id", "user_id", cosine(F.col("embedding"), F.col("_p")).alias("cosine"))
+    vector carries the current hash. Asked for are all pairs; null and zero vectors have none."""
+    current = profiles.where(F.col("embedding_profile_hash") == F.col("profile_hash")).select(F.col("user_id").alias("query_id"), "embedding")
+    found = _tiled(vectors.select("id", "embedding"), current, _pairs, None)
+    return found.select("id", F.col("query_id").alias("user_id"), "cosine")
 
 
 def similarity(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """J07 and T08. The k nearest rows by cosine for each query vector: (query_id, id, cosine).
-
-    `queries` is a block of at most a few thousand vectors (its size is checked); each task multiplies it with a batch of rows and
-    keeps its own k best per query before anything is shuffled. Null and zero vectors take no part."""
-    limit = 4096
-    block = queries.where(F.col("embedding").isNotNull()).limit(limit + 1).toPandas()
-    if len(block) > limit:
-        raise ValueError(f"pass the query vectors in blocks of at most {limit}")
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-    ids = block["query_id"].to_numpy(dtype=np.int64)
-    asked = unit(np.stack(block["embedding"].to_list()).astype(np.float64)) if len(block) else np.zeros((0, 1))
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [(np.zeros(0), np.zeros(0, dtype=np.int64)) for _ in ids]
-        for b in batches:
-            if not len(b) or not len(ids):
-                continue
-            own = b["id"].to_numpy(dtype=np.int64)
-            cosine = np.round(asked @ unit(np.stack(b["embedding"].to_list()).astype(np.float64)).T, 6)
-            for q in range(len(ids)):
-                c, i = np.concatenate([held[q][0], cosine[q]]), np.concatenate([held[q][1], own])
-                o = np.lexsort((i, -c))[:k]
-                held[q] = c[o], i[o]
-        if len(ids):
-            yield pd.DataFrame({"query_id": np.repeat(ids, [len(c) for c, _ in held]), "id": np.concatenate([i for _, i in held]), "cosine": np.concatenate([c for c, _ in held])})
-
-    usable = vectors.where(F.exists("embedding", lambda x: x != 0)).select("id", "embedding")
-    local = usable.mapInPandas(best, "query_id long, id long, cosine double")
+    """J07 and T08. The k nearest rows by cosine for each query vector: (query_id, id, cosine, rank), ties to the smaller id."""
+
+    def best(queries: np.ndarray, ids: np.ndarray, cosine: np.ndarray, before: pd.DataFrame | None) -> pd.DataFrame:
+        every = _pairs(queries, ids, cosine, None)
+        every = every if before is None else pd.concat([before, every], ignore_index=True)
+        order = np.lexsort((every["id"], -every["cosine"], every["query_id"]))
+        every = every.iloc[order]
+        return every[every.groupby("query_id").cumcount() < k].reset_index(drop=True)
+
+    local = _tiled(vectors.select("id", "embedding"), queries.select("query_id", "embedding"), best, k)
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def similarity_in_blocks(vectors: DataFrame, queries: DataFrame, k: int, size: int = 4096) -> DataFrame:
-    """T08 for any number of queries with distinct ids: `similarity` over consecutive blocks of at most `size` of them."""
-    out, last = None, None
-    while True:
-        rest = queries if last is None else queries.where(F.col("query_id") > last)
-        end = rest.select("query_id").orderBy("query_id").limit(size).agg(F.max("query_id")).first()[0]
-        if end is None:
-            return similarity(vectors, queries.limit(0), k) if out is None else out
-        found = similarity(vectors, rest.where(F.col("query_id") <= end), k)
-        out, last = found if out is None else out.unionByName(found), end
+def semantic_search(vectors: DataFrame, jobs: DataFrame, queries: DataFrame, k: int = 500, include_closed: bool = False) -> DataFrame:
+    """T08. The k postings nearest to each query vector; those whose page is closed only if asked for."""
+    shown = jobs if include_closed else jobs.where(F.col("url_status").isNull() | (F.col("url_status") != "closed"))
+    return similarity(vectors.join(shown.select("id"), "id", "left_semi"), queries, k)
 
 
 def score_with(batches: DataFrame, fn: Callable[[list[str]], list[str]]) -> DataFrame:

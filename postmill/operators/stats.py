@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as X
+from . import rules
 
 
 def since(column: str, as_of: str, hours: int) -> Column:
@@ -139,20 +139,38 @@ def scan_report(raw: DataFrame, unique: DataFrame, merged: DataFrame) -> DataFra
     return one("raw", raw).unionByName(by_source).unionByName(one("exact", unique)).unionByName(fuzzy.select(F.inline(stages))).unionByName(reasons)
 
 
-def rescore_summary(verdicts: DataFrame, valid: DataFrame, jobs: DataFrame, profiles: DataFrame, budget: int = 300) -> DataFrame:
-    """A13. Per user: postings in scope, already current, hidden by country, passing, by bucket, rejected; pending (passing and
-    not current), eligible (pending and not hidden) and selected (eligible within the budget). Profiles are a bounded block."""
-    hidden = profiles.select("user_id", F.filter(F.transform(X.clean_list(F.col("hidden_countries")), F.lower), lambda c: c.rlike("^[a-z]{2}$")).alias("hidden"))
-    v = verdicts.withColumnRenamed("id", "job_id").join(valid.select("job_id", "user_id", F.lit(1).alias("current")), ["job_id", "user_id"], "left")
-    v = v.join(jobs.select(F.col("id").alias("job_id"), X.normalize_country(F.col("country")).alias("country")), "job_id").join(hidden, "user_id")
-    unseen = F.coalesce(F.array_contains("hidden", F.col("country")), F.lit(False))
-    pending = F.col("passed") & F.col("current").isNull()
-    out = v.groupBy("user_id").agg(
-        F.count("*").alias("in_scope"), F.count("current").alias("current"), F.count_if(unseen).alias("hidden"), F.count_if("passed").alias("passing"),
-        *[F.count_if(F.col("bucket") == b).alias(b) for b in ("high", "medium", "manager_tier2", "low")],
-        F.count_if(~F.col("passed")).alias("rejected"), F.count_if(pending).alias("pending"), F.count_if(pending & ~unseen).alias("eligible"),
-    )
-    return out.withColumn("selected", F.least(F.col("eligible"), F.lit(budget).cast("long")))
+def rescore_summary(jobs: DataFrame, terms: DataFrame, scores: DataFrame, profiles: DataFrame, applications: DataFrame, as_of: str, countries: list[str], days: int, limit: int = 300) -> DataFrame:
+    """A13. Per user of `terms` (P05's profile_terms): what a new scoring of the countries' postings of the last `days` would do.
+
+    In scope are postings whose page is active or unchecked. `current` have a score of the profile's hash; `hidden` are others
+    that the user applied to or rejected, by id or dedup_hash; the rest is pending. Of the pending: counts by bucket, rejected,
+    eligible (passed, or managers of the second tier), and selected (eligible within the limit; 0: all).
+
+    Verdicts are counted per signature of profiles and users joined afterwards; only pairs that are not pending are made, and
+    their verdicts taken off again."""
+    since_day = F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days))
+    scope = jobs.where(F.col("country").isin(countries) & (F.col("scraped_at") >= since_day) & (F.col("url_status").isNull() | (F.col("url_status") == "active")))
+    flags = rules.job_flags(scope)
+    kinds = [F.count_if(F.col("bucket") == b).alias(b) for b in ("high", "medium", "manager_tier2", "low")]
+    eligible = (F.col("passed") & F.col("bucket").isin("high", "medium")) | (~F.col("passed") & (F.col("bucket") == "manager_tier2"))
+    counts = [F.count("*").alias("n"), *kinds, F.count_if(eligible).alias("eligible")]
+    names = ["n", "high", "medium", "manager_tier2", "low", "eligible"]
+    own = terms.select("user_id")
+    every = terms.select("user_id", "sig").join(rules.signature_verdicts(flags, terms).groupBy("sig").agg(*counts), "sig", "left").na.fill(0, names)
+    ids = scope.select(F.col("id").alias("job_id"), "dedup_hash")
+    current = scores.join(profiles.select("user_id", "profile_hash"), ["user_id", "profile_hash"], "left_semi").join(ids, "job_id", "left_semi").join(own, "user_id", "left_semi").select("job_id", "user_id").distinct()
+    acted = applications.where(F.col("status").isin("applied", "rejected")).join(own, "user_id", "left_semi")
+    hashes = acted.join(jobs.select(F.col("id").alias("job_id"), "dedup_hash"), "job_id").select("user_id", "dedup_hash").distinct()
+    hidden = ids.join(hashes, "dedup_hash").select("job_id", "user_id")
+    gone = current.unionByName(hidden).distinct().withColumnRenamed("job_id", "id")
+    less = rules.pre_filter_pairs(gone, flags, terms).groupBy("user_id").agg(*counts)
+    left = every.join(less.select("user_id", *[F.col(c).alias(f"less_{c}") for c in names]), "user_id", "left")
+    left = left.join(current.groupBy("user_id").agg(F.count("*").alias("current")), "user_id", "left")
+    pending = {c: F.col(c) - F.coalesce(f"less_{c}", F.lit(0)) for c in names}
+    own_current, gone_n = F.coalesce("current", F.lit(0)), F.coalesce("less_n", F.lit(0))
+    out = left.select("user_id", F.col("n").alias("in_scope"), own_current.alias("current"), (gone_n - own_current).alias("hidden"), *[pending[c].alias("pending" if c == "n" else c) for c in names])
+    selected = F.least(F.col("eligible"), F.lit(limit).cast("long")) if limit else F.col("eligible")
+    return out.withColumns({"rejected": F.col("pending") - F.col("eligible"), "selected": selected})
 
 
 def last_success_age(events: DataFrame, as_of: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .scoring import exclude_actioned
 from .stats import rejections_by_company
 
 STATUSES = ("saved", "applied", "interviewing", "offer", "rejected", "withdrawn")
@@ -63,9 +64,9 @@ def action_history(current: DataFrame, actions: DataFrame) -> DataFrame:
 
 
 def retention(jobs: DataFrame, applications: DataFrame, as_of: str, days: int = 45) -> DataFrame:
-    """D02. What stays: postings scraped since the cutoff or with a live application of any user."""
+    """D02. What stays: postings scraped since the cutoff or with a live application of any user, and those without the time."""
     live = applications.where(F.col("status").isin("applied", "interviewing", "offer")).select(F.col("job_id").alias("id")).distinct()
-    fresh = F.col("scraped_at") >= F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days))
+    fresh = F.coalesce(F.col("scraped_at") >= F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days)), F.lit(True))
     return jobs.where(fresh).unionByName(jobs.where(~fresh).join(live, "id", "left_semi").select(jobs.columns))
 
 
@@ -99,12 +100,11 @@ def zero_excluded(scores: DataFrame, profiles: DataFrame, applications: DataFram
     return joined.withColumns({"score": F.when(F.col("_hit"), 0).otherwise(F.col("score")), "ai_analysis": F.when(F.col("_hit"), note).otherwise(F.col("ai_analysis"))}).select(scores.columns)
 
 
-def eligible(jobs: DataFrame, scores: DataFrame, applications: DataFrame, user_id: int, hidden: tuple[str, ...] = ()) -> DataFrame:
-    """U04. Postings without the user's scored and acted ones and without hidden countries."""
-    seen = lambda df: df.where(F.col("user_id") == user_id).select(F.col("job_id").alias("id"))
-    left = jobs.join(seen(scores), "id", "left_anti").join(seen(applications), "id", "left_anti")
-    country = X.normalize_country(F.col("country"))
-    return left.where(country.isNull() | ~country.isin(*[h.lower() for h in hidden])) if hidden else left
+def eligible(jobs: DataFrame, valid: DataFrame, applications: DataFrame, user_id: int) -> DataFrame:
+    """U04. Postings (with dedup_hash) without those that the user has a valid score of (J05), and without those that the user applied to
+    or rejected, by id or by dedup_hash (J04)."""
+    scored = valid.where(F.col("user_id") == user_id).select(F.col("job_id").alias("id"))
+    return exclude_actioned(jobs.join(scored, "id", "left_anti"), applications, user_id, jobs)
 
 
 def country_support(wanted: Column, supported: list[str]) -> Column:
@@ -123,11 +123,10 @@ def split_exclusions(profiles: DataFrame, jobs: DataFrame) -> DataFrame:
     return j.groupBy("user_id").agg(pick(F.col("known").isNotNull()).alias("companies"), pick(F.col("known").isNull() & F.col("item").isNotNull()).alias("keywords"))
 
 
-def invalidate_embeddings(profiles: DataFrame, vector: str = "embedding") -> DataFrame:
-    """D08. Vector and its hash are null where the profile's hash is another one."""
+def invalidate_embeddings(profiles: DataFrame, belonging: tuple[str, ...] = ("embedding", "embedding_model", "embedding_updated_at", "embedding_profile_hash")) -> DataFrame:
+    """D08. Vector, model, time and hash are null where the profile's hash is another one."""
     same = F.col("profile_hash").eqNullSafe(F.col("embedding_profile_hash"))
-    out = profiles.withColumn(vector, F.when(same, F.col(vector))) if vector in profiles.columns else profiles
-    return out.withColumn("embedding_profile_hash", F.when(same, F.col("embedding_profile_hash")))
+    return profiles.withColumns({c: F.when(same, F.col(c)) for c in belonging if c in profiles.columns})
 
 
 def profile_hash(columns: list[str], lists: list[str], version: str = "1") -> Column:

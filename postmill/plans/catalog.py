@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import language
 from ..functions import text as X
-from ..operators import dedup, feed, liveness, rules, scoring, stats, tracker
+from ..functions import urls
+from ..operators import dedup, feed, liveness, rules, scoring, search, stats, store, tracker
 from ..session import read, scratch
 from ..sources import adapters, tables
 from ..streaming import jobs as jobs_stream
@@ -239,6 +240,29 @@ def _(s, d):
     return dedup.insert_if_absent(j, j.where("id % 3 = 0")).select("id", "country")
 
 
+@register("S14_bucketed_store", f", {HASHED} select id, country from (select id, {COUNTRY} as country, row_number() over (partition by dedup_hash order by id % 3, arrival_seq) as rn from hashed) t where rn = 1", "jobs")
+def _(s, d):
+    """Three batches into one store; each reads and rewrites only the buckets that it changes."""
+    path, j = scratch(s, "postings-store"), dedup.with_hash(jobs(s, d))
+    for batch in range(3):
+        store.insert_batch(j.where(F.col("id") % 3 == batch), path, batch, buckets=16)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in j.schema)
+    return store.read_store(s, path, kinds).select("id", "country")
+
+
+@register("S15_bucketed_store", """, fresh as (select job_id + 1 as job_id, user_id, 50 as score, 'h' || cast(user_id as varchar) as profile_hash, 'primary' as model_version from job_scores where job_id % 2 = 0)
+select coalesce(o.job_id, n.job_id) as job_id, coalesce(o.user_id, n.user_id) as user_id,
+ case when n.job_id is not null and (o.job_id is null or not coalesce(o.profile_hash = n.profile_hash and o.model_version = n.model_version, false)) then n.score else o.score end as score
+from job_scores o full join fresh n on o.job_id = n.job_id and o.user_id = n.user_id""", "job_scores")
+def _(s, d):
+    path = scratch(s, "scores-store")
+    old = scores(s, d).select("job_id", "user_id", "score", "profile_hash", "model_version")
+    new = old.where("job_id % 2 = 0").select((F.col("job_id") + 1).alias("job_id"), "user_id", F.lit(50).alias("score"), F.concat(F.lit("h"), F.col("user_id").cast("string")).alias("profile_hash"), F.lit("primary").alias("model_version"))
+    for batch, rows in enumerate((old, new)):
+        store.upsert_batch(rows, path, batch, buckets=16)
+    return store.read_store(s, path, "job_id long, user_id long, score int, profile_hash string, model_version string").select("job_id", "user_id", "score")
+
+
 @register("J08_duplicate_pairs")
 def _(s, d):
     return dedup.duplicate_pair_counts(jobs(s, d))
@@ -275,13 +299,27 @@ def _(s, d):
 
 
 #: F10 in SQL: the language of each description, with its word lists spelled out.
-LANGUAGE = r"""lt as (select id, string_split(trim(regexp_replace(substr(replace(lower(regexp_replace(coalesce(description, ''), '<[^>]*>', ' ', 'g')), 'ß', 'ss'), 1, 12000), '[^\p{L}]+', ' ', 'g')), ' ') as w from jobs),
- lh as (select id, len(w) as n, len(list_filter(w, lambda x: x in ('the', 'and', 'of', 'to', 'in', 'is', 'for', 'with', 'on', 'that'))) as en,
-  len(list_filter(w, lambda x: x in ('der', 'die', 'und', 'das', 'ist', 'mit', 'für', 'von', 'zu', 'den'))) as de,
-  len(list_filter(w, lambda x: x in ('le', 'la', 'les', 'des', 'et', 'une', 'est', 'pour', 'dans', 'que'))) as fr,
-  len(list_filter(w, lambda x: x in ('el', 'los', 'las', 'una', 'por', 'para', 'con', 'del', 'que', 'es'))) as es from lt),
- lr as (select *, list_reverse_sort([en, de, fr, es]) as s from lh),
- lang as materialized (select id, case when n < 20 or s[1] < 6 or (s[1] < 1.5 * s[2] and s[1] - s[2] < 4) then 'unknown' when en = s[1] then 'en' when de = s[1] then 'de' when fr = s[1] then 'fr' else 'es' end as language from lr)"""
+_STOP = {
+    "en": "'the', 'and', 'of', 'to', 'in', 'is', 'for', 'with', 'on', 'that'",
+    "de": "'der', 'die', 'und', 'das', 'ist', 'mit', 'für', 'von', 'zu', 'den'",
+    "fr": "'le', 'la', 'les', 'des', 'et', 'une', 'est', 'pour', 'dans', 'que'",
+    "nl": "'het', 'een', 'van', 'voor', 'niet', 'zijn', 'wordt', 'naar', 'ook', 'wij'",
+    "es": "'el', 'los', 'las', 'una', 'por', 'para', 'con', 'del', 'que', 'es'",
+    "it": "'il', 'gli', 'della', 'che', 'sono', 'per', 'nel', 'alla', 'anche', 'di'",
+    "pt": "'os', 'uma', 'não', 'com', 'para', 'dos', 'em', 'são', 'mais', 'ao'",
+}
+
+
+def sql_language(jobs: str = "jobs", text: str = "description") -> str:
+    hits = ", ".join(f"len(list_filter(w, lambda x: x in ({words}))) as l_{k}" for k, words in _STOP.items())
+    first = " ".join(f"when l_{k} = s[1] then '{k}'" for k in _STOP)
+    return rf"""lt as (select id, string_split(trim(regexp_replace(substr(replace(lower(regexp_replace(coalesce({text}, ''), '<[^>]*>', ' ', 'g')), 'ß', 'ss'), 1, 12000), '[^\p{{L}}]+', ' ', 'g')), ' ') as w from {jobs}),
+ lh as (select id, len(w) as n, {hits} from lt),
+ lr as (select *, list_reverse_sort([{", ".join(f"l_{k}" for k in _STOP)}]) as s from lh),
+ lang as materialized (select id, case when n < 20 or s[1] < 6 or (s[1] < 1.5 * s[2] and s[1] - s[2] < 4) then 'unknown' {first} end as language from lr)"""
+
+
+LANGUAGE = sql_language()
 
 
 def _titles() -> str:
@@ -293,11 +331,11 @@ def _titles() -> str:
     return f"""{LANGUAGE}, flags as materialized (select jobs.id, is_remote, {text} as txt, array_to_string({plain}, ' ') as tt, {INTERN} as f_intern,
  regexp_matches(trim({p}), '^((country|deputy|global|group|interim) )*(coo|chief (operating|operations) officer)( |$)') as f_coo,
  {sql_part('lower(title)', L.title_rejects)} as f_reject, ({sql_word(p, L.commercial)} and not {sql_word(p, L.core)}) as f_commercial,
- {sql_part(_DESC, L.foreign)} as f_foreign, ({sql_word(p, L.german_roles)} and not {sql_word(p, L.english_roles)}) as f_german, language in ('de', 'fr', 'es') as f_other,
+ {sql_part(_DESC, L.foreign)} as f_foreign, ({sql_word(p, L.german_roles)} and not {sql_word(p, L.english_roles)}) as f_german, language not in ('en', 'unknown') as f_other,
  {sql_part(text, L.domain)} as f_domain, {head} as f_director, ((contains(lower(title), 'manager') or contains(lower(title), 'gerente')) and not {senior} and not {head}) as f_plain,
  lower(trim(coalesce(company_name, ''))) as comp, lower(coalesce(country, '')) as ctry from jobs join lang on lang.id = jobs.id),
 terms as (select user_id, work_mode, english_only,
- case user_id % 3 when 0 then ['head procurement', 'diretor suprimentos', 'head compras', 'coo'] when 1 then ['director supply chain', 'diretor supply chain', 'diretor cadeia suprimentos'] else [] end as targets, user_id % 3 = 0 as t_coo,
+ case user_id % 3 when 0 then ['head procurement', 'chefe compras', 'gerente geral suprimentos', 'coo'] when 1 then ['director supply chain', 'diretor cadeia logística'] else [] end as targets, user_id % 3 = 0 as t_coo,
  case user_id % 3 when 0 then ['de', 'at'] when 1 then ['de'] else [] end as pref,
  case user_id % 5 when 0 then ['retail'] when 1 then ['intern'] when 2 then ['hafenlogistik se', 'growth'] else [] end as kws,
  case user_id % 6 when 0 then ['nordwerk'] when 1 then ['vtx ag'] else [] end as comps from scored_profiles),
@@ -322,6 +360,12 @@ def verdicts(s, d) -> DataFrame:
     return rules.pre_filter(rules.job_flags(jobs(s, d)), terms(s, d))
 
 
+def signature_batches(s, d, first_tier: bool = False) -> DataFrame:
+    """W07's batches, one queue per signature of profiles."""
+    queue = scoring.tiered_queue(rules.signature_verdicts(rules.job_flags(jobs(s, d)), terms(s, d)), by="sig")
+    return scoring.assign_batches(queue.where("tier = 1") if first_tier else queue, by="sig")
+
+
 @register("P05_pre_filter", f", {VERDICTS} select id, user_id, rule, passed, bucket from judged", "jobs", "scored_profiles")
 def _(s, d):
     return verdicts(s, d)
@@ -332,6 +376,27 @@ def _(s, d):
     return rules.job_flags(jobs(s, d)).select("id", "f_intern", "f_coo", "f_commercial", "f_german", F.col("f_other_language").alias("f_other"), "f_domain", F.col("f_plain_manager").alias("f_plain"))
 
 
+_FORMS = """forms as (select doc_id as id, case doc_id % 5 when 0 then 'Leiter Großhandel &amp; Logistik' when 1 then '<b>LEITER</b> GROSSHANDEL, Logistik' when 2 then 'Deputy COO' when 3 then 'Leiter Logistik' else 'Großhandel' end as title,
+ case doc_id % 4 when 0 then 'WEISS AG' when 1 then 'Müller &amp; Co' when 2 then ' müller  & co' else 'Weiß' end as company_name from documents)"""
+
+
+@register("P08_P11_normal_forms", f"""with {_FORMS} select f.id, c.c_custkey as user_id,
+ case when f.id % 5 = 2 and c.c_custkey % 2 = 0 then 2 when c.c_custkey % 3 = 0 and f.id % 4 = 0 or c.c_custkey % 3 = 1 and f.id % 4 in (1, 2) then 7 when f.id % 5 = 4 or f.id % 5 = 2 then 9 when f.id % 5 in (0, 1) and c.c_custkey % 2 = 0 then 12 else 15 end as rule
+ from forms f, customer c where c.c_custkey % 25 = 0""")
+def _(s, d):
+    """Titles and companies with entities, tags, ß and capitals against profiles that write them otherwise."""
+    documents = read(s, d, "documents").select(F.col("doc_id").alias("id"))
+    pick = lambda n, *values: reduce(lambda w, v: w.when(F.col("id") % n == v[0], v[1]), enumerate(values[1:], 1), F.when(F.col("id") % n == 0, values[0]))
+    found = documents.select("id", pick(5, "Leiter Großhandel &amp; Logistik", "<b>LEITER</b> GROSSHANDEL, Logistik", "Deputy COO", "Leiter Logistik", "Großhandel").alias("title"), pick(4, "WEISS AG", "Müller &amp; Co", " müller  & co", "Weiß").alias("company_name"))
+    plain = found.select("*", *[F.lit(None).cast(k).alias(c) for c, k in (("description", "string"), ("country", "string"), ("is_remote", "boolean"))])
+    key = F.col("c_custkey")
+    profiles = read(s, d, "customer").where("c_custkey % 25 = 0").select(
+        key.alias("user_id"), F.lit("any").alias("work_mode"), F.lit(False).alias("english_only"), F.when(key % 2 == 0, "leiter großhandel logistik").otherwise("Interim C.O.O., Chief Operations Officer").alias("target_titles"),
+        F.lit("").alias("preferred_countries"), F.lit("").alias("excluded_keywords"), F.when(key % 3 == 0, "Weiß  AG").when(key % 3 == 1, "Müller &amp; Co, nan").otherwise("").alias("excluded_companies"),
+    )
+    return rules.pre_filter(rules.job_flags(plain), rules.profile_terms(profiles)).select("id", "user_id", "rule")
+
+
 @register("P12_work_mode", f", {VERDICTS} select work_mode, count(*) as n from flags cross join terms where (case work_mode when 'remote' then coalesce(not is_remote, not contains(txt, 'remote')) when 'onsite' then coalesce(is_remote, false) when 'hybrid' then coalesce(is_remote, false) and not contains(txt, 'hybrid') else false end) group by work_mode", "jobs", "scored_profiles")
 def _(s, d):
     # Users of one mode stand alike to a posting: the modes (at most four) are paired with the postings, not the profiles.
@@ -342,7 +407,7 @@ def _(s, d):
 
 @register("P13_buckets", f", {VERDICTS} select user_id, bucket, count(*) as n from judged group by user_id, bucket", "jobs", "scored_profiles")
 def _(s, d):
-    return verdicts(s, d).groupBy("user_id", "bucket").agg(F.count("*").alias("n"))
+    return rules.bucket_counts(rules.job_flags(jobs(s, d)), terms(s, d))
 
 
 @register("P17_data_quality", "select source, case when length(coalesce(description, '')) >= 300 then 'full' else 'partial' end as quality, count(*) as n from jobs group by 1, 2", "jobs")
@@ -362,14 +427,15 @@ def _(s, d):
     return load(s, d, "profiles").select("user_id", *[F.array_join(v, "|").alias(k) for k, v in lists.items()])
 
 
-@register("P20_safe_urls", r"""select page_id, kind, case kind when 0 then regexp_matches(url, '^https?://[^/@:]+(/|$|[?])') when 4 then true when 7 then true else false end as safe from (select page_id, page_id % 8 as kind, url from pages) t""")
+@register("P20_safe_urls", r"""select page_id, kind, case kind when 0 then regexp_matches(url, '^https?://[^/@:]+(/|$|[?])') else kind in (4, 7, 13, 15, 17) end as safe from (select page_id, page_id % 19 as kind, url from pages) t""")
 def _(s, d):
-    tail, kind = F.col("page_id").cast("string"), F.col("page_id") % 8
+    tail, kind = F.col("page_id").cast("string"), F.col("page_id") % 19
     made = ["ftp://a.example/", "https://u:p@a.example/", "http://10.0.0.7/", "https://a.example:443/", "https://a.example:8443/", "http://[::1]/", "http://93.184.216.34/"]
+    made += ["http://127.0.0.1./", "http://localhost./", "http://@a.example/", "http://2130706433/", "http://0x7f.1/", "http://[2a00:1450::200e]/", "http://[::ffff:192.168.0.1]/", "http://010.8.8.8/", "http://1.2.3.4.5/", "http://[::ffff:8.8.8.8]:80/", "http://172.16.65535/"]
     url = F.when(kind == 0, F.col("url"))
     for i, x in enumerate(made, 1):
         url = url.when(kind == i, F.concat(F.lit(x), tail))
-    return read(s, d, "pages").select("page_id", kind.alias("kind"), feed.is_safe_public_url(url).alias("safe"))
+    return read(s, d, "pages").select("page_id", kind.alias("kind"), urls.is_safe_public_url(url).alias("safe"))
 
 
 @register("P21_error_events", "select id, case when id % 5 = 1 then 'error' else 'warn' end as level, message from ops_events where id % 5 in (0, 1)", "ops_events")
@@ -525,9 +591,9 @@ def _(s, d):
     return scoring.recheck_zero_scores(rules.pre_filter_pairs(pairs, rules.job_flags(jobs(s, d)), terms(s, d)))
 
 
-@register("T06_stale_queue", f"select user_id, job_id, priority, place from (select *, row_number() over (partition by user_id order by priority, scored_at, job_id) as place from (select *, case when score = 0 and ai_analysis is null then 1 when score > 0 and scored_at < {T} - INTERVAL 7 DAY then 2 end as priority from job_scores) a where priority is not null) b where place <= 30", "job_scores")
+@register("T06_stale_queue", f"select user_id, job_id, priority, place from (select *, row_number() over (partition by user_id order by priority, scored_at, job_id) as place from (select *, case when score = 0 and ai_analysis is null then 1 when score > 0 and scored_at < {T} - INTERVAL 7 DAY then 2 end as priority from job_scores where job_id in (select id from jobs where country = 'de' and scraped_at >= {T} - INTERVAL 40 DAY)) a where priority is not null) b where place <= 30", "jobs", "job_scores")
 def _(s, d):
-    return scoring.stale_score_queue(scores(s, d), AS_OF, 30)
+    return scoring.stale_score_queue(scores(s, d), jobs(s, d), AS_OF, "de", 40, 30)
 
 
 QUEUE = f"{VERDICTS}, ranked as (select *, case when passed then 1 when bucket = 'manager_tier2' then 2 else 3 end as tier, min(case when passed then 1 when bucket = 'manager_tier2' then 2 else 3 end) over (partition by user_id) as lowest from judged), queue as (select * from (select *, row_number() over (partition by user_id, tier order by id) as place from ranked) x where place <= case when tier = 3 then 2000 else 1000 end and (tier <> 2 or lowest = 2))"
@@ -535,12 +601,13 @@ QUEUE = f"{VERDICTS}, ranked as (select *, case when passed then 1 when bucket =
 
 @register("W06_tiered_queue", f", {QUEUE} select user_id, id, tier, place from queue", "jobs", "scored_profiles")
 def _(s, d):
-    return scoring.tiered_queue(verdicts(s, d))
+    queue = scoring.tiered_queue(rules.signature_verdicts(rules.job_flags(jobs(s, d)), terms(s, d)), by="sig")
+    return rules.for_users(queue, terms(s, d))
 
 
 @register("W07_batches", f", {QUEUE} select user_id, id, (rn - 1) // 15 as batch, (rn - 1) % 15 as in_batch from (select *, row_number() over (partition by user_id order by tier, place, id) as rn from queue) t", "jobs", "scored_profiles")
 def _(s, d):
-    return scoring.assign_batches(scoring.tiered_queue(verdicts(s, d))).select("user_id", "id", "batch", F.col("in_batch").cast("long").alias("in_batch"))
+    return rules.for_users(signature_batches(s, d), terms(s, d)).select("user_id", "id", "batch", F.col("in_batch").cast("long").alias("in_batch"))
 
 
 # --- statistics --------------------------------------------------------------------------------------------------
@@ -633,12 +700,15 @@ def _(s, d):
     return stats.rejections_by_company(applications(s, d), jobs(s, d))
 
 
-@register("A13_rescore_summary", f""", {VERDICTS}, {VALID}, x as (select v.*, c.job_id as cur, coalesce({COUNTRY} = case v.user_id % 4 when 0 then 'at' when 1 then 'us' end, false) as unseen from judged v join jobs j on j.id = v.id left join valid c on c.job_id = v.id and c.user_id = v.user_id)
- select *, least(eligible, 300) as selected from (select user_id, count(*) as in_scope, count(cur) as current, count_if(unseen) as hidden, count_if(passed) as passing, count_if(bucket = 'high') as high, count_if(bucket = 'medium') as medium, count_if(bucket = 'manager_tier2') as manager_tier2, count_if(bucket = 'low') as low,
-  count_if(not passed) as rejected, count_if(passed and cur is null) as pending, count_if(passed and cur is null and not unseen) as eligible from x group by 1) y""", "jobs", "profiles", "scored_profiles", "job_scores")
+@register("A13_rescore_summary", f""", {VERDICTS}, {HASHED}, scope as (select id, dedup_hash from hashed where country in ('de', 'AT', 'us') and scraped_at >= {T} - INTERVAL 30 DAY and (url_status is null or url_status = 'active')),
+ cur as (select distinct s.job_id, s.user_id from job_scores s join scored_profiles p on p.user_id = s.user_id and p.profile_hash = s.profile_hash),
+ acted as (select distinct a.user_id, h.dedup_hash from applications a join hashed h on h.id = a.job_id where a.status in ('applied', 'rejected')),
+ x as (select v.*, c.job_id as cur, a.user_id as hid from judged v join scope j on j.id = v.id left join cur c on c.job_id = v.id and c.user_id = v.user_id left join acted a on a.user_id = v.user_id and a.dedup_hash = j.dedup_hash)
+ select *, pending - eligible as rejected, least(eligible, 40) as selected from (select user_id, count(*) as in_scope, count(cur) as current, count_if(cur is null and hid is not null) as hidden, count_if(free) as pending,
+  count_if(free and bucket = 'high') as high, count_if(free and bucket = 'medium') as medium, count_if(free and bucket = 'manager_tier2') as manager_tier2, count_if(free and bucket = 'low') as low, count_if(free and (passed or bucket = 'manager_tier2')) as eligible from (select *, cur is null and hid is null as free from x) y group by 1) z""", "jobs", "scored_profiles", "job_scores", "applications")
 def _(s, d):
-    p = load(s, d, "scored_profiles")
-    return stats.rescore_summary(verdicts(s, d), scoring.valid_scores(scores(s, d), p), jobs(s, d), p)
+    hashed = dedup.with_hash(jobs(s, d))
+    return stats.rescore_summary(hashed, terms(s, d), scores(s, d), load(s, d, "scored_profiles"), applications(s, d), AS_OF, ["de", "AT", "us"], 30, 40)
 
 
 @register("A15_last_success", f"select max(created_at) as last, greatest(0, date_sub('second', max(created_at), {T})) as age_s from ops_events where event_type = 'scan' and status = 'ok'", "ops_events")
@@ -687,9 +757,21 @@ def _(s, d):
     return reduce(DataFrame.unionByName, [feed.feed_page(base(s, d), c, down, page, 40).select(F.lit(c).alias("sort"), "id") for c, down, page in pages])
 
 
-@register("T02_keyset_page", f"select id from jobs where posted_at < {T} - INTERVAL 3 DAY or (posted_at = {T} - INTERVAL 3 DAY and id < 500) order by posted_at desc, id desc limit 50", "jobs")
+_P, _S = f"({T} - INTERVAL 3 DAY)", f"({T} - INTERVAL 33 DAY)"
+
+
+@register("T02_keyset_page", f""", k as (select id, case when id % 7 <> 0 then posted_at end as p, case when id % 11 <> 0 then scraped_at end as s from jobs)
+ select 0 as key, id from (select id from k where p < {_P} or p is null or (p = {_P} and (s < {_S} or s is null or (s = {_S} and id < 453))) order by p desc nulls last, s desc nulls last, id desc limit 50)
+ union all select 1, id from (select id from k where p < {_P} or p is null or (p = {_P} and s is null and id < 500) order by p desc nulls last, s desc nulls last, id desc limit 50)
+ union all select 2, id from (select id from k where p is null and (s < {_S} or s is null or (s = {_S} and id < 300)) order by s desc nulls last, id desc limit 50)
+ union all select 3, id from (select id from k where p is null and s is null and id < 700 order by id desc limit 50)
+ union all select 4, id from (select id from k where p > {_P} or p is null or (p = {_P} and (s > {_S} or s is null or (s = {_S} and id > 90))) order by p asc nulls last, s asc nulls last, id asc limit 50)""", "jobs")
 def _(s, d):
-    return feed.after_key(jobs(s, d), "2024-01-28 00:00:00", 500, 50).select("id")
+    """The pages after five keys, with and without dates, down and up."""
+    dated = jobs(s, d).withColumns({"posted_at": F.when(F.col("id") % 7 != 0, F.col("posted_at")), "scraped_at": F.when(F.col("id") % 11 != 0, F.col("scraped_at"))})
+    p, at = "2024-01-28 00:00:00", "2023-12-29 00:00:00"
+    keys = [((p, at, 453), True), ((p, None, 500), True), ((None, at, 300), True), ((None, None, 700), True), ((p, at, 90), False)]
+    return reduce(DataFrame.unionByName, [feed.after_key(dated, key, 50, down).select(F.lit(i).alias("key"), "id") for i, (key, down) in enumerate(keys)])
 
 
 @register("T03_url_queue", f"select id from jobs where coalesce(url, '') <> '' and (url_checked_at is null or url_checked_at < {T} - INTERVAL 20 HOUR) order by url_checked_at asc nulls first, id limit 500", "jobs")
@@ -707,11 +789,23 @@ def _(s, d):
     return feed.top_matches(scores(s, d), jobs(s, d), load(s, d, "profiles"))
 
 
-@register("T08_semantic_top_k", "select query_id, id, cosine from (select q.vec_id as query_id, v.vec_id as id, round(list_cosine_similarity(cast(q.embedding as double[]), cast(v.embedding as double[])), 6) as cosine, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(cast(q.embedding as double[]), cast(v.embedding as double[])), 6) desc, v.vec_id) as rank from vectors q, vectors v where q.vec_id % 100 = 0) t where rank <= 500", "vectors")
+def _top_k(closed: str) -> str:
+    near = "round(list_cosine_similarity(cast(q.embedding as double[]), cast(v.embedding as double[])), 6)"
+    return f"select query_id, id, cosine from (select q.vec_id as query_id, v.vec_id as id, {near} as cosine, row_number() over (partition by q.vec_id order by {near} desc, v.vec_id) as rank from vectors q, vectors v join jobs j on j.id = v.vec_id where q.vec_id % 100 = 0{closed}) t where rank <= 500"
+
+
+@register("T08_semantic_top_k", _top_k(" and (j.url_status is null or j.url_status <> 'closed')"), "jobs", "vectors")
+def _(s, d):
+    v = load(s, d, "vectors").withColumnRenamed("vec_id", "id")
+    asked = v.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+    return scoring.semantic_search(v, jobs(s, d), asked, 500).select("query_id", "id", "cosine")
+
+
+@register("T08_with_closed", _top_k(""), "jobs", "vectors")
 def _(s, d):
     v = load(s, d, "vectors").withColumnRenamed("vec_id", "id")
     asked = v.where("id % 100 = 0").withColumnRenamed("id", "query_id")
-    return scoring.similarity_in_blocks(v, asked, 500).select("query_id", "id", "cosine")
+    return scoring.semantic_search(v, jobs(s, d), asked, 500, include_closed=True).select("query_id", "id", "cosine")
 
 
 @register("T10_recent_events", "select id, event_type from ops_events order by created_at desc, id desc limit 12", "ops_events")
@@ -744,17 +838,49 @@ def _(s, d):
     return feed.search_rank(jobs(s, d), "supply direct").select("id", "rank")
 
 
+def token_index(s, d) -> DataFrame:
+    path = scratch(s, "token-index")
+    search.write_token_index(jobs(s, d), path)
+    return search.read_token_index(s, path)
+
+
+@register("F26_indexed_search", rf"select id from jobs where contains({sql_padded('title')} || {sql_padded('company_name')} || {sql_padded('description')}, ' dir') and contains({sql_padded('title')} || {sql_padded('company_name')} || {sql_padded('description')}, ' supply')", "jobs")
+def _(s, d):
+    return search.indexed_search(token_index(s, d), "Supply & dir*")
+
+
+@register("F28_indexed_rank")
+def _(s, d):
+    return search.indexed_rank(token_index(s, d), "supply direct")
+
+
 # --- maintenance, liveness ---------------------------------------------------------------------------------------
 
 
-@register("D02_retention", f"select id from jobs where scraped_at >= {T} - INTERVAL 45 DAY or id in (select job_id from applications where status in ('applied', 'interviewing', 'offer'))", "jobs", "applications")
+_KEPT = f"kept as (select id from jobs where scraped_at >= {T} - INTERVAL 45 DAY or id % 13 = 0 or id in (select job_id from applications where status in ('applied', 'interviewing', 'offer')))"
+
+
+def kept_jobs(s, d) -> DataFrame:
+    """What retention keeps, where some postings have no time of their scan."""
+    return tracker.retention(jobs(s, d).withColumn("scraped_at", F.when(F.col("id") % 13 != 0, F.col("scraped_at"))), applications(s, d), AS_OF)
+
+
+@register("D02_retention", f", {_KEPT} select id from kept", "jobs", "applications")
 def _(s, d):
-    return tracker.retention(jobs(s, d), applications(s, d), AS_OF).select("id")
+    return kept_jobs(s, d).select("id")
 
 
-@register("D03_cascade", f"select user_id, job_id from job_scores where job_id in (select id from jobs where scraped_at >= {T} - INTERVAL 45 DAY or id in (select job_id from applications where status in ('applied', 'interviewing', 'offer')))", "jobs", "applications", "job_scores")
+@register("D03_cascade", f", {_KEPT} select user_id, job_id from job_scores where job_id in (select id from kept)", "jobs", "applications", "job_scores")
 def _(s, d):
-    return tracker.cascade_delete(scores(s, d), tracker.retention(jobs(s, d), applications(s, d), AS_OF), "job_id").select("user_id", "job_id")
+    return tracker.cascade_delete(scores(s, d), kept_jobs(s, d), "job_id").select("user_id", "job_id")
+
+
+@register("D03_cascade_applications", f", {_KEPT}, live as (select user_id, job_id, status from applications where job_id in (select id from kept) and user_id in (select user_id from users where is_active)) select 'application' as kind, user_id, job_id, cast(null as bigint) as event_id from live union all select 'history', user_id, job_id, event_id from application_events e where exists (select 1 from live l where l.user_id = e.user_id and l.job_id = e.job_id)", "jobs", "applications", "users")
+def _(s, d):
+    """Applications of kept postings and of users who are still there, and the history of those applications."""
+    own = tracker.cascade_delete(tracker.cascade_delete(applications(s, d), kept_jobs(s, d), "job_id"), load(s, d, "users").where("is_active"), "user_id", "user_id")
+    history = load(s, d, "application_events").join(own.select("user_id", "job_id"), ["user_id", "job_id"], "left_semi")
+    return own.select(F.lit("application").alias("kind"), "user_id", "job_id", F.lit(None).cast("long").alias("event_id")).unionByName(history.select(F.lit("history").alias("kind"), "user_id", "job_id", "event_id"))
 
 
 @register("D04_auto_exclude", f", {REJECTIONS} select user_id, coalesce(nullif(concat_ws('|', nullif(case user_id % 6 when 0 then 'nordwerk' when 1 then 'VTX AG' else '' end, ''), (select string_agg(company, '|' order by company) from rejections r where r.user_id = p.user_id and company <> case p.user_id % 6 when 0 then 'nordwerk' when 1 then 'vtx ag' else '' end)), ''), '') as companies from profiles p", "jobs", "applications", "profiles")
@@ -772,9 +898,10 @@ def _(s, d):
     return tracker.split_exclusions(load(s, d, "profiles"), jobs(s, d)).select("user_id", F.array_join("companies", "|").alias("companies"), F.array_join("keywords", "|").alias("keywords"))
 
 
-@register("D08_invalidate", "select user_id, case when embedding_profile_hash = profile_hash then embedding_profile_hash end as embedding_profile_hash from profiles", "profiles")
+@register("D08_invalidate", "select user_id, case when same then embedding_profile_hash end as embedding_profile_hash, case when same then 'm' || cast(user_id % 3 as varchar) end as embedding_model, case when same then updated_at end as embedding_updated_at from (select *, embedding_profile_hash = profile_hash as same from profiles) p", "profiles")
 def _(s, d):
-    return tracker.invalidate_embeddings(load(s, d, "profiles")).select("user_id", "embedding_profile_hash")
+    vectors = {"embedding_model": F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")), "embedding_updated_at": F.col("updated_at")}
+    return tracker.invalidate_embeddings(load(s, d, "profiles").withColumns(vectors)).select("user_id", "embedding_profile_hash", "embedding_model", "embedding_updated_at")
 
 
 #: Markers of the pages' own domain, and of another one that must not count.
@@ -886,9 +1013,8 @@ def _(s, d):
 
 @register("W04_rotate", "select item from (select title as item, row_number() over (order by title) - 1 as place, count(*) over () as size from (select distinct title from jobs) t) x where ((place - 21) % size + size) % size < 7", "jobs")
 def _(s, d):
-    items = jobs(s, d).select(F.col("title").alias("item")).distinct()
-    numbered = items.withColumn("place", F.row_number().over(Window.orderBy("item")) - 1)  # one small list of queries
-    return adapters.rotate(numbered, 3, 7).select("item")
+    items = jobs(s, d).select(F.col("title").alias("item"))
+    return adapters.rotate(adapters.numbered(items, "item"), 3, 7).select("item")
 
 
 # --- stateful operators over a batch -----------------------------------------------------------------------------
@@ -945,8 +1071,9 @@ def _(s, d):
 @register("F30_prompts", f", {QUEUE}, b as (select user_id, id, (rn - 1) // 15 as batch, (rn - 1) % 15 as k from (select *, row_number() over (partition by user_id order by tier, place, id) as rn from queue) t) select user_id, batch, sha256(string_agg('[' || cast(k as varchar) || '] ' || title || chr(10) || 'Company: ' || coalesce(company_name, '-') || chr(10) || 'Remote: ' || case when is_remote then 'Yes' when not is_remote then 'No' else 'Unknown' end || chr(10) || substr(coalesce(description, ''), 1, 1200), chr(10) || chr(10) order by k)) as digest from b join jobs j on j.id = b.id group by 1, 2", "jobs", "scored_profiles")
 def _(s, d):
     texts = jobs(s, d).select("id", "title", "company_name", "is_remote", "description")
-    batches = scoring.assign_batches(scoring.tiered_queue(verdicts(s, d))).join(texts, "id")
-    return scoring.score_prompt(batches).select("user_id", "batch", F.sha2("prompt", 256).alias("digest"))
+    # A prompt holds postings only, so users of one signature share it.
+    prompts = scoring.score_prompt(signature_batches(s, d).join(texts, "id"), by="sig").select("sig", "batch", F.sha2("prompt", 256).alias("digest"))
+    return rules.for_users(prompts, terms(s, d)).select("user_id", "batch", "digest")
 
 
 @register("F18_profile_hash", """select user_id, sha256('{"v":"1","english_only":"' || cast(english_only as varchar) || '","work_mode":"' || work_mode || '","titles":' || case user_id % 3 when 0 then '["COO","Head of Procurement"]' when 1 then '["Director Supply Chain"]' else '[]' end || '}') as hash from profiles""", "profiles")
@@ -982,15 +1109,22 @@ def _(s, d):
     return load(s, d, "profiles").select("user_id", F.array_join(X.distinct_in_order(both), "|").alias("merged"))
 
 
-@register("U04_eligible", f"select id from jobs where id not in (select job_id from job_scores where user_id = 7) and id not in (select job_id from applications where user_id = 7) and ({COUNTRY} is null or {COUNTRY} <> 'at')", "jobs", "job_scores", "applications")
+@register("U04_eligible", f", {HASHED}, {VALID}, acted as (select h.id, h.dedup_hash from hashed h join applications a on a.job_id = h.id where a.user_id = 7 and a.status in ('applied', 'rejected')) select id from hashed where id not in (select job_id from valid where user_id = 7) and id not in (select id from acted) and dedup_hash not in (select dedup_hash from acted)", "jobs", "profiles", "job_scores", "applications")
 def _(s, d):
-    return tracker.eligible(jobs(s, d), scores(s, d), applications(s, d), 7, ("at",)).select("id")
+    valid = scoring.valid_scores(scores(s, d), load(s, d, "profiles"))
+    return tracker.eligible(dedup.with_hash(jobs(s, d)), valid, applications(s, d), 7).select("id")
 
 
-@register("W05_crawl_plan", "select query, country, location from (select distinct title as query, dense_rank() over (order by title) as q from jobs) a, (select 'at' as country, 0 as c union all select 'de', 1) b, (select distinct location, dense_rank() over (order by location) as l from jobs where location is not null) x order by q, c, l limit 80", "jobs")
+@register("W05_crawl_plan", """, q as (select title as query, min(id) as place from jobs group by 1), n as (select list(query order by place, query) as l from q),
+ own as (select 0 as c, 'at' as country, l from n union all select 1, 'br', flatten(list_transform(l, lambda t: case t when 'Head of Procurement' then [t, 'Chefe de Compras', 'Gerente Geral de Suprimentos'] when 'Leiter Logistik' then [t, 'Chefe de Logística'] else [t] end)) from n),
+ steps as (select c, country, unnest(l) as query, unnest(range(len(l))) as i from own), places as (select location, min(id) as place from jobs where location is not null group by 1)
+ select query, country, location from steps, places order by i, c, place limit 40""", "jobs")
 def _(s, d):
+    """Queries and places in order of their first posting, not of their names."""
     j = jobs(s, d)
-    return adapters.crawl_plan(j.select(F.col("title").alias("query")).distinct().orderBy("query"), ["at", "de"], j.select("location").where("location is not null").distinct().orderBy("location"))
+    first = lambda c, name: j.where(F.col(c).isNotNull()).groupBy(F.col(c).alias(name)).agg(F.min("id").alias("place"))
+    local = {"br": {**language.TITLE_ALIASES, "leiter logistik": ["Chefe de Logística"]}}
+    return adapters.crawl_plan(first("title", "query"), ["at", "br"], first("location", "location"), 40, local)
 
 
 @register("W08_semantic_priority", f", {VERDICTS}, s as (select j.id, j.user_id, rule = 12 as explicit, {COSINE} as sim from judged j left join vectors v on v.vec_id = j.id left join vectors p on p.vec_id = j.user_id where passed), g as (select *, case when explicit then 0 when sim >= 0.25 then 1 when sim is null then 2 else 3 end as grp from s) select user_id, id, grp as \"group\", row_number() over (partition by user_id order by grp, coalesce(sim, 0) desc, id) as place, count_if(grp = 3) over (partition by user_id) as n_low from g", "jobs", "scored_profiles", "vectors")
@@ -1059,7 +1193,7 @@ def _stub(prompts: list[str]) -> list[str]:
   case when n.job_id is not null and (o.job_id is null or not coalesce(o.profile_hash = n.profile_hash and o.model_version = 'primary', false)) then n.score else o.score end as score
  from job_scores o full join fresh n on o.job_id = n.job_id and o.user_id = n.user_id""", "jobs", "scored_profiles", "job_scores")
 def _(s, d):
-    queue = scoring.assign_batches(scoring.tiered_queue(verdicts(s, d)).where("tier = 1"))
+    queue = rules.for_users(signature_batches(s, d, first_tier=True), terms(s, d))
     batches = queue.join(jobs(s, d).select("id", "title"), "id")
     prompts = batches.groupBy("user_id", "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("in_batch", "title"))), lambda p: p["title"]), "\n").alias("prompt"))
     answers = scoring.score_with(prompts, _stub)
@@ -1094,13 +1228,19 @@ def _(s, d):
     return adapters.from_embedded_state(pages, "JobAd:").select("external_id", "title", "posted_at")
 
 
-@register("S09_rss", "select 'rss_' || sha256('https://feed.example/' || cast(id as varchar)) as external_id, title, company_name, case when id % 2 = 0 then 'Long text ' || cast(id as varchar) else 'short text' end as description from jobs where contains(lower(title), 'supply') or contains(lower(title), 'procurement') or contains(lower(coalesce(company_name, '')), 'supply') or contains(lower(coalesce(company_name, '')), 'procurement')", "jobs")
+@register("S09_rss", "select 'rss_' || sha256('https://feed.example/' || cast(id as varchar)) as external_id, title, company_name, posted_at - INTERVAL 3 HOUR as posted_at, case when id % 2 = 0 then 'Long text ' || cast(id as varchar) else 'procurement & more' end as description from jobs where id % 10 <> 9 and (contains(lower(title), 'supply') or contains(lower(title), 'procurement'))", "jobs")
 def _(s, d):
+    """Channels and bare roots, CDATA and attributes, dates with an offset, items without a link, and some payloads that are no XML."""
     j, url = jobs(s, d), F.concat(F.lit("https://feed.example/"), F.col("id").cast("string"))
-    head = F.concat_ws(" // ", "title", "company_name")
-    items = j.select("arrival_seq", F.concat(F.lit("<rss><item><title>"), head, F.lit("</title><link>"), url, F.lit("</link><description>&lt;p&gt;short text&lt;/p&gt;</description></item></rss>")).alias("payload"))
+    head = F.replace(F.concat_ws(" // ", "title", "company_name"), F.lit("&"), F.lit("&amp;"))
+    date = F.date_format("posted_at", "d MMM yyyy HH:mm:ss '+0300'")
+    text = F.when(F.col("id") % 4 == 1, "<![CDATA[<p>procurement &amp; more</p>]]>").otherwise("&lt;p&gt;procurement &amp;amp; more&lt;/p&gt;")
+    link = F.when(F.col("id") % 10 == 9, "").otherwise(F.concat(F.lit("<link>"), url, F.lit("</link>")))
+    item = F.concat(F.when(F.col("id") % 3 == 0, '<item x="1">').otherwise("<item>"), F.lit("<title>"), head, F.lit("</title>"), link, F.lit("<description>"), text, F.lit("</description><pubDate>"), F.when(F.col("id") % 5 > 0, "Tue, ").otherwise(""), date, F.lit("</pubDate></item>"))
+    whole = F.when(F.col("id") % 2 == 0, F.concat(F.lit("<rss><channel><title>all</title>"), item, F.lit("</channel></rss>"))).otherwise(F.concat(F.lit("<feed>"), item, F.lit("</feed>")))
+    bad = j.limit(1).select("arrival_seq", F.lit("<rss><item><title>procurement").alias("payload"))
     details = j.where("id % 2 = 0").select(url.alias("url"), F.concat(F.lit('<div class="job-description">Long <b>text</b> '), F.col("id").cast("string"), F.lit("</div>")).alias("html"))
-    return adapters.from_rss(items, details, ["Supply of goods", "procurement"]).select("external_id", "title", "company_name", "description")
+    return adapters.from_rss(j.select("arrival_seq", whole.alias("payload")).unionByName(bad), details, ["Supply of goods", "procurement"]).select("external_id", "title", "company_name", "posted_at", "description")
 
 
 @register("S11_watchlist", "select id from jobs where (lower(company_name) = 'nordwerk' and lower(country) in ('de', 'at')) or (lower(company_name) = 'vtx ag' and lower(country) = 'de')", "jobs")
@@ -1113,7 +1253,7 @@ def _(s, d):
 def _hashed_stream(s: SparkSession, d: str) -> DataFrame:
     """Documents as a stream of postings. The path is a pattern, as the table may be a file or a folder."""
     docs = s.readStream.schema(read(s, d, "documents").schema).parquet(f"{d}/documents.parque[t]")
-    return docs.select("doc_id", F.col("doc_id").alias("arrival_seq"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("dedup_hash"), F.col("lang").alias("country"), F.lit(AS_OF).cast("timestamp").alias("event_time"))
+    return docs.select("doc_id", F.col("doc_id").alias("arrival_seq"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("dedup_hash"), F.col("lang").alias("country"), (F.lit(AS_OF).cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("doc_id").cast("int"))).alias("event_time"))
 
 
 @register("ST01_stream_dedup", "select distinct sha256(coalesce(text, '')) as dedup_hash from documents")
@@ -1141,7 +1281,7 @@ def _through(s: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]
 
 @register("ST04_liveness_stream", CHECKS + ", g as (select *, sum(case when transient then 0 else 1 end) over (partition by job_id order by checked_at, fetch_id) as g from checks), l as (select job_id, g, count_if(transient) as failures, max(case when not transient then status end) as definite from g group by 1, 2) select job_id, case when failures >= 3 then 'unreachable' else definite end as status, failures from l qualify row_number() over (partition by job_id order by g desc) = 1", "fetches")
 def _(s, d):
-    flat = checks(s, d).select("job_id", "checked_at", "c.status", "c.transient")
+    flat = checks(s, d).select("job_id", "checked_at", "fetch_id", "c.status", "c.transient")
     stream, path = _through(s, flat, "liveness")
     keep = lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/out/batch={i}")
     jobs_stream.liveness_stream(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
@@ -1156,9 +1296,17 @@ def _(s, d):
     return s.read.parquet(f"{path}/out")
 
 
+@register("ST06_breaker_stream")
+def _(s, d):
+    e = load(s, d, "ops_events").select(F.col("source").alias("backend"), F.col("created_at").alias("ts"), (F.col("id") % 3 == 0).alias("ok"), F.col("id").alias("event_id"))
+    stream, path = _through(s, e, "breaker")
+    jobs_stream.breaker_stream(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{path}/out").select("backend", F.col("opened_at").cast("timestamp_ntz"), F.col("until").cast("timestamp_ntz"))
+
+
 @register("ST07_match_alerts", f"select user_id, job_id, score, place from (select s.user_id, s.job_id, score, row_number() over (partition by s.user_id order by score desc, s.job_id) as place from job_scores s join jobs j on j.id = s.job_id join profiles p on p.user_id = s.user_id where score >= 80 and ({COUNTRY} is null or {COUNTRY} <> case p.user_id % 4 when 0 then 'at' when 1 then 'us' else '-' end)) t where place <= 10", "jobs", "job_scores", "profiles")
 def _(s, d):
-    stream, path = _through(s, scores(s, d).repartition(1), "alerts")
-    alerts = jobs_stream.match_alerts(jobs(s, d), load(s, d, "profiles"), f"{path}/out")
-    stream.writeStream.foreachBatch(alerts).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    stream, path = _through(s, scores(s, d), "alerts")
+    alerts = jobs_stream.match_alerts(stream, jobs(s, d), load(s, d, "profiles"))
+    alerts.writeStream.foreachBatch(jobs_stream.alert_batches(f"{path}/out")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return s.read.parquet(f"{path}/out").select("user_id", "job_id", "score", "place")

@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import language
 from ..functions import text as X
 
 COLUMNS = ("external_id", "source", "title", "company_name", "location", "country", "description", "salary_min", "salary_max", "salary_currency", "url", "is_remote", "posted_at", "raw_data")
@@ -122,18 +123,42 @@ def from_company_feed(df: DataFrame, queries: list[str], countries: list[str], s
     return postings(kept, "company", external_id=F.concat(F.lit("company_"), F.col("r.id")), title=F.col("r.name"), company_name=F.col("company"), location=F.coalesce("r.city", "r.state"), country=country, description=F.concat_ws("\n", "r.description", "r.duties", "r.needs"), url=F.col("r.url"), posted_at=X.to_utc_naive(F.col("r.published")))
 
 
-def from_rss(df: DataFrame, details: DataFrame, queries: list[str]) -> DataFrame:
-    """S09. Feed items; `Title // Company`; kept if a query word of over four characters occurs; text of the detail page, else of the item."""
-    items = F.regexp_extract_all("payload", F.lit(r"(?s)<item>(.*?)</item>"), 1)
-    tag = lambda t: F.regexp_extract("r", rf"(?s)<{t}>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</{t}>", 1)
-    r = _numbered(df, items).select("arrival_seq", X.unescape(tag("title")).alias("head"), tag("link").alias("url"), tag("description").alias("text"), tag("pubDate").alias("date"))
+_ITEM = "struct<title:string,link:string,description:string,pubDate:string>"
+_FEED = f"struct<item:array<{_ITEM}>,channel:struct<item:array<{_ITEM}>>,broken:string>"
+#: Dates of feeds after the day's name, with an offset or a zone's name; without, they are in UTC.
+_DATES = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss X", "d MMM yyyy HH:mm Z", "d MMM yyyy HH:mm z", "d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm", "d MMM yyyy")
+
+
+def _feed(payload: Column) -> Column:
+    """A feed as a struct; `broken` holds a text that is no XML."""
+    return F.from_xml(payload, _FEED, {"columnNameOfCorruptRecord": "broken"})
+
+
+def feed_date(text: Column) -> Column:
+    """A feed's date (session zone UTC) as UTC without zone; null if it is none."""
+    plain = F.regexp_replace(F.trim(text), r"^[A-Za-z]{2,9}\.?,?\s+", "")
+    return F.coalesce(*[F.try_to_timestamp(plain, F.lit(p)) for p in _DATES], F.try_to_timestamp(plain)).cast("timestamp_ntz")
+
+
+def broken_feeds(df: DataFrame) -> DataFrame:
+    """Rows of S09's input whose payload is no XML; the adapter finds no items in them."""
+    return df.where(F.col("payload").isNotNull() & _feed(F.col("payload"))["broken"].isNotNull())
+
+
+def from_rss(df: DataFrame, details: DataFrame, queries: list[str], relevant: tuple[str, ...] = ()) -> DataFrame:
+    """S09. Items of a feed (in its channel or directly below the root) with title and link. `Title // Company`; kept if the title has a
+    relevant part or a query word of over four characters; text of the detail page, else of the item."""
+    x = _feed(F.col("payload"))
+    none = F.array().cast(f"array<{_ITEM}>")
+    r = _numbered(df, F.concat(F.coalesce(x["channel"]["item"], none), F.coalesce(x["item"], none)))
+    r = r.select("arrival_seq", *[F.trim(F.coalesce(F.col(f"r.{c}"), F.lit(""))).alias(n) for c, n in (("title", "head"), ("link", "url"), ("description", "text"))], F.col("r.pubDate").alias("date"))
     parts = F.split("head", r"\s+//?\s+")
-    words = sorted({w for q in queries for w in q.lower().split() if len(w) > 4})
-    kept = r.where(X.has_part(F.lower(F.concat_ws(" ", "head", "text")), words)) if words else r
+    words = sorted({w for q in queries for w in q.lower().split() if len(w) > 4} | {w.lower() for w in relevant})
+    kept = r.where((F.col("head") != "") & (F.col("url") != "")).withColumns({"title": F.trim(parts[0]), "company": F.trim(F.try_element_at(parts, F.lit(2)))})
+    kept = kept.where(X.has_part(F.lower("title"), words)) if words else kept
     joined = kept.join(details.select("url", F.col("html")), "url", "left")
     main = F.nullif(X.main_text(F.col("html")), F.lit(""))
-    stamp = F.try_to_timestamp(F.substring("date", 6, 20), F.lit("dd MMM yyyy HH:mm:ss"))
-    return postings(joined, "rss", external_id=F.concat(F.lit("rss_"), F.sha2("url", 256)), title=F.trim(parts[0]), company_name=F.trim(F.try_element_at(parts, F.lit(2))), description=F.coalesce(main, X.html_to_text(X.unescape(F.col("text")))), url=F.col("url"), posted_at=stamp)
+    return postings(joined, "rss", external_id=F.concat(F.lit("rss_"), F.sha2("url", 256)), title=F.col("title"), company_name=F.col("company"), description=F.coalesce(main, X.html_to_text(F.col("text"))), url=F.col("url"), posted_at=feed_date(F.col("date")))
 
 
 def from_tabular(df: DataFrame, country: str, ignores_country: tuple[str, ...] = ("google",)) -> DataFrame:
@@ -189,14 +214,34 @@ def scan_scope(profiles: DataFrame, titles: tuple[str, ...] = (), countries: tup
     return first.unionByName(missing.select("kind", "item", F.lit(None).cast(profiles.schema["user_id"].dataType).alias("user_id"), "pos"))
 
 
+def numbered(items: DataFrame, column: str, letters: int = 3) -> DataFrame:
+    """Distinct items with their place (from 0) in ascending order and the number of all. Counted by first letters: the places of
+    a group begin after the items of smaller ones, so no task sees all items, and the window over all sees only the groups."""
+    rows = items.select(column).where(F.col(column).isNotNull()).distinct().withColumn("_g", F.substring(column, 1, letters))
+    groups = rows.groupBy("_g").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = groups.select("_g", before.alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("size"))
+    place = F.row_number().over(Window.partitionBy("_g").orderBy(column)) - 1 + F.col("_before")
+    return rows.join(starts, "_g").select(column, place.alias("place"), "size")
+
+
 def rotate(items: DataFrame, slot: int, n: int) -> DataFrame:
-    """W04. n items (column place, from 0) from slot * n on, wrapping around. Items are a small list of queries."""
-    size = F.count("*").over(Window.partitionBy())
-    return items.withColumn("_at", F.pmod(F.col("place") - F.lit(slot * n), size)).where(F.col("_at") < n).orderBy("_at").drop("_at")
+    """W04. n items (columns place, from 0, and size, see `numbered`) from slot * n on, wrapping around."""
+    return items.withColumn("_at", F.pmod(F.col("place") - F.lit(slot * n), F.col("size"))).where(F.col("_at") < n).orderBy("_at").drop("_at")
+
+
+def crawl_plan(queries: DataFrame, countries: list[str], locations: DataFrame, cap: int = 80, aliases: dict[str, dict[str, list[str]]] | None = None) -> DataFrame:
+    """W05. The first `cap` steps (the plan's size) of a plan that keeps the top queries in all countries: the first query of each
+    country's list at each place, then the second ones. `queries` (query, place) and `locations` (location, place) are in order of
+    place; a country's list has its local aliases behind each query. Without locations a step has the empty one."""
+    aliases = {"br": language.TITLE_ALIASES} if aliases is None else aliases
 
+    def first(df: DataFrame, column: str) -> DataFrame:
+        """One row: the first `cap` items in order; no plan needs more of them."""
+        top = df.where(F.col(column).isNotNull()).orderBy("place", column).limit(cap)
+        return top.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.col(column).alias("item")))), lambda x: x["item"]).alias(f"{column}_list"))
 
-def crawl_plan(queries: DataFrame, countries: list[str], locations: DataFrame, cap: int = 80) -> DataFrame:
-    """W05. Query-major plan: for each query all countries, for each all places; the first `cap` steps (the plan's size)."""
-    k = F.posexplode(F.array(*map(F.lit, countries))).alias("c", "country")
-    steps = queries.limit(cap).select("query", k)
-    return steps.join(F.broadcast(locations.limit(cap))).orderBy("query", "c", "location").limit(cap).select("query", "country", "location")
+    lists = F.array(*[F.struct(F.lit(i).alias("c"), F.lit(k).alias("country"), language.expand_queries(F.col("query_list"), aliases.get(k.lower(), {})).alias("own")) for i, k in enumerate(countries)])
+    steps = first(queries, "query").select(F.explode(lists).alias("x")).select("x.c", "x.country", F.posexplode("x.own").alias("q", "query"))
+    places = first(locations, "location").select(F.posexplode(F.when(F.size("location_list") > 0, F.col("location_list")).otherwise(F.array(F.lit("")))).alias("l", "location"))
+    return steps.crossJoin(places).orderBy("q", "c", "l").limit(cap).select("query", "country", "location")
