@@ -220,10 +220,10 @@ def encode_documents(docs: DataFrame, path: str, block: int = BLOCK) -> DataFram
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = Codec.load(path)
         for b in batches:
-            for doc_id, h, text in zip(b["doc_id"].astype("Int64"), b["h"], b["text"]):
+            for doc_id, h, copies, text in zip(b["doc_id"].astype("Int64"), b["h"], b["copies"], b["text"]):
                 pieces = list(codec.blocks(text, block))
                 glued = [g for _, g in pieces]
-                yield pd.DataFrame({"doc_id": pd.array([doc_id] * len(pieces), dtype="Int64"), "h": h, "block": range(len(pieces)), "glued": glued, "next_glued": [*glued[1:], False], "piece": [p for p, _ in pieces]})
+                yield pd.DataFrame({"doc_id": pd.array([doc_id] * len(pieces), dtype="Int64"), "h": h, "copies": copies, "block": range(len(pieces)), "glued": glued, "next_glued": [*glued[1:], False], "piece": [p for p, _ in pieces]})
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = Codec.load(path)
@@ -233,6 +233,7 @@ def encode_documents(docs: DataFrame, path: str, block: int = BLOCK) -> DataFram
                 {
                     "doc_id": b["doc_id"].astype("Int64"),
                     "h": b["h"],
+                    "copies": b["copies"],
                     "block": b["block"],
                     "glued": b["glued"],
                     "ids": [_packed(codec.tree(p.encode("utf-8", "surrogatepass"))) if r else codec.encode(p) for p, r in zip(b["piece"], raw)],
@@ -241,19 +242,23 @@ def encode_documents(docs: DataFrame, path: str, block: int = BLOCK) -> DataFram
 
     def concatenate(group: pd.DataFrame) -> pd.DataFrame:
         codec = Codec.load(path)
-        copies = int((group["block"] == 0).sum())
-        parts = group.drop_duplicates("block").sort_values("block")
+        parts = group.sort_values("block")
         ids = concatenate_blocks(codec, list(zip(parts["ids"], parts["glued"])))
         n, a, c = _digests(codec, ids)
-        doc_id = pd.array([group["doc_id"].iloc[0]] * copies, dtype="Int64")
-        return pd.DataFrame({"doc_id": doc_id, "n_tokens": n, "ids_sha256": a, "decoded_sha256": c})
+        doc_id = pd.array([group["doc_id"].iloc[0]], dtype="Int64")
+        return pd.DataFrame({"doc_id": doc_id, "n_tokens": n, "ids_sha256": a, "decoded_sha256": c, "copies": group["copies"].iloc[0]})
 
     short = rows.where(F.length("text") <= block).mapInPandas(whole, schema)
-    long = rows.where(F.length("text") > block).select("doc_id", F.xxhash64("text").alias("h"), "text")
-    pieces = long.mapInPandas(split, "doc_id long, h long, block long, glued boolean, next_glued boolean, piece string")
+    # A long text that is there several times under one id (null ids are one) is encoded once.
+    long = rows.where(F.length("text") > block).groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.count("*").alias("copies"), F.first("text").alias("text"))
+    pieces = long.mapInPandas(split, "doc_id long, h long, copies long, block long, glued boolean, next_glued boolean, piece string")
     dealt = pieces.repartition(F.col("doc_id"), F.col("h"), F.col("block"))
-    ids = dealt.mapInPandas(encode, "doc_id long, h long, block long, glued boolean, ids binary")
-    return short.unionByName(ids.groupBy("doc_id", "h").applyInPandas(concatenate, schema))
+    ids = dealt.mapInPandas(encode, "doc_id long, h long, copies long, block long, glued boolean, ids binary")
+    found = ids.groupBy("doc_id", "h").applyInPandas(concatenate, f"{schema}, copies long")
+    # Rows again: thousands at a time, so no array grows with the copies of a hot text.
+    dozens = found.withColumn("left", F.explode(F.sequence(F.col("copies"), F.lit(1), F.lit(-4096))))
+    each = dozens.withColumn("one", F.explode(F.sequence(F.lit(1), F.least(F.col("left"), F.lit(4096)).cast("int"))))
+    return short.unionByName(each.select(short.columns))
 
 
 def concatenate_blocks(codec: Codec, blocks: list[tuple[bytes, bool]]) -> bytes:

@@ -565,3 +565,12 @@ def test_neighbours_reach_the_recall_and_exact_scores(spark):
         assert r["score"] == min(np.sqrt(((v - asked) ** 2).sum()) for v in ([y[r["vec_id"]], np.full(8, 9.0)] if r["vec_id"] == 100 else [y[r["vec_id"]]]))
     few = rows_of(ann.nearest(df.where("vec_id < 4")))
     assert sorted(r["vec_id"] for r in few) == [1, 2, 3]
+
+
+def test_a_long_text_under_one_id_is_encoded_once_and_returned_each_time(spark):
+    library = Tokenizer.from_file(PATH)
+    long = PROSE[0] * 30
+    rows = [(None, long)] * 4500 + [(7, long), (7, long), (7, long + "x"), (8, "short")]
+    out = rows_of(bpe.encode_documents(spark.createDataFrame(rows, "doc_id long, text string"), PATH, block=4000))
+    want = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    assert multiset((r["doc_id"], r["n_tokens"]) for r in out) == multiset((i, want(t)) for i, t in set(rows) for _ in range(rows.count((i, t))))
