@@ -18,11 +18,11 @@ are their own pair. First every member is held against its bucket's most central
 fullest), which joins groups of near copies with one candidate per member and block. Where a bucket still holds several
 components, members of different ones are compared, sketch against sketch, in tiles: the members of the largest
 component are dealt over tiles, the rest goes to each of them, so a bucket costs rest x members, never members squared,
-and no task holds more than two tiles. Pairs within a component are never made. A tile returns for two components the LIMIT
-nearest pairs; if there were more and the components are still apart after verifying, the search is repeated with a higher limit
-until none is left out.
+and no task holds more than two tiles. (Buckets of at most SMALL members give their few pairs without tiles.) Pairs within a component are never made. A tile returns the LIMIT nearest pairs of
+each component; if there were more, the search is repeated among the components that are still apart after verifying, with a
+higher limit, until none is left out.
 
-Verification counts the common shingles of both whole texts. Texts and keys that no pair needs are kept from the shuffle by a sieve: a
+Verification counts the common shingles of both whole texts. Shingle sets and keys that no pair needs are kept from the shuffle by a sieve: a
 bitmap of SIEVE_BITS bits, of fixed size, that lets all needed ids pass and few others (at very many ids ever more others, which
 the join then drops).
 
@@ -51,13 +51,17 @@ from .components import components
 WORDS, LINK = 4, 85
 #: Buckets with more members than this outside their largest component are crowded.
 CROWDED = 512
+#: Buckets of so few members give all their pairs of unlike components.
+SMALL = 16
 #: Members of one side that a task compares with as many of the other.
 TILE = 2048
-#: Nearest pairs of two components that a tile returns at first.
+#: Nearest pairs of a component that a tile returns at first.
 LIMIT = 4
 SIEVE_BITS = 1 << 26
 #: Bits of the sketches that candidates are held against, by size.
-LEAST_BITS, MOST_BITS = 64, 4096
+LEAST_BITS, MOST_BITS = 256, 8192
+#: Words whose hashes a worker remembers.
+REMEMBERED = 50_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
@@ -104,7 +108,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word, 7)
         return value
@@ -136,9 +140,10 @@ def block_keys(tokens: np.ndarray, band: int, blocks: int, spare: int) -> tuple[
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
-    """Parity sketch as 64-bit words; about four bits for each token that may differ."""
+    """Parity sketch as 64-bit words; sixteen bits for each token that may differ, so that few tokens meet in a bit and the bound
+    is near the difference itself."""
     bits = LEAST_BITS
-    while bits < min(4 * differ(2 * len(tokens)), MOST_BITS):
+    while bits < min(16 * differ(2 * len(tokens)), MOST_BITS):
         bits *= 2
     parity = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8), bitorder="little").view("<i8")
@@ -176,18 +181,22 @@ def _where(df: DataFrame, passes: Callable[[np.ndarray], np.ndarray], column: st
 
 
 def distinct_texts(docs: DataFrame, cut) -> DataFrame:
-    """sid (hash of the text), n (shingles), sketch and text of every distinct text. Only texts that occur twice are shuffled."""
+    """sid (hash of the text), n (shingles), sketch and tokens (their sorted hashes, eight bytes each) of every distinct text. Only texts
+    that occur twice are shuffled."""
     base = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("sid"), "text")
     often = cut(base.groupBy("sid").agg(F.count("*").alias("copies")).where("copies > 1").select("sid"), "often")
     passes = sieve(often, "sid")
-    once = _where(base, lambda v: ~passes(v), "sid").unionByName(_where(base, passes, "sid").dropDuplicates(["sid"]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def facts(batches: Iterator[pd.DataFrame], unless: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            tokens = [shingles(t) for t in batch["text"]]
-            yield batch.assign(n=[len(t) for t in tokens], sketch=[sketch(t) for t in tokens])
+            batch = batch if unless is None else batch[~unless(batch["sid"].to_numpy())]
+            tokens = [shingles(text) for text in batch["text"]]
+            yield pd.DataFrame({"sid": batch["sid"], "n": [len(t) for t in tokens], "sketch": [sketch(t) for t in tokens], "tokens": [t.tobytes() for t in tokens]})
 
-    return cut(once.mapInPandas(run, "sid long, text string, n long, sketch array<long>"), "texts")
+    schema = "sid long, n long, sketch array<long>, tokens binary"
+    once = base.mapInPandas(lambda batches: facts(batches, passes), schema)
+    again = _where(base, passes, "sid").dropDuplicates(["sid"]).mapInPandas(facts, schema)
+    return cut(once.unionByName(again), "texts")
 
 
 def keys(texts: DataFrame, passes: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
@@ -196,8 +205,8 @@ def keys(texts: DataFrame, passes: Callable[[np.ndarray], np.ndarray] | None = N
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: list[tuple[np.ndarray, int, int, int]] = []
-            for sid, text in zip(batch["sid"], batch["text"]):
-                tokens = shingles(text)
+            for sid, own in zip(batch["sid"], batch["tokens"]):
+                tokens = np.frombuffer(own, dtype=np.uint64)
                 for band, blocks, spare in plan(len(tokens)) if len(tokens) else ():
                     found, left = block_keys(tokens, band, blocks, spare)
                     out.append((found.view(np.int64), sid, band, left))
@@ -207,43 +216,74 @@ def keys(texts: DataFrame, passes: Callable[[np.ndarray], np.ndarray] | None = N
                 frame = pd.DataFrame({"key": every, **{c: np.repeat([o[i] for o in out], lengths) for i, c in ((1, "sid"), (2, "band"), (3, "spare"))}})
                 yield frame if passes is None else frame[passes(every)]
 
-    return texts.select("sid", "text").mapInPandas(run, "key long, sid long, band int, spare int")
+    return texts.select("sid", "tokens").mapInPandas(run, "key long, sid long, band int, spare int")
 
 
-def _near(a: Column, b: Column, total: Column) -> Column:
-    """Whether two sketches (arrays of words) differ in few enough bits."""
+def _bits(a: Column, b: Column) -> Column:
+    """In how many bits two sketches (arrays of words) differ."""
 
     def halved(x: Column, y: Column) -> Column:
         half = (F.size(x) / 2).cast("int")
         return F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(x)
 
     bits = F.zip_with(halved(a, b), halved(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("long"))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: s + x) <= F.floor((100 - LINK) * total / F.lit(100 + LINK))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, cut) -> DataFrame:
-    """Those of the pairs (a, b) of text ids that link."""
-    facts = texts.select("sid", "n", "sketch")
+def near_pairs(pairs: DataFrame, facts: DataFrame, cut) -> DataFrame:
+    """Those of the pairs (a, b) of text ids whose sizes and sketches allow a link, with the bits in which the sketches differ."""
     side = lambda c: facts.toDF(c, f"n_{c}", f"s_{c}")
-    fits = (100 * F.least("n_a", "n_b") >= LINK * F.greatest("n_a", "n_b")) & _near(F.col("s_a"), F.col("s_b"), F.col("n_a") + F.col("n_b"))
-    near = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b"), "near")
+    fits = 100 * F.least("n_a", "n_b") >= LINK * F.greatest("n_a", "n_b")
+    allowed = F.floor((100 - LINK) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + LINK))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(fits)
+    return cut(both.select("a", "b", allowed.alias("allowed"), _bits(F.col("s_a"), F.col("s_b")).alias("bits")).where("bits <= allowed").drop("allowed"), "near")
+
+
+def verified(near: DataFrame, texts: DataFrame, cut) -> DataFrame:
+    """Those of the pairs (a, b) of text ids that link."""
+    near = near.select("a", "b")
     passes = sieve(near.select(F.explode(F.array("a", "b")).alias("sid")), "sid")
-    needed = _where(texts.select("sid", "text"), passes, "sid")
+    needed = _where(texts.select("sid", "tokens"), passes, "sid")
     both = near.join(needed.toDF("a", "t_a"), "a").join(needed.toDF("b", "t_b"), "b")
 
     @F.pandas_udf("boolean")
     def link(left: pd.Series, right: pd.Series) -> pd.Series:
-        tokens = lru_cache(maxsize=16)(shingles)
         out = []
         for x, y in zip(left, right):
-            x, y = tokens(x), tokens(y)
-            common = len(np.intersect1d(x, y, assume_unique=True))
+            x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            both = np.sort(np.concatenate([x, y]), kind="stable")
+            common = int((both[1:] == both[:-1]).sum())
             out.append(100 * common >= LINK * (len(x) + len(y) - common))
         return pd.Series(out, dtype=bool)
 
     return cut(both.where(link("t_a", "t_b")).select("a", "b"), "links")
 
 
+def linked_roots(pairs: DataFrame, facts: DataFrame, texts: DataFrame, cut) -> DataFrame:
+    """node and root of the texts that the links among the pairs connect. Verified first is the nearest pair of each text; other pairs
+    only where both texts are still apart."""
+    near = near_pairs(pairs, facts, cut)
+    least = near.select(F.explode(F.array("a", "b")).alias("sid"), "bits").groupBy("sid").agg(F.min("bits").alias("least"))
+    ranked = near.join(least.toDF("a", "least_a"), "a").join(least.toDF("b", "least_b"), "b")
+    ranked = cut(ranked.select("a", "b", ((F.col("bits") == F.col("least_a")) | (F.col("bits") == F.col("least_b"))).alias("nearest")), "ranked")
+    links = verified(ranked.where("nearest"), texts, cut)
+    roots = cut(components(links, cut=cut), "roots")
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    apart = ranked.where("not nearest").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    apart = cut(apart.where(~F.coalesce(F.col("root_a") == F.col("root_b"), F.lit(False))).select("a", "b"), "apart")
+    more = verified(apart, texts, cut)
+    return joined_roots(roots, more, cut)
+
+
+def joined_roots(roots: DataFrame, links: DataFrame, cut) -> DataFrame:
+    """node and root after more links. Components, not texts, are joined."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    edges = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    upper = cut(components(edges, cut=cut), "upper").select(F.col("node").alias("old"), F.col("root").alias("new"))
+    nodes = roots.unionByName(upper.join(roots, upper.old == roots.node, "left_anti").select(F.col("old").alias("node"), F.col("old").alias("root")))
+    return cut(nodes.join(upper, nodes.root == upper.old, "left").select("node", F.coalesce("new", "root").alias("root")), "roots")
+
+
 def stars(members: DataFrame) -> DataFrame:
     """Pairs of every member with the most central member of its bucket."""
     weight = members.groupBy("sid").agg(F.sum(F.col("n").cast("double")).alias("weight"))
@@ -265,10 +305,10 @@ def open_members(members: DataFrame, roots: DataFrame, cut) -> DataFrame:
     return cut(opened.where(~crowded).unionByName(opened.where(crowded).join(over, ["sid", "band"], "left_semi").select(opened.columns)), "kept")
 
 
-def tiles(opened: DataFrame, texts: DataFrame) -> DataFrame:
+def tiles(opened: DataFrame, facts: DataFrame) -> DataFrame:
     """Rows of tile jobs (key, x, y): both sides of what is to be compared."""
     count = lambda n: F.ceil(F.col(n) / TILE).cast("int")
-    rows = opened.join(texts.select("sid", F.col("n"), "sketch"), "sid")
+    rows = opened.join(facts, "sid")
     part = lambda n: F.pmod(F.xxhash64("sid", "key"), count(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), count(n) - 1))
     common = ["key", "sid", "root", "n", "sketch"]
@@ -283,80 +323,108 @@ def tiles(opened: DataFrame, texts: DataFrame) -> DataFrame:
     return bulk.unionByName(against).unionByName(inner)
 
 
-def tile_pairs(rows: pd.DataFrame, limit: int) -> list[tuple[int, int, bool]]:
-    """The nearest pairs of each two components of one job whose sketches allow a link, and whether some were left out."""
-    sides = [rows[rows["side"] == s] for s in (0, 1)]
+def tile_pairs(job: dict[str, np.ndarray], limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nearest pairs of each component of one job whose sketches allow a link, and whether any were left out."""
+    sides = [np.flatnonzero(job["side"] == s) for s in (0, 1)]
     if min(map(len, sides)) == 0:
-        return []
-    length = min(len(s) for s in rows["sketch"])
-    words = [np.array([folded(s, length) for s in side["sketch"]]).view(np.uint64) for side in sides]
-    sid, root, n = ([side[c].to_numpy() for side in sides] for c in ("sid", "root", "n"))
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none.astype(bool)
+    length = min(len(s) for s in job["sketch"])
+    words = [np.array([folded(job["sketch"][i], length) for i in side]).view(np.uint64) for side in sides]
+    sid, root, n = ([job[c][side] for side in sides] for c in ("sid", "root", "n"))
     allowed = (100 - LINK) * (n[0][:, None] + n[1][None]) // (100 + LINK)
     hits = []
     chunk = max(1, 2_000_000 // words[1].size)
-    for a in range(0, len(sid[0]), chunk):
-        z = a + chunk
-        bits = np.bitwise_count(words[0][a:z, None] ^ words[1][None]).sum(axis=2, dtype=np.int64)
-        ok = (bits <= allowed[a:z]) & (root[0][a:z, None] != root[1][None]) & (sid[0][a:z, None] != sid[1][None])
+    for at in range(0, len(sid[0]), chunk):
+        to = at + chunk
+        bits = np.bitwise_count(words[0][at:to, None] ^ words[1][None]).sum(axis=2, dtype=np.int64)
+        ok = (bits <= allowed[at:to]) & (root[0][at:to, None] != root[1][None])
         i, j = np.nonzero(ok)
-        hits.append(np.column_stack([i + a, j, bits[i, j]]))
+        hits.append(np.column_stack([i + at, j, bits[i, j]]))
     i, j, bits = np.concatenate(hits).T
-    found = pd.DataFrame({"a": np.maximum(sid[0][i], sid[1][j]), "b": np.minimum(sid[0][i], sid[1][j]), "u": np.maximum(root[0][i], root[1][j]), "v": np.minimum(root[0][i], root[1][j]), "bits": bits})
-    found = found.drop_duplicates(["a", "b"]).sort_values(["u", "v", "bits", "a", "b"])
-    rank, of = found.groupby(["u", "v"]).cumcount(), found.groupby(["u", "v"])["a"].transform("size")
-    found = found.assign(more=of > limit)[rank < limit]
-    return list(found[["a", "b", "more"]].itertuples(index=False, name=None))
+    x, y, u, v = sid[0][i], sid[1][j], root[0][i], root[1][j]
+    # Rows on both sides give a pair twice.
+    swap = x < y
+    x, y, u, v = np.where(swap, y, x), np.where(swap, x, y), np.where(swap, v, u), np.where(swap, u, v)
+    x, y, u, v, bits = np.unique(np.column_stack([x, y, u, v, bits]), axis=0).T
+    # The pairs of each component, nearest first.
+    pair, of = np.tile(np.arange(len(x)), 2), np.concatenate([u, v])
+    order = np.lexsort((y[pair], x[pair], bits[pair], of))
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = of[order][1:] != of[order][:-1]
+    rank = np.arange(len(order)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+    kept = np.unique(pair[order][rank < limit])
+    return x[kept], y[kept], np.full(len(kept), len(kept) < len(x))
 
 
 def tile_candidates(jobs: DataFrame, limit: int) -> DataFrame:
     """a, b and more of all jobs; a task holds one job at a time."""
-    marks = ["key", "x", "y"]
+    marks, columns = ["key", "x", "y"], ["sid", "root", "n", "side", "sketch"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        found: list[tuple] = []
+        mark, held = None, []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def done() -> None:
+            found.append(tile_pairs({c: np.concatenate([h[c] for h in held]) for c in columns}, limit))
+
+        def distinct() -> pd.DataFrame:
+            # Two sets that share many blocks meet in many jobs.
+            rows = np.unique(np.column_stack([c.astype(np.int64) for c in map(np.concatenate, zip(*found))]), axis=0)
+            return pd.DataFrame({"a": rows[:, 0], "b": rows[:, 1], "more": rows[:, 2] > 0})
+
         for batch in batches:
             if not len(batch):
                 continue
             now = batch[marks].to_numpy()
+            rows = {c: batch[c].to_numpy() for c in columns}
             starts = [0, *(np.flatnonzero((now[1:] != now[:-1]).any(axis=1)) + 1), len(batch)]
             for a, z in zip(starts, starts[1:]):
-                piece = batch.iloc[a:z]
-                if held and not (held[-1][marks].iloc[-1].to_numpy() == piece[marks].iloc[0].to_numpy()).all():
-                    found += tile_pairs(pd.concat(held), limit)
+                if held and tuple(now[a]) != mark:
+                    done()
                     held = []
-                held.append(piece)
+                mark = tuple(now[a])
+                held.append({c: v[a:z] for c, v in rows.items()})
             if len(found) > 10_000:
-                yield pd.DataFrame(found, columns=["a", "b", "more"])
-                found = []
+                yield distinct()
+                found.clear()
         if held:
-            found += tile_pairs(pd.concat(held), limit)
-        yield pd.DataFrame(found, columns=["a", "b", "more"]).astype({"a": "int64", "b": "int64", "more": bool})
+            done()
+        if found:
+            yield distinct()
 
     return jobs.repartition(*marks).sortWithinPartitions(*marks).mapInPandas(run, "a long, b long, more boolean")
 
 
+def small_pairs(opened: DataFrame) -> DataFrame:
+    """a, b and more of buckets of at most SMALL members: all pairs of unlike components, at most SMALL a member."""
+    members = F.array_sort(F.collect_list(F.struct("sid", "root")))
+    both = F.transform("m", lambda p, i: F.transform(F.slice("m", F.lit(1), i), lambda q: F.struct(p["sid"].alias("a"), q["sid"].alias("b"), (p["root"] != q["root"]).alias("apart"))))
+    pairs = opened.groupBy("key").agg(members.alias("m")).select(F.inline(F.flatten(both))).where("apart")
+    return pairs.select("a", "b", F.lit(False).alias("more")).distinct()
+
+
 def text_roots(texts: DataFrame, cut, limit: int = LIMIT) -> DataFrame:
     """node and root of every distinct text that links with another."""
     grouped = keys(texts).groupBy("key").agg(F.count("*").alias("n"), F.max("sid").alias("a"), F.min("sid").alias("b"))
     buckets = cut(grouped.where("n > 1 and a <> b"), "buckets")
     large = buckets.where("n > 2").select("key", "n")
     members = cut(keys(texts, sieve(large, "key")).join(large, "key"), "members")
+    # What pairs and tiles need to know of the texts that share any block.
+    playing = sieve(buckets.where("n = 2").select(F.explode(F.array("a", "b")).alias("sid")).unionByName(members.select("sid")), "sid")
+    facts = cut(_where(texts.select("sid", "n", "sketch"), playing, "sid"), "facts")
     pairs = buckets.where("n = 2").select("a", "b").unionByName(stars(members)).distinct()
-    roots = cut(components(verified(pairs, texts, cut), cut=cut), "roots")
+    roots = linked_roots(pairs, facts, texts, cut)
     while True:
         opened = open_members(members, roots, cut)
-        found = cut(tile_candidates(tiles(opened, texts), limit), "found")
+        small = F.col("n_bulk") + F.col("n_rest") <= SMALL
+        found = small_pairs(opened.where(small)).unionByName(tile_candidates(tiles(opened.where(~small), facts), limit))
+        found = cut(found, "found")
         told = found.agg(F.count("*"), F.max("more")).first()
         if not told[0]:
             return roots
-        more = verified(found.select("a", "b").distinct(), texts, cut)
-        # Components, not texts, are joined further.
-        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-        edges = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-        upper = cut(components(edges, cut=cut), "upper").select(F.col("node").alias("old"), F.col("root").alias("new"))
-        nodes = roots.unionByName(upper.join(roots, upper.old == roots.node, "left_anti").select(F.col("old").alias("node"), F.col("old").alias("root")))
-        roots = cut(nodes.join(upper, nodes.root == upper.old, "left").select("node", F.coalesce("new", "root").alias("root")), "roots")
+        more = verified(near_pairs(found.select("a", "b").distinct(), facts, cut), texts, cut)
+        roots = joined_roots(roots, more, cut)
         if not told[1]:
             return roots
         limit *= 16

@@ -100,6 +100,7 @@ def test_crowded_buckets_small_tiles_and_repeated_search(spark, rows, monkeypatc
     lets most ids pass."""
     monkeypatch.setattr(parity_join, "CROWDED", 3)
     monkeypatch.setattr(parity_join, "TILE", 4)
+    monkeypatch.setattr(parity_join, "SMALL", 2)
     monkeypatch.setattr(parity_join, "SIEVE_BITS", 1 << 15)
     monkeypatch.setattr(parity_join.text_roots, "__defaults__", (1,))
     assert result(frame(spark, rows)) == brute(rows)
