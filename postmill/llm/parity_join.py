@@ -58,6 +58,8 @@ TILE = 2048
 #: Nearest pairs of a component that a tile returns at first.
 LIMIT = 4
 SIEVE_BITS = 1 << 26
+#: Parts of the count of keys for each partition of other shuffles.
+PARTS = 4
 #: Bits of the sketches that candidates are held against, by size.
 LEAST_BITS, MOST_BITS = 256, 8192
 #: Words whose hashes a worker remembers.
@@ -172,12 +174,24 @@ def sieve(ids: DataFrame, column: str) -> Callable[[np.ndarray], np.ndarray]:
     return passes
 
 
-def _where(df: DataFrame, passes: Callable[[np.ndarray], np.ndarray], column: str) -> DataFrame:
-    @F.pandas_udf("boolean")
-    def test(values: pd.Series) -> pd.Series:
-        return pd.Series(passes(values.to_numpy()))
+def sieve_table(ids: DataFrame, column: str) -> DataFrame:
+    """The same test as a table of at most SIEVE_BITS / 32,768 bitmaps of 4 KB, for `where` and `where_not`."""
+    place = F.pmod(F.col(column), F.lit(SIEVE_BITS)) + 1
+    found = ids.select(place.alias("v")).groupBy(F.bitmap_bucket_number("v").alias("sieve_bucket"))
+    return found.agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("sieve_bits"))
+
+
+def where(df: DataFrame, table: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
+    """Rows whose id passes. The test stays in the JVM: a Python one would be a second worker in each task of a stage that has one already."""
+    place = F.pmod(F.col(column), F.lit(SIEVE_BITS)) + 1
+    position = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("sieve_bits", F.shiftright(position, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    passes = F.getbit(byte, position.bitwiseAND(7).cast("int")) == 1
+    return df.join(F.broadcast(table), (F.bitmap_bucket_number(place) == F.col("sieve_bucket")) & passes, how)
+
 
-    return df.where(test(column))
+def where_not(df: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    return where(df, table, column, "left_anti")
 
 
 def distinct_texts(docs: DataFrame, cut) -> DataFrame:
@@ -185,17 +199,16 @@ def distinct_texts(docs: DataFrame, cut) -> DataFrame:
     that occur twice are shuffled."""
     base = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("sid"), "text")
     often = cut(base.groupBy("sid").agg(F.count("*").alias("copies")).where("copies > 1").select("sid"), "often")
-    passes = sieve(often, "sid")
+    repeated = cut(sieve_table(often, "sid"), "repeated")
 
-    def facts(batches: Iterator[pd.DataFrame], unless: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[pd.DataFrame]:
+    def facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch = batch if unless is None else batch[~unless(batch["sid"].to_numpy())]
             tokens = [shingles(text) for text in batch["text"]]
             yield pd.DataFrame({"sid": batch["sid"], "n": [len(t) for t in tokens], "sketch": [sketch(t) for t in tokens], "tokens": [t.tobytes() for t in tokens]})
 
     schema = "sid long, n long, sketch array<long>, tokens binary"
-    once = base.mapInPandas(lambda batches: facts(batches, passes), schema)
-    again = _where(base, passes, "sid").dropDuplicates(["sid"]).mapInPandas(facts, schema)
+    once = where_not(base, repeated, "sid").mapInPandas(facts, schema)
+    again = where(base, repeated, "sid").dropDuplicates(["sid"]).mapInPandas(facts, schema)
     return cut(once.unionByName(again), "texts")
 
 
@@ -219,6 +232,14 @@ def keys(texts: DataFrame, passes: Callable[[np.ndarray], np.ndarray] | None = N
     return texts.select("sid", "tokens").mapInPandas(run, "key long, sid long, band int, spare int")
 
 
+def key_counts(texts: DataFrame) -> DataFrame:
+    """key, n (its rows) and the largest and smallest of its texts. Nearly all keys are of one text, so counting them before the shuffle
+    would only fill the executors with tables: the rows go to their key first, and each of many small parts is counted there."""
+    parts = PARTS * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = keys(texts).select("key", "sid").repartition(parts, "key")
+    return rows.groupBy("key").agg(F.count("*").alias("n"), F.max("sid").alias("a"), F.min("sid").alias("b"))
+
+
 def _bits(a: Column, b: Column) -> Column:
     """In how many bits two sketches (arrays of words) differ."""
 
@@ -242,8 +263,7 @@ def near_pairs(pairs: DataFrame, facts: DataFrame, cut) -> DataFrame:
 def verified(near: DataFrame, texts: DataFrame, cut) -> DataFrame:
     """Those of the pairs (a, b) of text ids that link."""
     near = near.select("a", "b")
-    passes = sieve(near.select(F.explode(F.array("a", "b")).alias("sid")), "sid")
-    needed = _where(texts.select("sid", "tokens"), passes, "sid")
+    needed = where(texts.select("sid", "tokens"), sieve_table(near.select(F.explode(F.array("a", "b")).alias("sid")), "sid"), "sid")
     both = near.join(needed.toDF("a", "t_a"), "a").join(needed.toDF("b", "t_b"), "b")
 
     @F.pandas_udf("boolean")
@@ -406,13 +426,12 @@ def small_pairs(opened: DataFrame) -> DataFrame:
 
 def text_roots(texts: DataFrame, cut, limit: int = LIMIT) -> DataFrame:
     """node and root of every distinct text that links with another."""
-    grouped = keys(texts).groupBy("key").agg(F.count("*").alias("n"), F.max("sid").alias("a"), F.min("sid").alias("b"))
-    buckets = cut(grouped.where("n > 1 and a <> b"), "buckets")
+    buckets = cut(key_counts(texts).where("n > 1 and a <> b"), "buckets")
     large = buckets.where("n > 2").select("key", "n")
     members = cut(keys(texts, sieve(large, "key")).join(large, "key"), "members")
     # What pairs and tiles need to know of the texts that share any block.
-    playing = sieve(buckets.where("n = 2").select(F.explode(F.array("a", "b")).alias("sid")).unionByName(members.select("sid")), "sid")
-    facts = cut(_where(texts.select("sid", "n", "sketch"), playing, "sid"), "facts")
+    playing = sieve_table(buckets.where("n = 2").select(F.explode(F.array("a", "b")).alias("sid")).unionByName(members.select("sid")), "sid")
+    facts = cut(where(texts.select("sid", "n", "sketch"), playing, "sid"), "facts")
     pairs = buckets.where("n = 2").select("a", "b").unionByName(stars(members)).distinct()
     roots = linked_roots(pairs, facts, texts, cut)
     while True:

@@ -138,3 +138,17 @@ def test_bands_hold_all_partners():
         starts = parity_join.band_starts(parity_join.partner(size) + 1)
         band = max(i for i, s in enumerate(starts) if s <= size)
         assert parity_join.partner(size) < (*starts, 10**9)[band + 2]
+
+
+def test_keys_are_counted_after_the_shuffle_and_the_sieve_needs_no_python_worker(spark, rows):
+    """Tables of keys before the shuffle, and a second worker in the tasks that verify, took more than an executor's memory at size."""
+    explained = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    texts = parity_join.distinct_texts(frame(spark, rows).select("doc_id", "text"), lambda df, _: df.localCheckpoint())
+    before, after = explained(parity_join.key_counts(texts)).split("Exchange")
+    assert "HashAggregate" in before and "HashAggregate" not in after
+    ids = texts.where("n > 100").select("sid")
+    table = parity_join.sieve_table(ids, "sid")
+    held, left = parity_join.where(texts, table, "sid"), parity_join.where_not(texts, table, "sid")
+    assert not any(p in explained(df) for df in (held, left) for p in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas"))
+    kept, rest, wanted = ({r["sid"] for r in df.select("sid").collect()} for df in (held, left, ids))
+    assert wanted <= kept and not kept & rest and len(kept) <= len(wanted) + 2 and len(kept | rest) == texts.count()
