@@ -2,10 +2,14 @@
 
 Coarse centroids and the codebooks of the residuals are fitted on a bounded sample (SAMPLE rows of smallest hash). Every
 row is indexed: its nearest of about 4 * sqrt(rows) cells (at most CELLS), and one code per sub-vector of its residual. How
-many cells a query visits is measured, not guessed: the true neighbours of ASKED sample rows among all rows are found in
-one pass, and as many of the nearest cells are visited as hold the share `recall` of them. A query's rows there are ranked by
-asymmetric distances (its own residual, table-looked-up against the codes), and the best CANDIDATES of each block, with
-all ties, are ranked again by exact distances on the original vectors, in double precision.
+many cells a query visits is measured, not guessed, and on the queries themselves, which need not be like the other rows: the true
+neighbours of ASKED of them among all rows are found in one pass, and as many of the nearest cells are visited as hold the
+share `recall` of them. A query's rows there are ranked by asymmetric distances (its own residual, table-looked-up against the
+codes), and the best CANDIDATES of each block get exact distances on the original vectors, in double precision. Each row's code
+carries its error, the distance between its vector and what the code stands for; so a code bounds the distance from below, and every
+row whose bound is not above the distances found is ranked exactly too. Codes thus never lose a neighbour in the cells visited, whatever
+the dimension, the scales and the clusters of the rows. All but exact distances are of vectors less the sample's median, so that
+rows far from the origin keep their digits.
 
 Neighbouring cells are dealt together in blocks of at most about BLOCK rows and QUERIES queries, and a query is sent once to a
 block with the numbers of its cells there. A cell that holds a third of all rows is many blocks, and no group of rows is
@@ -33,7 +37,7 @@ from .common import cut, steps
 SAMPLE = 20_000
 #: Bound on the coarse cells.
 CELLS = 4096
-#: Sample rows whose true neighbours are looked up.
+#: Queries whose true neighbours are looked up.
 ASKED = 400
 #: Rows whose distances to all centroids are held at a time.
 ROWS = 2_048
@@ -82,80 +86,102 @@ class Index:
     """Coarse centroids and the codebooks of residuals."""
 
     def __init__(self, sample: np.ndarray, cells: int):
-        self.centres = k_means(sample, cells)
-        rest = sample - self.centres[self.cells(sample)]
+        self.middle = np.median(sample, axis=0)
+        self.centres = k_means(sample - self.middle, cells)
+        rest = sample - self.middle - self.centres[self.cells(sample)]
         self.cuts = np.array_split(np.arange(sample.shape[1]), min(PARTS, sample.shape[1]))
         self.books = [k_means(rest[:, c], CODES, rounds=8) for c in self.cuts]
 
     def probes(self, asking: np.ndarray, of: np.ndarray, cells: np.ndarray, recall: float) -> int:
         """Cells to visit so that this share of known neighbours is found: neighbour i, of row of[i] of `asking`, lies in cells[i]."""
-        place = np.argsort(np.argsort(_squared(asking, self.centres), axis=1, kind="stable"), axis=1)
+        place = np.argsort(np.argsort(_squared(asking - self.middle, self.centres), axis=1, kind="stable"), axis=1)
         needed = np.sort(place[of, cells])
         return int(needed[min(len(needed) - 1, int(recall * len(needed)))]) + 1 if len(needed) else 1
 
-    def visits(self, queries: np.ndarray, probes: int, rows_in: np.ndarray, least: int) -> list[np.ndarray]:
-        """The nearest cells of each query, and more of them until they hold `least` rows."""
-        order = np.argsort(_squared(queries, self.centres), axis=1, kind="stable")
-        enough = np.minimum((np.cumsum(rows_in[order], axis=1) < least).sum(axis=1) + 1, order.shape[1])
+    def visits(self, queries: np.ndarray, probes: int, ids_in: np.ndarray, least: int) -> list[np.ndarray]:
+        """The nearest cells of each query, and more of them until they hold `least` ids."""
+        order = np.argsort(_squared(queries - self.middle, self.centres), axis=1, kind="stable")
+        enough = np.minimum((np.cumsum(ids_in[order], axis=1) < least).sum(axis=1) + 1, order.shape[1])
         return [o[:m] for o, m in zip(order, np.maximum(min(probes, order.shape[1]), enough))]
 
     def cells(self, x: np.ndarray) -> np.ndarray:
-        return _nearest(x, self.centres)[0]
+        return _nearest(x - self.middle, self.centres)[0]
 
-    def codes(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
-        rest = x - self.centres[cells]
-        return np.stack([_squared(rest[:, c], b).argmin(1) for c, b in zip(self.cuts, self.books)], axis=1).astype(np.uint8)
+    def codes(self, x: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of rows, and their errors: the distances between the rows and what their codes stand for."""
+        rest = x - self.middle - self.centres[cells]
+        codes = np.stack([_squared(rest[:, c], b).argmin(1) for c, b in zip(self.cuts, self.books)], axis=1).astype(np.uint8)
+        for i, (c, b) in enumerate(zip(self.cuts, self.books)):
+            rest[:, c] -= b[codes[:, i]]
+        return codes, np.sqrt((rest * rest).sum(axis=1))
 
     def tables(self, queries: np.ndarray, cell: int) -> np.ndarray:
         """Squared distances (queries x parts x codes) of the queries' residuals in a cell to the codebooks."""
-        rest = queries - self.centres[cell]
+        rest = queries - self.middle - self.centres[cell]
         out = np.full((len(queries), len(self.books), CODES), np.inf)
         for i, (c, b) in enumerate(zip(self.cuts, self.books)):
             out[:, i, : len(b)] = _squared(rest[:, c], b)
         return out
 
 
-def search_block(index: Index, ids: np.ndarray, cells: np.ndarray, codes: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, visited: list[np.ndarray], k: int) -> pd.DataFrame:
+def search_block(index: Index, ids: np.ndarray, cells: np.ndarray, codes: np.ndarray, errors: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, visited: list[np.ndarray], k: int) -> pd.DataFrame:
     """The k best rows of a block for each query, among those of the cells it visits: query_id, vec_id, score."""
-    order = np.argsort(ids, kind="stable")
-    ids, cells, codes, vectors = ids[order], cells[order], codes[order], vectors[order]
     raw = np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.dtype.itemsize * vectors.shape[1]))).ravel()
     _, first, group = np.unique(raw, return_index=True, return_inverse=True)
-    by_group = np.argsort(group, kind="stable")
-    begins = np.searchsorted(group[by_group], np.arange(len(first) + 1))
-    cells, codes, exact = cells[first], codes[first].astype(np.int64), vectors[first].astype(np.float64)
+    # Ids of each vector, every one once; an id of several vectors takes up several of the nearest.
+    order = np.lexsort((ids, group))
+    group, ids = group[order], ids[order]
+    fresh = np.ones(len(ids), dtype=bool)
+    fresh[1:] = (group[1:] != group[:-1]) | (ids[1:] != ids[:-1])
+    group, ids = group[fresh], ids[fresh]
+    begins = np.searchsorted(group, np.arange(len(first) + 1))
+    wanted = (k + 1) * int(np.unique(ids, return_counts=True)[1].max())
+    cells, codes, errors, exact = cells[first], codes[first].astype(np.int64), errors[first], vectors[first].astype(np.float64)
     queries = queries.astype(np.float64)
-    # Asymmetric distances of all queries to the rows of the cells they visit, cell by cell.
-    rough = np.full((len(queries), len(first)), np.inf, dtype=np.float32)
+    # Asymmetric distances of all queries to the rows of the cells they visit, cell by cell, and bounds from below.
+    rough, least = np.full((2, len(queries), len(first)), np.inf)
     by_cell = np.argsort(cells, kind="stable")
     names, at = np.unique(cells[by_cell], return_index=True)
     ends = np.append(at[1:], len(cells))
     asking = np.repeat(np.arange(len(queries)), [len(v) for v in visited])
-    wanted = np.concatenate(visited) if len(visited) else np.zeros(0, dtype=np.int64)
+    visits = np.concatenate(visited) if len(visited) else np.zeros(0, dtype=np.int64)
+    seen = np.zeros(rough.shape, dtype=bool)
     parts = np.arange(codes.shape[1])
     for cell, a, z in zip(names, at, ends):
-        own, rows = asking[wanted == cell], by_cell[a:z]
+        own, rows = asking[visits == cell], by_cell[a:z]
         step = max(1, (1 << 21) // (len(rows) * len(parts)))
         for i in range(0, len(own), step):
             some = own[i : i + step]
             table = index.tables(queries[some], int(cell))
-            rough[np.ix_(some, rows)] = table[:, parts[None, :], codes[rows]].sum(axis=2)
+            gaps = np.sqrt(np.maximum(table[:, parts[None, :], codes[rows]].sum(axis=2), 0))
+            length = np.sqrt(((queries[some] - index.middle - index.centres[cell]) ** 2).sum(axis=1))
+            # What rounding can add up to is taken off; a bound that overflows says nothing.
+            bound = gaps - errors[rows] - 1e-6 * (length[:, None] + gaps + errors[rows])
+            places = np.ix_(some, rows)
+            rough[places], least[places], seen[places] = gaps, np.where(np.isfinite(bound), bound, -np.inf), True
+    distances = lambda q, rows: np.sqrt(((exact[rows] - queries[q]) ** 2).sum(axis=1))
     out_query, out_id, out_score = [], [], []
     for q, query_id in enumerate(query_ids):
-        chosen = np.flatnonzero(np.isfinite(rough[q]))
-        if len(chosen) > CANDIDATES:
-            chosen = np.flatnonzero(rough[q] <= np.partition(rough[q], CANDIDATES - 1)[CANDIDATES - 1])
-        gap = exact[chosen] - queries[q]
-        distance = np.sqrt((gap * gap).sum(axis=1))
+        chosen = np.flatnonzero(seen[q])
+        best = max(CANDIDATES, wanted)
+        if len(chosen) > best:
+            nearest = chosen[np.argpartition(rough[q, chosen], best - 1)[:best]]
+            limit = np.partition(distances(q, nearest), wanted - 1)[wanted - 1]
+            chosen = chosen[least[q, chosen] <= limit]
+        distance = distances(q, chosen)
+        limit = np.inf if len(chosen) <= wanted else np.partition(distance, wanted - 1)[wanted - 1]
         found: list[tuple[float, int]] = []
-        limit = np.inf if len(chosen) <= k + 1 else np.partition(distance, k)[k]
         for c, d in zip(chosen[distance <= limit], distance[distance <= limit]):
-            near = ids[by_group[begins[c] : min(begins[c + 1], begins[c] + k + 1)]]
+            near = ids[begins[c] : min(begins[c + 1], begins[c] + k + 1)]
             found += [(d, i) for i in near.tolist() if i != query_id]
-        for d, i in sorted(found)[:k]:
-            out_query.append(query_id)
-            out_id.append(i)
-            out_score.append(d)
+        closest: dict[int, float] = {}
+        for d, i in sorted(found):
+            if len(closest) == k:
+                break
+            closest.setdefault(i, d)
+        out_query += [query_id] * len(closest)
+        out_id += closest.keys()
+        out_score += closest.values()
     return pd.DataFrame({"query_id": np.array(out_query, dtype=np.int64), "vec_id": np.array(out_id, dtype=np.int64), "score": np.array(out_score, dtype=np.float64)})
 
 
@@ -174,30 +200,36 @@ def block_plan(centres: np.ndarray, rows_in: np.ndarray) -> tuple[np.ndarray, li
     return block_of, parts
 
 
-def known_neighbours(indexed: DataFrame, ids: np.ndarray, asking: np.ndarray, k: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """Row of `asking` and cell of each of its k true neighbours in `indexed`. Each task keeps its own k best."""
+def known_neighbours(indexed: DataFrame, ids: np.ndarray, asking: np.ndarray, middle: np.ndarray, k: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Row of `asking` and cell of each of its k true neighbours, each id once, in `indexed`. Each task keeps its own k best."""
+
+    asking = asking - middle
 
     def best(batches):
-        held = [(np.zeros(0), np.zeros(0, dtype=np.int64))] * len(ids)
+        held = [(np.zeros(0), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))] * len(ids)
         for b in batches:
             if len(b):
-                gap = _squared(asking, np.stack([np.frombuffer(v, dtype=kind) for v in b["vector"]]).astype(np.float64))
-                gap[ids[:, None] == b["vec_id"].to_numpy()[None, :]] = np.inf
-                cells = b["cell"].to_numpy(dtype=np.int64)
+                gap = _squared(asking, np.stack([np.frombuffer(v, dtype=kind) for v in b["vector"]]).astype(np.float64) - middle)
+                own_ids, cells = b["vec_id"].to_numpy(), b["cell"].to_numpy(dtype=np.int64)
+                gap[ids[:, None] == own_ids[None, :]] = np.inf
                 for q in range(len(ids)):
-                    d, c = np.concatenate([held[q][0], gap[q]]), np.concatenate([held[q][1], cells])
-                    o = np.argsort(d, kind="stable")[:k]
-                    held[q] = d[o], c[o]
-        n = [len(c) for _, c in held]
-        yield pd.DataFrame({"q": np.repeat(np.arange(len(ids)), n), "gap": np.concatenate([d for d, _ in held]), "cell": np.concatenate([c for _, c in held])})
-
-    own = indexed.mapInPandas(best, "q long, gap double, cell long").where(F.col("gap") < float("inf"))
-    near = own.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("gap", "cell"))).where(F.col("rank") <= k)
+                    better = np.flatnonzero(gap[q] < held[q][0][-1]) if len(held[q][0]) == k else np.arange(len(own_ids))
+                    if len(better):
+                        d, i, c = (np.concatenate([h, new[better]]) for h, new in zip(held[q], (gap[q], own_ids, cells)))
+                        o = np.argsort(d, kind="stable")
+                        o = o[np.sort(np.unique(i[o], return_index=True)[1])[:k]]
+                        held[q] = d[o], i[o], c[o]
+        n = [len(h[0]) for h in held]
+        yield pd.DataFrame({"q": np.repeat(np.arange(len(ids)), n), **{name: np.concatenate([h[at] for h in held]) for at, name in enumerate(("gap", "vec_id", "cell"))}})
+
+    own = indexed.mapInPandas(best, "q long, gap double, vec_id long, cell int").where(F.col("gap") < float("inf"))
+    once = own.groupBy("q", "vec_id").agg(F.min(F.struct("gap", "cell")).alias("n")).select("q", "vec_id", "n.gap", "n.cell")
+    near = once.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("gap", "vec_id"))).where(F.col("rank") <= k)
     found = near.select("q", "cell").toPandas()  # at most ASKED * k rows
     return found["q"].to_numpy(), found["cell"].to_numpy()
 
 
-def nearest(rows: DataFrame, every: int = 100, k: int = 10, recall: float = 0.93) -> DataFrame:
+def nearest(rows: DataFrame, every: int = 100, k: int = 10, recall: float = 0.95) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found rows of each row whose vec_id is divisible by `every`."""
     with steps(rows.sparkSession, "neighbours") as own:
         return cut(_nearest_rows(rows, every, k, recall, own), "nearest")
@@ -216,10 +248,9 @@ def _nearest_rows(rows: DataFrame, every: int, k: int, recall: float, cut) -> Da
     sizes = sample["embedding"].map(len)
     dimension = int(sizes.mode().iloc[0])
     sample = sample[sizes == dimension]
-    asked_ids, fitted = sample["vec_id"].to_numpy()[:ASKED], np.stack(sample["embedding"].to_list()).astype(np.float64)
+    fitted = np.stack(sample["embedding"].to_list()).astype(np.float64)
     del sample
     index = Index(fitted, int(min(CELLS, max(4, 4 * math.sqrt(good.count())))))
-    asking = fitted[:ASKED].copy()
     del fitted
     shared = spark.sparkContext.broadcast(index)  # cells and codebooks: at most CELLS + CODES vectors
 
@@ -228,14 +259,19 @@ def _nearest_rows(rows: DataFrame, every: int, k: int, recall: float, cut) -> Da
         for b in batches:
             x = np.stack(b["embedding"].to_list()).astype(kind) if len(b) else np.zeros((0, dimension), dtype=kind)
             at = own.cells(x.astype(np.float64))
-            yield pd.DataFrame({"vec_id": b["vec_id"], "cell": at, "codes": [c.tobytes() for c in own.codes(x.astype(np.float64), at)], "vector": [v.tobytes() for v in x]})
+            codes, errors = own.codes(x.astype(np.float64), at)
+            yield pd.DataFrame({"vec_id": b["vec_id"], "cell": at, "codes": [c.tobytes() for c in codes], "error": errors, "vector": [v.tobytes() for v in x]})
 
-    schema = "vec_id long, cell int, codes binary, vector binary"
+    schema = "vec_id long, cell int, codes binary, error double, vector binary"
     indexed = cut(good.where(F.size("embedding") == dimension).mapInPandas(assign, schema), "index")
-    probes = index.probes(asking, *known_neighbours(indexed, asked_ids, asking, k, kind), recall)
-    counts = indexed.groupBy("cell").count().toPandas().set_index("cell")["count"]  # one number per cell
-    rows_in = np.array([int(counts.get(c, 0)) for c in range(len(index.centres))])
     queries = indexed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    asked = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(ASKED).toPandas()
+    if not len(asked):
+        return spark.createDataFrame([], result)
+    asking = np.stack([np.frombuffer(v, dtype=kind) for v in asked["vector"]]).astype(np.float64)
+    probes = index.probes(asking, *known_neighbours(indexed, asked["vec_id"].to_numpy(), asking, index.middle, k, kind), recall)
+    counts = indexed.groupBy("cell").agg(F.count("*").alias("rows"), F.countDistinct("vec_id").alias("ids")).toPandas().set_index("cell")  # two numbers per cell
+    rows_in, ids_in = (np.array([int(counts[n].get(c, 0)) for c in range(len(index.centres))]) for n in ("rows", "ids"))
 
     block_of, row_parts = block_plan(index.centres, rows_in)
     least = 4 * (k + 1)
@@ -246,7 +282,7 @@ def _nearest_rows(rows: DataFrame, every: int, k: int, recall: float, cut) -> Da
             out = []
             if len(b):
                 x = np.stack([np.frombuffer(v, dtype=kind) for v in b["vector"]]).astype(np.float64)
-                for query_id, vector, cells in zip(b["vec_id"], b["vector"], own.visits(x, probes, rows_in, least)):
+                for query_id, vector, cells in zip(b["vec_id"], b["vector"], own.visits(x, probes, ids_in, least)):
                     blocks = block_of[cells]
                     out += [(query_id, vector, int(g), cells[blocks == g].astype("<i4").tobytes()) for g in np.unique(blocks)]
             yield pd.DataFrame(out, columns=["query_id", "query", "block", "cells"])
@@ -260,7 +296,7 @@ def _nearest_rows(rows: DataFrame, every: int, k: int, recall: float, cut) -> Da
     blocks = F.broadcast(spark.createDataFrame(plan, "block int, row_parts int, query_parts int"))
     of_cell = F.broadcast(spark.createDataFrame([(c, int(g)) for c, g in enumerate(block_of)], "cell int, block int"))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = indexed.join(of_cell, "cell").join(blocks, "block").select("block", F.pmod(F.xxhash64("vec_id", "vector"), F.col("row_parts")).cast("int").alias("rp"), each("query_parts").alias("qp"), "vec_id", "cell", "codes", "vector")
+    left = indexed.join(of_cell, "cell").join(blocks, "block").select("block", F.pmod(F.xxhash64("vec_id", "vector"), F.col("row_parts")).cast("int").alias("rp"), each("query_parts").alias("qp"), "vec_id", "cell", "codes", "error", "vector")
     right = visits.join(blocks, "block").select("block", each("row_parts").alias("rp"), F.pmod(F.xxhash64("query_id"), F.col("query_parts")).cast("int").alias("qp"), "query_id", "query", "cells")
 
     def search(stored: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
@@ -268,7 +304,7 @@ def _nearest_rows(rows: DataFrame, every: int, k: int, recall: float, cut) -> Da
             return pd.DataFrame({"query_id": np.zeros(0, "int64"), "vec_id": np.zeros(0, "int64"), "score": np.zeros(0)})
         array = lambda s, t: np.stack([np.frombuffer(v, dtype=t) for v in s])
         visited = [np.frombuffer(c, dtype="<i4").astype(np.int64) for c in asking["cells"]]
-        return search_block(shared.value, stored["vec_id"].to_numpy(), stored["cell"].to_numpy(dtype=np.int64), array(stored["codes"], np.uint8), array(stored["vector"], kind), asking["query_id"].to_numpy(), array(asking["query"], kind), visited, k)
+        return search_block(shared.value, stored["vec_id"].to_numpy(), stored["cell"].to_numpy(dtype=np.int64), array(stored["codes"], np.uint8), stored["error"].to_numpy(), array(stored["vector"], kind), asking["query_id"].to_numpy(), array(asking["query"], kind), visited, k)
 
     keys = ["block", "rp", "qp"]
     found = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(search, "query_id long, vec_id long, score double")

@@ -574,3 +574,26 @@ def test_a_long_text_under_one_id_is_encoded_once_and_returned_each_time(spark):
     out = rows_of(bpe.encode_documents(spark.createDataFrame(rows, "doc_id long, text string"), PATH, block=4000))
     want = lambda t: len(library.encode(t, add_special_tokens=False).ids)
     assert multiset((r["doc_id"], r["n_tokens"]) for r in out) == multiset((i, want(t)) for i, t in set(rows) for _ in range(rows.count((i, t))))
+
+
+def test_neighbours_of_rows_unlike_the_others(spark):
+    """Queries spread between tight clusters, vectors too long for sixteen codes, and rows that occur twelve times."""
+    rng = np.random.default_rng(5)
+    tight = rng.normal(size=(60, 32))[rng.integers(0, 60, 6000)] + 0.05 * rng.normal(size=(6000, 32))
+    tight[::100] = rng.normal(size=(60, 32))
+    few = rng.normal(size=(500, 16))
+    tables = [(np.arange(6000), tight), (np.arange(3000), rng.normal(size=(3000, 256))), (np.repeat(np.arange(500), 12), np.repeat(few, 12, axis=0))]
+    for ids, x in tables:
+        df = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids, x)], "vec_id long, embedding array<double>")
+        out = rows_of(ann.nearest(df))
+        ids, first = np.unique(ids, return_index=True)
+        x = x[first]
+        hits = total = 0
+        for q in ids[ids % 100 == 0]:
+            d = np.sqrt(((x - x[q]) ** 2).sum(1))
+            d[q] = np.inf
+            got = [r["vec_id"] for r in out if r["query_id"] == q]
+            assert len(set(got)) == len(got) == 10
+            hits += len(set(got) & set(np.argsort(d)[:10].tolist()))
+            total += 10
+        assert hits / total >= 0.9
