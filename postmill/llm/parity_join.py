@@ -19,14 +19,17 @@ fullest), which joins groups of near copies with one candidate per member and bl
 components, members of different ones are compared, sketch against sketch, in tiles: the members of the largest
 component are dealt over tiles, the rest goes to each of them, so a bucket costs rest x members, never members squared,
 and no task holds more than two tiles. (Buckets of at most SMALL members give their few pairs without tiles.) Pairs within a component are never made. A tile returns the LIMIT nearest pairs of
-each component; if there were more, the search is repeated among the components that are still apart after verifying, with a
-higher limit, until none is left out.
+each component; if there were more, the search of that bucket is repeated among the components that are still apart after verifying,
+with a higher limit, until none is left out. (Buckets that gave all their pairs are done: a linked pair shares a block with one
+of them, or all blocks that it shares and neither left out are searched again, so it is not lost by what happens to be crowded then.)
 
-Verification counts the common shingles of both whole texts. Shingle sets and keys that no pair needs are kept from the shuffle by a sieve: a
-bitmap of SIEVE_BITS bits, of fixed size, that lets all needed ids pass and few others (at very many ids ever more others, which
-the join then drops).
+Verification counts the common shingles of both whole texts. Stored of every text are its size, sketch and keys (some two fifths of its
+shingles); the shingle sets, which are larger than the texts, are made again from the texts of the pairs alone. Shingle sets and
+keys that no pair needs are kept from the shuffle by a sieve: a bitmap of SIEVE_BITS bits, of fixed size, that lets all needed
+ids pass and few others (at very many ids ever more others, which the join then drops).
 
-Only distinct texts (by 64-bit hash) are joined; copies get their component by a join at the end, which adaptive execution splits
+Only distinct texts (by 64-bit hash) are joined, under numbers in their order: in the shuffle of the keys, which is the largest, the
+rows of one task then differ in few bytes but those of the key, at any number of partitions. Copies get their component by a join at the end, which adaptive execution splits
 where one text is hot.
 
 Nulls and edges: null, empty and blank texts have no shingles and link with nothing (component_id is their doc_id); fewer than
@@ -174,16 +177,20 @@ def sieve(ids: DataFrame, column: str) -> Callable[[np.ndarray], np.ndarray]:
     return passes
 
 
+def _place(column: str) -> Column:
+    """Place of an id in the bitmaps of `sieve_table`; numbers of texts agree in their last bits, so they are hashed."""
+    return F.pmod(F.xxhash64(column), F.lit(SIEVE_BITS)) + 1
+
+
 def sieve_table(ids: DataFrame, column: str) -> DataFrame:
-    """The same test as a table of at most SIEVE_BITS / 32,768 bitmaps of 4 KB, for `where` and `where_not`."""
-    place = F.pmod(F.col(column), F.lit(SIEVE_BITS)) + 1
-    found = ids.select(place.alias("v")).groupBy(F.bitmap_bucket_number("v").alias("sieve_bucket"))
+    """Such a test as a table of at most SIEVE_BITS / 32,768 bitmaps of 4 KB, for `where` and `where_not`."""
+    found = ids.select(_place(column).alias("v")).groupBy(F.bitmap_bucket_number("v").alias("sieve_bucket"))
     return found.agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("sieve_bits"))
 
 
 def where(df: DataFrame, table: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
     """Rows whose id passes. The test stays in the JVM: a Python one would be a second worker in each task of a stage that has one already."""
-    place = F.pmod(F.col(column), F.lit(SIEVE_BITS)) + 1
+    place = _place(column)
     position = F.bitmap_bit_position(place)
     byte = F.conv(F.hex(F.substring("sieve_bits", F.shiftright(position, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
     passes = F.getbit(byte, position.bitwiseAND(7).cast("int")) == 1
@@ -194,49 +201,56 @@ def where_not(df: DataFrame, table: DataFrame, column: str) -> DataFrame:
     return where(df, table, column, "left_anti")
 
 
-def distinct_texts(docs: DataFrame, cut) -> DataFrame:
-    """sid (hash of the text), n (shingles), sketch and tokens (their sorted hashes, eight bytes each) of every distinct text. Only texts
-    that occur twice are shuffled."""
-    base = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("sid"), "text")
-    often = cut(base.groupBy("sid").agg(F.count("*").alias("copies")).where("copies > 1").select("sid"), "often")
-    repeated = cut(sieve_table(often, "sid"), "repeated")
+def whole_texts(docs: DataFrame, cut) -> DataFrame:
+    """hash and text of every distinct text. Only texts that occur twice are shuffled and written; the others are read
+    from docs whenever they are used."""
+    base = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("hash"), "text")
+    often = cut(base.groupBy("hash").agg(F.count("*").alias("copies")).where("copies > 1").select("hash"), "often")
+    repeated = cut(sieve_table(often, "hash"), "repeated")
+    return where_not(base, repeated, "hash").unionByName(cut(where(base, repeated, "hash").dropDuplicates(["hash"]), "copied"))
+
+
+def text_facts(whole: DataFrame, cut) -> DataFrame:
+    """sid (number), hash, n (shingles), sketch, keys of the joins one after the other, and joins (band, spare and number of keys of each) of every text."""
 
     def facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            tokens = [shingles(text) for text in batch["text"]]
-            yield pd.DataFrame({"sid": batch["sid"], "n": [len(t) for t in tokens], "sketch": [sketch(t) for t in tokens], "tokens": [t.tobytes() for t in tokens]})
+            rows = []
+            for text in batch["text"]:
+                tokens = shingles(text)
+                found = [(band, *block_keys(tokens, band, blocks, spare)) for band, blocks, spare in (plan(len(tokens)) if len(tokens) else ())]
+                joins = [v for band, own, left in found for v in (band, left, len(own))]
+                rows.append((len(tokens), sketch(tokens), np.concatenate([f[1] for f in found]).view(np.int64) if found else [], joins))
+            yield pd.DataFrame({"hash": batch["hash"], **{c: [row[i] for row in rows] for i, c in enumerate(("n", "sketch", "keys", "joins"))}})
 
-    schema = "sid long, n long, sketch array<long>, tokens binary"
-    once = where_not(base, repeated, "sid").mapInPandas(facts, schema)
-    again = where(base, repeated, "sid").dropDuplicates(["sid"]).mapInPandas(facts, schema)
-    return cut(once.unionByName(again), "texts")
+    found = whole.mapInPandas(facts, "hash long, n long, sketch array<long>, keys array<long>, joins array<int>")
+    return cut(found.withColumn("sid", F.monotonically_increasing_id()), "texts")
 
 
-def keys(texts: DataFrame, passes: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """key, sid, band and spare of every block of every text, or of those whose key passes."""
+def distinct_texts(docs: DataFrame, cut) -> DataFrame:
+    """`text_facts` of the distinct texts of docs."""
+    return text_facts(whole_texts(docs, cut), cut)
+
+
+def keys(texts: DataFrame, passes: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """key, sid, band and spare of the blocks of every text whose key passes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out: list[tuple[np.ndarray, int, int, int]] = []
-            for sid, own in zip(batch["sid"], batch["tokens"]):
-                tokens = np.frombuffer(own, dtype=np.uint64)
-                for band, blocks, spare in plan(len(tokens)) if len(tokens) else ():
-                    found, left = block_keys(tokens, band, blocks, spare)
-                    out.append((found.view(np.int64), sid, band, left))
-            if out:
-                every = np.concatenate([o[0] for o in out])
-                lengths = [len(o[0]) for o in out]
-                frame = pd.DataFrame({"key": every, **{c: np.repeat([o[i] for o in out], lengths) for i, c in ((1, "sid"), (2, "band"), (3, "spare"))}})
-                yield frame if passes is None else frame[passes(every)]
+            if len(batch):
+                every = np.concatenate(list(batch["keys"])).astype(np.int64)
+                band, spare, held = np.concatenate(list(batch["joins"])).astype(np.int64).reshape(-1, 3).T
+                frame = pd.DataFrame({"key": every, "sid": np.repeat(batch["sid"].to_numpy(), batch["keys"].map(len)), "band": np.repeat(band, held), "spare": np.repeat(spare, held)})
+                yield frame[passes(every)]
 
-    return texts.select("sid", "tokens").mapInPandas(run, "key long, sid long, band int, spare int")
+    return texts.select("sid", "keys", "joins").mapInPandas(run, "key long, sid long, band int, spare int")
 
 
 def key_counts(texts: DataFrame) -> DataFrame:
     """key, n (its rows) and the largest and smallest of its texts. Nearly all keys are of one text, so counting them before the shuffle
     would only fill the executors with tables: the rows go to their key first, and each of many small parts is counted there."""
     parts = PARTS * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = keys(texts).select("key", "sid").repartition(parts, "key")
+    rows = texts.select(F.explode("keys").alias("key"), "sid").repartition(parts, "key")
     return rows.groupBy("key").agg(F.count("*").alias("n"), F.max("sid").alias("a"), F.min("sid").alias("b"))
 
 
@@ -252,19 +266,25 @@ def _bits(a: Column, b: Column) -> Column:
 
 
 def near_pairs(pairs: DataFrame, facts: DataFrame, cut) -> DataFrame:
-    """Those of the pairs (a, b) of text ids whose sizes and sketches allow a link, with the bits in which the sketches differ."""
-    side = lambda c: facts.toDF(c, f"n_{c}", f"s_{c}")
+    """Those of the pairs (a, b) of texts whose sizes and sketches allow a link, with their hashes and the bits in which the sketches differ."""
+    side = lambda c: facts.toDF(c, f"h_{c}", f"n_{c}", f"s_{c}")
     fits = 100 * F.least("n_a", "n_b") >= LINK * F.greatest("n_a", "n_b")
     allowed = F.floor((100 - LINK) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + LINK))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(fits)
-    return cut(both.select("a", "b", allowed.alias("allowed"), _bits(F.col("s_a"), F.col("s_b")).alias("bits")).where("bits <= allowed").drop("allowed"), "near")
+    return cut(both.select("a", "b", "h_a", "h_b", allowed.alias("allowed"), _bits(F.col("s_a"), F.col("s_b")).alias("bits")).where("bits <= allowed").drop("allowed"), "near")
 
 
-def verified(near: DataFrame, texts: DataFrame, cut) -> DataFrame:
-    """Those of the pairs (a, b) of text ids that link."""
-    near = near.select("a", "b")
-    needed = where(texts.select("sid", "tokens"), sieve_table(near.select(F.explode(F.array("a", "b")).alias("sid")), "sid"), "sid")
-    both = near.join(needed.toDF("a", "t_a"), "a").join(needed.toDF("b", "t_b"), "b")
+def verified(near: DataFrame, whole: DataFrame, cut) -> DataFrame:
+    """Those of the pairs (a, b, and their hashes) of texts that link."""
+    near = near.select("a", "b", "h_a", "h_b")
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"hash": batch["hash"], "tokens": [shingles(text).tobytes() for text in batch["text"]]})
+
+    needed = where(whole, sieve_table(near.select(F.explode(F.array("h_a", "h_b")).alias("hash")), "hash"), "hash")
+    needed = cut(needed.mapInPandas(sets, "hash long, tokens binary"), "needed")
+    both = near.join(needed.toDF("h_a", "t_a"), "h_a").join(needed.toDF("h_b", "t_b"), "h_b")
 
     @F.pandas_udf("boolean")
     def link(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -279,19 +299,19 @@ def verified(near: DataFrame, texts: DataFrame, cut) -> DataFrame:
     return cut(both.where(link("t_a", "t_b")).select("a", "b"), "links")
 
 
-def linked_roots(pairs: DataFrame, facts: DataFrame, texts: DataFrame, cut) -> DataFrame:
+def linked_roots(pairs: DataFrame, facts: DataFrame, whole: DataFrame, cut) -> DataFrame:
     """node and root of the texts that the links among the pairs connect. Verified first is the nearest pair of each text; other pairs
     only where both texts are still apart."""
     near = near_pairs(pairs, facts, cut)
     least = near.select(F.explode(F.array("a", "b")).alias("sid"), "bits").groupBy("sid").agg(F.min("bits").alias("least"))
     ranked = near.join(least.toDF("a", "least_a"), "a").join(least.toDF("b", "least_b"), "b")
-    ranked = cut(ranked.select("a", "b", ((F.col("bits") == F.col("least_a")) | (F.col("bits") == F.col("least_b"))).alias("nearest")), "ranked")
-    links = verified(ranked.where("nearest"), texts, cut)
+    ranked = cut(ranked.select("a", "b", "h_a", "h_b", ((F.col("bits") == F.col("least_a")) | (F.col("bits") == F.col("least_b"))).alias("nearest")), "ranked")
+    links = verified(ranked.where("nearest"), whole, cut)
     roots = cut(components(links, cut=cut), "roots")
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     apart = ranked.where("not nearest").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    apart = cut(apart.where(~F.coalesce(F.col("root_a") == F.col("root_b"), F.lit(False))).select("a", "b"), "apart")
-    more = verified(apart, texts, cut)
+    apart = cut(apart.where(~F.coalesce(F.col("root_a") == F.col("root_b"), F.lit(False))).select("a", "b", "h_a", "h_b"), "apart")
+    more = verified(apart, whole, cut)
     return joined_roots(roots, more, cut)
 
 
@@ -328,7 +348,7 @@ def open_members(members: DataFrame, roots: DataFrame, cut) -> DataFrame:
 def tiles(opened: DataFrame, facts: DataFrame) -> DataFrame:
     """Rows of tile jobs (key, x, y): both sides of what is to be compared."""
     count = lambda n: F.ceil(F.col(n) / TILE).cast("int")
-    rows = opened.join(facts, "sid")
+    rows = opened.join(facts.drop("hash"), "sid")
     part = lambda n: F.pmod(F.xxhash64("sid", "key"), count(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), count(n) - 1))
     common = ["key", "sid", "root", "n", "sketch"]
@@ -378,20 +398,25 @@ def tile_pairs(job: dict[str, np.ndarray], limit: int) -> tuple[np.ndarray, np.n
 
 
 def tile_candidates(jobs: DataFrame, limit: int) -> DataFrame:
-    """a, b and more of all jobs; a task holds one job at a time."""
+    """a and b of the pairs of all jobs, and rows with only the key of jobs that left pairs out; a task holds one job at a time."""
     marks, columns = ["key", "x", "y"], ["sid", "root", "n", "side", "sketch"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mark, held = None, []
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        again: set[int] = set()
 
         def done() -> None:
-            found.append(tile_pairs({c: np.concatenate([h[c] for h in held]) for c in columns}, limit))
+            a, b, more = tile_pairs({c: np.concatenate([h[c] for h in held]) for c in columns}, limit)
+            found.append((a, b))
+            if more.any():
+                again.add(mark[0])
 
         def distinct() -> pd.DataFrame:
             # Two sets that share many blocks meet in many jobs.
-            rows = np.unique(np.column_stack([c.astype(np.int64) for c in map(np.concatenate, zip(*found))]), axis=0)
-            return pd.DataFrame({"a": rows[:, 0], "b": rows[:, 1], "more": rows[:, 2] > 0})
+            a, b = np.unique(np.column_stack([c.astype(np.int64) for c in map(np.concatenate, zip(*found))]), axis=0).T
+            rows = {"a": [*a, *[None] * len(again)], "b": [*b, *[None] * len(again)], "again": [None] * len(a) + list(again)}
+            return pd.DataFrame({c: pd.array(v, dtype="Int64") for c, v in rows.items()})
 
         for batch in batches:
             if not len(batch):
@@ -408,57 +433,60 @@ def tile_candidates(jobs: DataFrame, limit: int) -> DataFrame:
             if len(found) > 10_000:
                 yield distinct()
                 found.clear()
+                again.clear()
         if held:
             done()
         if found:
             yield distinct()
 
-    return jobs.repartition(*marks).sortWithinPartitions(*marks).mapInPandas(run, "a long, b long, more boolean")
+    return jobs.repartition(*marks).sortWithinPartitions(*marks).mapInPandas(run, "a long, b long, again long")
 
 
 def small_pairs(opened: DataFrame) -> DataFrame:
-    """a, b and more of buckets of at most SMALL members: all pairs of unlike components, at most SMALL a member."""
+    """a and b of buckets of at most SMALL members: all pairs of unlike components, at most SMALL a member."""
     members = F.array_sort(F.collect_list(F.struct("sid", "root")))
     both = F.transform("m", lambda p, i: F.transform(F.slice("m", F.lit(1), i), lambda q: F.struct(p["sid"].alias("a"), q["sid"].alias("b"), (p["root"] != q["root"]).alias("apart"))))
     pairs = opened.groupBy("key").agg(members.alias("m")).select(F.inline(F.flatten(both))).where("apart")
-    return pairs.select("a", "b", F.lit(False).alias("more")).distinct()
+    return pairs.select("a", "b", F.lit(None).cast("long").alias("again")).distinct()
 
 
-def text_roots(texts: DataFrame, cut, limit: int = LIMIT) -> DataFrame:
+def text_roots(texts: DataFrame, whole: DataFrame, cut, limit: int = LIMIT) -> DataFrame:
     """node and root of every distinct text that links with another."""
     buckets = cut(key_counts(texts).where("n > 1 and a <> b"), "buckets")
     large = buckets.where("n > 2").select("key", "n")
     members = cut(keys(texts, sieve(large, "key")).join(large, "key"), "members")
     # What pairs and tiles need to know of the texts that share any block.
     playing = sieve_table(buckets.where("n = 2").select(F.explode(F.array("a", "b")).alias("sid")).unionByName(members.select("sid")), "sid")
-    facts = cut(where(texts.select("sid", "n", "sketch"), playing, "sid"), "facts")
+    facts = cut(where(texts.select("sid", "hash", "n", "sketch"), playing, "sid"), "facts")
     pairs = buckets.where("n = 2").select("a", "b").unionByName(stars(members)).distinct()
-    roots = linked_roots(pairs, facts, texts, cut)
+    roots = linked_roots(pairs, facts, whole, cut)
     while True:
         opened = open_members(members, roots, cut)
         small = F.col("n_bulk") + F.col("n_rest") <= SMALL
         found = small_pairs(opened.where(small)).unionByName(tile_candidates(tiles(opened.where(~small), facts), limit))
         found = cut(found, "found")
-        told = found.agg(F.count("*"), F.max("more")).first()
-        if not told[0]:
-            return roots
-        more = verified(near_pairs(found.select("a", "b").distinct(), facts, cut), texts, cut)
-        roots = joined_roots(roots, more, cut)
+        told = found.agg(F.count("a"), F.count("again")).first()
+        if told[0]:
+            more = verified(near_pairs(found.where("a is not null").select("a", "b").distinct(), facts, cut), whole, cut)
+            roots = joined_roots(roots, more, cut)
         if not told[1]:
             return roots
+        # Buckets that left no pair out have nothing more to give.
+        members = cut(members.join(found.where("again is not null").select(F.col("again").alias("key")).distinct(), "key", "left_semi"), "members")
         limit *= 16
 
 
 def linked_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("sid"), F.col("text").isNull().alias("none"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.col("text").isNull().alias("none"))
     with steps(docs.sparkSession, "parity-join") as own:
-        texts = distinct_texts(docs.select("doc_id", "text"), own)
-        roots = text_roots(texts, own)
-        least = rows.where("not none").groupBy("sid").agg(F.min("doc_id").alias("least"))
-        known = texts.select("sid", "n").join(least, "sid").join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left")
+        whole = whole_texts(docs.select("doc_id", "text"), own)
+        texts = text_facts(whole, own)
+        roots = text_roots(texts, whole, own)
+        least = rows.where("not none").groupBy("hash").agg(F.min("doc_id").alias("least"))
+        known = texts.select("sid", "hash", "n").join(least, "hash").join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left")
         known = own(known.withColumn("root", F.coalesce("root", "sid")), "classes")
         of = known.groupBy("root").agg(F.min("least").alias("component_id"))
-        known = known.join(of, "root").select("sid", "n", "component_id")
-        found = rows.join(known, "sid", "left").select("doc_id", F.when(F.col("none"), 0).otherwise(F.col("n")).cast("long").alias("n_shingles"), "component_id")
+        known = known.join(of, "root").select("hash", "n", "component_id")
+        found = rows.join(known, "hash", "left").select("doc_id", F.when(F.col("none"), 0).otherwise(F.col("n")).cast("long").alias("n_shingles"), "component_id")
         return cut(found.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))), "linked")

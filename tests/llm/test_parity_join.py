@@ -1,6 +1,7 @@
 """The parity-sketch join against all pairs of shingle sets."""
 
 import random
+from contextlib import contextmanager
 
 import numpy as np
 import pytest
@@ -152,3 +153,45 @@ def test_keys_are_counted_after_the_shuffle_and_the_sieve_needs_no_python_worker
     assert not any(p in explained(df) for df in (held, left) for p in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas"))
     kept, rest, wanted = ({r["sid"] for r in df.select("sid").collect()} for df in (held, left, ids))
     assert wanted <= kept and not kept & rest and len(kept) <= len(wanted) + 2 and len(kept | rest) == texts.count()
+
+
+def test_only_buckets_that_left_pairs_out_are_searched_again(spark, rows, monkeypatch):
+    """The repeated search once took all buckets, so that the shuffles grew faster than the input."""
+    monkeypatch.setattr(parity_join, "SMALL", 2)
+    monkeypatch.setattr(parity_join.text_roots, "__defaults__", (1,))
+    searched, of = [], parity_join.open_members
+
+    def counted(members, roots, cut):
+        searched.append({r["key"] for r in members.select("key").collect()})
+        return of(members, roots, cut)
+
+    monkeypatch.setattr(parity_join, "open_members", counted)
+    assert result(frame(spark, rows)) == brute(rows)
+    assert len(searched) > 1 and all(b < a for a, b in zip(searched, searched[1:]))
+
+
+def test_shingle_sets_are_stored_only_of_the_texts_of_pairs(spark, monkeypatch):
+    """Sets of all texts once filled the disk; now their keys do, under numbers that the shuffle can compress."""
+    written = {}
+    of = parity_join.steps
+
+    @contextmanager
+    def steps(*args):
+        with of(*args) as own:
+            def cut(df, name):
+                out = own(df, name)
+                if name in ("texts", "needed"):
+                    written.setdefault(name, []).extend(out.collect())
+                return out
+
+            yield cut
+
+    monkeypatch.setattr(parity_join, "steps", steps)
+    base = text(400)
+    lone = [text(400) for _ in range(200)]
+    found = result(frame(spark, [(i, t) for i, t in enumerate([base, edited(base, 1), *lone])]))
+    assert [c for _, _, c in sorted(found)] == [0, 0, *range(2, 202)]
+    texts, needed = written["texts"], written["needed"]
+    assert len(texts) == 202 and len(needed) == 2
+    assert sum(len(v) for r in texts for v in r if isinstance(v, list | bytearray)) < 0.7 * sum(r["n"] for r in texts)
+    assert max(r["sid"] & ((1 << 33) - 1) for r in texts) < len(texts)
